@@ -15,6 +15,8 @@ _MODULES = {
     "op2_mix": "mixing",
     "op6_media": "media",
     "op7_token_counts": "token_counts",
+    "op8_toxicity": "toxicity",
+    "op9_ngram_join": "ngram_join",
     "op10_chat": "chat",
 }
 

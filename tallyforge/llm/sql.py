@@ -43,4 +43,21 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLE = {"op2_mix": MIX, "op10_chat": CHAT}
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+d AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+  FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, x) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.x = p.a),
+c AS (SELECT doc_id, min(x) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, c.component_id FROM d JOIN c USING (doc_id)
+"""
+
+ORACLE = {"op2_mix": MIX, "op9_ngram_join": NGRAM_JOIN, "op10_chat": CHAT}
