@@ -60,4 +60,14 @@ c AS (SELECT doc_id, min(x) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, c.component_id FROM d JOIN c USING (doc_id)
 """
 
-ORACLE = {"op2_mix": MIX, "op9_ngram_join": NGRAM_JOIN, "op10_chat": CHAT}
+WARC = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest AS d, max(page_id) AS top, count(*) AS copies FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN copies > 1 AND payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN copies > 1 AND payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.d
+"""
+
+ORACLE = {"op5_warc": WARC, "op2_mix": MIX, "op9_ngram_join": NGRAM_JOIN, "op10_chat": CHAT}
