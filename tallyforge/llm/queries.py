@@ -13,6 +13,7 @@ from . import sql
 _MODULES = {
     "op1_pack": "packing",
     "op2_mix": "mixing",
+    "op4_vptree": "vptree",
     "op5_warc": "warc",
     "op6_media": "media",
     "op7_token_counts": "token_counts",
