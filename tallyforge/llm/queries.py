@@ -13,6 +13,7 @@ from . import sql
 _MODULES = {
     "op1_pack": "packing",
     "op2_mix": "mixing",
+    "op3_hmm": "hmm",
     "op4_vptree": "vptree",
     "op5_warc": "warc",
     "op6_media": "media",

@@ -61,11 +61,10 @@ class Lengths(dict):
 def _count(path: str | None, table):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, split = encoder(path), _split(path)
-        if (key := (path, id(table.value))) not in _caches:
-            _caches.clear()
-            pieces, lengths = table.value
-            _caches[key] = Lengths(dict(zip(pieces, lengths, strict=True)), coder.length)
-        length = _caches[key].__getitem__
+        value = table.value
+        if _caches.get("of") is not value:
+            _caches.update({"of": value, "read": Lengths(dict(zip(*value, strict=True)), coder.length)})
+        length = _caches["read"].__getitem__
         for part in slices(batches):
             counts, sizes = [], []
             for text in part.column("text").to_pylist():

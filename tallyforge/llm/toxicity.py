@@ -218,13 +218,13 @@ def _fit(features: int, rates: tuple[float, float]):
 
 def _score(model, k: int, prior: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := id(model.value)) not in _models:
-            _models.clear()
-            with np.load(io.BytesIO(model.value)) as read:
+        value = model.value
+        if _models.get("of") is not value:
+            with np.load(io.BytesIO(value)) as read:
                 own = {c: read[c] for c in read.files}
             index = _index(own)
-            _models[key] = own, index, _Terms(index.terms)
-        own, index, known = _models[key]
+            _models.update({"of": value, "read": (own, index, _Terms(index.terms))})
+        own, index, known = _models["read"]
         for part in slices(batches):
             scores, evidence = [], []
             for text in part.column("text").to_pylist():
