@@ -7,7 +7,19 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import written
 from tallyforge.llm.mixing import mixed
+from tallyforge.llm.ngram_join import one_of_each
 from tallyforge.llm.packing import pack
+from tallyforge.llm.toxicity import without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the labelled examples' votes call toxic go."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, that of the smallest id stays."""
+    return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: SQL has neither the tokenizer nor the votes.
 ORACLE_SQL = None
