@@ -1,0 +1,268 @@
+"""Signals over seasons: stable level, surprise, trend, watchlist; stances of texts; formations; radar; findings."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .percentile import percentile
+from .scoring import clamp
+
+#: Weights of the present and past periods; thresholds of signals.
+STABLE, EXPECTED = (1.0, 0.6, 0.36, 0.216), (1.0, 0.6, 0.36)
+SURPRISE, SURPRISE_CONFIDENCE, TREND, TREND_CONFIDENCE = 12.0, 0.35, 8.0, 0.30
+
+
+def _period_weight(period: Column, weights: Sequence[float], first: int) -> Column:
+    out = F.lit(None).cast("double")
+    for i, w in enumerate(weights):
+        out = F.when(period == i + first, F.lit(w)).otherwise(out)
+    return out
+
+
+def meta_levels(scores: DataFrame, entity: str, role: str = "role") -> DataFrame:
+    """entity, role, current, stable, stable_confidence, expected, expected_confidence, surprise, surprise_signal.
+
+    scores: entity, role, period (0: now), overall, confidence, of season
+    windows. Past periods count only in the role that the entity has now. A
+    level is weighted by recency and confidence; without weight it is null.
+    """
+    now = scores.where("period = 0").select(entity, role, F.col("overall").alias("current"), F.col("confidence").alias("current_confidence"))
+    same = scores.where(F.col("period") <= len(STABLE) - 1).join(now.select(entity, role), [entity, role])
+    s, e = _period_weight(F.col("period"), STABLE, 0), _period_weight(F.col("period"), EXPECTED, 1)
+    c = F.col("confidence")
+
+    def level(w):
+        return F.try_divide(F.sum(w * c * F.col("overall")), F.sum(w * c))
+
+    def sure(w):
+        return F.try_divide(F.sum(w * c), F.sum(F.when(c.isNotNull(), w))) * F.least(F.lit(1.0), 0.7 + 0.1 * F.count(w))
+
+    found = same.groupBy(entity, role).agg(level(s).alias("stable"), sure(s).alias("stable_confidence"), level(e).alias("expected"), F.coalesce(sure(e), F.lit(0.0)).alias("expected_confidence"))
+    surprise = F.col("current") - F.col("expected")
+    signal = F.when(surprise.isNull() | (F.col("current_confidence") < SURPRISE_CONFIDENCE) | (F.col("expected_confidence") < SURPRISE_CONFIDENCE), "insufficient_evidence").when(surprise >= SURPRISE, "positive_surprise").when(surprise <= -SURPRISE, "negative_surprise").otherwise("as_expected")
+    return now.join(found, [entity, role]).withColumn("surprise", surprise).withColumn("surprise_signal", signal)
+
+
+def trend(windows: DataFrame, entity: str) -> DataFrame:
+    """entity, trend, trend_confidence, trend_signal from the four windows' overall and confidence.
+
+    Pairs (last_3 less last_10, .60) and (last_5 less season, .40), each by the smaller confidence of the two.
+    """
+    wide = windows.groupBy(entity).agg(*(F.max(F.when(F.col("window_key") == w, F.col(v))).alias(f"{v}_{w}") for w in ("last_3", "last_5", "last_10", "season") for v in ("overall", "confidence")))
+    pairs = (("last_3", "last_10", 0.60), ("last_5", "season", 0.40))
+    top = bottom = share = F.lit(0.0)
+    for a, b, w in pairs:
+        delta, sure = F.col(f"overall_{a}") - F.col(f"overall_{b}"), F.least(f"confidence_{a}", f"confidence_{b}")
+        top = top + F.coalesce(w * sure * delta, F.lit(0.0))
+        bottom = bottom + F.coalesce(F.when(delta.isNotNull(), w * sure), F.lit(0.0))
+        share = share + F.when(delta.isNotNull() & sure.isNotNull(), F.lit(w)).otherwise(0.0)
+    value, confidence = F.try_divide(top, bottom), F.coalesce(F.try_divide(bottom, share), F.lit(0.0))
+    signal = F.when(value.isNull() | (confidence < TREND_CONFIDENCE), "insufficient_evidence").when(value >= TREND, "rising").when(value <= -TREND, "falling").otherwise("steady")
+    return wide.select(entity, value.alias("trend"), confidence.alias("trend_confidence"), signal.alias("trend_signal"))
+
+
+def watchlist_score(stable: Column, surprise: Column, trend_value: Column) -> Column:
+    up = F.coalesce(F.greatest(F.lit(0.0), surprise), F.lit(0.0))
+    rise = F.coalesce(F.greatest(F.lit(0.0), trend_value), F.lit(0.0))
+    return 0.45 * stable + 0.35 * clamp(4 * up, 0.0, 100.0) + 0.20 * clamp(5 * rise, 0.0, 100.0)
+
+
+def watchlist_signal(surprise_signal: Column, trend_signal: Column, stable: Column) -> Column:
+    return F.when((surprise_signal == "positive_surprise") & (trend_signal == "rising"), "breakout").when(surprise_signal == "positive_surprise", "overperforming").when(trend_signal == "rising", "rising").when(stable >= 75, "established").otherwise("monitor")
+
+
+# -- stances ------------------------------------------------------------------
+
+#: Phrases and what they say; the window and half-life in days.
+POSITIVE: dict[str, float] = {
+    "earns praise": 1.00, "wins praise": 1.00, "masterclass": 1.00, "world class": 1.00, "outstanding": 1.00, "brilliant": 1.00, "superb": 1.00, "excellent": 0.90,
+    "shines": 0.90, "impresses": 0.90, "impressed": 0.80, "dominant": 0.80, "remarkable": 0.80, "hero": 0.80, "inspired": 0.70, "key player": 0.65,
+}
+NEGATIVE: dict[str, float] = {
+    "costly error": -1.00, "under fire": -0.90, "underperforming": -0.90, "underperforms": -0.90, "disappointing": -0.85, "struggles": -0.85, "struggled": -0.85, "blunder": -1.00, "flop": -1.00,
+    "awful": -1.00, "criticised": -0.75, "criticized": -0.75, "poor": -0.75, "booed": -0.75, "wasteful": -0.70, "mistake": -0.65, "anonymous": -0.60, "dropped": -0.50,
+}
+EVIDENCE_DAYS, STANCE_HALF_LIFE = 180, 45.0
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
+
+
+def focus(text: Column, name: Column) -> Column:
+    """The sentences that mention the name, or the whole text."""
+    own = F.filter(sentences(text), lambda s: F.contains(F.lower(s), F.lower(name)))
+    return F.when(F.size(own) > 0, F.array_join(own, " ")).otherwise(text)
+
+
+def stance(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+    """struct(score, confidence, hits): sum of the phrases said over the sum of their sizes; .5 + .15 a hit, at most 1; 0 and 0 without a hit."""
+    said = [F.when(F.lower(text).rlike(rf"(?<!\w){phrase}(?!\w)"), F.lit(w)) for phrase, w in (lexicon or POSITIVE | NEGATIVE).items()]
+    hits = F.array_compact(F.array(*said))
+    total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x)
+    size = F.aggregate(hits, F.lit(0.0), lambda a, x: a + F.abs(x))
+    n = F.size(hits)
+    return F.struct(F.coalesce(F.try_divide(total, size), F.lit(0.0)).alias("score"), F.when(n > 0, F.least(F.lit(1.0), 0.5 + 0.15 * n)).otherwise(0.0).alias("confidence"), n.alias("hits"))
+
+
+def perception(evidence: DataFrame, entity: str, half_life: float = STANCE_HALF_LIFE) -> DataFrame:
+    """entity, mean, polarization, consensus, score, sources, scored, evidence, confidence.
+
+    evidence: entity, source, score, confidence, age_days. Each source weighs the
+    same: an item has recency * confidence over its source's sum of it, over the
+    sources. Sums by source come first, so that a loud source is one row each.
+    """
+    e = evidence.withColumn("recency", F.pow(F.lit(0.5), F.greatest(F.lit(0.0), F.col("age_days").cast("double")) / F.lit(half_life)))
+    w = F.col("recency") * F.col("confidence")
+    each = e.groupBy(entity, "source").agg(F.sum(w).alias("w"), F.sum(w * F.col("score")).alias("wx"), F.sum(w * F.col("score") * F.col("score")).alias("wxx"), F.sum(w * F.abs("score")).alias("wa"), F.count("*").alias("n"), F.count_if(F.col("confidence") > 0).alias("scored"), F.sum("recency").alias("recency"))
+    fine = F.col("w") > 0
+    found = each.groupBy(entity).agg(
+        F.avg(F.when(fine, F.col("wx") / F.col("w"))).alias("mean"), F.avg(F.when(fine, F.col("wxx") / F.col("w"))).alias("square"), F.avg(F.when(fine, F.col("wa") / F.col("w"))).alias("size"),
+        F.count_if(fine).alias("sources"), F.sum("scored").alias("scored"), F.sum("n").alias("evidence"), (F.sum("recency") / F.sum("n")).alias("recency"))
+    std = F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))))
+    confidence = 0.35 * F.least(F.lit(1.0), F.col("evidence") / 8) + 0.30 * F.least(F.lit(1.0), F.col("sources") / 3) + 0.20 * F.col("scored") / F.col("evidence") + 0.15 * F.col("recency")
+    return found.select(entity, "mean", (100 * std).alias("polarization"), (100 * F.abs("mean") * (1 - std)).alias("consensus"), (50 + 50 * F.col("mean")).alias("score"), "sources", "scored", "evidence", confidence.alias("confidence"))
+
+
+def rating_signal(evidence: Column, scored: Column, sources: Column, confidence: Column, polarization: Column, rating_confidence: Column, gap: Column) -> Column:
+    """Gates of evidence first, then polarization, then confidence, then the gap of performance over perception."""
+    thin = (evidence < 4) | (scored < 3) | (sources < 2) | (confidence < 0.55)
+    return F.when(F.coalesce(thin, F.lit(True)), "insufficient_evidence").when(polarization >= 60, "polarized").when(rating_confidence < 0.50, "insufficient_evidence").when(gap >= 12, "underrated").when(gap <= -12, "overrated").otherwise("fairly_rated")
+
+
+# -- formations, radar -----------------------------------------------------------
+
+def valid_formation(text: Column) -> Column:
+    """3 to 5 parts, all positive whole numbers, ten in all."""
+    parts = F.transform(F.split(text, "-"), lambda p: F.when(p.rlike(r"^\d{1,2}$"), p.cast("int")))
+    fine = F.size(parts).between(3, 5) & F.forall(parts, lambda p: F.coalesce(p > 0, F.lit(False)))
+    return F.coalesce(fine & (F.aggregate(parts, F.lit(0), lambda a, p: a + F.coalesce(p, F.lit(0))) == 10), F.lit(False))
+
+
+def formation_profile(rows: DataFrame, team: str, formation: str, newest: Sequence[Column], matches: str | None = None) -> DataFrame:
+    """team, primary, share, coverage, confidence, label and up to four alternatives.
+
+    The mode of valid formations; ties by the one seen last, then by name.
+    """
+    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(team).orderBy(*newest)))
+    each = ranked.where(valid_formation(F.col(formation))).groupBy(team, formation).agg(F.count("*").alias("n"), F.min("_rn").alias("seen"))
+    order = F.struct((-F.col("n")).alias("a"), F.col("seen").alias("b"), F.col(formation).alias("name"), F.col("n").alias("n"))
+    tops = each.groupBy(team).agg(F.array_sort(F.collect_list(order)).alias("o"), F.sum("n").alias("valid"))
+    all_rows = ranked.groupBy(team).agg(F.count("*").alias("played"))
+    share, coverage = F.col("o")[0]["n"] / F.col("valid"), F.col("valid") / F.col("played")
+    joined = all_rows.join(tops, team, "left").withColumn("share", share).withColumn("coverage", F.coalesce(coverage, F.lit(0.0)))
+    label = F.when((F.coalesce("valid", F.lit(0)) < 3) | (F.col("coverage") < 0.30), "limited").when(F.col("share") >= 0.65, "stable").when((F.col("share") <= 0.50) & (F.size("o") >= 2), "variable").otherwise("mixed")
+    return joined.select(team, F.try_element_at("o", F.lit(1))["name"].alias("primary"), "share", "coverage", F.coalesce(F.col("coverage") * (0.5 + 0.5 * F.col("share")), F.lit(0.0)).alias("confidence"), label.alias("label"), F.transform(F.slice("o", 2, 4), lambda x: x["name"]).alias("alternatives"))
+
+
+def style_signal(control: Column, directness: Column, confidence: Column) -> Column:
+    return F.when(F.coalesce(confidence, F.lit(0.0)) < 0.35, "insufficient_evidence").when((control >= 65) & (directness <= 40), "possession").when((control >= 55) & (directness >= 50), "dominant").when((control <= 40) & (directness >= 65), "direct").when((control <= 40) & (directness <= 40), "passive").otherwise("balanced")
+
+
+def defensive_signal(score: Column) -> Column:
+    return F.when(score >= 65, "restrictive").when(score <= 35, "permissive").when(score.isNotNull(), "average")
+
+
+#: Weights of the radar's metrics by profile.
+RADAR = {
+    "attacker": {"goals_per90": 0.35, "shots_on_target_per90": 0.20, "assists_per90": 0.20, "key_passes_per90": 0.15, "successful_dribbles_per90": 0.10},
+    "midfielder": {"assists_per90": 0.30, "key_passes_per90": 0.25, "goals_per90": 0.20, "successful_dribbles_per90": 0.15, "shots_on_target_per90": 0.10},
+}
+
+
+def merged_feeds(entries: DataFrame, key: str, order: str, fields: Sequence[str], source: str = "source_list") -> DataFrame:
+    """One row a key: the first value that isn't null of each field, in order, and the sorted lists that name it."""
+    first = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.struct(order, source))).alias(f) for f in fields]
+    return entries.groupBy(key).agg(*first, F.array_sort(F.collect_set(source)).alias("source_lists"))
+
+
+def radar(candidates: DataFrame, key: str, counts: Sequence[str], group: Sequence[str] = ("profile",)) -> DataFrame:
+    """key, profile, radar_score, confidence, reasons: percentiles of per-90 counts within the profile, weights shared over those that are there.
+
+    candidates: key, position, minutes, appearances, source_lists and counts named as RADAR's metrics without _per90. No minutes, no row.
+    """
+    own = candidates.where("minutes > 0").withColumn("profile", F.when(F.contains(F.lower("position"), F.lit("mid")), "midfielder").otherwise("attacker"))
+    own = own.select(key, "profile", "minutes", "appearances", "source_lists", *(F.round(F.lit(90.0) * F.col(c) / F.col("minutes"), 4).alias(f"{c}_per90") for c in counts))
+    rows = own.unpivot([key, "profile", "minutes", "appearances", "source_lists"], [f"{c}_per90" for c in counts], "metric", "value")
+    ranked = percentile(rows, [*group, "metric"], "value", "mid_rank_or_50")
+    weights = F.lit(None).cast("double")
+    for profile, own_weights in RADAR.items():
+        for metric, w in own_weights.items():
+            weights = F.when((F.col("profile") == profile) & (F.col("metric") == metric), F.lit(w)).otherwise(weights)
+    ranked = ranked.withColumn("w", weights)
+    there = F.when(F.col("percentile").isNotNull(), F.col("w"))
+    def p(m):
+        return F.coalesce(F.max(F.when(F.col("metric") == m, F.col("percentile"))), F.lit(0.0))
+    found = ranked.groupBy(key, "profile", "minutes", "appearances", "source_lists").agg(F.try_divide(F.sum(there * F.col("percentile")), F.sum(there)).alias("raw"), p("goals_per90").alias("g"), p("assists_per90").alias("a"), p("key_passes_per90").alias("k"))
+    confidence = 0.5 * F.least(F.lit(1.0), F.col("minutes") / 1200) + 0.3 * F.least(F.lit(1.0), F.col("appearances") / 15) + 0.2 * F.when(F.size("source_lists") >= 2, 1.0).otherwise(0.5)
+    reasons = F.array_compact(F.array(
+        F.when(F.array_contains("source_lists", "topscorers"), "top_scorer_feed"), F.when(F.array_contains("source_lists", "topassists"), "top_assist_feed"),
+        F.when(F.col("g") >= 85, "elite_goals_per90"), F.when(F.greatest("a", "k") >= 85, "elite_creation_per90")))
+    return found.select(key, "profile", F.round(clamp(F.col("raw"), 0.0, 100.0), 2).alias("radar_score"), confidence.alias("confidence"), reasons.alias("reasons"))
+
+
+# -- findings -------------------------------------------------------------------------
+
+def severity(size: Column, medium: float, high: float) -> Column:
+    return F.when(F.abs(size) >= high, "high").when(F.abs(size) >= medium, "medium").otherwise("low")
+
+
+def finding(code: str, when: Column, how: Column, confidence: Column) -> Column:
+    return F.when(when, F.struct(F.lit(code).alias("code"), how.alias("severity"), confidence.cast("double").alias("confidence")))
+
+
+def team_findings(teams: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, code, severity, confidence: every rule of a team in one pass.
+
+    teams: results_process_delta, confidence, chance_creation, finishing,
+    defense, possession, creation, volume_allowed, quality_allowed (percentiles,
+    or null where unknown).
+    """
+    c, delta = F.col("confidence"), F.col("results_process_delta")
+    rules = [
+        finding("results_above_process", delta >= 12, severity(delta, 12, 25), c), finding("results_below_process", delta <= -12, severity(delta, 12, 25), c),
+        finding("creation_problem", (F.col("chance_creation") <= 35) & (F.col("finishing") >= 45), F.lit("medium"), c),
+        finding("defensive_process_weak", F.col("defense") <= 35, F.when(F.col("defense") <= 15, "high").otherwise("medium"), c),
+        finding("defensive_process_strong", F.col("defense") >= 65, F.when(F.col("defense") >= 85, "high").otherwise("medium"), c),
+        finding("regression_risk", (delta >= 20) & (c <= 0.45), F.when(delta >= 30, "high").otherwise("medium"), c),
+        finding("sterile_possession", (F.col("possession") >= 65) & (F.col("creation") <= 35), F.lit("medium"), c),
+        finding("few_but_high_quality_chances_allowed", (F.col("volume_allowed") <= 35) & (F.col("quality_allowed") >= 65), F.lit("medium"), c),
+        finding("high_volume_low_quality_allowed", (F.col("volume_allowed") >= 65) & (F.col("quality_allowed") <= 35), F.lit("low"), c),
+    ]
+    return teams.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("f")).select(*keys, "f.*")
+
+
+def player_findings(players: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, code, severity, confidence: every rule of a player in one pass.
+
+    players: expected, actual, minutes, shots, confidence, volume_pct,
+    accuracy_pct, watchlist_signal, watchlist_score, rating_signal, rating_gap.
+    """
+    enough = (F.col("expected") >= 5) & (F.col("minutes") >= 450) & (F.col("shots") >= 10)
+    delta = F.col("actual") - F.col("expected")
+    sure = F.least(F.col("confidence"), F.col("expected") / (F.col("expected") + 5), F.col("minutes") / (F.col("minutes") + 450))
+    gap = F.col("volume_pct") - F.col("accuracy_pct")
+    rules = [
+        finding("finishing_underperformance", enough & (delta <= -2), severity(delta, 2, 4), sure), finding("finishing_overperformance", enough & (delta >= 2), severity(delta, 2, 4), sure),
+        finding("high_volume_low_quality_shooting", (F.col("volume_pct") >= 65) & (F.col("accuracy_pct") <= 35), severity(gap, 40, 60), F.col("confidence")),
+        finding("breakout_signal", F.col("watchlist_signal") == "breakout", F.when(F.col("watchlist_score") >= 80, "high").otherwise("medium"), F.col("confidence")),
+        finding("underrated", F.col("rating_signal") == "underrated", severity(F.col("rating_gap"), 12, 25), F.col("confidence")),
+        finding("overrated", F.col("rating_signal") == "overrated", severity(F.col("rating_gap"), 12, 25), F.col("confidence")),
+    ]
+    return players.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("f")).select(*keys, "f.*")
+
+
+# -- validation -------------------------------------------------------------------------
+
+def backtest(pairs: DataFrame, groups: Sequence[str] = (), least: int = 50) -> DataFrame:
+    """n, brier, baseline, skill and ece of (expected, actual); null below `least` rows. Five bins."""
+    e, a = F.col("expected"), F.col("actual")
+    binned = pairs.withColumn("bin", F.least(F.floor(e * 5), F.lit(4))).groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.sum(e).alias("se"), F.sum(a).alias("sa"), F.sum((e - a) * (e - a)).alias("sb"), F.sum((a - 0.5) * (a - 0.5)).alias("s0"))
+    n = F.sum("n")
+    out = binned.groupBy(*groups).agg(n.alias("n"), (F.sum("sb") / n).alias("brier"), (F.sum("s0") / n).alias("baseline"), (F.sum(F.abs(F.col("se") - F.col("sa"))) / n).alias("ece"))
+    fine = F.col("n") >= least
+    return out.select(*groups, "n", *(F.when(fine, F.col(c)).alias(c) for c in ("brier", "baseline", "ece")), F.when(fine, 1 - F.try_divide(F.col("brier"), F.col("baseline"))).alias("skill"))

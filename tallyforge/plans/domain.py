@@ -1,7 +1,313 @@
-"""Queries."""
+"""Entity, team and history queries over the driver's tables.
+
+An entity is a customer, its role the market segment, an appearance an order,
+its exposure the quantity ordered. A match is an order whose two first
+suppliers by line are home and away, with their quantities as score.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import elo, entity_scores, history, percentile, scoring
+from ..operators.derived import derive
+from ..sources.tables import table
 from .registry import query
+from .relational import DOUBLED, doubled, matches
+
+METRICS = ("returned", "open_lines", "discounted", "big", "taxed")
+WEIGHTS = {role: {"returned": -0.25, "open_lines": 0.20, "discounted": 0.25, "big": 0.20, "taxed": 0.10} for role in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
+
+
+def newest(at="at"):
+    return [F.desc(at), F.desc("match_id")]
+
+
+def appearances(spark, sf):
+    """One row an order: entity, role, match_id, at, exposure and counts of its lines."""
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("exposure"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "O").alias("open_lines"),
+        F.count_if(F.col("l_discount") >= 0.05).alias("discounted"), F.count_if(F.col("l_quantity") >= 30).alias("big"), F.count_if(F.col("l_tax") >= 0.04).alias("taxed"))
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    roles = table(spark, sf, "customer", "c_custkey", "c_mktsegment")
+    return orders.join(roles, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("role"), F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("at"), "exposure", *METRICS)
+
+
+APPEARANCES = """a AS (
+  SELECT c_custkey AS entity, c_mktsegment AS role, o_orderkey AS match_id, any_value(o_orderdate) AS kick, sum(l_quantity) AS exposure, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS open_lines,
+         count(*) FILTER (l_discount >= 0.05) AS discounted, count(*) FILTER (l_quantity >= 30) AS big, count(*) FILTER (l_tax >= 0.04) AS taxed
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
+_W = "(VALUES ('last_3', 3), ('last_5', 5), ('last_10', 10), ('season', NULL)) t(window_key, n)"
+_M = ", ".join(METRICS)
+FEATURES = f"""{APPEARANCES},
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY kick DESC, match_id DESC) AS rn FROM a WHERE exposure > 0),
+x AS (SELECT r.*, t.window_key, CASE WHEN n IS NULL THEN 1 ELSE pow(0.5, (rn - 1) / 3.0) END AS w FROM r JOIN {_W} ON n IS NULL OR rn <= n),
+g AS (SELECT entity, role, window_key, sum(exposure) AS exposure, count(*) AS appearances, {", ".join(f"90.0 * sum(w * {m}) / sum(w * exposure) AS {m}" for m in METRICS)} FROM x GROUP BY 1, 2, 3),
+f AS (UNPIVOT g ON {_M} INTO NAME metric VALUE value),
+b AS (SELECT *, round(exposure / (exposure + 450.0) * value + (1 - exposure / (exposure + 450.0)) * (sum(value * exposure) OVER p / sum(exposure) OVER p), 9) AS adjusted FROM f WINDOW p AS (PARTITION BY window_key, role, metric)),
+features AS (
+  SELECT *, 100.0 * (rank() OVER (PARTITION BY window_key, role, metric ORDER BY adjusted) - 1 + 0.5 * count(*) OVER (PARTITION BY window_key, role, metric, adjusted)) / count(*) OVER (PARTITION BY window_key, role, metric) AS percentile,
+         count(*) OVER (PARTITION BY window_key, role, metric) AS reference_size FROM b)"""
+
+
+def features(spark, sf):
+    found = entity_scores.rates(appearances(spark, sf), "entity", "role", METRICS, newest=newest())
+    return entity_scores.adjusted(found, "role")
+
+
+@query("entity_features_v1", f"WITH {FEATURES} SELECT entity, window_key, metric, round(value, 6) AS value, adjusted, round(percentile, 6) AS percentile, reference_size FROM features")
+def entity_features_v1(spark, sf):
+    r = [F.round(c, 6).alias(c) for c in ("value", "percentile")]
+    return features(spark, sf).select("entity", "window_key", "metric", *r, "adjusted", "reference_size")
+
+
+_SCORES = f"""{FEATURES},
+k AS (SELECT * FROM (VALUES ('returned', 0.25, -1), ('open_lines', 0.20, 1), ('discounted', 0.25, 1), ('big', 0.20, 1), ('taxed', 0.10, 1)) t(metric, weight, direction)),
+scores AS (
+  SELECT entity, role, window_key, exposure, appearances, sum(weight * CASE WHEN direction < 0 THEN 100 - percentile ELSE percentile END) / sum(weight) AS overall, 1.0::DOUBLE AS coverage,
+         least(1.0, (1 - exp(-exposure / 450.0)) * (.75 + .25 * least(1.0, max(reference_size) / 20))) AS confidence
+  FROM features JOIN k USING (metric) GROUP BY 1, 2, 3, 4, 5)"""
+
 
+def entity_scores_of(spark, sf):
+    weights = entity_scores.weight_table(spark, WEIGHTS)
+    return entity_scores.scores(features(spark, sf), weights, "entity", "role")
 
-@query("entity_scores_v1")
+
+@query("entity_scores_v1", f"WITH {_SCORES} SELECT entity, role, window_key, round(overall, 6) AS overall, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, exposure, appearances FROM scores")
 def entity_scores_v1(spark, sf):
-    return spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").count()
+    r = [F.round(c, 6).alias(c) for c in ("overall", "coverage", "confidence")]
+    return entity_scores_of(spark, sf).select("entity", "role", "window_key", *r, "exposure", "appearances")
+
+
+@query("entity_ranking", f"""WITH {_SCORES} SELECT entity, round(overall, 6) AS overall FROM scores WHERE window_key = 'season'
+ORDER BY (confidence < 0.40), round(overall, 9) DESC, round(confidence, 9) DESC, exposure DESC, entity LIMIT 20""")
+def entity_ranking(spark, sf):
+    season = entity_scores_of(spark, sf).where("window_key = 'season'").withColumn("score", F.round("overall", 9)).withColumn("confidence", F.round("confidence", 9))
+    return season.orderBy(*scoring.gated_order(), "entity").limit(20).select("entity", F.round("overall", 6).alias("overall"))
+
+
+@query("entity_dimensions", f"""WITH {FEATURES}, d AS (SELECT * FROM (VALUES ('demand', 'big', 1), ('demand', 'discounted', 1), ('service', 'returned', -1), ('service', 'open_lines', 1)) t(dimension, metric, direction))
+SELECT entity, window_key, dimension, round(avg(CASE WHEN direction < 0 THEN 100 - percentile ELSE percentile END), 6) AS score FROM features JOIN d USING (metric) GROUP BY 1, 2, 3""")
+def entity_dimensions(spark, sf):
+    parts = [(r, d, m, s) for r in WEIGHTS for d, m, s in (("demand", "big", 1), ("demand", "discounted", 1), ("service", "returned", -1), ("service", "open_lines", 1))]
+    found = entity_scores.dimensions(features(spark, sf), spark.createDataFrame(parts, "role string, dimension string, metric string, direction int"), "entity", "role")
+    return found.select("entity", "window_key", "dimension", F.round("score", 6).alias("score"))
+
+
+@query("entity_trend", f"""WITH {_SCORES},
+p AS (SELECT entity, {", ".join(f"max(overall) FILTER (window_key = '{w}') AS o_{w}, max(confidence) FILTER (window_key = '{w}') AS c_{w}" for w in ("last_3", "last_5", "last_10", "season"))} FROM scores GROUP BY 1),
+q AS (SELECT entity, 0.6 * least(c_last_3, c_last_10) * (o_last_3 - o_last_10) + 0.4 * least(c_last_5, c_season) * (o_last_5 - o_season) AS top, 0.6 * least(c_last_3, c_last_10) + 0.4 * least(c_last_5, c_season) AS bottom FROM p)
+SELECT entity, round(top / bottom, 5) AS trend, round(bottom, 5) AS trend_confidence,
+  CASE WHEN round(bottom, 9) < 0.30 THEN 'insufficient_evidence' WHEN round(top / bottom, 9) >= 8 THEN 'rising' WHEN round(top / bottom, 9) <= -8 THEN 'falling' ELSE 'steady' END AS trend_signal FROM q""")
+def entity_trend(spark, sf):
+    found = history.trend(entity_scores_of(spark, sf), "entity")
+    return found.select("entity", F.round("trend", 5).alias("trend"), F.round("trend_confidence", 5).alias("trend_confidence"), "trend_signal")
+
+
+def yearly(spark, sf):
+    """A season score by year: the percentile of a customer's spending within segment and year."""
+    orders = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_totalprice").groupBy(F.col("o_custkey").alias("entity"), (2001 - F.year("o_orderdate")).alias("period")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count("*").alias("n"))
+    roles = table(spark, sf, "customer", F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("role"))
+    ranked = percentile.percentile(orders.join(roles, "entity"), ["role", "period"], "v")
+    return ranked.select("entity", "role", "period", F.col("percentile").alias("overall"), F.least(F.lit(1.0), F.col("n") / 3).alias("confidence"))
+
+
+_META = """y AS (SELECT o_custkey AS entity, 2001 - year(o_orderdate) AS period, round(sum(o_totalprice), 2) AS v, count(*) AS n FROM orders GROUP BY 1, 2),
+s AS (SELECT entity, c_mktsegment AS role, period, 100.0 * (rank() OVER (PARTITION BY c_mktsegment, period ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY c_mktsegment, period, v)) / count(*) OVER (PARTITION BY c_mktsegment, period) AS o, least(1.0, n / 3) AS c
+  FROM y JOIN customer ON c_custkey = entity),
+h AS (SELECT *, CASE period WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.36 WHEN 3 THEN 0.216 END::DOUBLE AS ws, CASE period WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.36 END::DOUBLE AS we FROM s WHERE period <= 3),
+m AS (SELECT entity, sum(ws * c * o) / sum(ws * c) AS stable, sum(ws * c) / sum(ws) * least(1.0, 0.7 + 0.1 * count(ws)) AS stable_confidence, sum(we * c * o) / sum(we * c) AS expected,
+  coalesce(sum(we * c) / sum(we) * least(1.0, 0.7 + 0.1 * count(we)), 0) AS expected_confidence, max(o) FILTER (period = 0) AS current, max(c) FILTER (period = 0) AS cc FROM h GROUP BY 1 HAVING count(*) FILTER (period = 0) > 0)"""
+
+
+@query("entity_meta", f"""WITH {_META} SELECT entity, round(stable, 5) AS stable, round(stable_confidence, 5) AS stable_confidence, round(expected, 5) AS expected, round(current - expected, 5) AS surprise,
+  CASE WHEN expected IS NULL OR cc < 0.35 OR expected_confidence < 0.35 THEN 'insufficient_evidence' WHEN round(current - expected, 9) >= 12 THEN 'positive_surprise' WHEN round(current - expected, 9) <= -12 THEN 'negative_surprise' ELSE 'as_expected' END AS surprise_signal FROM m""")
+def entity_meta(spark, sf):
+    found = history.meta_levels(yearly(spark, sf), "entity")
+    return found.select("entity", *(F.round(c, 5).alias(c) for c in ("stable", "stable_confidence", "expected", "surprise")), "surprise_signal")
+
+
+@query("entity_watchlist", f"""WITH {_META} SELECT entity, round(0.45 * stable + 0.35 * least(100, 4 * coalesce(greatest(0, current - expected), 0)), 5) AS watchlist FROM m ORDER BY watchlist DESC, entity LIMIT 30""")
+def entity_watchlist(spark, sf):
+    found = history.meta_levels(yearly(spark, sf), "entity")
+    return found.select("entity", F.round(history.watchlist_score(F.col("stable"), F.col("surprise"), F.lit(None).cast("double")), 5).alias("watchlist")).orderBy(F.desc("watchlist"), "entity").limit(30)
+
+
+# -- teams ---------------------------------------------------------------------------
+
+_TEAM = f"""{DOUBLED},
+tr AS (SELECT *, goals_for - goals_against AS goal_difference, CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END AS points, row_number() OVER (PARTITION BY season, team ORDER BY kickoff DESC, match_id DESC) AS rn FROM team_rows),
+tx AS (SELECT tr.*, window_key, CASE WHEN n IS NULL THEN 1 ELSE pow(0.5, (rn - 1) / 3.0) END AS w FROM tr JOIN {_W} ON n IS NULL OR rn <= n),
+tm AS (SELECT season, team, window_key, count(*) AS matches, sum(w * points) / sum(w) AS points, sum(w * goal_difference) / sum(w) AS goal_difference, sum(w * goals_for) / sum(w) AS goals_for, sum(w * goals_against) / sum(w) AS goals_against FROM tx GROUP BY 1, 2, 3)"""
+
+
+def team_windows(spark, sf):
+    rows = doubled(matches(spark, sf)).withColumn("goal_difference", F.col("goals_for") - F.col("goals_against")).withColumn("points", entity_scores.points(F.col("goals_for"), F.col("goals_against")))
+    return entity_scores.window_means(rows, ["season", "team"], ["points", "goal_difference", "goals_for", "goals_against"], newest("kickoff"))
+
+
+@query("team_windows", f"WITH {_TEAM} SELECT season, team, window_key, matches, round(points, 6) AS points, round(goal_difference, 6) AS goal_difference, round(goals_for, 6) AS goals_for, round(goals_against, 6) AS goals_against FROM tm")
+def team_windows_query(spark, sf):
+    return team_windows(spark, sf).select("season", "team", "window_key", "matches", *(F.round(c, 6).alias(c) for c in ("points", "goal_difference", "goals_for", "goals_against")))
+
+
+_TEAM_SCORES = f"""{_TEAM},
+tf AS (UNPIVOT (SELECT season, team, window_key, matches, round(points, 9) AS points, round(goal_difference, 9) AS goal_difference, round(goals_for, 9) AS goals_for, round(goals_against, 9) AS goals_against FROM tm) ON points, goal_difference, goals_for, goals_against INTO NAME metric VALUE value),
+tp AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY season, window_key, metric ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY season, window_key, metric, value)) / count(*) OVER (PARTITION BY season, window_key, metric) AS p, count(*) OVER (PARTITION BY season, window_key, metric) AS n FROM tf),
+ts AS (SELECT season, team, window_key, any_value(matches) AS matches, 0.6 * max(p) FILTER (metric = 'points') + 0.4 * max(p) FILTER (metric = 'goal_difference') AS results,
+  0.7 * max(p) FILTER (metric = 'goals_for') + 0.3 * (100 - max(p) FILTER (metric = 'goals_against')) AS process, 100 - max(p) FILTER (metric = 'goals_against') AS defense, max(n) AS n FROM tp GROUP BY 1, 2, 3)"""
+
+
+def team_scores(spark, sf):
+    rows = team_windows(spark, sf).unpivot(["season", "team", "window_key", "matches"], ["points", "goal_difference", "goals_for", "goals_against"], "metric", "value").withColumn("value", F.round("value", 9))
+    ranked = percentile.percentile(rows, ["season", "window_key", "metric"], "value")
+    weights = {"results": (("points", 0.6, 1, True), ("goal_difference", 0.4, 1, True)), "process": (("goals_for", 0.7, 1, True), ("goals_against", 0.3, -1, True)), "defense": (("goals_against", 1.0, -1, True),)}
+    parts = ranked.join(F.broadcast(scoring.profile_table(spark, weights)), "metric")  # five rows
+    scored = scoring.renormalized(parts, ["season", "team", "window_key", "matches", "reference_size", "dimension"])
+    return scored.groupBy("season", "team", "window_key", "matches", F.col("reference_size").alias("n")).agg(*(F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in weights))
+
+
+@query("team_scores", f"""WITH {_TEAM_SCORES} SELECT season, team, window_key, round(results, 5) AS results, round(process, 5) AS process, round((1 - exp(-matches / 5.0)) * (.75 + .25 * least(1.0, n / 12)), 5) AS confidence,
+  CASE WHEN round(results - process, 9) >= 12 THEN 'results_above_process' WHEN round(results - process, 9) <= -12 THEN 'results_below_process' ELSE 'aligned' END AS signal FROM ts""")
+def team_scores_query(spark, sf):
+    found = team_scores(spark, sf)
+    return found.select("season", "team", "window_key", F.round("results", 5).alias("results"), F.round("process", 5).alias("process"), F.round(entity_scores.team_confidence(F.col("matches"), F.lit(1.0), F.col("n")), 5).alias("confidence"),
+                        entity_scores.process_signal(F.round(F.col("results") - F.col("process"), 9)).alias("signal"))
+
+
+@query("team_findings", f"""WITH {_TEAM_SCORES}, d AS (SELECT *, round(results - process, 9) AS delta, round(defense, 9) AS def FROM ts WHERE window_key = 'last_5')
+SELECT season, team, 'results_above_process' AS code, CASE WHEN delta >= 25 THEN 'high' ELSE 'medium' END AS severity FROM d WHERE delta >= 12
+UNION ALL SELECT season, team, 'results_below_process', CASE WHEN delta <= -25 THEN 'high' ELSE 'medium' END FROM d WHERE delta <= -12
+UNION ALL SELECT season, team, 'defensive_process_weak', CASE WHEN def <= 15 THEN 'high' ELSE 'medium' END FROM d WHERE def <= 35
+UNION ALL SELECT season, team, 'defensive_process_strong', CASE WHEN def >= 85 THEN 'high' ELSE 'medium' END FROM d WHERE def >= 65""")
+def team_findings(spark, sf):
+    none = F.lit(None).cast("double")
+    rows = team_scores(spark, sf).where("window_key = 'last_5'").select("season", "team", F.round(F.col("results") - F.col("process"), 9).alias("results_process_delta"), F.lit(0.9).alias("confidence"), F.round("defense", 9).alias("defense"),
+        *(none.alias(c) for c in ("chance_creation", "finishing", "possession", "creation", "volume_allowed", "quality_allowed")))
+    return history.team_findings(rows, ["season", "team"]).drop("confidence")
+
+
+@query("finishing_shrinkage", f"""WITH {DOUBLED},
+q AS (SELECT l_orderkey AS match_id, l_suppkey AS team, count(*) AS attempts FROM lineitem GROUP BY 1, 2),
+tr AS (SELECT t.*, q.attempts, row_number() OVER (PARTITION BY team ORDER BY kickoff DESC, match_id DESC) AS rn FROM team_rows t JOIN q USING (match_id, team)),
+tx AS (SELECT tr.*, window_key, CASE WHEN n IS NULL THEN 1 ELSE pow(0.5, (rn - 1) / 3.0) END AS w FROM tr JOIN {_W} ON n IS NULL OR rn <= n),
+fs AS (SELECT team, window_key, sum(w * goals_for) AS top, sum(w * attempts) AS bottom FROM tx GROUP BY 1, 2)
+SELECT team, window_key, round(top / bottom, 6) AS ratio, round((top + 20.0 * (sum(top) OVER p / sum(bottom) OVER p)) / (bottom + 20.0), 6) AS adjusted FROM fs WINDOW p AS (PARTITION BY window_key)""")
+def finishing_shrinkage(spark, sf):
+    attempts = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey").groupBy(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("team")).agg(F.count("*").alias("attempts"))
+    rows = doubled(matches(spark, sf)).join(attempts, ["match_id", "team"])
+    found = entity_scores.finishing(rows, ["team"], newest("kickoff"), "goals_for", "attempts", entity_scores.SHOT_PRIOR)
+    return found.select("team", "window_key", F.round("ratio", 6).alias("ratio"), F.round("adjusted", 6).alias("adjusted"))
+
+
+@query("elo_history")
+def elo_history(spark, sf):
+    """Ratings by season; tests fold the same matches one by one."""
+    return elo.elo_history(matches(spark, sf), ["season"]).select("season", "match_id", "is_home", "team", "opponent", "expected", "actual", "pre", "post")
+
+
+@query("elo_summary")
+def elo_summary(spark, sf):
+    return elo.elo_summary(elo.elo_history(matches(spark, sf), ["season"]), ["season"])
+
+
+@query("elo_backtest")
+def elo_backtest(spark, sf):
+    rows = elo.elo_history(matches(spark, sf), ["season"]).where("is_home")
+    return history.backtest(rows, ["season"]).select("season", "n", *(F.round(c, 6).alias(c) for c in ("brier", "baseline", "ece", "skill")))
+
+
+@query("calibration_backtest", """
+WITH p AS (SELECT least(value / 100.0, 1.0) AS e, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS a FROM events),
+b AS (SELECT least(floor(e * 5), 4) AS bin, count(*) AS n, sum(e) AS se, sum(a) AS sa, sum((e - a) * (e - a)) AS sb FROM p GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, round(sum(sb) / sum(n), 6) AS brier, 0.25::DOUBLE AS baseline, round(sum(abs(se - sa)) / sum(n), 6) AS ece, round(1 - sum(sb) / sum(n) / 0.25, 6) AS skill FROM b""")
+def calibration_backtest(spark, sf):
+    pairs = table(spark, sf, "events").select(F.least(F.col("value") / 100, F.lit(1.0)).alias("expected"), F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("actual"))
+    return history.backtest(pairs).select("n", *(F.round(c, 6).alias(c) for c in ("brier", "baseline", "ece", "skill")))
+
+
+@query("stability_spearman", f"""WITH {_SCORES},
+sp AS (SELECT entity, role, max(round(overall, 9)) FILTER (window_key = 'season') AS a, max(round(overall, 9)) FILTER (window_key = 'last_10') AS b FROM scores GROUP BY 1, 2),
+rk AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY a) + (count(*) OVER (PARTITION BY role, a) - 1) / 2.0 AS x, rank() OVER (PARTITION BY role ORDER BY b) + (count(*) OVER (PARTITION BY role, b) - 1) / 2.0 AS y FROM sp)
+SELECT role, count(*) AS n, round(corr(x, y), 6) AS spearman FROM rk GROUP BY 1 HAVING count(*) >= 20""")
+def stability_spearman(spark, sf):
+    rows = entity_scores_of(spark, sf).groupBy("entity", "role").agg(*(F.max(F.when(F.col("window_key") == w, F.round("overall", 9))).alias(c) for w, c in (("season", "a"), ("last_10", "b"))))
+    ranked = percentile.average_rank(percentile.average_rank(rows, ["role"], "a", "x"), ["role"], "b", "y")
+    return ranked.groupBy("role").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("spearman")).where("n >= 20")
+
+
+@query("derived_metrics", """
+WITH a AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS goals, count(*) FILTER (event_type = 'signup') AS assists, count(*) FILTER (event_type = 'click') AS shots_total, count(*) FILTER (event_type = 'view') AS shots_on_target FROM events GROUP BY 1)
+SELECT user_id, metric, round(value, 6) AS value FROM (
+  SELECT user_id, 'goal_contributions' AS metric, (goals + assists)::DOUBLE AS value FROM a
+  UNION ALL SELECT user_id, 'shots_on_target_pct', 100.0 * shots_on_target / shots_total FROM a WHERE shots_total > 0
+  UNION ALL SELECT user_id, 'goals_per_shot', 1.0 * goals / shots_total FROM a WHERE shots_total > 0
+  UNION ALL SELECT user_id, 'goals_per_shot_on_target', 1.0 * goals / shots_on_target FROM a WHERE shots_on_target > 0)""")
+def derived_metrics(spark, sf):
+    kinds = {"purchase": "goals", "signup": "assists", "click": "shots_total", "view": "shots_on_target"}
+    wide = table(spark, sf, "events", "user_id", "event_type").groupBy("user_id").agg(*(F.count_if(F.col("event_type") == k).cast("double").alias(v) for k, v in kinds.items()))
+    rows = wide.unpivot("user_id", list(kinds.values()), "metric", "value").withColumn("observed", F.lit(1)).withColumn("rows", F.lit(1))
+    return derive(rows, ["user_id"]).where("derived").select("user_id", "metric", F.round("value", 6).alias("value"))
+
+
+@query("evidence_scores", f"""WITH {FEATURES},
+ep AS (SELECT * FROM (VALUES ('complete', 'big', 0.6::DOUBLE, 1, true), ('complete', 'returned', 0.4::DOUBLE, -1, false), ('partly', 'taxed', 0.7::DOUBLE, 1, true), ('partly', 'unknown', 0.3::DOUBLE, 1, false), ('no_core', 'big', 0.8::DOUBLE, 1, false), ('no_core', 'unknown', 0.2::DOUBLE, 1, true)) t(dimension, metric, weight, direction, core)),
+ee AS (SELECT DISTINCT entity FROM features WHERE window_key = 'last_5'),
+ej AS (SELECT ee.entity, ep.*, f.percentile AS pc FROM ee CROSS JOIN ep LEFT JOIN features f ON f.entity = ee.entity AND f.metric = ep.metric AND f.window_key = 'last_5'),
+eg AS (SELECT entity, dimension, sum(weight * CASE WHEN direction < 0 THEN 100 - pc ELSE pc END) / sum(weight) AS score, round(coalesce(sum(weight) FILTER (pc IS NOT NULL), 0) / sum(weight), 6) AS coverage, count(pc) AS n, count(*) AS wanted, count(*) FILTER (pc IS NULL AND core) AS no_core FROM ej GROUP BY 1, 2)
+SELECT entity, dimension, CASE WHEN n = wanted THEN round(score, 6) END AS score, coverage, CASE WHEN n = 0 OR no_core > 0 OR coverage < 0.6 THEN 'insufficient_evidence' WHEN n < wanted THEN 'partial' ELSE 'ready' END AS state FROM eg""")
+def evidence_scores(spark, sf):
+    profiles = scoring.profile_table(spark, {"complete": (("big", 0.6, 1, True), ("returned", 0.4, -1, False)), "partly": (("taxed", 0.7, 1, True), ("unknown", 0.3, 1, False)), "no_core": (("big", 0.8, 1, False), ("unknown", 0.2, 1, True))})
+    found = scoring.evidence(features(spark, sf).where("window_key = 'last_5'"), profiles, ["entity"])
+    return found.select("entity", "dimension", F.round("score", 6).alias("score"), "coverage", "state")
+
+
+@query("residual_class", """
+SELECT o_custkey AS entity, CASE WHEN max(o_totalprice) FILTER (o_orderstatus = 'P') IS NULL THEN 'insufficient_data' WHEN round(avg(o_totalprice) / 1000 - max(o_totalprice) FILTER (o_orderstatus = 'P') / 1000, 6) >= 2 THEN 'above_process' WHEN round(avg(o_totalprice) / 1000 - max(o_totalprice) FILTER (o_orderstatus = 'P') / 1000, 6) <= -2 THEN 'below_process' ELSE 'in_line' END AS class FROM orders GROUP BY 1""")
+def residual_class(spark, sf):
+    each = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.avg("o_totalprice").alias("actual"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("expected"))
+    return each.select("entity", entity_scores.residual_class(F.round(F.col("actual") / 1000 - F.col("expected") / 1000, 6)).alias("class"))
+
+
+@query("radar_scores", """
+WITH c AS (SELECT user_id, count(*) * 40 AS minutes, count(*) AS appearances, count(*) FILTER (event_type = 'purchase') AS goals, count(*) FILTER (event_type = 'signup') AS assists, count(*) FILTER (event_type = 'click') AS shots_on_target FROM events GROUP BY 1),
+m AS (SELECT user_id, minutes, appearances, round(90.0 * goals / minutes, 4) AS goals_per90, round(90.0 * assists / minutes, 4) AS assists_per90, round(90.0 * shots_on_target / minutes, 4) AS shots_on_target_per90 FROM c),
+u AS (UNPIVOT m ON goals_per90, assists_per90, shots_on_target_per90 INTO NAME metric VALUE value),
+p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY metric) <= 1 THEN 50 ELSE 100.0 * (rank() OVER (PARTITION BY metric ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY metric, value)) / count(*) OVER (PARTITION BY metric) END AS pc, CASE metric WHEN 'goals_per90' THEN 0.35 ELSE 0.20 END::DOUBLE AS w FROM u)
+SELECT user_id, round(sum(w * pc) / sum(w), 2) AS radar_score, round(0.5 * least(1.0, any_value(minutes) / 1200) + 0.3 * least(1.0, any_value(appearances) / 15) + 0.1, 6) AS confidence FROM p GROUP BY 1""")
+def radar_scores(spark, sf):
+    kind = F.col("event_type")
+    c = table(spark, sf, "events").groupBy("user_id").agg((F.count("*") * 40).alias("minutes"), F.count("*").alias("appearances"), F.count_if(kind == "purchase").alias("goals"), F.count_if(kind == "signup").alias("assists"), F.count_if(kind == "click").alias("shots_on_target"))
+    found = history.radar(c.withColumn("position", F.lit("forward")).withColumn("source_lists", F.array(F.lit("topscorers"))), "user_id", ["goals", "assists", "shots_on_target"])
+    return found.select("user_id", "radar_score", F.round("confidence", 6).alias("confidence"))
+
+
+@query("perception", """
+WITH d AS (SELECT lang AS entity, source, CASE WHEN n_chars % 3 = 0 THEN 1.0 WHEN n_chars % 3 = 1 THEN -0.5 ELSE 0.0 END::DOUBLE AS score, CASE WHEN n_chars % 3 = 2 THEN 0.0 ELSE 0.65 END::DOUBLE AS confidence, (doc_id % 180) AS age FROM documents),
+w AS (SELECT *, pow(0.5, age / 45.0) AS recency FROM d),
+s AS (SELECT entity, source, sum(recency * confidence) AS w, sum(recency * confidence * score) AS wx, sum(recency * confidence * score * score) AS wxx, count(*) AS n, count(*) FILTER (confidence > 0) AS scored, sum(recency) AS rec FROM w GROUP BY 1, 2),
+g AS (SELECT entity, avg(wx / w) FILTER (w > 0) AS mean, avg(wxx / w) FILTER (w > 0) AS sq, count(*) FILTER (w > 0) AS sources, sum(scored) AS scored, sum(n) AS n, sum(rec) / sum(n) AS rec FROM s GROUP BY 1)
+SELECT entity, round(50 + 50 * mean, 5) AS score, round(100 * least(1.0, sqrt(greatest(0.0, sq - mean * mean))), 5) AS polarization, sources, round(0.35 * least(1.0, n / 8) + 0.30 * least(1.0, sources / 3) + 0.20 * scored / n + 0.15 * rec, 5) AS confidence FROM g""")
+def perception(spark, sf):
+    rest = F.col("n_chars") % 3
+    rows = table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars").select(F.col("lang").alias("entity"), "source", F.when(rest == 0, 1.0).when(rest == 1, -0.5).otherwise(0.0).alias("score"), F.when(rest == 2, 0.0).otherwise(0.65).alias("confidence"), (F.col("doc_id") % 180).alias("age_days"))
+    return history.perception(rows, "entity").select("entity", F.round("score", 5).alias("score"), F.round("polarization", 5).alias("polarization"), "sources", F.round("confidence", 5).alias("confidence"))
+
+
+@query("formation_profile", """
+WITH f AS (SELECT o_custkey AS team, o_orderkey, o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN '4-3-3' WHEN '2-HIGH' THEN '4-4-2' WHEN '3-MEDIUM' THEN '3-5-2' WHEN '4-NOT SPECIFIED' THEN '4-4-3' END AS formation FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM f),
+e AS (SELECT team, formation, count(*) AS n, min(rn) AS seen FROM r WHERE formation IN ('4-3-3', '4-4-2', '3-5-2') GROUP BY 1, 2),
+b AS (SELECT *, sum(n) OVER (PARTITION BY team) AS valid, count(*) OVER (PARTITION BY team) AS kinds FROM e QUALIFY row_number() OVER (PARTITION BY team ORDER BY n DESC, seen, formation) = 1),
+a AS (SELECT team, count(*) AS played FROM f GROUP BY 1)
+SELECT a.team, formation AS primary, round(n / valid, 6) AS share, round(coalesce(valid, 0) / played, 6) AS coverage,
+  CASE WHEN coalesce(valid, 0) < 3 OR coalesce(valid, 0) / played < 0.30 THEN 'limited' WHEN n / valid >= 0.65 THEN 'stable' WHEN n / valid <= 0.50 AND kinds >= 2 THEN 'variable' ELSE 'mixed' END AS label FROM a LEFT JOIN b USING (team)""")
+def formation_profile(spark, sf):
+    names = {"1-URGENT": "4-3-3", "2-HIGH": "4-4-2", "3-MEDIUM": "3-5-2", "4-NOT SPECIFIED": "4-4-3"}
+    name = F.lit(None).cast("string")
+    for k, v in names.items():
+        name = F.when(F.col("o_orderpriority") == k, v).otherwise(name)
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("team"), "o_orderkey", "o_orderdate", name.alias("formation"))
+    found = history.formation_profile(rows, "team", "formation", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return found.select("team", "primary", F.round("share", 6).alias("share"), F.round("coverage", 6).alias("coverage"), "label")

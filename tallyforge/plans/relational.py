@@ -173,12 +173,12 @@ def j_two_roles(spark, sf):
 @query("j_self_across_windows", """
 WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders),
 f AS (SELECT o_custkey, avg(o_totalprice) AS v FROM r WHERE rn <= 5 GROUP BY 1), s AS (SELECT o_custkey, avg(o_totalprice) AS v FROM r GROUP BY 1)
-SELECT s.o_custkey, round(f.v - s.v, 2) AS form_change FROM s LEFT JOIN f USING (o_custkey)""")
+SELECT s.o_custkey, round(f.v - s.v, 6) AS form_change FROM s LEFT JOIN f USING (o_custkey)""")
 def j_self_across_windows(spark, sf):
     w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     ranked = table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice").withColumn("rn", F.row_number().over(w))
     # both windows of a customer in one aggregation: the self-join's rows without the join
-    return ranked.groupBy("o_custkey").agg(F.round(F.avg(F.when(F.col("rn") <= 5, F.col("o_totalprice"))) - F.avg("o_totalprice"), 2).alias("form_change"))
+    return ranked.groupBy("o_custkey").agg(F.round(F.avg(F.when(F.col("rn") <= 5, F.col("o_totalprice"))) - F.avg("o_totalprice"), 6).alias("form_change"))
 
 
 @query("j_latest_per_key", """
