@@ -1 +1,118 @@
-"""Queries."""
+"""Queries of facts from several sources. A source is an event type, a fact a user's day, its value the k of props."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mesh
+from ..sources.tables import table
+from .registry import query
+
+
+def observations(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int") % 4
+    return table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props").select(F.concat_ws(":", F.lit("u"), "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("fact_key"), F.lit("goals").alias("metric"), F.lit("player_match").alias("granularity"), F.col("event_type").alias("source"), k.cast("string").alias("value"), F.struct("ts", "event_id").alias("observed_at"))
+
+
+_LATEST = """o AS (SELECT 'u:' || user_id || ':' || strftime(ts, '%Y-%m-%d') AS fact_key, event_type AS source, arg_max(CAST(json_extract_string(props, '$.k') AS INTEGER) % 4, (ts, event_id)) AS value FROM events GROUP BY 1, 2),
+g AS (SELECT fact_key, count(*) AS sources, count(DISTINCT value) AS v, min(value)::VARCHAR AS value FROM o GROUP BY 1)"""
+
+
+@query("mesh_reconcile", f"""WITH {_LATEST}
+SELECT fact_key, CASE WHEN sources = 1 THEN 'single_source' WHEN v = 1 THEN 'agreed' ELSE 'conflict' END AS status, CASE WHEN sources = 1 THEN 0.35 WHEN v = 1 THEN round(least(0.95, 0.60 + 0.10 * (sources - 1)), 6) ELSE 0.20 END::DOUBLE AS confidence, sources, CASE WHEN v = 1 THEN value END AS value FROM g""")
+def mesh_reconcile(spark, sf):
+    return mesh.reconcile(observations(spark, sf)).drop("metric", "granularity")
+
+
+@query("mesh_reconcile_by_policy", f"""WITH {_LATEST}, p AS (SELECT fact_key, list_sort(list(DISTINCT source)) AS pair FROM o GROUP BY 1)
+SELECT fact_key, CASE WHEN sources = 1 THEN 'single_source' WHEN sources > 2 OR pair <> ['click', 'view'] THEN 'methodology_pending' WHEN v = 1 THEN 'agreed' ELSE 'conflict' END AS status, sources FROM g JOIN p USING (fact_key)""")
+def mesh_reconcile_by_policy(spark, sf):
+    return mesh.reconcile_by_policy(observations(spark, sf), mesh.policies(spark, "click", "view")).select("fact_key", "status", "sources")
+
+
+@query("mesh_date_clusters")
+def mesh_date_clusters(spark, sf):
+    """Days of each user's events; tests fold the same days one by one."""
+    rows = table(spark, sf, "events", "event_id", "user_id", "ts").select("event_id", "user_id", F.col("ts").cast("date").alias("day"))
+    return mesh.date_clusters(rows, ["user_id"], "day").select("event_id", "cluster")
+
+
+@query("mesh_fact_keys", """SELECT event_id, CASE event_type WHEN 'click' THEN 'player-match:m' || user_id || ':p' || user_id WHEN 'view' THEN 'team-match:m' || user_id || ':t' || user_id WHEN 'purchase' THEN 'player-season:C:2024-2025:p' || user_id END AS fact_key FROM events""")
+def mesh_fact_keys(spark, sf):
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    grain = F.when(kind == "click", "player_match").when(kind == "view", "team_match").when(kind == "purchase", "player_season").otherwise("player_appearance")
+    match = F.when(kind.isin("click", "view"), F.concat(F.lit("m"), user)).otherwise(" ")
+    return table(spark, sf, "events", "event_id", "event_type", "user_id").select("event_id", mesh.fact_key(grain, F.lit("C"), F.lit("2024-2025"), match, F.concat(F.lit("t"), user), F.concat(F.lit("p"), user)).alias("fact_key"))
+
+
+@query("mesh_overlap", """SELECT coalesce(a.nation, b.nation) AS nation, CASE WHEN a.nation IS NULL THEN 'second_only' WHEN b.nation IS NULL THEN 'first_only' ELSE 'shared' END AS "where"
+FROM (SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000) a FULL JOIN (SELECT DISTINCT s_nationkey AS nation FROM supplier) b ON a.nation = b.nation""")
+def mesh_overlap(spark, sf):
+    a, b = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return mesh.overlap(a, b, ["nation"])
+
+
+@query("mesh_contradictions", "SELECT user_id, event_type, count(DISTINCT value) AS values FROM events GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+def mesh_contradictions(spark, sf):
+    return mesh.contradictions(table(spark, sf, "events", "user_id", "event_type", "value"), ["user_id", "event_type"])
+
+
+@query("mesh_coverage_by_source", "SELECT event_type AS source, 'k' AS metric, count(*) AS n, count(DISTINCT user_id) AS entities FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def mesh_coverage_by_source(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf, "events", "event_type", "user_id", "props").where(k.isNotNull()).groupBy(F.col("event_type").alias("source")).agg(F.lit("k").alias("metric"), F.count("*").alias("n"), F.countDistinct("user_id").alias("entities"))
+
+
+@query("mesh_mentions")
+def mesh_mentions(spark, sf):
+    """Benchmark passages' first four words as names in documents; tests compare with every name against every text."""
+    names = table(spark, sf, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("name"))
+    return mesh.mentions(table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "text_id"), names)
+
+
+_GRID = """g AS (SELECT n_nationkey AS nation, seg AS metric FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer)),
+h AS (SELECT c_nationkey AS nation, c_mktsegment AS metric, count(*) AS sample, count(*) FILTER (c_acctbal > 0) AS observed, count(*) FILTER (c_acctbal > 9000) AS fresh FROM customer GROUP BY 1, 2),
+e AS (SELECT g.*, CASE WHEN nation % 5 = 4 AND metric = 'BUILDING' THEN 'unsupported' WHEN nation % 7 = 6 THEN 'token_required' WHEN sample IS NULL THEN 'not_probed' WHEN observed = 0 THEN 'missing' WHEN fresh = 0 THEN 'previous_season' WHEN observed < sample THEN 'partial' ELSE 'current_available' END AS state FROM g LEFT JOIN h USING (nation, metric))"""
+
+
+def coverage(spark, sf):
+    c = table(spark, sf, "customer", "c_nationkey", "c_mktsegment", "c_acctbal")
+    grid = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation")).crossJoin(c.select(F.col("c_mktsegment").alias("metric")).distinct())  # two dimensions' values
+    probes = c.groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("metric")).agg(F.count("*").alias("sample"), F.count_if(F.col("c_acctbal") > 0).alias("observed"), F.count_if(F.col("c_acctbal") > 9000).alias("fresh"))
+    joined = grid.join(probes, ["nation", "metric"], "left")
+    state = mesh.coverage_state(~((F.col("nation") % 5 == 4) & (F.col("metric") == "BUILDING")), F.col("nation") % 7 == 6, F.when(F.col("sample").isNotNull(), "ok"), F.col("sample"), F.col("observed"), F.col("fresh") > 0)
+    return joined.select("nation", "metric", state.alias("state"))
+
+
+@query("coverage_states", f"WITH {_GRID} SELECT nation, metric, state FROM e")
+def coverage_states(spark, sf):
+    return coverage(spark, sf)
+
+
+@query("coverage_product", f"WITH {_GRID} SELECT nation, count(*) FILTER (state = 'current_available') AS satisfied, count(*) AS required FROM e GROUP BY 1")
+def coverage_product(spark, sf):
+    entries = coverage(spark, sf)
+    return mesh.product_coverage(entries, entries.select("nation", "metric"), ["nation"])
+
+
+@query("coverage_matrix", f"""WITH {_GRID} SELECT metric, {", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("unsupported", "token_required", "not_probed", "missing", "previous_season", "partial", "current_available"))} FROM e GROUP BY 1""")
+def coverage_matrix(spark, sf):
+    states = ("unsupported", "token_required", "not_probed", "missing", "previous_season", "partial", "current_available")
+    return coverage(spark, sf).groupBy("metric").agg(*(F.count_if(F.col("state") == s).alias(s) for s in states))
+
+
+@query("event_counters", """
+SELECT user_id, count(*) AS touches, count(*) FILTER (event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50) AS accurate, count(*) FILTER (event_type = 'click') AS passes, round(sum(value) FILTER (event_type = 'purchase'), 4) AS xg FROM events GROUP BY 1""")
+def event_counters(spark, sf):
+    """All counters of nested events in one pass; users without a kind of event have 0, and no sum where there is nothing to add."""
+    k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("touches"), F.count_if((kind == "click") & (k >= 50)).alias("accurate"), F.count_if(kind == "click").alias("passes"), F.round(F.sum(F.when(kind == "purchase", F.col("value"))), 4).alias("xg"))
+
+
+@query("event_zero_fill", """
+SELECT c_custkey AS user_id, coalesce(n, 0) AS clicks FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) ON user_id = c_custkey WHERE c_custkey IN (SELECT user_id FROM events)""")
+def event_zero_fill(spark, sf):
+    """Zeros for those who took part; nothing for those who didn't."""
+    e = table(spark, sf, "events", "user_id", "event_type")
+    counts = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).join(counts, "user_id")
