@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import math
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,18 @@ _EDGES = b".,;:!?\"')]}"
 _models: dict = {}
 
 
+def key_of(word: bytes) -> int:
+    """56 bits of the word's hash and 8 of its class, which is of its last three bytes."""
+    return xxhash.xxh3_64_intdigest(word) & ~0xFF | xxhash.xxh3_64_intdigest((word.rstrip(_EDGES) or word)[-3:]) % CLASSES
+
+
 class _Keys(dict):
-    """word -> 56 bits of its hash and 8 of its class, kept in a bounded cache."""
+    """word -> its key, kept in a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
-        ending = xxhash.xxh3_64_intdigest((word.rstrip(_EDGES) or word)[-3:]) % CLASSES
-        self[word] = key = xxhash.xxh3_64_intdigest(word) & ~0xFF | ending
+        self[word] = key = key_of(word)
         return key
 
 
@@ -161,23 +166,24 @@ class Vocabulary:
         self.seen = np.concatenate([counts, tokens, [ends]]).astype(float)
         self.weight = np.concatenate([counts, self.mass, [max(1, ends)]]).astype(float)
         self.size = len(keys) + CLASSES + 1
-        self._cache: dict[bytes, int] = {}
+        #: What symbols are stored as.
+        self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<i4")
+        self._met: dict[bytes, int] = {}  # frequent words met so far: no more than there are symbols
         self._number = dict(zip(keys.tolist(), range(len(keys)), strict=True))
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
         """The text's symbols with its end."""
-        cache, out = self._cache, np.empty(len(words) + 1, np.int32)
-        for i, word in enumerate(words):
-            found = cache.get(word)
+        met, number, classes = self._met, self._number, len(self.keys)
+        out = np.fromiter(map(met.get, words, repeat(-1)), np.int32, len(words))
+        for i in np.nonzero(out < 0)[0].tolist():
+            key = key_of(words[i])
+            found = number.get(key)
             if found is None:
-                key = _keys[word]
-                found = self._number.get(key, len(self.keys) + (key & 0xFF))
-                if len(cache) >= 400_000:
-                    cache.clear()
-                cache[word] = found
+                found = classes + (key & 0xFF)
+            else:
+                met[words[i]] = found
             out[i] = found
-        out[-1] = self.size - 1
-        return out
+        return np.append(out, self.size - 1).astype(self.kind)
 
 
 def first_guess(vocabulary: Vocabulary, states: int) -> dict[str, np.ndarray]:
@@ -313,9 +319,25 @@ def _load(shared) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     return _models["read"]
 
 
-def _texts(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in slices(batches, size=size):
-        yield part, [vocabulary.symbols(words_of(t)) for t in part.column("text").to_pylist()]
+_CODED = "doc_id long, print binary, train boolean, symbols binary"
+
+
+def _code(shared):
+    """Texts as symbols, which every later pass reads in their place."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, _ = _load(shared)
+        for part in slices(batches):
+            texts = part.column("text").to_pylist()
+            prints = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "print": pa.array(prints, pa.binary()), "train": part.column("train"), "symbols": pa.array([vocabulary.symbols(words_of(t)).tobytes() for t in texts], pa.binary())})
+
+    return run
+
+
+def _texts(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for part in slices(batches, text="symbols", size=size):
+        yield part, [np.frombuffer(x, vocabulary.kind) for x in part.column("symbols").to_pylist()]
 
 
 def _guess(shared, rounds: int):
@@ -369,8 +391,7 @@ def _score(shared):
         assert len(per) == m + CLASSES + 1
         for part, texts in _texts(batches, vocabulary):
             scores = log_likelihoods(texts, model) + np.array([per[t].sum() for t in texts])
-            prints = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "print": pa.array(prints, pa.binary()), "symbols_score": pa.array(scores, pa.float64())})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "print": part.column("print"), "symbols_score": pa.array(scores, pa.float64())})
 
     return run
 
@@ -416,8 +437,9 @@ def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384
     def shared():
         return spark.sparkContext.broadcast(_pack_arrays(known | model))
 
+    coded = written(docs.select("doc_id", "text", "train").mapInArrow(_code(shared()), _CODED), "coded")
     if ends:
-        taught = docs.where("train").select("text", "doc_id")
+        taught = coded.where("train").select("symbols", "doc_id")
         drawn = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) < max(1, int(min(1, guess_docs / ends) * 1_000_000))
         rows = taught.where(drawn).repartition(1).sortWithinPartitions("doc_id").mapInArrow(_guess(shared(), 10), "model binary").collect()
         with np.load(io.BytesIO(rows[0].model)) as read:
@@ -431,7 +453,7 @@ def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384
             cut = np.cumsum([model["emit"].size, model["move"].size])
             model = improved({c: v.reshape(model[c].shape) for c, v in zip(("emit", "move", "start"), np.split(flat, cut), strict=True)}, vocabulary)
     n, v = int(mass.sum()) + ends, int(types.sum()) + (ends > 0)
-    scored = docs.select("doc_id", "text").mapInArrow(_score(shared()), "doc_id long, print binary, symbols_score double").dropDuplicates(["doc_id", "print"])
+    scored = coded.select("doc_id", "print", "symbols").mapInArrow(_score(shared()), "doc_id long, print binary, symbols_score double").dropDuplicates(["doc_id", "print"])
     scored = scored.select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "symbols_score")
     tokens, end = F.col("words") + 1, F.lit(math.log10(ends + 1))
     return sums.join(scored, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p"))).select(
