@@ -133,10 +133,10 @@ def allowed(rows: DataFrame, names: DataFrame, on: str = "metric") -> DataFrame:
 
 # -- news feeds ---------------------------------------------------------------------
 
-_ITEMS = "array<struct<title:string,link:string,guid:string,summary:string,published:string>>"
+_ITEMS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "guid", "summary", "published")]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType.fromDDL("title string, link string, guid string, summary string, published string")))
+@F.pandas_udf(_ITEMS)
 def feed_items(payload: pd.Series) -> pd.Series:
     """Items of an RSS, RDF or Atom document; none of one that isn't well formed, and none of one that declares entities."""
     import xml.etree.ElementTree as ET
