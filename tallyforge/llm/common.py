@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,36 @@ from ..functions.ship import ship
 
 #: Rows that may be broadcast or held by the driver; larger sets take the shuffled way.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that a Python worker handles at once, and entries of its largest cache.
+SLICE_BYTES, CACHE = 4 << 20, 100_000
 _made: list[tuple[SparkSession, str]] = []
+_state: dict = {}
+
+
+def held(name: str, of: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept in this worker process for its next task of the same operator and value.
+
+    One operator's state is kept at a time, so that a worker that serves one
+    operator after another doesn't gather the state of all.
+    """
+    if _state.get("name") != name or _state.get("of") is not of:
+        _state.clear()
+        _state.update({"name": name, "of": of, "made": make()})
+    return _state["made"]
+
+
+def tidy(run: Callable) -> Callable:
+    """run (batches to batches), after which the worker gives unused memory back to the system."""
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another libc
+            return
+
+    return tidied
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -22,14 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, documents, slices, written
+from .common import CACHE, crc32_mod, documents, held, slices, tidy, written
 
 #: Classes of words that have no symbol of their own.
 CLASSES = 256
 #: Words that a task counts at once, tokens of a training sequence, and of a scored one.
 GROUP, TRAIN_RUN, SCORE_RUN = 4_000_000, 64, 128
 _EDGES = b".,;:!?\"')]}"
-_models: dict = {}
 
 
 def key_of(word: bytes) -> int:
@@ -41,13 +40,12 @@ class _Keys(dict):
     """word -> its key, kept in a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= CACHE:
             self.clear()
         self[word] = key = key_of(word)
         return key
 
 
-_keys = _Keys()
 
 
 def words_of(text: str) -> list[bytes]:
@@ -67,12 +65,13 @@ def _count(parts: int):
     """kind 0, for each part: words, their training counts and numbers of documents; those documents' places and times. kind 1: a batch's documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of = held("hmm_keys", None, _Keys).__getitem__
         for part in slices(batches, rows=4096):
             texts, train = part.column("text").to_pylist(), np.array(part.column("train").to_pylist(), bool)
             keys, place, times, sizes = [], [], [], []
             for i, text in enumerate(texts):
                 words = words_of(text)
-                own, n = np.unique(np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words)), return_counts=True)
+                own, n = np.unique(np.fromiter(map(keys_of, words), np.uint64, len(words)), return_counts=True)
                 keys.append(own)
                 times.append(n)
                 place.append(np.full(len(own), i, np.uint16))
@@ -95,7 +94,7 @@ def _count(parts: int):
                     yield _packed([(p, batch, 0, words[lo:hi].tobytes(), counts[lo:hi].tobytes(), many[lo:hi].tobytes(), place[pair[lo] : pair[hi]].tobytes(), times[pair[lo] : pair[hi]].tobytes(), None)])
             yield _packed([(batch % parts, batch, 1, np.array(sizes, np.int64).tobytes(), train.tobytes(), prints, None, None, ids)])
 
-    return run
+    return tidy(run)
 
 
 def _total(most: int):
@@ -309,14 +308,15 @@ def _pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
 
 
 def _load(shared) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """The vocabulary and model of a broadcast value, kept for a worker's next task."""
+    """The vocabulary and model of a broadcast value."""
     value = shared.value
-    if _models.get("of") is not value:
-        with np.load(io.BytesIO(value)) as read:
-            own = {c: read[c] for c in read.files}
-        vocabulary = Vocabulary(own.pop("keys"), own.pop("counts"), own.pop("class_tokens"), own.pop("class_types"), int(own.pop("ends")))
-        _models.update({"of": value, "read": (vocabulary, own)})
-    return _models["read"]
+
+    def read() -> tuple[Vocabulary, dict[str, np.ndarray]]:
+        with np.load(io.BytesIO(value)) as arrays:
+            own = {c: arrays[c] for c in arrays.files}
+        return Vocabulary(*(own.pop(c) for c in ("keys", "counts", "class_tokens", "class_types")), int(own.pop("ends"))), own
+
+    return held("hmm", value, read)
 
 
 _CODED = "doc_id long, print binary, train boolean, symbols binary"
@@ -332,7 +332,7 @@ def _code(shared):
             prints = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.record_batch({"doc_id": part.column("doc_id"), "print": pa.array(prints, pa.binary()), "train": part.column("train"), "symbols": pa.array([vocabulary.symbols(words_of(t)).tobytes() for t in texts], pa.binary())})
 
-    return run
+    return tidy(run)
 
 
 def _texts(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -374,7 +374,7 @@ def _expect(shared, salts: int):
         for i, part in enumerate(np.array_split(flat, _CHUNKS)):
             yield pa.record_batch({"chunk": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "sums": pa.array([part.astype(np.float32).tobytes()], pa.binary())})
 
-    return run
+    return tidy(run)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -393,7 +393,7 @@ def _score(shared):
             scores = log_likelihoods(texts, model) + np.array([per[t].sum() for t in texts])
             yield pa.record_batch({"doc_id": part.column("doc_id"), "print": part.column("print"), "symbols_score": pa.array(scores, pa.float64())})
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384, passes: int = 2, guess_docs: int = 1_500) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import documents, slices, tidy, written
 
 _HEADER = re.compile(rb"\s*(?:#[^\n]*\n\s*)*(\d+)")
 #: Rows of an image that are summed at a time.
@@ -134,7 +134,7 @@ def _tiles(height: int, width: int, keep: list[str], payload: bool):
             made = {n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=False)}
             yield pa.record_batch({c: part.column(c) for c in keep} | made)
 
-    return run
+    return tidy(run)
 
 
 def tiles(media: DataFrame, height: int = 32, width: int = 32, payload: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column, components, documents, roots, slices, written
+from .common import BROADCAST_ROWS, CACHE, column, components, documents, held, roots, slices, tidy, written
 
 #: Shingles that a task meets at once.
 GROUP = 3_000_000
@@ -44,13 +44,12 @@ class _Words(dict):
     """Words' hashes, kept in a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= CACHE:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-_words = _Words()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,7 +67,7 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(held("ngram_join", None, _Words).__getitem__, words), np.uint64, len(words))
     size = min(width, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
@@ -114,7 +113,7 @@ def _spread(width: int, parts: int):
                 yield _packed(p, batch, 0, low[own].tobytes(), at[own].tobytes())
             yield _packed(batch % parts, batch, 1, sizes.tobytes(), shared.tobytes(), prints, ids.to_pylist())
 
-    return run
+    return tidy(run)
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -167,7 +166,7 @@ def _sets(width: int):
             sets = [shingles(x, width).tobytes() for x in part.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": part.column("doc_id"), "print": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "n": pa.array([len(s) // 8 for s in sets], pa.int32()), "items": pa.array(sets, pa.binary())})
 
-    return run
+    return tidy(run)
 
 
 def _set_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -182,7 +181,7 @@ def _tally(parts: int):
             for p, own in _by_part(seen, parts):
                 yield _packed(p, 0, 0, seen[own].tobytes(), count[own].astype(np.uint32).tobytes())
 
-    return run
+    return tidy(run)
 
 
 def _frequent(table: pa.Table) -> pa.Table:
@@ -280,7 +279,7 @@ def _postings(percent: int, small: int, frequent):
                 c = [np.concatenate(x) for x in rows]
                 yield pa.record_batch([pa.array(x) for x in c], names=["token", "node", "n", "at", "kind"])
 
-    return run
+    return tidy(run)
 
 
 def _pairs(percent: int, small: int):

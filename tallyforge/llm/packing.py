@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, tidy
 from .tokens import encoder
 
 #: Ends each document.
@@ -99,7 +99,7 @@ def _pieces(path: str | None, capacity: int, wide: str):
         c = list(zip(*rows, strict=True))
         return pa.record_batch([pa.array(x, pa.int64()) for x in c[:6]] + [pa.array(c[6], pa.binary())], names=["group", "key", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def _fill(capacity: int, most: int, slack: int, wide: str):

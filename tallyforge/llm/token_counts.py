@@ -10,13 +10,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import CACHE, documents, held, slices, tidy
 from .tokens import SPECIAL, _other, encoder
 
-#: Lengths that a worker keeps beyond the broadcast table; when full, it starts anew.
-CACHE = 400_000
 _special = next(iter(SPECIAL))
-_caches: dict = {}
 
 
 def _split(path: str | None):
@@ -52,7 +49,7 @@ class Lengths(dict):
         n = self.table.get(piece)
         if n is None:
             n = self.length(piece)
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # full: start anew
                 self.clear()
         self[piece] = n
         return n
@@ -62,9 +59,7 @@ def _count(path: str | None, table):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, split = encoder(path), _split(path)
         value = table.value
-        if _caches.get("of") is not value:
-            _caches.update({"of": value, "read": Lengths(dict(zip(*value, strict=True)), coder.length)})
-        length = _caches["read"].__getitem__
+        length = held("token_counts", value, lambda: Lengths(dict(zip(*value, strict=True)), coder.length)).__getitem__
         for part in slices(batches):
             counts, sizes = [], []
             for text in part.column("text").to_pylist():
@@ -76,7 +71,7 @@ def _count(path: str | None, table):
                     counts.append(len(runs) - 1 + sum(sum(map(length, split(s))) for s in runs))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
 
-    return run
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, table_size: int = 50_000, sample_docs: int = 2_000) -> DataFrame:
