@@ -12,15 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, crc32_mod, documents, slices, written
+from .common import BROADCAST_ROWS, CACHE, column, crc32_mod, documents, held, slices, tidy, written
 
+#: Tasks that read the examples.
+TASKS = 8
 #: Stripped from words' ends.
 _EDGES = ".,;:!?\"'()[]{}<>*_|-"
 _SHAPES = (4, 5, 6)
 #: A term said so often in a text counts as a further term.
 _OFTEN = (1, 2, 4)
 _EVIDENCE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
-_models: dict = {}
 
 
 def terms(word: str) -> list[int]:
@@ -43,7 +44,7 @@ class _Terms(dict):
         self.wanted = None if vocabulary is None else {often(t, k) for t in vocabulary for k in _OFTEN}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 300_000:
+        if len(self) >= CACHE:
             self.clear()
         found = terms(word)
         if self.wanted is not None:  # often() undoes itself
@@ -191,24 +192,43 @@ def calibrated(model: dict, k: int = 15) -> dict[str, np.ndarray]:
     return {"steps": steps, "nothing": np.array([(n1 + 0.5 * prior) / (n0 + n1 + 0.5)])}
 
 
-def _fit(features: int, rates: tuple[float, float]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, examples, fit = _Terms(), [], None
+def _said(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's terms, each with the number of its texts that have it."""
+    known, own = _Terms(), []
+    for part in slices(batches):
+        for text in part.column("text").to_pylist():
+            found = counted(text, known)
+            own.append(np.fromiter(found.keys(), np.uint64, len(found)))
+    seen, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+    yield pa.record_batch({"k": pa.array([0], pa.int32()), "a": pa.array([seen.tobytes()], pa.binary()), "b": pa.array([n.astype(np.int32).tobytes()], pa.binary())})
+
+
+def _common(fewest: float):
+    """The terms that enough texts have, over all tasks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        seen, where = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([np.frombuffer(x, np.int32) for x in table.column("b").to_pylist()]), minlength=len(seen))
+        return pa.table({"k": pa.array([0], pa.int32()), "a": pa.array([seen[n >= fewest].tobytes()], pa.binary()), "b": pa.array([b""], pa.binary())})
 
-        def only(example):
-            keep = np.isin(example[2], fit)
-            return *example[:2], example[2][keep], example[3][keep]
+    return run
+
+
+def _reduced(wanted):
+    """Examples as the terms wanted and their times."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Terms({t: t for t in np.frombuffer(wanted.value, np.uint64).tolist()})
         for part in slices(batches):
-            for doc, label, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-                found = counted(text, known)
-                hashes = np.fromiter(found.keys(), np.uint64, len(found))
-                if fit is None and not label:  # all toxic examples are read; what few of them have can't be chosen
-                    fit, seen = np.unique(np.concatenate([x[2] for x in examples] or [hashes[:0]]), return_counts=True)
-                    fit = fit[seen >= least(len(examples))]
-                    examples = [only(x) for x in examples]
-                example = doc, label, hashes, np.fromiter(found.values(), np.int32, len(found))
-                examples.append(example if fit is None else only(example))
+            found = [counted(t, known) for t in part.column("text").to_pylist()]
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "a": pa.array([np.fromiter(f.keys(), np.uint64, len(f)).tobytes() for f in found], pa.binary()), "b": pa.array([np.fromiter(f.values(), np.int32, len(f)).tobytes() for f in found], pa.binary())})
+
+    return tidy(run)
+
+
+def _fit(features: int, rates: tuple[float, float]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(doc, label, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)) for batch in batches for doc, label, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "a", "b")), strict=True)]
         out = io.BytesIO()
         np.savez(out, **fit_index(examples, features, rates))
         yield pa.record_batch({"model": pa.array([out.getvalue()], pa.binary())})
@@ -219,12 +239,14 @@ def _fit(features: int, rates: tuple[float, float]):
 def _score(model, k: int, prior: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value
-        if _models.get("of") is not value:
-            with np.load(io.BytesIO(value)) as read:
-                own = {c: read[c] for c in read.files}
+
+        def read() -> tuple[dict, Index, _Terms]:
+            with np.load(io.BytesIO(value)) as arrays:
+                own = {c: arrays[c] for c in arrays.files}
             index = _index(own)
-            _models.update({"of": value, "read": (own, index, _Terms(index.terms))})
-        own, index, known = _models["read"]
+            return own, index, _Terms(index.terms)
+
+        own, index, known = held("toxicity", value, read)
         for part in slices(batches):
             scores, evidence = [], []
             for text in part.column("text").to_pylist():
@@ -239,7 +261,7 @@ def _score(model, k: int, prior: float):
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, kind)})
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = 4_000, features: int = 256, k: int = 15) -> DataFrame:
@@ -266,13 +288,12 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = 4_000, features: i
     drawn = written(drawn[0].union(drawn[1]), "drawn")  # at most 2 * examples rows
     rates = tuple(n.get(c, 0) / max(1, min(n.get(c, 0), examples)) for c in (0, 1))
     chosen = written(docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text"), "examples")
-    fitted = chosen.repartition(1).sortWithinPartitions(F.desc("toxic"), "doc_id").mapInArrow(_fit(features, rates), "model binary").collect()
-    if not fitted:
-        out = io.BytesIO()
-        np.savez(out, **fit_index([], features, rates))
-        model = out.getvalue()
-    else:
-        model = bytes(fitted[0].model)
+    said = chosen.where("toxic = 1").select("text").repartition(TASKS).mapInArrow(_said, "k int, a binary, b binary")
+    wanted = said.groupBy("k").applyInArrow(_common(least(min(n.get(1, 0), examples))), "k int, a binary, b binary").collect()
+    terms_wanted = spark.sparkContext.broadcast(b"".join(bytes(r.a) for r in wanted))
+    reduced = chosen.repartition(TASKS).mapInArrow(_reduced(terms_wanted), "doc_id long, toxic int, a binary, b binary")
+    fitted = reduced.repartition(1).sortWithinPartitions("doc_id", "toxic").mapInArrow(_fit(features, rates), "model binary").collect()
+    model = bytes(fitted[0].model)
     prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     asked = docs.select("doc_id", "text", (crc32_mod("doc_id", 5) == 0).alias("held_out"))
     scored = asked.mapInArrow(_score(spark.sparkContext.broadcast(model), k, prior), f"doc_id long, held_out boolean, score double, evidence {_EVIDENCE}")
@@ -284,8 +305,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share an id go together if one of them is predicted toxic.
     """
-    from .common import BROADCAST_ROWS
-
     found = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
     toxic = written(found, "toxic")
     few = toxic.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
