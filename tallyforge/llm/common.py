@@ -89,9 +89,18 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and lower the session's Arrow batches to what a worker holds with long texts; smaller ones stay."""
+    ship(spark)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(name, str(most))
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id long, text string (null: empty), and the further columns named as strings. Extra columns stay behind."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(
         column(df, "doc_id", "long").alias("doc_id"),
         F.coalesce(column(df, "text", "string"), F.lit("")).alias("text"),

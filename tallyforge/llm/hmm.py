@@ -442,8 +442,9 @@ def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384
         taught = coded.where("train").select("symbols", "doc_id")
         drawn = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) < max(1, int(min(1, guess_docs / ends) * 1_000_000))
         rows = taught.where(drawn).repartition(1).sortWithinPartitions("doc_id").mapInArrow(_guess(shared(), 10), "model binary").collect()
-        with np.load(io.BytesIO(rows[0].model)) as read:
-            model = {c: read[c] for c in read.files}
+        if rows:  # else none was drawn, and the first guess is the start
+            with np.load(io.BytesIO(rows[0].model)) as read:
+                model = {c: read[c] for c in read.files}
         for _ in range(passes):
             tasks = taught.rdd.getNumPartitions()
             salts = max(1, math.isqrt(tasks))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, tidy, written
+from .common import documents, prepare, slices, tidy, written
 
 _HEADER = re.compile(rb"\s*(?:#[^\n]*\n\s*)*(\d+)")
 #: Rows of an image that are summed at a time.
@@ -144,6 +144,7 @@ def tiles(media: DataFrame, height: int = 32, width: int = 32, payload: bool = F
     decoded samples. A null or unreadable image has nulls and its error's text.
     Columns of media that bear one of the new names are left out.
     """
+    prepare(media.sparkSession)
     new = "height int, width int, channels int, tile binary, difference_hash string, error string" + ", payload_bytes long, payload_sha256 string, tail_crc32 long" * payload
     taken = {x.split()[0] for x in new.split(", ")}
     keep = [f for f in media.schema.fields if f.name != "media" and f.name not in taken]

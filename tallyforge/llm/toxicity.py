@@ -150,6 +150,12 @@ def fit_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], features:
     return model | calibrated(model)
 
 
+def packed(model: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **model)
+    return out.getvalue()
+
+
 def voted(index: Index, own: np.ndarray, weights: np.ndarray, k: int, prior: float, but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """The neighbours' labels weighted by nearness, with a weight of 0.2 on the prior."""
     rows, scores = index.nearest(own, weights, k, but)
@@ -229,9 +235,7 @@ def _reduced(wanted):
 def _fit(features: int, rates: tuple[float, float]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = [(doc, label, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)) for batch in batches for doc, label, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "a", "b")), strict=True)]
-        out = io.BytesIO()
-        np.savez(out, **fit_index(examples, features, rates))
-        yield pa.record_batch({"model": pa.array([out.getvalue()], pa.binary())})
+        yield pa.record_batch({"model": pa.array([packed(fit_index(examples, features, rates))], pa.binary())})
 
     return run
 
@@ -293,7 +297,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = 4_000, features: i
     terms_wanted = spark.sparkContext.broadcast(b"".join(bytes(r.a) for r in wanted))
     reduced = chosen.repartition(TASKS).mapInArrow(_reduced(terms_wanted), "doc_id long, toxic int, a binary, b binary")
     fitted = reduced.repartition(1).sortWithinPartitions("doc_id", "toxic").mapInArrow(_fit(features, rates), "model binary").collect()
-    model = bytes(fitted[0].model)
+    model = bytes(fitted[0].model) if fitted else packed(fit_index([], features, rates))  # no example, no task
     prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     asked = docs.select("doc_id", "text", (crc32_mod("doc_id", 5) == 0).alias("held_out"))
     scored = asked.mapInArrow(_score(spark.sparkContext.broadcast(model), k, prior), f"doc_id long, held_out boolean, score double, evidence {_EVIDENCE}")

@@ -19,8 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ship import ship
-from .common import BROADCAST_ROWS, column, new_dir, slices, written
+from .common import BROADCAST_ROWS, column, new_dir, prepare, slices, written
 
 #: Captures in a block of the index.
 BLOCK = 3000
@@ -277,7 +276,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least: int = 1000
     repeated rows get a record each; empty tables give an empty archive.
     """
     spark = pages.sparkSession
-    ship(spark)
+    prepare(spark)
     folder = folder or new_dir(spark, "warc")
     system, path = filesystem(folder)
     system.create_dir(path, recursive=True)
