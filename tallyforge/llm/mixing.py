@@ -44,48 +44,50 @@ def targets(sources: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
     return found.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: int = 3, epochs: int = 3, bucket_rows: int = 50_000, seed: int = 11) -> DataFrame:
-    """Every row of docs with size, source_size, target, taken and key; extra columns and the text stay.
-
-    Each row gets a hash-random key. A source's rows, in the order of keys, are
-    cut into ranges of about `bucket_rows` rows (the keys are uniform, so equal
-    ranges hold equally many and a hot source simply has more of them); sums
-    run within each range and then over the ranges' totals. A source takes
+def mix(docs: DataFrame, weights: int = 3, epochs: int = 3, bucket_rows: int = 8_192, seed: int = 11, with_rows: bool = True) -> DataFrame:
+    """Every row of docs as row (a struct of its columns), doc_id, source, size, source_size, target, whole and part.
+
+    It is taken `whole` times, and once more for `part` of its words. Each row
+    gets a hash-random key. A source's rows, in the order of keys, are cut into
+    ranges of about `bucket_rows` rows (the keys are uniform, so equal ranges
+    hold equally many and a hot source simply has more of them); sums run within
+    each range and then over the ranges' totals. A source takes
     floor(target / size) whole epochs, and of the next the documents up to its
     budget, of the last one only the words that fit. All is computed from
-    hashes, so reruns agree.
+    hashes, so reruns agree. Words are counted once, into a table of ids and
+    sizes; without rows (with_rows=False) the texts are read for that alone.
 
     A null text has size 0. Null is a source of its own, the last. Repeated
     rows are further documents, in one order or the other, which makes no
     difference to the result's rows. Empty tables give no rows.
     """
     text, source, doc = column(docs, "text", "string"), column(docs, "source", "string"), column(docs, "doc_id", "long")
-    base = docs.select(*(c for c in docs.columns if c not in ("doc_id", "text", "source", "_size", "_key")), doc.alias("doc_id"), text.alias("text"), source.alias("source"), words(text).alias("_size"), random_key(doc, seed).alias("_key"))
-    sizes = base.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_rows"))
-    planned = written(targets(sizes, weights, epochs).join(sizes.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
-    small = planned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("doc_id"), source.alias("source"), words(text).alias("size"), random_key(doc, seed).alias("key"))
+    thin = written(base.drop("row"), "sizes")
+    base = base if with_rows else thin
+    sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    planned = written(targets(sizes, weights, epochs).join(sizes.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight"), "targets")
 
     def known(df: DataFrame, other: DataFrame, *on: str) -> DataFrame:
-        renamed = other.select(*(F.col(c).alias(f"_o_{c}") if c in on else c for c in other.columns))
+        renamed = other.withColumnsRenamed({c: f"_{c}" for c in on})
         cond = F.lit(True)
         for c in on:
-            cond = cond & df[c].eqNullSafe(F.col(f"_o_{c}"))
-        return df.join(F.broadcast(renamed) if small else renamed, cond).drop(*(f"_o_{c}" for c in on))
-
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(bucket_rows)))
-    held = known(base, planned, "source").withColumn("_range", F.floor(F.col("_key") / F.lit(float(1 << 52)) * ranges))
-    order = W.partitionBy("source", "_range").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    within = held.select("doc_id", "source", "_range", "_key", "_size").groupBy("source", "_range").agg(F.sum("_size").alias("_sum"))
-    upto = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = written(within.select("source", "_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before")), "offsets")
-    small = offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = known(held.withColumn("_end", F.sum("_size").over(order)), offsets, "source", "_range")
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        small = other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return df.join(F.broadcast(renamed) if small else renamed, cond).drop(*(f"_{c}" for c in on))
+
+    ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(bucket_rows)))
+    spot = F.floor(F.col("key") / F.lit(float(1 << 52)) * ranges)
+    order = W.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    within = known(thin, planned, "source").withColumn("range", spot).groupBy("source", "range").agg(F.sum("size").alias("total"))
+    offsets = written(within.select("source", "range", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("before")), "offsets")
+    placed = known(known(base, planned, "source").withColumn("range", spot).withColumn("end", F.sum("size").over(order)), offsets, "source", "range")
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
-    part = F.least(F.col("_size"), F.greatest(F.lit(0), rest - (F.col("_before") + F.col("_end") - F.col("_size"))))
-    return placed.select(*docs.columns if {"doc_id", "text", "source"} <= set(docs.columns) else [c for c in placed.columns if c[0] != "_" and c not in ("source_size", "weight", "target")],
-                         F.col("_size").alias("_words"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), whole.cast("long").alias("_whole"), part.cast("long").alias("_part"))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - (F.col("before") + F.col("end") - F.col("size"))))
+    return placed.select(*["row"] * with_rows, "doc_id", "source", "size", "source_size", "target", whole.cast("long").alias("whole"), part.cast("long").alias("part"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -101,19 +103,19 @@ def mixed(docs: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
     Documents of which nothing is taken go. n_chars, where docs has it, follows the cut text.
     """
     found = mix(docs, weights, epochs)
-    cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_words"))
-    full = F.when((F.col("_part") > 0) & ~cut, F.col("_whole") + 1).otherwise(F.col("_whole"))
+    cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
+    full = F.when((F.col("part") > 0) & ~cut, F.col("whole") + 1).otherwise(F.col("whole"))
     copies = F.array_repeat(F.lit(None).cast("long"), full.cast("int"))
-    rows = found.withColumn("_take", F.explode(F.when(cut, F.array_append(copies, F.col("_part"))).otherwise(copies)))
-    text = F.when(F.col("_take").isNotNull(), first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = found.select("row", F.explode(F.when(cut, F.array_append(copies, F.col("part"))).otherwise(copies)).alias("take"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    if "text" in own:
+        own["text"] = F.when(F.col("take").isNotNull(), first_words(F.col("row.text"), F.col("take"))).otherwise(F.col("row.text"))
+    if "text" in own and "n_chars" in own:
+        own["n_chars"] = F.when(F.col("take").isNotNull(), F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in own.items()))
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents; see mix()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", F.col("_words").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                            (F.col("_whole") * F.col("_words") + F.col("_part")).alias("taken"))
+    return mix(docs, with_rows=False).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))

@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in single.collect() if r.doc_id is not None} == {d for d, _, c in brute_join(left, 5, 80) if d is not None and d == c}
     mixed = corpus_pipeline.mix_sources(spark, single, str(tmp_path))
     assert mixed.columns == docs.columns
-    budget = {(r.doc_id, r.source): r._whole * r._words + r._part for r in mix(single).collect()}
+    budget = {(r.doc_id, r.source): r.whole * r.size + r.part for r in mix(single).collect()}
     got = Counter()
     for r in mixed.collect():
         got[r.doc_id, r.source] += len(words(r.text))
