@@ -175,16 +175,16 @@ def overlap(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFra
 def mentions(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """texts' id, and the id of each name that stands in the text between word boundaries. Names of under 4 letters or shared by several ids don't count.
 
-    Names are met by their first word among the text's words, and only then
-    compared: an equi-join in place of every name against every text.
+    Names are met by their longest word among the text's words, which few texts
+    have, and only then compared: an equi-join in place of every name against every text.
     """
     from ..functions.text import folded
 
     n = names.withColumn("_name", folded(F.col(name))).where(F.length("_name") >= 4)
-    n = n.groupBy("_name").agg(F.min("name_id").alias("name_id"), F.count_distinct("name_id").alias("_n")).where("_n = 1").withColumn("_first", F.regexp_extract("_name", r"^(\w+)", 1)).where("_first <> ''")
+    n = n.groupBy("_name").agg(F.min("name_id").alias("name_id"), F.count_distinct("name_id").alias("_n")).where("_n = 1").withColumn("_word", F.array_max(F.transform(F.regexp_extract_all("_name", F.lit(r"(\w+)")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).where("_word is not null")
     t = texts.withColumn("_text", folded(F.col(text)))
-    words = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"(\w+)")))).alias("_first"))
-    met = words.join(n.select("name_id", "_name", "_first"), "_first").select("text_id", "name_id", "_name")
+    words = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"(\w+)")))).alias("_word"))
+    met = words.join(n.select("name_id", "_name", "_word"), "_word").select("text_id", "name_id", "_name")
     joined = met.join(t.select("text_id", "_text"), "text_id")
     padded = F.concat(F.lit(" "), F.regexp_replace("_text", r"\W+", " "), F.lit(" "))
     wanted = F.concat(F.lit(" "), F.trim(F.regexp_replace("_name", r"\W+", " ")), F.lit(" "))

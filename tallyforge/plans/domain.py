@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import elo, entity_scores, history, percentile, scoring
+from ..operators import elo, entity_scores, entity_v2, history, percentile, scoring
 from ..operators.derived import derive
 from ..sources.tables import table
 from .registry import query
@@ -311,3 +311,90 @@ def formation_profile(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("team"), "o_orderkey", "o_orderdate", name.alias("formation"))
     found = history.formation_profile(rows, "team", "formation", [F.desc("o_orderdate"), F.desc("o_orderkey")])
     return found.select("team", "primary", F.round("share", 6).alias("share"), F.round("coverage", 6).alias("coverage"), "label")
+
+
+# -- evidence-gated features and scores ------------------------------------------------
+
+POSITIONS = {"AUTOMOBILE": "ST", "BUILDING": "CB", "FURNITURE": "CM", "HOUSEHOLD": "LW", "MACHINERY": "GK"}
+
+
+def player_observations(spark, sf):
+    """Appearances as a map of metrics: returned lines as goals, all lines as shots, discounted ones as tackles; no tackles are known of orders without any."""
+    rows = appearances(spark, sf)
+    lines = table(spark, sf, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.count("*").alias("lines"))
+    position = F.try_element_at(F.create_map(*(F.lit(x) for p in POSITIONS.items() for x in p)), F.col("role"))
+    stats = F.create_map(F.lit("goals"), F.col("returned").cast("double"), F.lit("shots_total"), F.col("lines").cast("double"), F.lit("tackles"), F.when(F.col("discounted") > 0, F.col("discounted").cast("double")), F.lit("pass_completion_pct"), F.col("big") * 10.0)
+    return rows.join(lines, "match_id").select(F.col("entity").alias("player_id"), "match_id", F.col("at").alias("kickoff"), F.col("exposure").alias("minutes"), position.alias("position"), stats.alias("stats"))
+
+
+_V2 = f"""{APPEARANCES},
+n2 AS (SELECT l_orderkey AS match_id, count(*) AS lines FROM lineitem GROUP BY 1),
+o2 AS (SELECT entity, role, exposure, kick, match_id, returned::DOUBLE AS goals, lines::DOUBLE AS shots_total, CASE WHEN discounted > 0 THEN discounted::DOUBLE END AS tackles, big * 10.0::DOUBLE AS pass_completion_pct, row_number() OVER (PARTITION BY entity ORDER BY kick DESC, match_id DESC) AS rn FROM a JOIN n2 USING (match_id)),
+w2 AS (SELECT entity, role, window_key, any_value(least) AS least, sum(exposure) AS minutes, count(*) AS appearances, sum(goals) AS goals, sum(shots_total) AS shots_total, sum(tackles) AS tackles, avg(pass_completion_pct) AS pass_completion_pct
+  FROM o2 JOIN (VALUES ('last_3', 3, 90), ('last_5', 5, 180), ('last_10', 10, 270), ('season', NULL, 450)) t(window_key, n, least) ON n IS NULL OR rn <= n GROUP BY 1, 2, 3),
+f2 AS (
+  SELECT entity, role, window_key, least, minutes, 'goals' AS metric, goals AS raw, goals * 90 / minutes AS adj FROM w2 UNION ALL SELECT entity, role, window_key, least, minutes, 'shots_total', shots_total, shots_total * 90 / minutes FROM w2
+  UNION ALL SELECT entity, role, window_key, least, minutes, 'tackles', tackles, tackles * 90 / minutes FROM w2 WHERE tackles IS NOT NULL UNION ALL SELECT entity, role, window_key, least, minutes, 'pass_completion_pct', pass_completion_pct, pass_completion_pct FROM w2
+  UNION ALL SELECT entity, role, window_key, least, minutes, 'goals_per_shot', goals / shots_total, goals / shots_total FROM w2),
+r2 AS (SELECT entity, role, window_key, metric, round(raw, 6) AS raw_value, round(adj, 6) AS adjusted, minutes >= least AS fit FROM f2),
+p2 AS (SELECT entity, window_key, metric, rank() OVER (PARTITION BY role, window_key, metric ORDER BY adjusted) - 1 AS below, count(*) OVER (PARTITION BY role, window_key, metric, adjusted) AS same, count(*) OVER (PARTITION BY role, window_key, metric) AS n FROM r2 WHERE fit)"""
+
+
+@query("player_features_v2", f"""WITH {_V2} SELECT r2.entity AS player_id, r2.window_key, r2.metric, raw_value, adjusted, round(CASE WHEN n = 1 THEN 50 ELSE 100.0 * (below + (same - 1) / 2.0) / (n - 1) END, 2) AS percentile, coalesce(n, 0) AS reference_size
+FROM r2 LEFT JOIN p2 ON p2.entity = r2.entity AND p2.window_key = r2.window_key AND p2.metric = r2.metric""")
+def player_features_v2(spark, sf):
+    found = entity_v2.player_features(player_observations(spark, sf)).where(F.col("metric").isin("goals", "shots_total", "tackles", "pass_completion_pct", "goals_per_shot"))
+    return found.select("player_id", "window_key", "metric", "raw_value", "adjusted", "percentile", "reference_size")
+
+
+@query("player_scores_v2")
+def player_scores_v2(spark, sf):
+    """Scores by family; most stay null, because these tables lack most metrics."""
+    return entity_v2.player_scores(entity_v2.player_features(player_observations(spark, sf)))[1]
+
+
+def team_observations(spark, sf):
+    rows = doubled(matches(spark, sf))
+    return rows.select(F.concat_ws(":", "season", "team").alias("team_id"), "match_id", "kickoff", "goals_for", "goals_against", F.create_map(F.lit("xg"), F.col("goals_for") * 0.5 + F.col("goals_against") * 0.25).alias("stats"))
+
+
+@query("team_features_v2", f"""WITH {DOUBLED},
+tr AS (SELECT season || ':' || team AS team_id, goals_for::DOUBLE AS goals_for, goals_against::DOUBLE AS goals_against, goals_for * 0.5 + goals_against * 0.25 AS xg, row_number() OVER (PARTITION BY season, team ORDER BY kickoff DESC, match_id DESC) AS rn FROM team_rows),
+tw AS (SELECT team_id, window_key, count(*) AS matches, sum(goals_for) AS goals_for, sum(goals_against) AS goals_against, sum(xg)::DOUBLE AS xg FROM tr JOIN {_W} ON n IS NULL OR rn <= n GROUP BY 1, 2),
+tu AS (UNPIVOT tw ON goals_for, goals_against, xg INTO NAME metric VALUE raw),
+tv AS (SELECT team_id, window_key, metric, matches, round(raw, 6) AS raw_value, round(raw / matches, 6) AS adjusted FROM tu)
+SELECT *, CASE WHEN count(*) OVER g = 1 THEN 50 ELSE 100.0 * (rank() OVER (PARTITION BY window_key, metric ORDER BY adjusted) - 1 + (count(*) OVER (PARTITION BY window_key, metric, adjusted) - 1) / 2.0) / (count(*) OVER g - 1) END AS percentile, count(*) OVER g AS reference_size FROM tv WINDOW g AS (PARTITION BY window_key, metric)""")
+def team_features_v2(spark, sf):
+    return entity_v2.team_features(team_observations(spark, sf)).drop("basis")
+
+
+@query("team_scores_v2")
+def team_scores_v2(spark, sf):
+    """Teams' evidence and findings; the score stays null, because one dimension is empty by design."""
+    return entity_v2.team_scores(entity_v2.team_features(team_observations(spark, sf)))[1]
+
+
+@query("player_findings", f"""WITH {_META}, w AS (SELECT entity, current - expected AS gap, stable FROM m)
+SELECT entity, 'underrated' AS code, CASE WHEN round(gap, 9) >= 25 THEN 'high' ELSE 'medium' END AS severity FROM w WHERE round(gap, 9) >= 12
+UNION ALL SELECT entity, 'overrated', CASE WHEN round(gap, 9) <= -25 THEN 'high' ELSE 'medium' END FROM w WHERE round(gap, 9) <= -12""")
+def player_findings(spark, sf):
+    gap = F.round("surprise", 9)
+    none = {c: F.lit(None).cast("double") for c in ("expected", "actual", "minutes", "shots", "volume_pct", "accuracy_pct", "watchlist_score")}
+    rows = history.meta_levels(yearly(spark, sf), "entity").select("entity", F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("watchlist_signal"), F.when(gap >= 12, "underrated").when(gap <= -12, "overrated").alias("rating_signal"), gap.alias("rating_gap"), *(v.alias(k) for k, v in none.items()))
+    return history.player_findings(rows, ["entity"]).select("entity", "code", "severity")
+
+
+@query("audit_report", """SELECT 'exposure' AS rule, count(*) FILTER (o_totalprice <= 0) AS violations FROM orders UNION ALL SELECT 'status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P')) FROM orders""")
+def audit_report(spark, sf):
+    from ..sources.sinks import violations
+
+    return violations(table(spark, sf, "orders", "o_totalprice", "o_orderstatus"), {"exposure": F.col("o_totalprice") > 0, "status": F.col("o_orderstatus").isin("F", "O", "P")})
+
+
+@query("column_coverage", """SELECT 'large' AS "column", count(*) FILTER (c_acctbal > 5000) AS present, count(*) AS rows, round(100.0 * count(*) FILTER (c_acctbal > 5000) / count(*), 2) AS pct, 'partial' AS state FROM customer
+UNION ALL SELECT 'name', count(c_name), count(*), 100.0, 'available' FROM customer""")
+def column_coverage(spark, sf):
+    from ..operators.audits import column_coverage as covered
+
+    rows = table(spark, sf, "customer", "c_acctbal", "c_name").select(F.when(F.col("c_acctbal") > 5000, 1).alias("large"), F.col("c_name").alias("name"))
+    return covered(rows, ["large", "name"])
