@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import math
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +76,9 @@ def _remove() -> None:
         try:
             to = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
             to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
-        except Exception:  # the JVM has gone; the cluster's own cleaning of the folder is left to do it
-            return
+        except Exception:  # the JVM has gone: a shared mount can still be cleaned, else the store's own rules do it
+            if path.startswith("file:"):
+                shutil.rmtree(os.path.dirname(urlsplit(path).path), ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -128,6 +132,32 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 40
             at = to
 
 
+def units(batches: Iterable[pa.RecordBatch], rows: int, size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """As slices(), but small batches are put together up to `rows` rows or `size` bytes."""
+    own, n, held_bytes = [], 0, 0
+    for part in slices(batches, text, rows, size):
+        more = part.column(text).nbytes
+        if own and (n + part.num_rows > rows or held_bytes + more > size):
+            yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            own, n, held_bytes = [], 0, 0
+        own.append(part)
+        n, held_bytes = n + part.num_rows, held_bytes + more
+    if own:
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+
+
+def dealing(total: float, group: int) -> tuple[int, int]:
+    """(parts, bytes of a unit) for `total` items that meet in groups of about `group`.
+
+    A unit of texts sends one row to each part that it has items of. So that
+    rows stay well filled, groups grow up to eightfold beyond 4096 parts, and
+    units with the number of parts, up to 64 MB.
+    """
+    group = min(8 * group, max(group, math.ceil(total / 4096)))
+    parts = max(1, math.ceil(total / group))
+    return parts, min(64 << 20, max(SLICE_BYTES, 64 * 6 * parts))
+
+
 def roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, the smallest node joined to each) of the links given, by repeated hooking to the smaller root."""
     nodes, flat = np.unique(np.concatenate([left, right]), return_inverse=True)

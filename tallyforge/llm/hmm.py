@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, crc32_mod, documents, held, slices, tidy, written
+from .common import CACHE, crc32_mod, dealing, documents, held, slices, tidy, units, written
 
 #: Classes of words that have no symbol of their own.
 CLASSES = 256
@@ -61,12 +61,12 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], schema=pa.schema(_FIELDS))
 
 
-def _count(parts: int):
+def _count(parts: int, size: int):
     """kind 0, for each part: words, their training counts and numbers of documents; those documents' places and times. kind 1: a batch's documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_of = held("hmm_keys", None, _Keys).__getitem__
-        for part in slices(batches, rows=4096):
+        for part in units(batches, 60_000, size):
             texts, train = part.column("text").to_pylist(), np.array(part.column("train").to_pylist(), bool)
             keys, place, times, sizes = [], [], [], []
             for i, text in enumerate(texts):
@@ -412,9 +412,9 @@ def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384
     docs = documents(docs).withColumn("train", train)
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    parts = max(1, math.ceil(size / 6 / GROUP))
+    parts, unit = dealing(size / 6, GROUP)
     most = 4 * symbols // parts + 256
-    met = docs.mapInArrow(_count(parts), _PACKED).groupBy("p").applyInArrow(_total(most), _PACKED)
+    met = docs.mapInArrow(_count(parts, unit), _PACKED).groupBy("p").applyInArrow(_total(most), _PACKED)
     met = written(met, "counts")
     sums = written(met.where("kind < 2").groupBy("batch").applyInArrow(_summed, "doc_id long, print binary, train boolean, words long, log_sum double, known long"), "sums")
     ends = sums.where("train").count()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, CACHE, column, components, documents, held, roots, slices, tidy, written
+from .common import BROADCAST_ROWS, CACHE, column, components, dealing, documents, held, roots, slices, tidy, units, written
 
 #: Shingles that a task meets at once.
 GROUP = 3_000_000
@@ -92,11 +92,11 @@ def _by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]
             yield p, order[ends[p] : ends[p + 1]]
 
 
-def _spread(width: int, parts: int):
+def _spread(width: int, parts: int, size: int):
     """Each batch's shingles (32 bits) with their documents' positions, dealt by hash; and a row with its documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows=4096):
+        for part in units(batches, _MANY - 1, size):
             sets = [shingles(x, width) for x in part.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets], np.uint32)
             prints = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
@@ -443,8 +443,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     docs = documents(docs)
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    parts = max(1, math.ceil(size / 6 / GROUP))
-    met = docs.mapInArrow(_spread(width, parts), _PACKED).groupBy("p").applyInArrow(_meet, _PACKED)
+    parts, unit = dealing(size / 6, GROUP)
+    met = docs.mapInArrow(_spread(width, parts, unit), _PACKED).groupBy("p").applyInArrow(_meet, _PACKED)
     decided = written(met.groupBy("batch").applyInArrow(_decide(percent), "doc_id long, n long, print binary, goes_on boolean"), "decided")
     ids = decided.where("goes_on").select(F.col("doc_id").alias("_id")).distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -455,7 +455,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     total = sets.agg(F.sum("n"), F.count("*")).head()
     if not total[1]:
         return decided.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    parts = max(1, math.ceil(total[0] / GROUP))
+    parts, _ = dealing(total[0], GROUP)
     frequent = written(sets.select("node", "items").mapInArrow(_tally(parts), _PACKED).groupBy("p").applyInArrow(_frequent, "a binary, b binary, powers array<long>"), "frequent")
     powers = frequent.select(F.posexplode("powers").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c")).collect()
     least = min(1 << r.k for r in powers if r.c <= BROADCAST_ROWS and 1 << r.k >= FREQUENT)
