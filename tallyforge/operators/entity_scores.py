@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from .percentile import percentile
 from .scoring import clamp, directed, saturation, shrunk, shrunk_ratio
 from .windows import recent_windows
@@ -45,6 +46,7 @@ def rates(appearances: DataFrame, entity: str, role: str, metrics: Sequence[str]
     w = F.col("weight")
     sums = [F.try_divide(F.lit(per) * F.sum(w * F.greatest(F.coalesce(F.col(m), F.lit(0)), F.lit(0))), F.sum(w * F.col(exposure))).alias(m) for m in metrics]
     wide = rows.groupBy(entity, role, "window_key").agg(F.sum(exposure).alias("exposure"), F.count("*").alias("appearances"), *sums)
+    wide = written(wide, "rates")  # a row an entity and window, read by baselines, percentiles and scores
     return wide.unpivot([entity, role, "window_key", "exposure", "appearances"], list(metrics), "metric", "value")
 
 

@@ -11,15 +11,34 @@ from pyspark.sql import functions as F
 METHODS = ("mid_rank", "mid_rank_or_50", "tie_average")
 
 
-def _counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def _same(groups: Sequence[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"{prefix}{g}"))
+    return on
+
+
+def _counts(df: DataFrame, groups: Sequence[str], value: str, buckets: int) -> DataFrame:
     """For each group and value: rows below, rows equal, rows in all.
 
     Rows are counted by value first, with partial sums, so that what is sorted
-    is a group's distinct values and not its rows.
+    is a group's distinct values and not its rows. With buckets, a group's
+    values are cut at approximate quantiles and each bucket is sorted on its
+    own; sums over the buckets before make the counts exact wherever the cuts lie.
     """
     each = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_equal"))
-    upto = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return each.withColumn("_below", F.coalesce(F.sum("_equal").over(upto), F.lit(0))).withColumn("_all", F.sum("_equal").over(W.partitionBy(*groups)))
+    if buckets <= 1:
+        upto = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return each.withColumn("_below", F.coalesce(F.sum("_equal").over(upto), F.lit(0))).withColumn("_all", F.sum("_equal").over(W.partitionBy(*groups)))
+    cuts = each.groupBy(*groups).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)]).alias("_cuts")).withColumnsRenamed({g: f"_c_{g}" for g in groups})
+    placed = each.join(cuts, _same(groups, "_c_")).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).select(*each.columns, "_bucket")
+    sums = placed.groupBy(*groups, "_bucket").agg(F.sum("_equal").alias("_n"))
+    before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(g).alias(f"_b_{g}") for g in groups), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*groups)).alias("_all"))
+    within = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    ranked = placed.withColumn("_within", F.coalesce(F.sum("_equal").over(within), F.lit(0)))
+    joined = ranked.join(sums, _same(groups, "_b_") & (F.col("_bucket") == F.col("_b")))
+    return joined.select(*each.columns, (F.col("_before") + F.col("_within")).alias("_below"), "_all")
 
 
 def percentile_of(below: Column, equal: Column, everyone: Column, method: str) -> Column:
@@ -34,19 +53,17 @@ def percentile_of(below: Column, equal: Column, everyone: Column, method: str) -
     raise ValueError(f"method is one of {METHODS}")
 
 
-def percentile(df: DataFrame, groups: Sequence[str], value: str, method: str = "mid_rank", eligible: Column | None = None, name: str = "percentile", size: str = "reference_size") -> DataFrame:
+def percentile(df: DataFrame, groups: Sequence[str], value: str, method: str = "mid_rank", eligible: Column | None = None, name: str = "percentile", size: str = "reference_size", buckets: int = 1) -> DataFrame:
     """df with a percentile of `value` in its group, and the group's size.
 
     Rows that aren't eligible, or have no value, keep their row, with a null
-    percentile; they are in no group's size.
+    percentile; they are in no group's size. `buckets` is for populations too
+    large for one task to sort their distinct values.
     """
     fit = F.col(value).isNotNull() & (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)))
     marked = df.withColumn("_v", F.when(fit, F.col(value)))
-    counts = _counts(marked, groups, "_v").select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_v").alias("_u"), "_below", "_equal", "_all")
-    on = F.col("_v") == F.col("_u")
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    joined = marked.join(counts, on, "left")
+    counts = _counts(marked, groups, "_v", buckets).select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_v").alias("_u"), "_below", "_equal", "_all")
+    joined = marked.join(counts, (F.col("_v") == F.col("_u")) & _same(groups, "_g_"), "left")
     out = joined.withColumn(name, percentile_of(F.col("_below"), F.col("_equal"), F.col("_all"), method)).withColumn(size, F.coalesce(F.col("_all"), F.lit(0)).cast("long"))
     return out.select(*df.columns, name, size)
 

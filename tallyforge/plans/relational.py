@@ -402,7 +402,7 @@ SELECT o_custkey, o_orderkey, rn::INTEGER AS recency_rank, w AS window_key, roun
 FROM r JOIN (VALUES ('last_3', 3), ('last_5', 5), ('last_10', 10), ('season', NULL)) t(w, n) ON n IS NULL OR rn <= n""")
 def n_recent_windows(spark, sf):
     orders = table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate")
-    found = recent_windows(orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    found = recent_windows(orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], rank_all=True)
     return found.select("o_custkey", "o_orderkey", "recency_rank", "window_key", F.round("weight", 9).alias("weight"))
 
 

@@ -26,6 +26,9 @@ def test_percentiles_share_ties(spark):
     assert [x[2:] for x in gated if x[0] == "g"] == [(None, 0), (25.0, 3), (25.0, 3), (100.0, 3), (None, 0)]
     with pytest.raises(ValueError):
         percentile.percentile(df, ["k"], "v", "other")
+    many = frame(spark, [(i % 3, float(i * i % 101)) for i in range(500)] + [(None, 1.0), (0, None)], "k int, v double")
+    plain, cut = (sorted(map(tuple, percentile.percentile(many, ["k"], "v", "tie_average", buckets=b).collect()), key=repr) for b in (1, 7))
+    assert plain == cut
 
 
 def test_recent_windows(spark):
