@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import math
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_dir, shared_dir, written
 from ..functions.ship import ship
 
+__all__ = ["new_dir", "shared_dir", "written"]  # beside what is defined here
+
 #: Rows that may be broadcast or held by the driver; larger sets take the shuffled way.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python worker handles at once, and entries of its largest cache.
 SLICE_BYTES, CACHE = 4 << 20, 100_000
-_made: list[tuple[SparkSession, str]] = []
 _state: dict = {}
 
 
@@ -54,40 +50,6 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/tallyforge/{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path))
-    return path
-
-
-@atexit.register
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            to = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
-            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
-        except Exception:  # the JVM has gone: a shared mount can still be cleaned, else the store's own rules do it
-            if path.startswith("file:"):
-                shutil.rmtree(os.path.dirname(urlsplit(path).path), ignore_errors=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. Survives lost executors."""
-    path = new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The column as `kind`, or nulls where the table has none of that name."""
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
