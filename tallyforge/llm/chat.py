@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import column, distinct_names, written
 
 
 def escape(text: Column) -> Column:
@@ -93,6 +93,7 @@ def conversations(table: DataFrame) -> DataFrame:
 
     tree is conv_id as text ('null' for null), so that null is a conversation too.
     """
+    table = distinct_names(table)
     rows = table.select(column(table, "conv_id", "long").alias("conv_id"), column(table, "turn", "long").alias("turn"), column(table, "role", "string").alias("role"), column(table, "text", "string").alias("text"))
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
     node = F.row_number().over(W.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")

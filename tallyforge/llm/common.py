@@ -50,6 +50,17 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def distinct_names(df: DataFrame) -> DataFrame:
+    """df, in which of columns whose names differ in case alone, or not at all, the lower-case one, else the first, keeps its name; others get a number."""
+    names, first = list(df.columns), {}
+    for i, c in enumerate(names):
+        if c.lower() not in first or c == c.lower() and names[first[c.lower()]] != c:
+            first[c.lower()] = i
+    if len(first) == len(names):
+        return df
+    return df.toDF(*(c if first[c.lower()] == i else f"{c}_{i}" for i, c in enumerate(names)))
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The column as `kind`, or nulls where the table has none of that name."""
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
@@ -67,6 +78,7 @@ def prepare(spark: SparkSession) -> None:
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id long, text string (null: empty), and the further columns named as strings. Extra columns stay behind."""
     prepare(df.sparkSession)
+    df = distinct_names(df)
     return df.select(
         column(df, "doc_id", "long").alias("doc_id"),
         F.coalesce(column(df, "text", "string"), F.lit("")).alias("text"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column, written
+from .common import BROADCAST_ROWS, column, distinct_names, written
 
 #: Words: runs of anything but a space and the characters 9 to 13.
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -61,6 +61,7 @@ def mix(docs: DataFrame, weights: int = 3, epochs: int = 3, bucket_rows: int = 8
     rows are further documents, in one order or the other, which makes no
     difference to the result's rows. Empty tables give no rows.
     """
+    docs = distinct_names(docs)
     text, source, doc = column(docs, "text", "string"), column(docs, "source", "string"), column(docs, "doc_id", "long")
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("doc_id"), source.alias("source"), words(text).alias("size"), random_key(doc, seed).alias("key"))
     thin = written(base.drop("row"), "sizes")
@@ -102,6 +103,7 @@ def mixed(docs: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
 
     Documents of which nothing is taken go. n_chars, where docs has it, follows the cut text.
     """
+    docs = distinct_names(docs)
     found = mix(docs, weights, epochs)
     cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
     full = F.when((F.col("part") > 0) & ~cut, F.col("whole") + 1).otherwise(F.col("whole"))

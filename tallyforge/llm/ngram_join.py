@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, CACHE, column, components, dealing, documents, held, roots, slices, tidy, units, written
+from .common import BROADCAST_ROWS, CACHE, column, components, dealing, distinct_names, documents, held, roots, slices, tidy, units, written
 
 #: Shingles that a task meets at once.
 GROUP = 3_000_000
@@ -489,6 +489,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows that share an id go or stay together, and go only if none of them has
     its own id as component; of such rows with equal texts one stays.
     """
+    docs = distinct_names(docs)
     found = written(link(docs, width, percent), "linked")
     by_id = written(found.groupBy("doc_id").agg(F.max(F.coalesce(F.col("component_id").eqNullSafe(F.col("doc_id")), F.lit(True))).alias("stays"), F.count("*").alias("rows")), "stays")
     gone = by_id.where("not stays").select(F.col("doc_id").alias("_id"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, CACHE, column, crc32_mod, documents, held, slices, tidy, written
+from .common import BROADCAST_ROWS, CACHE, column, crc32_mod, distinct_names, documents, held, slices, tidy, written
 
 #: Tasks that read the examples.
 TASKS = 8
@@ -284,6 +284,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = 4_000, features: i
     """
     docs = documents(docs)
     spark = docs.sparkSession
+    labels = distinct_names(labels)
     given = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "toxic", "int").alias("toxic"))
     given = given.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = given.where(crc32_mod("doc_id", 5) != 0)
@@ -310,7 +311,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows that share an id go together if one of them is predicted toxic.
     """
     found = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    toxic = written(found, "toxic")
+    docs, toxic = distinct_names(docs), written(found, "toxic")
     few = toxic.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(toxic) if few else toxic, column(docs, "doc_id", "long").eqNullSafe(F.col("_id")), "left_anti")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, prepare, written
+from .common import column, distinct_names, prepare, written
 
 #: Vectors in a leaf, and queries that walk a tree together.
 LEAF, TOGETHER = 128, 1024
@@ -199,6 +199,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 1.0
     count once. Empty tables give no rows; further columns are left out.
     """
     prepare(vectors.sparkSession)
+    vectors = distinct_names(vectors)
     rows = vectors.select(column(vectors, "vec_id", "long").alias("vec_id"), column(vectors, "embedding", "array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("size", F.size("vector"))
     shards = written(rows.groupBy("size").agg(F.ceil(F.count("*") / shard_rows).alias("shards")).withColumnRenamed("size", "_size"), "shards")

@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column, new_dir, prepare, slices, written
+from .common import BROADCAST_ROWS, column, distinct_names, new_dir, prepare, slices, written
 
 #: Captures in a block of the index.
 BLOCK = 3000
@@ -91,6 +91,7 @@ def decided(pages: DataFrame, least: int = 1000) -> DataFrame:
     largest page_id is a response and the others revisit it. Digests are
     counted with partial sums; only those that occur again are joined back.
     """
+    pages = distinct_names(pages)
     rows = pages.select(column(pages, "page_id", "long").alias("page_id"), column(pages, "url", "string").alias("url"), F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
     again = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1")

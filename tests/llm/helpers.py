@@ -26,7 +26,7 @@ def awkward():
 
 
 def frame(spark, rows=None):
-    return spark.createDataFrame(awkward() if rows is None else rows, SCHEMA).selectExpr("*", "'own' as size", "1 as _key", "2 as component_id")
+    return spark.createDataFrame(awkward() if rows is None else rows, SCHEMA).selectExpr("*", "'own' as size", "1 as _key", "2 as component_id", "'other' as TEXT", "9 as Doc_Id")
 
 
 def empty(spark):
