@@ -16,6 +16,10 @@ STATUSES = {
     "FT": "finished", "AET": "finished", "PEN": "finished", "1H": "live", "HT": "live", "2H": "live", "ET": "live", "BT": "live", "P": "live", "SUSP": "live", "INT": "live", "LIVE": "live",
     "PST": "postponed", "CANC": "cancelled", "ABD": "abandoned", "TBD": "scheduled", "NS": "scheduled",
 }
+#: Codes of an event that is over, and of one that isn't; of others neither is known.
+OVER, NOT_OVER = ("FT", "AET", "PEN"), ("NS", "1H", "HT", "2H", "ET", "BT")
+#: Names of an event's statistics that are admitted, and their metric.
+EVENT_STATS = {"Shots on Goal": "shots_on_target", "Total Shots": "shots_total", "Blocked Shots": "blocked_shots", "Shots insidebox": "shots_inside_box"}
 #: The results file's columns of home and away, and their metric.
 RESULT_PAIRS = (("HS", "AS", "shots_total"), ("HST", "AST", "shots_on_target"), ("HF", "AF", "fouls"), ("HC", "AC", "corners"), ("HY", "AY", "yellow_cards"), ("HR", "AR", "red_cards"))
 
@@ -114,11 +118,37 @@ def event_json(spark: SparkSession, path: str) -> DataFrame:
     """match_id, date, home_team, away_team, scores and finished (null where the status says neither) of a list of events."""
     raw = spark.read.schema("events array<struct<idEvent:string,dateEvent:string,strHomeTeam:string,strAwayTeam:string,intHomeScore:string,intAwayScore:string,strStatus:string>>").option("multiLine", True).json(path)
     e = raw.select(F.explode("events").alias("e")).select("e.*")
-    code = F.upper(F.trim("strStatus"))
-    finished = F.when(code.isin("MATCH FINISHED", "FT", "AET", "PEN", "FINISHED"), True).when(code.isin("NOT STARTED", "NS", "POSTPONED", "CANCELLED", "1H", "HT", "2H"), False)
+    code = F.trim("strStatus")
+    finished = F.when(code.isin(*OVER), True).when(code.isin(*NOT_OVER), False)
     return e.select(F.col("idEvent").alias("match_id"), F.try_to_timestamp("dateEvent", F.lit("yyyy-MM-dd")).cast("date").alias("date"), F.col("strHomeTeam").alias("home_team"), F.col("strAwayTeam").alias("away_team"), lenient_int(F.col("intHomeScore")).alias("home_score"), lenient_int(F.col("intAwayScore")).alias("away_score"), finished.alias("finished"))
 
 
+def event_stats_json(spark: SparkSession, path: str) -> DataFrame:
+    """match_id, side, metric, value of events' statistics that the list admits; others, and values that are no numbers, go."""
+    raw = spark.read.schema("eventstats array<struct<idEvent:string,strStat:string,intHome:string,intAway:string>>").option("multiLine", True).json(path)
+    e = raw.select(F.explode("eventstats").alias("e")).select("e.*")
+    metric = F.try_element_at(F.create_map(*(F.lit(x) for p in EVENT_STATS.items() for x in p)), F.trim("strStat"))
+    rows = e.select(F.col("idEvent").alias("match_id"), metric.alias("metric"), F.inline(F.array(F.struct(F.lit("home").alias("side"), lenient_int(F.col("intHome")).alias("value")), F.struct(F.lit("away").alias("side"), lenient_int(F.col("intAway")).alias("value")))))
+    return rows.where("metric is not null and value is not null").select("match_id", "side", "metric", "value")
+
+
+def lineup_json(spark: SparkSession, path: str) -> DataFrame:
+    """match_id, team_id, player_id, name, position, shirt_number and started (null where it isn't said)."""
+    raw = spark.read.schema("lineup array<struct<idEvent:string,idTeam:string,idPlayer:string,strPlayer:string,strPosition:string,strSubstitute:string,intSquadNumber:string>>").option("multiLine", True).json(path)
+    p = raw.select(F.explode("lineup").alias("p")).select("p.*").where("idPlayer is not null and trim(idPlayer) <> ''")
+    substitute = F.lower(F.trim("strSubstitute"))
+    return p.select(F.col("idEvent").alias("match_id"), F.col("idTeam").alias("team_id"), F.col("idPlayer").alias("player_id"), F.col("strPlayer").alias("name"), F.nullif(F.trim("strPosition"), F.lit("")).alias("position"), lenient_int(F.col("intSquadNumber")).alias("shirt_number"), F.when(substitute == "no", True).when(substitute == "yes", False).alias("started"))
+
+
+def match_json(spark: SparkSession, path: str) -> DataFrame:
+    """match_id, kickoff_at, home_team, away_team, status and the full-time score (both or neither) of a list of matches."""
+    side, score = "struct<id:bigint,name:string>", "struct<fullTime:struct<home:int,away:int>>"
+    raw = spark.read.schema(f"matches array<struct<id:bigint,utcDate:string,status:string,homeTeam:{side},awayTeam:{side},score:{score}>>").option("multiLine", True).json(path)
+    m = raw.select(F.explode("matches").alias("m")).select("m.*").where("id is not null")
+    both = F.col("score.fullTime.home").isNotNull() & F.col("score.fullTime.away").isNotNull()
+    return m.select(F.col("id").alias("match_id"), utc_timestamp(F.col("utcDate")).alias("kickoff_at"), F.col("homeTeam.name").alias("home_team"), F.col("awayTeam.name").alias("away_team"), "status", F.when(both, F.col("score.fullTime.home")).alias("home_score"), F.when(both, F.col("score.fullTime.away")).alias("away_score"))
+
+
 def competition_json(spark: SparkSession, path: str) -> DataFrame:
     """code, name and season of a list of competitions."""
     raw = spark.read.schema("competitions array<struct<code:string,name:string,currentSeason:struct<startDate:string,endDate:string>>>").option("multiLine", True).json(path)

@@ -50,8 +50,14 @@ def test_league_files(spark, tmp_path):
     league = [{"matchID": 5, "matchDateTimeUTC": "2024-08-01T18:30:00Z", "matchIsFinished": True, "team1": {"teamName": "A"}, "team2": {"teamName": "B"}, "matchResults": [{"resultTypeKind": "HALF", "pointsTeam1": 1, "pointsTeam2": 0}, {"resultTypeKind": "Final", "pointsTeam1": 3, "pointsTeam2": 2}]}]
     r = feeds.league_json(spark, put(tmp_path / "l.json", league)).head()
     assert (r.home_score, r.away_score, r.kickoff_at) == (3, 2, dt.datetime(2024, 8, 1, 18, 30))
-    events = {"events": [{"idEvent": str(i), "dateEvent": "2024-08-01", "strHomeTeam": "A", "strAwayTeam": "B", "intHomeScore": "2", "intAwayScore": None, "strStatus": s} for i, s in enumerate(("Match Finished", "NS", "??", None))]}
+    events = {"events": [{"idEvent": str(i), "dateEvent": "2024-08-01", "strHomeTeam": "A", "strAwayTeam": "B", "intHomeScore": "2", "intAwayScore": None, "strStatus": s} for i, s in enumerate(("FT", "NS", "??", None))]}
     assert [r.finished for r in feeds.event_json(spark, put(tmp_path / "e.json", events)).orderBy("match_id").collect()] == [True, False, None, None]
+    stats = {"eventstats": [{"idEvent": "1", "strStat": "Total Shots", "intHome": "9", "intAway": None}, {"idEvent": "1", "strStat": "Hair", "intHome": "1", "intAway": "1"}]}
+    assert [tuple(r) for r in feeds.event_stats_json(spark, put(tmp_path / "st.json", stats)).collect()] == [("1", "home", "shots_total", 9)]
+    lineup = {"lineup": [{"idEvent": "1", "idTeam": "2", "idPlayer": str(i), "strPlayer": "N", "strSubstitute": v, "intSquadNumber": "7"} for i, v in enumerate(("No", "Yes", None))] + [{"idPlayer": " "}]}
+    assert [(r.started, r.shirt_number) for r in feeds.lineup_json(spark, put(tmp_path / "li.json", lineup)).orderBy("player_id").collect()] == [(True, 7), (False, 7), (None, 7)]
+    games = {"matches": [{"id": 1, "utcDate": "2024-08-01T18:00:00Z", "status": "FINISHED", "homeTeam": {"name": "A"}, "awayTeam": {"name": "B"}, "score": {"fullTime": {"home": 1, "away": 0}}}, {"id": 2, "score": {"fullTime": {"home": 1}}}, {}]}
+    assert [(r.match_id, r.home_score, r.away_score) for r in feeds.match_json(spark, put(tmp_path / "ma.json", games)).orderBy("match_id").collect()] == [(1, 1, 0), (2, None, None)]
     c = feeds.competition_json(spark, put(tmp_path / "c.json", {"competitions": [{"code": "PL", "name": "P", "currentSeason": {"startDate": "2024-08-01", "endDate": "2025-05-25"}}, {"code": None}]})).collect()
     assert [(r.code, r.season) for r in c] == [("PL", "2024-2025")]
 
