@@ -2,34 +2,72 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE, documents, held, slices, tidy
-from .tokens import SPECIAL, _other, encoder
+from .tokens import SPECIAL, encoder
 
 _special = next(iter(SPECIAL))
+#: Pre-tokens longer than this many bytes are encoded without being kept in the cache.
+KEPT_BYTES = 256
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> str:
+    """A regex class of the characters that have no category here: two Unicode versions may class only these apart (a test compares all others)."""
+    spans: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
+
+
+@lru_cache(maxsize=2)
+def splitter(path: str | None) -> Callable[[str], list[str]]:
+    """A function from a text without special strings to its pieces: pre-tokens as the vocabulary's pattern cuts them.
+
+    A word with an unassigned character is a piece of its own, together with
+    the white space before it, for the library to cut: no pre-token runs from
+    anything else into white space, so nothing beside it depends on it.
+    """
+    findall, odd = regex.compile(encoder(path).pattern).findall, regex.compile(unassigned())
+    word = regex.compile(r"\s*+\S+")
 
+    def split(text: str) -> list[str]:
+        if text.isascii() or odd.search(text) is None:
+            return findall(text)
+        pieces, at = [], 0
+        for found in word.finditer(text):
+            if odd.search(text, *found.span()):
+                pieces += findall(text[at : found.start()])
+                pieces.append(found.group())
+                at = found.end()
+        return pieces + findall(text[at:])
 
-def _split(path: str | None):
-    """A function from a text without special strings to its pre-tokens, as the vocabulary's own pattern cuts it."""
-    return regex.compile(encoder(path).pattern).findall
+    return split
 
 
 def _frequent(path: str | None, most: int):
-    """The most frequent pre-tokens of a task's texts, `most` of them at most."""
+    """The most frequent pieces of a task's texts, `most` of them at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = _split(path), Counter()
+        split, seen = splitter(path), Counter()
         for part in slices(batches):
             for text in part.column("text").to_pylist():
-                if not _other.search(text):
-                    seen.update(p for s in text.split(_special) for p in split(s))
+                seen.update(p for s in text.split(_special) for p in split(s) if len(p) <= KEPT_BYTES // 4)
             if len(seen) > 8 * most:
                 seen = Counter(dict(seen.most_common(4 * most)))
         best = seen.most_common(most)
@@ -39,9 +77,9 @@ def _frequent(path: str | None, most: int):
 
 
 class Lengths(dict):
-    """Second tier: lengths of pre-tokens that the table doesn't have, encoded once while the cache holds them."""
+    """Second tier: lengths of pieces that the table doesn't have, encoded once while the cache holds them."""
 
-    def __init__(self, table: dict, length):
+    def __init__(self, table: dict, length: Callable[[str], int]):
         super().__init__()
         self.table, self.length = table, length
 
@@ -49,6 +87,8 @@ class Lengths(dict):
         n = self.table.get(piece)
         if n is None:
             n = self.length(piece)
+            if len(piece) > KEPT_BYTES // 4:  # seldom met again, and the cache is bounded in bytes too
+                return n
             if len(self) >= CACHE:  # full: start anew
                 self.clear()
         self[piece] = n
@@ -57,19 +97,19 @@ class Lengths(dict):
 
 def _count(path: str | None, table):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, split = encoder(path), _split(path)
-        value = table.value
-        length = held("token_counts", value, lambda: Lengths(dict(zip(*value, strict=True)), coder.length)).__getitem__
+        coder, value = encoder(path), table.value
+        if coder.pieces:
+            split = splitter(path)
+            length = held("token_counts", value, lambda: Lengths(dict(zip(value[0], np.frombuffer(value[1], np.uint32).tolist(), strict=True)), coder.piece_length)).__getitem__
+
+            def count(text: str) -> int:
+                runs = text.split(_special)
+                return len(runs) - 1 + sum(sum(map(length, split(s))) for s in runs)
+        else:
+            count = coder.length
         for part in slices(batches):
-            counts, sizes = [], []
-            for text in part.column("text").to_pylist():
-                sizes.append(len(text.encode()))
-                if _other.search(text):
-                    counts.append(coder.length(text))
-                else:
-                    runs = text.split(_special)
-                    counts.append(len(runs) - 1 + sum(sum(map(length, split(s))) for s in runs))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+            texts = part.column("text").to_pylist()
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array([count(t) for t in texts], pa.int64())})
 
     return tidy(run)
 
@@ -78,25 +118,26 @@ def count_tokens(docs: DataFrame, path: str | None = None, table_size: int = 50_
     """doc_id, n_bytes (UTF-8) and n_tokens of every whole text, as the tokenizers library counts them.
 
     The first tier is a broadcast table of the lengths of at most `table_size`
-    frequent pre-tokens. It is a cache's first filling, taken from about
-    `sample_docs` documents drawn by hash, and bears on speed alone: what it
-    lacks is encoded and kept in the worker's bounded cache. No pre-token of
-    the documents is shuffled. Texts with characters for which the pattern's
-    library might differ from the tokenizer's own are encoded whole.
+    frequent pre-tokens of at most 64 characters. It is a cache's first filling,
+    taken from about `sample_docs` documents drawn by hash, and bears on speed
+    alone: what it lacks is encoded and kept in the worker's bounded cache. No
+    pre-token of the documents is shuffled. Texts of every script take this way;
+    only words with a character that has no Unicode category are cut by the
+    library itself, and they are cached too. A vocabulary (`path`) other than
+    byte_bpe_50k.json has another pattern: its texts are encoded whole.
 
     Null and empty texts have 0; null ids and repeated rows stay as they are;
     empty tables give no rows; further columns are left out.
     """
     docs = documents(docs)
-    spark, n = docs.sparkSession, docs.count()
-    tasks = 4
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(min(1, sample_docs / max(n, 1)) * 1_000_000)
+    spark, coder = docs.sparkSession, encoder(path)
     seen: Counter = Counter()
-    for row in docs.where(drawn).select("text").repartition(tasks).mapInArrow(_frequent(path, table_size), "piece string, n long").toLocalIterator():
-        seen[row.piece] += row.n
+    if coder.pieces:
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(min(1, sample_docs / max(docs.count(), 1)) * 1_000_000)
+        for row in docs.where(drawn).select("text").repartition(4).mapInArrow(_frequent(path, table_size), "piece string, n long").toLocalIterator():
+            seen[row.piece] += row.n
     pieces = [p for p, _ in seen.most_common(table_size)]
-    coder = encoder(path)
-    table = spark.sparkContext.broadcast((pieces, bytes(min(coder.length(p), 255) for p in pieces) if all(len(p) < 200 for p in pieces) else [coder.length(p) for p in pieces]))
+    table = spark.sparkContext.broadcast((pieces, np.array([coder.piece_length(p) for p in pieces], np.uint32).tobytes()))
     return docs.mapInArrow(_count(path, table), "doc_id long, n_bytes long, n_tokens long")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +34,13 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.pattern = public_tokenizers.PATTERN
-        self.fast = None
+        self.fast = self.pieces = None
         ranked = path.removesuffix(".json") + ".tiktoken"
         if path.endswith("byte_bpe_50k.json") and os.path.exists(ranked):
             with open(ranked, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("bytes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+            self.pieces = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and _other.search(text) is None:
@@ -48,6 +50,12 @@ class Encoder:
     def length(self, text: str) -> int:
         return len(self.encode(text))
 
+    def piece_length(self, piece: str) -> int:
+        """Tokens of one pre-token; a piece with a character that the pattern's library might class apart is left to the tokenizers library."""
+        if len(piece) > 1 and not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+            return len(self.library.encode(piece, add_special_tokens=False).ids)
+        return len(self.pieces.encode_ordinary(piece))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> Encoder:

@@ -1,6 +1,8 @@
 """Packing, mixing, media, token counts and the n-gram join over awkward rows, against plain versions."""
 
 import hashlib
+import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,6 +34,20 @@ def test_tokens_equal_the_library(library):
         assert coder.encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_pieces_of_every_character(library):
+    """The pattern here cuts every assigned character as the library does, and odd words are left to it."""
+    split = token_counts.splitter(None)
+    for block in range(0, 0x110000, 8192):
+        own = [chr(c) for c in range(block, block + 8192) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+        text = "".join(f"x{c}9{c}!{c}  {c} \n{c}" for c in own)
+        assert split(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+    coder, rng = Encoder(), random.Random(5)
+    odd = ["\u0558", "\U0003d000", "\U000187f8", "\U00010940"]
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "é", "中", "🎉", "9", " ", "  ", "\n", "\u3000", "'s", "€", *odd]) for _ in range(rng.randint(0, 40)))
+        assert sum(map(coder.piece_length, split(text))) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 200):
@@ -112,13 +128,24 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
-def test_token_counts(spark, library):
-    rows = token_counts.count_tokens(frame(spark), table_size=50, sample_docs=20).collect()
-    want = Counter((d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in awkward())
-    assert Counter(map(tuple, rows)) == want
+@pytest.mark.parametrize("table_size", [50, 50_000, 0])
+def test_token_counts(spark, library, table_size):
+    runs = [c * n for c in ("\u2030", "\u023f", "€", "中", "🎉", "я", "\u0558", " ", "a", "!") for n in (150, 199, 255, 256, 600)]
+    mixed = ["a € b 中文字符 и слово 🎉🎉 x", "\n\n  \u0558x y\u0558 \n \u3000中", "w" * 3000 + " \u0558", "<|endoftext|>€<|endoftext|>"]
+    rows = awkward() + [(1000 + i, t, "en", "a", 1) for i, t in enumerate(runs + mixed)]
+    found = token_counts.count_tokens(frame(spark, rows), table_size=table_size, sample_docs=2000).collect()
+    want = Counter((d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in found) == want
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+def test_token_counts_of_another_vocabulary(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    found = token_counts.count_tokens(frame(spark), path=path).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((d, len(other.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in awkward())
+
+
 def test_media_round_trip(spark):
     rows = media.tiles(media.as_pgm(frame(spark)), payload=True).collect()
     want = Counter()
