@@ -178,13 +178,34 @@ def test_nearest_vectors(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one_hot", "length_1", "collinear", "signs"])
+def test_nearest_with_many_ties(spark, kind):
+    rng = np.random.default_rng(12)
+    rows = {
+        "one_hot": [(i, np.eye(40)[i].tolist()) for i in range(40)],
+        "length_1": [(i, [float(rng.choice([-2.0, 1.0, 3.0]))]) for i in range(120)],
+        "collinear": [(i, [float(1 + i % 7), 0.0, 0.0]) for i in range(150)] + [(200 + i, [0.0, 1.0, float(i % 2)]) for i in range(60)],
+        "signs": [(i, rng.choice([-1.0, 1.0], 4).tolist()) for i in range(300)],
+    }[kind]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (16, 10_000):
+        found = vptree.nearest(df, F.col("vec_id") % 10 == 0, shard_rows=shard_rows).collect()
+        want = set()
+        for q, a in rows:
+            if q % 10 == 0:  # as the query computes them, in the order of components
+                others = [(c, float(vptree.cosines(np.array([a]), np.array([b]))[0])) for c, b in rows if c != q]
+                want |= {(q, n + 1, c, s) for n, (c, s) in enumerate(sorted(others, key=lambda x: (-x[1], x[0]))[:5])}
+        assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == want
+
+
 def test_pruning_factor():
     rng = np.random.default_rng(11)
     points = rng.normal(size=(3000, 8)) + 4 * rng.integers(0, 4, (3000, 1))
-    tree, q = vptree.Tree(points), rng.normal(size=(50, 8)) + 2
+    tree, q = vptree.Tree(points, [np.array([i]) for i in range(3000)]), rng.normal(size=(50, 8)) + 2
     none = np.full(50, -1)
     cos = (q @ points.T) / np.linalg.norm(points, axis=1)
     want = np.argsort(-cos, axis=1)[:, :5]
-    assert (tree.search(q, 5, 1.0, none) == want).all()
-    loose = tree.search(q, 5, 3.0, none)
+    assert (tree.search(q, none, 5, 1.0).id == want).all()
+    assert tree.visited < 0.9 * 50 * 3000  # sides are left out, and the result is exact
+    loose = tree.search(q, none, 5, 3.0).id
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(loose, want, strict=True)]) > 0.5
