@@ -1,4 +1,10 @@
-"""WARC archives and a two-level capture index: sorted URL keys in compressed blocks, a sparse directory, range reads."""
+"""WARC archives and a two-level capture index: sorted URL keys in compressed blocks, a sparse directory, range reads.
+
+The directory has each block's first and last key. It is cut into pages, of
+which the driver broadcasts only the ends: that is a few hundred bytes for some
+millions of captures, whatever the length of a URL. A lookup searches the ends,
+then the page, then the block, each by bisection, and then reads byte ranges.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +22,14 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, column, distinct_names, new_dir, prepare, slices, written
 
-#: Captures in a block of the index.
-BLOCK = 3000
+#: Captures in a block of the index, blocks in a page of the directory, and characters of a key that the directory keeps.
+BLOCK, PAGE, CUT = 3000, 1000, 256
 #: A new archive file begins when the last has so many bytes.
 FILE_BYTES = 256 << 20
 _CAPTURES = "key string, page_id long, file string, offset long, length long"
@@ -34,14 +41,21 @@ def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
 def url_key(url: str | None) -> str:
-    """The URL with its host reversed and without scheme, www and fragment: com,example)/path?query. Unreadable URLs: in lower case."""
+    """The URL with its host reversed and without scheme, www and fragment: com,example)/path?query.
+
+    URLs that can't be parted are taken whole. All are in lower case, without control characters.
+    """
+    url = _CONTROL.sub("", url or "").strip()
     try:
-        parts = urlsplit((url or "").strip())
+        parts = urlsplit(url)
         host = (parts.hostname or "").removeprefix("www.")
         port = f":{parts.port}" if parts.port and parts.port not in (80, 443) else ""
     except ValueError:
-        return (url or "").strip().lower()
+        return url.lower()
     return f"{','.join(reversed(host.split('.')))}{port}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
 
 
@@ -49,8 +63,9 @@ def record_id(page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page}')}>"
 
 
-def _clean(value: str) -> str:
-    return re.sub(r"[\r\n\x00]+", " ", value)
+def _clean(url: str) -> str:
+    """The URL as a header can carry it: control characters as percent signs and two digits."""
+    return _CONTROL.sub(lambda c: f"%{ord(c[0]):02X}", url)
 
 
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
@@ -126,39 +141,58 @@ def _write(folder: str):
     return run
 
 
+_INDEX = "kind int, id long, first string, last string, captures long, data binary"
+
+
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted captures as blocks: the first and last keys, the number, and the compressed lines."""
+    """Sorted captures as blocks (kind 0: compressed lines) and pages of the directory (kind 1: compressed ends of their blocks), numbered in order of keys."""
     held: list[tuple] = []
-
-    def block() -> pa.RecordBatch:
-        lines = "\n".join(f"{key} {json.dumps([page, file, offset, length], separators=(',', ':'))}" for key, page, file, offset, length in held)
-        out = pa.record_batch({"first": pa.array([held[0][0]]), "last": pa.array([held[-1][0]]), "captures": pa.array([len(held)], pa.int64()), "block": pa.array([zlib.compress(lines.encode("utf-8", "surrogatepass"))], pa.binary())})
+    ends: list[tuple] = []
+    at = TaskContext.get().partitionId() << 32
+
+    def row(kind: int, number: int, first: str, last: str, captures: int, lines: list) -> pa.RecordBatch:
+        data = zlib.compress("\n".join(json.dumps(x, separators=(",", ":")) for x in lines).encode())
+        values = (kind, number, first[:CUT], last[:CUT], captures, data)
+        return pa.record_batch([pa.array([x], t) for x, t in zip(values, (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["kind", "id", "first", "last", "captures", "data"])
+
+    def block() -> Iterator[pa.RecordBatch]:
+        nonlocal at
+        yield row(0, at, held[0][0], held[-1][0], len(held), held)
+        ends.append((at, held[0][0][:CUT], held[-1][0][:CUT], len(held)))
         held.clear()
-        return out
+        at += 1
+        if len(ends) == PAGE:
+            yield from page()
+
+    def page() -> Iterator[pa.RecordBatch]:
+        yield row(1, ends[0][0], ends[0][1], ends[-1][2], sum(e[3] for e in ends), [e[:3] for e in ends])
+        ends.clear()
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True):
-            held.append(row)
+        for capture in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True):
+            held.append(capture)
             if len(held) == BLOCK:
-                yield block()
+                yield from block()
     if held:
-        yield block()
+        yield from block()
+    if ends:
+        yield from page()
+
 
+def read_lines(data: bytes) -> list[tuple]:
+    """A block's captures (key, page_id, file, offset, length), or a page's blocks (id, first, last), in order."""
+    return [tuple(json.loads(line)) for line in zlib.decompress(data).decode().split("\n")]
 
-def read_block(block: bytes) -> list[tuple]:
-    """(key, page_id, file, offset, length) of a block's captures, in order."""
-    out = []
-    for line in zlib.decompress(block).decode("utf-8", "surrogatepass").split("\n"):
-        key, _, rest = line.rpartition(" ")
-        out.append((key, *json.loads(rest)))
-    return out
+
+def _capture_batch(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.record_batch([pa.array(x, k) for x, k in zip(c, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
 
 
 def _captures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in batch.column("block").to_pylist():
-            c = list(zip(*read_block(block), strict=True))
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(c, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
+        for data in batch.column("data").to_pylist():
+            yield _capture_batch(read_lines(data))
 
 
 _KINDS = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
@@ -197,42 +231,51 @@ def _read(folder: str, payload: bool):
 
 
 class Archive:
-    """Archive files in `folder` and the index over them: blocks (first, last, captures, block) in order of keys."""
-
-    def __init__(self, spark: SparkSession, folder: str, blocks: DataFrame):
-        self.spark, self.folder, self.blocks = spark, folder, blocks
+    """Archive files in `folder` and the index over them: blocks of captures and pages of their directory, in order of keys."""
 
-    def directory(self) -> DataFrame:
-        """The sparse level: each block's first and last key."""
-        return self.blocks.select("first", "last", "captures")
+    def __init__(self, spark: SparkSession, folder: str, index: DataFrame):
+        self.spark, self.folder = spark, folder
+        self.blocks, self.pages = index.where("kind = 0").drop("kind"), index.where("kind = 1").drop("kind")
 
     def captures(self) -> DataFrame:
         """All captures of the index."""
-        return self.blocks.select("block").mapInArrow(_captures, _CAPTURES)
+        return self.blocks.select("data").mapInArrow(_captures, _CAPTURES)
 
-    def records(self, payload: bool = False) -> DataFrame:
-        """All records, found by the index and read by file and offset."""
+    def _records(self, captures: DataFrame, payload: bool) -> DataFrame:
         kinds = _RECORD if payload else _RECORD.removesuffix(", payload binary")
-        ordered = self.captures().select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+        ordered = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
         return ordered.mapInArrow(_read(self.folder, payload), kinds)
 
-    def lookup(self, urls: DataFrame, payload: bool = True) -> DataFrame:
-        """Records of the captures whose key is that of one of urls (url string).
+    def records(self, payload: bool = False) -> DataFrame:
+        """All records, found by unpacking the whole index and read by file and offset."""
+        return self._records(self.captures(), payload)
+
+    def find(self, urls: DataFrame) -> DataFrame:
+        """The captures whose key is that of one of urls (url string), each once.
 
-        The directory is searched first and only blocks that may hold a key are
-        read. The directory is broadcast if it is small; else it is joined by range.
+        The keys search the broadcast ends of the directory's pages, meet the
+        pages that may hold them, and then the blocks that may; a page or block
+        is unpacked once for all keys that come to it, and a key that runs over
+        several blocks goes to each of them. Null urls have the empty url's key;
+        urls that were never captured find nothing.
         """
-        keys = urls.select(F.col("url")).mapInArrow(_keys, "key string").distinct()
-        if self.blocks.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10:
-            rows = sorted((r.first, r.last) for r in self.directory().collect())
-            directory = self.spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-            wanted = keys.mapInArrow(_search(directory), "key string, _first string, _last string")
-            found = wanted.join(self.blocks, (F.col("_first") == F.col("first")) & (F.col("_last") == F.col("last"))).select("key", "block")
-        else:
-            found = keys.join(self.blocks, (F.col("first") <= F.col("key")) & (F.col("key") <= F.col("last"))).select("key", "block")
-        spots = found.distinct().mapInArrow(_within, _CAPTURES).distinct()
-        kinds = _RECORD if payload else _RECORD.removesuffix(", payload binary")
-        return spots.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_read(self.folder, payload), kinds)
+        ends = sorted((r.id, r.first, r.last) for r in self.pages.select("id", "first", "last").collect())
+        top = self.spark.sparkContext.broadcast(ends)
+        urls = distinct_names(urls)
+        keys = urls.select(column(urls, "url", "string").alias("url")).distinct().mapInArrow(_keys, "key string").distinct()
+        to_pages = keys.mapInArrow(_search(top), "id long, key string")
+        to_blocks = self._met(to_pages, self.pages).mapInArrow(_in_page, "id long, key string")
+        return self._met(to_blocks, self.blocks).mapInArrow(_in_block, _CAPTURES)
+
+    @staticmethod
+    def _met(keys: DataFrame, level: DataFrame) -> DataFrame:
+        """Each page or block, followed by the keys that come to it in their order."""
+        both = level.select("id", F.lit(None).cast("string").alias("key"), "data").union(keys.select("id", "key", F.lit(None).cast("binary").alias("data")))
+        return both.repartition("id").sortWithinPartitions("id", F.col("key").asc_nulls_first())
+
+    def lookup(self, urls: DataFrame, payload: bool = True) -> DataFrame:
+        """Records of the captures that find() finds, read by file and offset. An empty archive or no urls: no rows."""
+        return self._records(self.find(urls), payload)
 
 
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,28 +283,63 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())})
 
 
-def _search(directory):
-    """Blocks that may hold each key, by binary search; a key may run over several blocks."""
+def within(first: list[str], last: list[str], key: str) -> range:
+    """Of spans in order of keys, ends cut, those that may hold the key: a bisection on either side."""
+    return range(bisect.bisect_left(last, key[:CUT]), bisect.bisect_right(first, key[:CUT]))
+
+
+def _routed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch({"id": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.string())})
+
+
+def _search(top):
+    """The directory's pages that may hold each key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = directory.value
+        ids, first, last = ([e[i] for e in top.value] for i in range(3))
         for batch in batches:
-            rows = [(k, first[i], last[i]) for k in batch.column("key").to_pylist() for i in range(bisect.bisect_left(last, k), bisect.bisect_right(first, k))]
-            yield pa.record_batch({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(("key", "_first", "_last"))})
+            yield _routed([(ids[i], k) for k in batch.column("key").to_pylist() for i in within(first, last, k)])
 
     return run
 
 
-def _within(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A key's captures in a block, by binary search."""
+def _by_id(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple] | None, str]]:
+    """(lines, key) for each key; the lines are unpacked when their first key comes."""
+    data = lines = None
     for batch in batches:
-        rows = []
-        for key, block in zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            own = read_block(block)
-            keys = [x[0] for x in own]
-            rows += own[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-        c = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.record_batch([pa.array(x, k) for x, k in zip(c, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
+        for key, own in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if own is not None:
+                data, lines = own, None
+                continue
+            if lines is None:
+                lines = read_lines(data)
+            yield lines, key
+
+
+def _in_page(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a page that may hold each key."""
+    rows, page, first, last = [], None, [], []
+    for lines, key in _by_id(batches):
+        if lines is not page:
+            page, first, last = lines, [x[1] for x in lines], [x[2] for x in lines]
+        rows += [(page[i][0], key) for i in within(first, last, key)]
+        if len(rows) >= 4096:
+            yield _routed(rows)
+            rows = []
+    yield _routed(rows)
+
+
+def _in_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key's captures in a block."""
+    rows, block, keys = [], None, []
+    for lines, key in _by_id(batches):
+        if lines is not block:
+            block, keys = lines, [x[0] for x in lines]
+        rows += block[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+        if len(rows) >= 4096:
+            yield _capture_batch(rows)
+            rows = []
+    yield _capture_batch(rows)
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, least: int = 1000) -> Archive:
@@ -283,11 +361,10 @@ def write_archive(pages: DataFrame, folder: str | None = None, least: int = 1000
     system.create_dir(path, recursive=True)
     captures = written(decided(pages, least).mapInArrow(_write(folder), _CAPTURES), "captures")
     ordered = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    blocks = written(ordered.mapInArrow(_blocks, "first string, last string, captures long, block binary"), "index")
-    return Archive(spark, folder, blocks)
+    return Archive(spark, folder, written(ordered.mapInArrow(_blocks, _INDEX), "index"))
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, read back by the index; see write_archive()."""
-    archive = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """All pages as WARC records, read back by looking up every page's URL; see write_archive() and Archive.find()."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return write_archive(pages).lookup(pages, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
