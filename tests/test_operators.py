@@ -249,3 +249,20 @@ def test_coverage_states(spark):
 def test_confidence_formulas(spark):
     r = spark.range(1).select(entity_scores.team_confidence(F.lit(5), F.lit(0.5), F.lit(6)).alias("a"), entity_scores.evidence_confidence(F.lit(5), F.lit(20), F.lit(0.8)).alias("b"), mesh.crosswalk_confidence(F.lit(3)).alias("c"), mesh.crosswalk_confidence(F.lit(30)).alias("d")).head()
     assert r.a == pytest.approx((1 - math.exp(-1)) * 0.775 * 0.875) and r.b == 0.4 and (r.c, r.d) == (0.75, 0.85)
+
+
+def test_shared_folder_is_never_a_machines_own():
+    from tallyforge.functions.shared import shared_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = Conf({k.replace("_", "."): v for k, v in conf.items()}), type("Context", (), {"applicationId": "app"})
+
+    assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(Session(spark_master="local[4]")).startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(spark_master=master))
