@@ -1,322 +1,352 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine in a block-max inverted index; votes weighted by nearness."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine in a block-max inverted index; votes weighted by nearness.
+
+Every word of the examples is a term. A term's weight is (1 + log times) * idf
+* relevance squared; relevance is log2(2 + a / max(1, c)) for the a toxic
+examples and c clean ones (at equal class sizes) that have it, so that a term
+which marks neither class has but its idf. Votes become shares of toxic
+documents by examples that had no part in idf, relevance or the index: each of
+FOLDS parts of them is voted on by an index of the others.
+"""
 
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, CACHE, column, crc32_mod, distinct_names, documents, held, slices, tidy, written
+from .common import CACHE, column, crc32_mod, distinct_names, documents, held, prepare, slices, tidy, written
 
-#: Tasks that read the examples.
-TASKS = 8
+#: Tasks that read the examples, and parts of the examples for the calibration.
+TASKS, FOLDS = 8, 5
+#: Examples in a block of the index; blocks that are scored first, then twice as many each time.
+BLOCK, FIRST = 32, 4
+#: Weight of the classes' share among the votes, and bins of the calibration.
+PRIOR, BINS = 0.2, 20
 #: Stripped from words' ends.
 _EDGES = ".,;:!?\"'()[]{}<>*_|-"
-_SHAPES = (4, 5, 6)
-#: A term said so often in a text counts as a further term.
-_OFTEN = (1, 2, 4)
 _EVIDENCE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
-
-
-def terms(word: str) -> list[int]:
-    """Hashes of a word and of its first four, five and six letters, of which inflected words keep some."""
-    word = word.strip(_EDGES)
-    return [xxhash.xxh3_64_intdigest(word)] + [xxhash.xxh3_64_intdigest(f"{word[:k]}~") for k in _SHAPES if len(word) > k] if word else []
-
-
-def often(term: int, times: int) -> int:
-    """The hash of a term said at least so many times."""
-    return term ^ (times - 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+_EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
 class _Terms(dict):
-    """word -> its terms, or those of a vocabulary; a bounded cache."""
-
-    def __init__(self, vocabulary: dict[int, int] | None = None):
-        super().__init__()
-        self.vocabulary = vocabulary
-        self.wanted = None if vocabulary is None else {often(t, k) for t in vocabulary for k in _OFTEN}
+    """word -> its term's hash (0: nothing but edges), in a bounded cache."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        found = terms(word)
-        if self.wanted is not None:  # often() undoes itself
-            found = [t for t in found if t in self.wanted]
-        self[word] = out = tuple(found)
-        return out
+        bare = word.strip(_EDGES)
+        self[word] = found = xxhash.xxh3_64_intdigest(bare) if bare else 0
+        return found
+
+
+def counted(text: str, known: _Terms) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, times) of a whole text, terms in order."""
+    words = text.lower().split()
+    terms, times = np.unique(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), return_counts=True)
+    return (terms[1:], times[1:]) if len(terms) and terms[0] == 0 else (terms, times)
 
 
-def counted(text: str, known: _Terms) -> dict[int, int]:
-    """Times of a text's terms, also of those said often; by number where there is a vocabulary."""
-    said = Counter(t for w in text.lower().split() for t in known[w])
-    found = {often(t, k): n for t, n in said.items() for k in _OFTEN if n >= k}
-    return found if known.vocabulary is None else {known.vocabulary[t]: n for t, n in found.items() if t in known.vocabulary}
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start to its end, and their numbers."""
+    many = ends - starts
+    return np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum()), many
 
 
 class Index:
-    """Examples as TF-IDF vectors of unit length, in blocks; for each term its postings and its largest weight in each block."""
-
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: np.ndarray, at: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, block: int = 64):
-        self.vocabulary, self.idf, self.ids, self.labels, self.block = vocabulary, idf, ids, labels, block
-        self.terms = {int(t): i for i, t in enumerate(vocabulary)}
-        order = np.lexsort((rows, at))
-        self.rows, self.weights = rows[order], weights[order]
-        self.starts = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
-        self.blocks = -(-len(ids) // block)
-        self.most = np.zeros((len(vocabulary), max(1, self.blocks)))
-        np.maximum.at(self.most, (at, rows // block), weights)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        own = np.array(sorted(counts), dtype=np.int64)
-        weights = (1 + np.log(np.array([counts[t] for t in own.tolist()], dtype=float))) * self.idf[own]
-        return own, weights / np.sqrt((weights * weights).sum())
-
-    def nearest(self, own: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Examples as TF-IDF vectors of unit length. A term has an entry for each block of examples that has it: its largest weight there, and its postings."""
+
+    FIELDS = ("vocabulary", "weight", "terms", "blocks", "most", "starts", "rows", "weights", "ids", "labels")
+
+    def __init__(self, **arrays: np.ndarray):
+        for name in self.FIELDS:
+            setattr(self, name, arrays[name])
+        self.size = int(self.blocks.max()) + 1 if len(self.blocks) else 0
+
+    def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vocabulary's numbers of the terms that it has, and their weights, of unit length."""
+        if not len(self.vocabulary) or not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == terms
+        own = at[hit]
+        weights = (1 + np.log(times[hit])) * self.weight[own]
+        return own, weights / np.sqrt((weights * weights).sum()) if len(own) else weights
+
+    def nearest(self, own: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with any term in common, ties to the smaller id. Exact.
 
-        Blocks are taken by falling bounds; once a bound is below the k-th
-        cosine so far, no block left can hold a nearer example.
+        A block's bound is the sum of the query's weights times the block's
+        largest ones. Blocks are scored by falling bounds; once a bound is below
+        the k-th cosine so far, no block left can hold a nearer example.
         """
-        bounds = weights @ self.most[own]
-        spans = [(self.rows[a:b], self.weights[a:b]) for a, b in zip(self.starts[own], self.starts[own + 1], strict=True)]
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(scores) == k and bounds[b] < scores[-1] - 1e-12:
-                break
-            first = b * self.block
-            found = np.zeros(self.block)
-            for (at, w), q in zip(spans, weights, strict=True):
-                lo, hi = np.searchsorted(at, (first, first + self.block))
-                found[at[lo:hi] - first] += q * w[lo:hi]
-            hit = np.nonzero(found > 0)[0]
-            new = hit + first
-            if but is not None:
-                hit, new = hit[new != but], new[new != but]
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found[hit]])
+        if not len(own):
+            return rows, scores
+        entries, many = _spans(self.terms[own], self.terms[own + 1])
+        weights, blocks = np.repeat(weights, many), self.blocks[entries]
+        bounds = np.bincount(blocks, weights * self.most[entries], minlength=self.size)
+        order = np.argsort(-bounds, kind="stable")
+        order, done, more = order[: np.searchsorted(-bounds[order], 0)], 0, FIRST
+        while done < len(order):
+            take = order[done : done + more]
+            if len(scores) == k:
+                take = take[bounds[take] >= scores[-1] - 1e-9]
+                if not len(take):
+                    break
+            done, more = done + len(take), 2 * more
+            chosen = np.zeros(self.size, bool)
+            chosen[take] = True
+            mine = chosen[blocks]
+            at = entries[mine]
+            places, many = _spans(self.starts[at], self.starts[at + 1])
+            found = np.bincount(self.rows[places], np.repeat(weights[mine], many) * self.weights[places], minlength=len(self.ids))
+            new = np.nonzero(found)[0]
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found[new]])
             keep = np.lexsort((self.ids[rows], -scores))[:k]
             rows, scores = rows[keep], scores[keep]
         return rows, scores
 
-
-def least(toxic: float) -> float:
-    """The toxic examples that must have a term."""
-    return max(3, 0.004 * toxic)
-
-
-def fit_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], features: int, rates: tuple[float, float]) -> dict[str, np.ndarray]:
-    """Vocabulary, vectors and calibration from examples (id, label, term hashes, counts).
-
-    The vocabulary holds the terms that toxic examples have most beyond the clean
-    ones' share (by the G statistic of document frequencies), `features` at most.
+    def vote(self, own: np.ndarray, weights: np.ndarray, k: int, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """The neighbours' labels weighted by nearness, with a weight of PRIOR on the classes' share."""
+        rows, near = self.nearest(own, weights, k)
+        return float(((near * self.labels[rows]).sum() + PRIOR * prior) / (near.sum() + PRIOR)), rows, near
+
+
+def term_weights(df: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """idf times relevance squared, for terms that df examples have, `toxic` of them toxic ones; n: clean and toxic examples."""
+    clean = (df - toxic) * (n[1] / max(n[0], 1))
+    return np.log((n.sum() + 1) / (df + 0.5)) * np.log2(2 + toxic / np.maximum(1, clean)) ** 2
+
+
+def fit_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
+    """The index of examples (id, label, terms, times). Neighbouring rows share their heaviest common term, so that blocks are alike."""
+    n = np.bincount([e[1] for e in examples], minlength=2).astype(float)
+    vocabulary, at = np.unique(np.concatenate([e[2] for e in examples] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    sizes = np.array([len(e[2]) for e in examples], np.int64)
+    labels = np.array([e[1] for e in examples], np.int64)
+    df = np.bincount(at, minlength=len(vocabulary)).astype(float)
+    weight = term_weights(df, np.bincount(at[np.repeat(labels, sizes) == 1], minlength=len(vocabulary)), n)
+    times = np.concatenate([e[3] for e in examples] or [np.zeros(0, np.int64)])
+    row, w = np.repeat(np.arange(len(examples)), sizes), (1 + np.log(times)) * weight[at]
+    w = w / np.sqrt(np.bincount(row, w * w, minlength=len(examples)))[row]
+    ids = np.array([e[0] for e in examples], np.int64)
+    common = np.full(len(examples), -1)
+    often = np.nonzero(df[at] >= max(2, 0.02 * n.sum()))[0]
+    often = often[np.lexsort((at[often], w[often], row[often]))]
+    common[row[often]] = at[often]  # the last of a row's is its heaviest
+    place = np.empty(len(examples), np.int64)
+    place[np.lexsort((ids, common))] = np.arange(len(examples))
+    row, by = place[row], np.argsort(place)
+    order = np.lexsort((row, at))
+    row, w, at = row[order], w[order], at[order]
+    block = row // BLOCK
+    first = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])]))[0] if len(at) else np.zeros(0, np.int64)
+    return Index(
+        vocabulary=vocabulary, weight=weight, terms=np.searchsorted(at[first], np.arange(len(vocabulary) + 1)), blocks=block[first].astype(np.int32), starts=np.append(first, len(at)).astype(np.int32),
+        most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0), rows=row.astype(np.int32), weights=w, ids=ids[by], labels=labels[by])
+
+
+def calibrated(votes: np.ndarray, labels: np.ndarray, rates: tuple[float, float]) -> np.ndarray:
+    """Shares of toxic documents for votes at the ends and in the middle of BINS bins, never falling, from examples with known labels.
+
+    Examples weigh as much as their class has rows for each of its examples. A
+    bin without any has its middle; pooled neighbours never fall.
     """
-    labels = np.array([x[1] for x in examples], np.int64)
-    n = np.bincount(labels, minlength=2).astype(float)
-    all_terms = np.concatenate([x[2] for x in examples] or [np.zeros(0, np.uint64)])
-    of_toxic = np.repeat(labels, [len(x[2]) for x in examples]) == 1
-    seen, where = np.unique(all_terms, return_inverse=True)
-    df1 = np.bincount(where[of_toxic], minlength=len(seen)).astype(float)
-    df = np.bincount(where, minlength=len(seen)).astype(float)
-    del all_terms, where, of_toxic
-    p1, p0 = (df1 + 0.5) / (n[1] + 1), (df - df1 + 0.5) / (n[0] + 1)
-    gain = n[1] * p1 * np.log(p1 / p0) + n[1] * (1 - p1) * np.log((1 - p1).clip(1e-9) / (1 - p0).clip(1e-9))
-    fit = (df1 >= least(n[1])) & (p1 > 5 * p0)
-    best = np.nonzero(fit)[0]
-    best = best[np.lexsort((seen[best], -gain[best]))][:features]
-    vocabulary = seen[best]
-    idf = np.log((n.sum() + 1) / (df[best] + 1)) + 1
-    place = {int(t): i for i, t in enumerate(vocabulary)}
-    vectors = []
-    for doc, label, hashes, counts in examples:
-        own = [(place[t], c) for t, c in zip(hashes.tolist(), counts.tolist(), strict=True) if t in place]
-        vectors.append((doc, label, sorted(own)))
-    none = np.zeros(2)
-    for _, label, own in vectors:
-        none[label] += not own
-    held = [v for v in vectors if v[2]]
-    held.sort(key=lambda v: (max((idf[t] * c, t) for t, c in v[2])[1], v[0]))  # alike examples share blocks
-    rows = np.repeat(np.arange(len(held)), [len(v[2]) for v in held]).astype(np.int64)
-    at = np.array([t for v in held for t, _ in v[2]], np.int64)
-    weights = (1 + np.log(np.array([c for v in held for _, c in v[2]], float).clip(1))) * idf[at] if len(at) else np.zeros(0)
-    norm = np.sqrt(np.bincount(rows, weights * weights, minlength=len(held))) if len(at) else np.zeros(0)
-    weights = weights / norm[rows] if len(at) else weights
-    model = {"vocabulary": vocabulary, "idf": idf, "rows": rows, "at": at, "weights": weights, "ids": np.array([v[0] for v in held], np.int64), "labels": np.array([v[1] for v in held], np.int64), "none": none, "rates": np.array(rates)}
-    return model | calibrated(model)
-
-
-def packed(model: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **model)
-    return out.getvalue()
-
+    weight = np.where(labels == 1, rates[1], rates[0])
+    bins = np.minimum((votes * BINS).astype(int), BINS - 1)
+    mass, toxic = np.bincount(bins, weight, minlength=BINS), np.bincount(bins, weight * labels, minlength=BINS)
+    unit = max(min(rates), 1e-9)
+    pooled: list[list[float]] = []
+    for t, m, middle in zip(toxic, mass, (np.arange(BINS) + 0.5) / BINS, strict=True):
+        pooled.append([(t + unit * middle) / (m + unit), m + unit, 1])
+        while len(pooled) > 1 and pooled[-2][0] > pooled[-1][0]:
+            b, a = pooled.pop(), pooled.pop()
+            pooled.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    values = np.concatenate([np.full(int(c), v) for v, _, c in pooled])
+    return np.concatenate([[values[0] / 2], values, [(1 + values[-1]) / 2]])
 
-def voted(index: Index, own: np.ndarray, weights: np.ndarray, k: int, prior: float, but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-    """The neighbours' labels weighted by nearness, with a weight of 0.2 on the prior."""
-    rows, scores = index.nearest(own, weights, k, but)
-    near = scores
-    return float(((near * index.labels[rows]).sum() + 0.2 * prior) / (near.sum() + 0.2)), rows, scores
 
+def fold(doc: int) -> int:
+    """Of FOLDS parts of the examples, that which calibrates by the index of the others."""
+    return xxhash.xxh3_64_intdigest(f"fold {doc}") % FOLDS
 
-def _index(model: dict) -> Index:
-    return Index(*(model[c] for c in ("vocabulary", "idf", "rows", "at", "weights", "ids", "labels")))
 
+def votes_apart(examples: list[tuple[int, int, np.ndarray, np.ndarray]], part: int, k: int, prior: float) -> list[tuple[int, float | None]]:
+    """(label, vote) of a part's examples by an index of all others, in whose idf, relevance and vocabulary they had no part; None: no neighbour."""
+    index = fit_index([e for e in examples if fold(e[0]) != part and len(e[2])])
+    found = []
+    for _, label, terms, times in (e for e in examples if fold(e[0]) == part):
+        own, weights = index.vector(terms, times)
+        found.append((label, index.vote(own, weights, k, prior)[0] if len(own) else None))
+    return found
 
-def calibrated(model: dict, k: int = 15) -> dict[str, np.ndarray]:
-    """Steps (edges, values) from votes to shares of toxic documents, never falling, from each example's vote without itself.
 
-    Examples weigh as much as their class has rows for each of its examples.
-    """
-    index, (w0, w1) = _index(model), model["rates"]
-    votes = np.zeros(len(model["ids"]))
-    order = np.argsort(model["rows"], kind="stable")
-    ends = np.searchsorted(model["rows"][order], np.arange(len(votes) + 1))
-    prior = w1 / max(w0 + w1, 1e-9)
-    for i in range(len(votes)):
-        own = order[ends[i] : ends[i + 1]]
-        by = np.argsort(model["at"][own])
-        votes[i] = voted(index, model["at"][own][by], model["weights"][own][by], k, prior, i)[0]
-    weight = np.where(model["labels"] == 1, w1, w0)
-    bins = np.minimum((votes * 20).astype(int), 19)
-    mass, toxic = np.bincount(bins, weight, minlength=20), np.bincount(bins, weight * model["labels"], minlength=20)
-    unit = max(min(w0, w1), 1e-9)
-    middle = (np.arange(20) + 0.5) / 20
-    values = [[(t + unit * m) / (s + unit), s + unit, 1] for t, s, m in zip(toxic, mass, middle, strict=True)]
-    pooled: list[list[float]] = []
-    for v in values:
-        pooled.append(v)
-        while len(pooled) > 1 and pooled[-2][0] > pooled[-1][0]:
-            b, a = pooled.pop(), pooled.pop()
-            pooled.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    steps = np.concatenate([np.full(int(c), v) for v, _, c in pooled])
-    n0, n1 = model["none"] * model["rates"]
-    return {"steps": steps, "nothing": np.array([(n1 + 0.5 * prior) / (n0 + n1 + 0.5)])}
+class Model:
+    """score(texts) -> scores and evidence."""
 
+    def __init__(self, arrays: dict[str, np.ndarray], k: int):
+        self.index, self.k, self.known = Index(**{c: arrays[c] for c in Index.FIELDS}), k, _Terms()
+        self.curve, self.nothing, self.prior = arrays["curve"], float(arrays["nothing"]), float(arrays["prior"])
+        self.votes = np.concatenate([[0], (np.arange(BINS) + 0.5) / BINS, [1]])
 
-def _said(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's terms, each with the number of its texts that have it."""
-    known, own = _Terms(), []
-    for part in slices(batches):
-        for text in part.column("text").to_pylist():
-            found = counted(text, known)
-            own.append(np.fromiter(found.keys(), np.uint64, len(found)))
-    seen, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-    yield pa.record_batch({"k": pa.array([0], pa.int32()), "a": pa.array([seen.tobytes()], pa.binary()), "b": pa.array([n.astype(np.int32).tobytes()], pa.binary())})
+    def score(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        scores, rows, near, ends = np.empty(len(texts)), [], [], [0]
+        for i, text in enumerate(texts):
+            own, weights = self.index.vector(*counted(text, self.known))
+            vote, r, s = self.index.vote(own, weights, self.k, self.prior)
+            scores[i] = np.interp(vote, self.votes, self.curve) if len(r) else self.nothing
+            rows.append(r)
+            near.append(s)
+            ends.append(ends[-1] + len(r))
+        r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        near = np.concatenate(near) if near else np.zeros(0)
+        found = pa.StructArray.from_arrays([pa.array(self.index.ids[r], pa.int64()), pa.array(near, pa.float64()), pa.array(self.index.labels[r], pa.int32())], fields=list(_EVIDENCE_ARROW.value_type))
+        return scores, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found).cast(_EVIDENCE_ARROW)
 
 
-def _common(fewest: float):
-    """The terms that enough texts have, over all tasks."""
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
 
-    def run(table: pa.Table) -> pa.Table:
-        seen, where = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([np.frombuffer(x, np.int32) for x in table.column("b").to_pylist()]), minlength=len(seen))
-        return pa.table({"k": pa.array([0], pa.int32()), "a": pa.array([seen[n >= fewest].tobytes()], pa.binary()), "b": pa.array([b""], pa.binary())})
 
-    return run
+def unpacked(value: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(value)) as arrays:
+        return {c: arrays[c] for c in arrays.files}
 
 
-def _reduced(wanted):
-    """Examples as the terms wanted and their times."""
+def closing(votes: list[tuple[int, float | None]], rates: tuple[float, float], prior: float) -> dict[str, np.ndarray]:
+    """What a model has besides its index: the curve from votes to shares, the share where there is no neighbour, the prior."""
+    met = [v for v in votes if v[1] is not None]
+    none = np.bincount([label for label, vote in votes if vote is None], minlength=2) * np.array(rates)
+    curve = calibrated(np.array([v for _, v in met], float), np.array([label for label, _ in met], np.int64), rates)
+    return {"curve": curve, "nothing": np.array((none[1] + 0.5 * prior) / (none.sum() + 0.5)), "prior": np.array(prior)}
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms({t: t for t in np.frombuffer(wanted.value, np.uint64).tolist()})
-        for part in slices(batches):
-            found = [counted(t, known) for t in part.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "a": pa.array([np.fromiter(f.keys(), np.uint64, len(f)).tobytes() for f in found], pa.binary()), "b": pa.array([np.fromiter(f.values(), np.int32, len(f)).tobytes() for f in found], pa.binary())})
 
-    return tidy(run)
+def loaded(shared, k: int) -> Model:
+    """The model of a broadcast value, kept in the worker."""
+    value = shared.value
+    return held("toxicity", value, lambda: Model(unpacked(value[0]) | value[1], k))
 
 
-def _fit(features: int, rates: tuple[float, float]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(doc, label, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)) for batch in batches for doc, label, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "a", "b")), strict=True)]
-        yield pa.record_batch({"model": pa.array([packed(fit_index(examples, features, rates))], pa.binary())})
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples as their terms and times."""
+    known = _Terms()
+    for part in slices(batches):
+        found = [counted(t, known) for t in part.column("text").to_pylist()]
+        yield pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "a": pa.array([f[0].tobytes() for f in found], pa.binary()), "b": pa.array([f[1].astype(np.int32).tobytes() for f in found], pa.binary())})
 
-    return run
 
+def _fit(part: int, k: int, prior: float):
+    """The index of all examples (part -1), or a part's votes by the index of the others."""
 
-def _score(model, k: int, prior: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = model.value
-
-        def read() -> tuple[dict, Index, _Terms]:
-            with np.load(io.BytesIO(value)) as arrays:
-                own = {c: arrays[c] for c in arrays.files}
-            index = _index(own)
-            return own, index, _Terms(index.terms)
-
-        own, index, known = held("toxicity", value, read)
-        for part in slices(batches):
-            scores, evidence = [], []
-            for text in part.column("text").to_pylist():
-                found = counted(text, known)
-                if not found:
-                    scores.append(float(own["nothing"][0]))
-                    evidence.append([])
-                    continue
-                vote, rows, near = voted(index, *index.vector(found), k, prior)
-                scores.append(float(own["steps"][min(19, int(vote * 20))]))
-                evidence.append([{"doc_id": int(index.ids[r]), "similarity": float(s), "toxic": int(index.labels[r])} for r, s in zip(rows, near, strict=True)])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, kind)})
+        examples = [(doc, label, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)) for batch in batches for doc, label, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "a", "b")), strict=True)]
+        if part < 0:
+            index = fit_index([e for e in examples if len(e[2])])
+            rows = [(None, None, packed({c: getattr(index, c) for c in Index.FIELDS}))]
+        else:
+            rows = [(label, vote, None) for label, vote in votes_apart(examples, part, k, prior)]
+        yield pa.record_batch({"toxic": pa.array([r[0] for r in rows], pa.int32()), "vote": pa.array([r[1] for r in rows], pa.float64()), "index": pa.array([r[2] for r in rows], pa.binary())})
 
     return tidy(run)
 
 
-def score(docs: DataFrame, labels: DataFrame, examples: int = 4_000, features: int = 256, k: int = 15) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (the nearest examples) of every document.
-
-    Learns from labels (doc_id, toxic) of rows whose crc32(doc_id) mod 5 isn't 0:
-    at most `examples` of each class, drawn by a hash of doc_id, fit the model
-    in one task; the classes' numbers are counted over all labels. Every whole
-    text is scored by its `k` nearest examples.
-
-    Null and empty texts, and others without a term of the vocabulary, get the
-    share of toxic documents among such examples; without labels of a class
-    that is half a document's share. Labels of an id that is given twice count
-    as toxic if one is; null labels and labels without document are left out.
-    Null ids and repeated rows are scored as any. Empty tables give no rows.
-    """
-    docs = documents(docs)
+def learned(docs: DataFrame, labels: DataFrame, examples: int, example_bytes: int, k: int):
+    """The broadcast model of the labelled rows, as score() describes it. docs: doc_id, text."""
     spark = docs.sparkSession
     labels = distinct_names(labels)
     given = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "toxic", "int").alias("toxic"))
     given = given.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = given.where(crc32_mod("doc_id", 5) != 0)
     n = {r.toxic: r["count"] for r in given.groupBy("toxic").count().collect()}
-    drawn = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(examples) for c in (0, 1)]
+    mark = F.xxhash64("doc_id", F.lit(23))
+    drawn = [given.where(F.col("toxic") == c).orderBy(mark, "doc_id").limit(examples) for c in (0, 1)]
     drawn = written(drawn[0].union(drawn[1]), "drawn")  # at most 2 * examples rows
-    rates = tuple(n.get(c, 0) / max(1, min(n.get(c, 0), examples)) for c in (0, 1))
-    chosen = written(docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text"), "examples")
-    said = chosen.where("toxic = 1").select("text").repartition(TASKS).mapInArrow(_said, "k int, a binary, b binary")
-    wanted = said.groupBy("k").applyInArrow(_common(least(min(n.get(1, 0), examples))), "k int, a binary, b binary").collect()
-    terms_wanted = spark.sparkContext.broadcast(b"".join(bytes(r.a) for r in wanted))
-    reduced = chosen.repartition(TASKS).mapInArrow(_reduced(terms_wanted), "doc_id long, toxic int, a binary, b binary")
-    fitted = reduced.repartition(1).sortWithinPartitions("doc_id", "toxic").mapInArrow(_fit(features, rates), "model binary").collect()
-    model = bytes(fitted[0].model) if fitted else packed(fit_index([], features, rates))  # no example, no task
+    chosen = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    chosen = written(chosen.withColumn("mark", mark), "examples")
+    taken: dict[int, list] = {0: [], 1: []}
+    left = {0: example_bytes, 1: example_bytes}
+    for r in chosen.select("doc_id", "toxic", "mark", F.octet_length("text").alias("bytes")).orderBy("mark", "doc_id").collect():
+        if r.bytes <= left[r.toxic]:
+            left[r.toxic] -= r.bytes
+            taken[r.toxic].append(r.doc_id)
+    rates = tuple(n.get(c, 0) / max(1, len(taken[c])) for c in (0, 1))
     prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
+    own = F.broadcast(spark.createDataFrame([(d,) for x in taken.values() for d in x], "doc_id long"))
+    arrays = chosen.join(own, "doc_id").select("doc_id", "toxic", "text").repartition(TASKS).mapInArrow(tidy(_counted), "doc_id long, toxic int, a binary, b binary")
+    whole = written(arrays, "terms").repartition(1).sortWithinPartitions("doc_id", "toxic")
+    # each part's votes, and the index of all, are tasks of their own
+    made = reduce(DataFrame.union, (whole.mapInArrow(_fit(part, k, prior), "toxic int, vote double, index binary") for part in range(-1, FOLDS))).collect()
+    index = [bytes(r["index"]) for r in made if r["index"] is not None]
+    votes = [(r.toxic, r.vote) for r in made if r["index"] is None]
+    return spark.sparkContext.broadcast((index[0] if index else packed({c: getattr(fit_index([]), c) for c in Index.FIELDS}), closing(votes, rates, prior)))
+
+
+def score(docs: DataFrame, labels: DataFrame, examples: int = 1_500, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence (the nearest examples) of every document.
+
+    Learns from labels (doc_id, toxic) of rows whose crc32(doc_id) mod 5 isn't 0:
+    at most `examples` of each class, drawn by a hash of doc_id, and of these as
+    many as have `example_bytes` of text together, fit the model in one task; the
+    classes' numbers are counted over all labels. Every whole text is scored by
+    its `k` nearest examples among all, over all of their words.
+
+    Null and empty texts, and others without a word in common with any example,
+    get the share of toxic documents among such examples, with half a document
+    of the classes' share. Labels of an id that is given twice count as toxic if
+    one is; null labels and labels without document are left out; of several
+    texts with one labelled id the smallest is the example. Null ids and
+    repeated rows are scored as any. Empty tables give no rows, and without
+    labels every score is 0.
+    """
+    docs = documents(docs)
+    model = learned(docs.select("doc_id", "text"), labels, examples, example_bytes, k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(model, k)
+        for part in slices(batches):
+            scores, evidence = own.score(part.column("text").to_pylist())
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(scores, pa.float64()), "evidence": evidence})
+
     asked = docs.select("doc_id", "text", (crc32_mod("doc_id", 5) == 0).alias("held_out"))
-    scored = asked.mapInArrow(_score(spark.sparkContext.broadcast(model), k, prior), f"doc_id long, held_out boolean, score double, evidence {_EVIDENCE}")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    scored = asked.mapInArrow(tidy(run), f"doc_id long, held_out boolean, score double, evidence {_EVIDENCE}")
+    return scored.select("doc_id", "held_out", "score", _predicted(F.col("score")).alias("predicted"), "evidence")
+
 
+def _predicted(score: Column) -> Column:
+    return (score >= 0.5).cast("int")
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score() doesn't predict toxic.
 
-    Rows that share an id go together if one of them is predicted toxic.
+def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = 1_500, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
+    """The rows of docs that score() doesn't predict toxic, with all their columns, in one pass.
+
+    Each row goes or stays by its own text, whatever its id: rows that share an
+    id, or have none, don't decide for each other. Empty texts are scored as
+    score() does. Empty tables give no rows.
     """
-    found = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    docs, toxic = distinct_names(docs), written(found, "toxic")
-    few = toxic.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(toxic) if few else toxic, column(docs, "doc_id", "long").eqNullSafe(F.col("_id")), "left_anti")
+    prepare(docs.sparkSession)
+    docs = distinct_names(docs)
+    model = learned(documents(docs).select("doc_id", "text"), labels, examples, example_bytes, k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(model, k)
+        for part in slices(batches):
+            scores, _ = own.score(part.column("text").to_pylist())
+            yield pa.record_batch({"row": part.column("row").filter(pa.array(scores < 0.5))})
+
+    text = F.coalesce(column(docs, "text", "string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"))
+    kept = rows.mapInArrow(tidy(run), rows.select("row").schema)
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents; see score()."""
-    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")]
-    return score(*tables).drop("evidence")
+    """Scores of all documents with their evidence; see score()."""
+    return score(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")))

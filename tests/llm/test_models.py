@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import hmm, toxicity, vptree
-from tallyforge.llm.common import crc32_mod
+from tallyforge.llm.common import crc32_mod, distinct_names
 
 from .helpers import SCHEMA, awkward, empty, frame, words
 
@@ -91,23 +91,87 @@ def test_hmm_beats_counts_where_topics_last(spark):
     assert found and sum(r.score for r in found) > sum(r.base_score for r in found) + 0.3 * sum(r.n_tokens for r in found)
 
 
+def plain_vectors(examples):
+    """Each term's weight, and examples (id, label, {term: weight}) of unit length, by dictionaries."""
+    n = Counter(label for _, label, _ in examples)
+    df, toxic = Counter(w for _, _, t in examples for w in t), Counter(w for _, label, t in examples if label for w in t)
+    weight = {w: math.log((sum(n.values()) + 1) / (df[w] + 0.5)) * math.log2(2 + toxic[w] / max(1, (df[w] - toxic[w]) * n[1] / max(n[0], 1))) ** 2 for w in df}
+    return weight, [(d, label, plain_vector(t, weight)) for d, label, t in examples]
+
+
+def plain_vector(times, weight):
+    own = {w: (1 + math.log(c)) * weight[w] for w, c in times.items() if w in weight}
+    norm = math.sqrt(sum(x * x for x in own.values()))
+    return {w: x / norm for w, x in own.items()}
+
+
+def plain_nearest_examples(times, weight, vectors, k):
+    q = plain_vector(times, weight)
+    found = [(d, label, sum(x * v.get(w, 0) for w, x in q.items())) for d, label, v in vectors]
+    return sorted((x for x in found if x[2] > 0), key=lambda x: (-round(x[2], 12), x[0]))[:k]
+
+
+def plain_terms(text):
+    return Counter(w for w in (x.strip(".,;:!?\"'()[]{}<>*_|-") for x in text.lower().split()) if w)
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(8)
-    vocabulary = np.arange(1, 41, dtype=np.uint64)
-    idf = rng.random(40) + 0.5
-    dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
-    dense[dense.sum(axis=1) == 0, 0] = 1
-    dense /= np.sqrt((dense ** 2).sum(axis=1))[:, None]
-    rows, at = np.nonzero(dense)
-    index = toxicity.Index(vocabulary, idf, rows, at, dense[rows, at], np.arange(500)[::-1].copy(), np.zeros(500, np.int64), block=16)
-    for i in range(60):
-        own, weights = index.vector({int(t): int(rng.integers(1, 5)) for t in rng.choice(40, rng.integers(1, 6), replace=False)})
-        q = np.zeros(40)
-        q[own] = weights
-        scores = dense @ q
-        want = [r for r in np.lexsort((index.ids, -np.round(scores, 12))) if scores[r] > 0][:7]
-        got, near = index.nearest(own, weights, 7)
-        assert np.allclose(near, scores[want]) and len(got) == len(want)
+    known = toxicity._Terms()
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 400) for _ in range(500)]
+    examples = [(1000 - i, int(i % 3 == 0), t) for i, t in enumerate(texts)]
+    index = toxicity.fit_index([(d, label, *toxicity.counted(t, known)) for d, label, t in examples])
+    weight, vectors = plain_vectors([(d, label, plain_terms(t)) for d, label, t in examples])
+    for _ in range(80):
+        text = " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 80)) % 420)
+        got, near = index.nearest(*index.vector(*toxicity.counted(text, known)), 7)
+        want = plain_nearest_examples(plain_terms(text), weight, vectors, 7)
+        assert np.allclose(near, [x[2] for x in want], atol=1e-12) and index.ids[got].tolist() == [x[0] for x in want]
+
+
+def plain_toxicity(docs, labels, k=15):
+    """{(doc, text): score} by all cosines and the minimax form of isotonic regression."""
+    def share(votes, rates):
+        points = []
+        for b in range(20):
+            own = [(label, rates[label]) for label, v in votes if v is not None and min(19, int(v * 20)) == b]
+            unit, middle = min(rates), (b + 0.5) / 20
+            points.append((sum(w for label, w in own if label) + unit * middle, sum(w for _, w in own) + unit))
+        mean = lambda a, b: sum(x for x, _ in points[a : b + 1]) / sum(m for _, m in points[a : b + 1])
+        return [max(min(mean(a, b) for b in range(i, 20)) for a in range(i + 1)) for i in range(20)]
+
+    given = {d: t for d, _, t in labels if zlib.crc32(str(d).encode()) % 5}
+    examples = [(d, given[d], plain_terms(t)) for d, t, *_ in docs if d in given]
+    prior = sum(given.values()) / len(given)
+
+    def vote(times, weight, vectors):
+        near = plain_nearest_examples(times, weight, vectors, k)
+        return (sum(s for _, label, s in near if label) + 0.2 * prior) / (sum(s for *_, s in near) + 0.2) if near else None
+
+    votes = []
+    for part in range(toxicity.FOLDS):
+        weight, vectors = plain_vectors([e for e in examples if toxicity.fold(e[0]) != part and e[2]])
+        votes += [(label, vote(t, weight, vectors)) for d, label, t in examples if toxicity.fold(d) == part]
+    rates = tuple(sum(x == c for x in given.values()) / max(1, sum(e[1] == c for e in examples)) for c in (0, 1))
+    curve = share(votes, rates)
+    curve = [curve[0] / 2, *curve, (1 + curve[-1]) / 2]
+    none = [sum(rates[c] for label, v in votes if v is None and label == c) for c in (0, 1)]
+    weight, vectors = plain_vectors([e for e in examples if e[2]])
+    out = {}
+    for d, t, *_ in docs:
+        v = vote(plain_terms(t or ""), weight, vectors)
+        out[d, t] = (none[1] + 0.5 * prior) / (sum(none) + 0.5) if v is None else float(np.interp(v, [0, *((i + 0.5) / 20 for i in range(20)), 1], curve))
+    return out
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    rows, labels = toxic_rows(300)
+    rows += [(9000, "", "en", "s", 1), (9001, None, "en", "s", 1), (9002, "nowhere else", "en", "s", 1), (None, rows[6][1], "en", "s", 1), (6, rows[6][1], "en", "s", 1)]
+    found = toxicity.score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = plain_toxicity(rows[:300], labels) | plain_toxicity(rows[:-1], labels)
+    plain = {d: want[d, t] for d, t, *_ in rows}
+    assert len(found) == len(rows) and all(abs(r.score - plain[r.doc_id]) < 1e-9 for r in found)
+    assert len({r.score for r in found}) > 100
 
 
 def toxic_rows(n=900):
@@ -133,7 +197,10 @@ def test_toxicity(spark):
     right = [found[i].predicted == int(i % 6 == 0) for i in held]
     assert np.mean(right) > 0.97
     assert all(0 <= r.score <= 1 for r in found.values())
-    assert any(r.evidence for r in found.values())
+    assert all(len(r.evidence) == 15 and r.evidence[0].similarity >= r.evidence[-1].similarity > 0 for r in found.values())
+    few = [(d, q, t) for d, q, t in labels if not t] + [x for x in labels if x[2]][:2]  # two toxic examples are examples too
+    scores = toxicity.score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(few, "doc_id long, quality int, toxic int")).collect()
+    assert len({r.score for r in scores}) > 100
     flipped = spark.createDataFrame([(d, q, 1 - t if zlib.crc32(str(d).encode()) % 5 == 0 else t) for d, q, t in labels], "doc_id long, quality int, toxic int")
     again = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, SCHEMA), flipped).collect()}
     assert again == {d: r.score for d, r in found.items()}
@@ -148,6 +215,18 @@ def test_toxicity_of_awkward_rows(spark):
     assert all(0 <= r.score < 0.5 for r in toxicity.score(frame(spark), none).collect())
     assert toxicity.score(empty(spark), none).count() == 0
     assert toxicity.without_toxic(frame(spark), none).count() == len(awkward())
+    kept = toxicity.without_toxic(frame(spark), labels)
+    bad = Counter((r.doc_id, r.score) for r in rows if r.predicted)
+    assert kept.columns == distinct_names(frame(spark)).columns and kept.count() == len(awkward()) - sum(bad.values())
+    assert toxicity.without_toxic(empty(spark), none).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    rows, labels = toxic_rows()
+    toxic, clean = rows[6][1], rows[7][1]
+    rows += [(5000, toxic, "x", "s", 1), (5000, clean, "y", "s", 1), (None, toxic, "x", "s", 1), (None, clean, "y", "s", 1), (None, None, "z", "s", 1)]
+    kept = toxicity.without_toxic(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert Counter(r.lang for r in kept.collect() if r.lang != "en") == Counter("yyz")
 
 
 def plain_nearest(rows, k, step):
