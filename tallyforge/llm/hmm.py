@@ -4,8 +4,10 @@ Words are counted by hash: each batch sends each of its distinct words once, in
 packed arrays, and gets back sums for its documents. The model's symbols are
 the most frequent words, classes of all other words by their endings, and the
 end of a text. Baum-Welch counts of all training texts, summed over tasks,
-train its states; a word of a class has its count's share of the class. The
-forward recursion runs over each whole text, scaled.
+train its states, round by round over all of them until the likelihood hardly
+grows; a word of a class has its count's share of the class. The recursions run
+over each whole text, scaled: a long one is cut into runs, between which the
+exact messages pass.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from .common import CACHE, crc32_mod, dealing, documents, held, slices, tidy, un
 
 #: Classes of words that have no symbol of their own.
 CLASSES = 256
-#: Words that a task counts at once, tokens of a training sequence, and of a scored one.
-GROUP, TRAIN_RUN, SCORE_RUN = 4_000_000, 64, 128
+#: Words that a task counts at once, and symbols of a run in training and in scoring.
+GROUP, TRAIN_RUN, SCORE_RUN = 4_000_000, 512, 128
 _EDGES = b".,;:!?\"')]}"
 
 
@@ -189,7 +191,7 @@ def first_guess(vocabulary: Vocabulary, states: int) -> dict[str, np.ndarray]:
     """Every state has the symbols' shares, each disturbed by a hash; states tend to stay."""
     noise = np.random.default_rng(7).uniform(0.5, 1.5, (vocabulary.size, states))
     share = vocabulary.weight[:, None] * noise
-    return {"emit": share / share.sum(axis=0), "move": np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), "start": np.full((2, states), 1 / states)}
+    return {"emit": share / share.sum(axis=0), "move": np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), "start": np.full(states, 1 / states)}
 
 
 def _runs(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,42 +207,99 @@ def _runs(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(texts), begin, size, of
 
 
+def _products(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each run (longest first) the product of its steps' matrices, scaled, and the scale's log10. A text's first symbol (`opening`) has no move before it."""
+    emit, move = model["emit"], model["move"]
+    states = len(move)
+    through = np.where(opening[:, None, None], np.eye(states), move) * emit[symbols[begin]][:, None, :]
+    logs = np.zeros(len(begin))
+    for t in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -t, "left"))
+        step = through[:n].reshape(-1, states) @ move
+        through[:n] = step.reshape(n, states, states) * emit[symbols[begin[:n] + t]][:, None, :]
+        if t % 8 == 0:
+            top = through[:n].max(axis=(1, 2))
+            through[:n] /= top[:, None, None]
+            logs[:n] += np.log10(top)
+    return through, logs
+
+
+def _messages(through: np.ndarray, of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs in the order of their texts (`of`): the state before each run given all before it, and the weight of what comes after it by state."""
+    states = through.shape[1]
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    begins = np.nonzero(first)[0]
+    runs = np.diff(np.append(begins, len(of)))
+    into, after = np.empty((len(of), states)), np.ones((len(of), states))
+    into[begins] = start
+    rank = begins[np.argsort(-runs, kind="stable")]
+    runs = np.sort(runs)[::-1]
+    for j in range(1, int(runs[0])):
+        at = rank[: np.searchsorted(-runs, -j, "left")] + j
+        own = np.matmul(into[at - 1][:, None, :], through[at - 1])[:, 0, :]
+        into[at] = own / own.sum(axis=1, keepdims=True)
+    for j in range(int(runs[0]) - 1, 0, -1):
+        at = rank[: np.searchsorted(-runs, -j, "left")] + j
+        own = np.matmul(through[at], after[at][:, :, None])[:, :, 0]
+        after[at - 1] = own / own.sum(axis=1, keepdims=True)
+    return into, after
+
+
 def expected(texts: list[np.ndarray], model: dict[str, np.ndarray], at_once: int = 4096) -> dict[str, np.ndarray]:
-    """Baum-Welch counts of the texts, cut into runs of TRAIN_RUN symbols: emissions, moves, starts (of texts; of further runs)."""
+    """Baum-Welch counts of the whole texts (emissions, moves, starts) and `fit`: their log10 probability and number of symbols.
+
+    Texts longer than TRAIN_RUN are cut into runs that are stepped through
+    together; the products of their matrices give each run its exact messages
+    from before and after, and the move into a run is counted with it.
+    """
     emit, move, start = (model[c] for c in ("emit", "move", "start"))
     states = len(move)
-    out = {c: np.zeros_like(model[c]) for c in ("emit", "move", "start")}
+    out = {c: np.zeros_like(model[c]) for c in ("emit", "move", "start")} | {"fit": np.zeros(2)}
     if not texts:
         return out
     symbols, begin, size, of = _runs(texts, TRAIN_RUN)
-    later = np.concatenate([[False], of[1:] == of[:-1]]).astype(int)
+    out["fit"][1] = len(symbols)
+    later = np.concatenate([[False], of[1:] == of[:-1]])
+    into, after = np.repeat(start[None, :], len(of), axis=0), np.ones((len(of), states))
+    cut = later | np.concatenate([later[1:], [False]])
+    if cut.any():
+        own = np.nonzero(cut)[0]
+        order = np.argsort(-size[own], kind="stable")
+        through = np.empty((len(own), states, states))
+        through[order] = _products(symbols, begin[own][order], size[own][order], ~later[own][order], model)[0]
+        into[own], after[own] = _messages(through, of[own], start)
     order = np.argsort(-size, kind="stable")
     for lo in range(0, len(order), at_once):
         own = order[lo : lo + at_once]
-        b, s, l = begin[own], size[own], later[own]
+        b, s, moved, before = begin[own], size[own], later[own], into[own]
         steps = int(s[0])
         active = [int(np.searchsorted(-s, -t, "left")) for t in range(steps)]  # runs longer than t come first
         alpha, scale, seen = [], [], []
         for t in range(steps):
             n = active[t]
             seen.append(emit[symbols[b[:n] + t]])
-            a = (start[l] if t == 0 else alpha[-1][:n] @ move) * seen[-1]
+            a = (np.where(moved[:, None], before @ move, before) if t == 0 else alpha[-1][:n] @ move) * seen[-1]
             c = a.sum(axis=1, keepdims=True)
             alpha.append(a / c)
             scale.append(c)
-        beta = np.ones((active[-1], states))
+        out["fit"][0] += sum(float(np.log10(c).sum()) for c in scale)
+        # what comes after a run, where all of a run's symbols are past; scaled so that alpha * beta sums to one
+        beyond = after[own]
+        beta = np.empty((0, states))
         codes, gammas = [], []
         for t in range(steps - 1, -1, -1):
-            n = active[t]
-            if t < steps - 1:
-                k = active[t + 1]
-                after = seen[t + 1] * beta / scale[t + 1]
-                out["move"] += move * (alpha[t][:k].T @ after)
-                beta = np.concatenate([after @ move.T, np.ones((n - k, states))])
+            n, k = active[t], len(beta)
+            ended = beyond[k:n] / (alpha[t][k:n] * beyond[k:n]).sum(axis=1, keepdims=True)
+            if k:
+                follows = seen[t + 1] * beta / scale[t + 1]
+                out["move"] += move * (alpha[t][:k].T @ follows)
+                beta = np.concatenate([follows @ move.T, ended])
+            else:
+                beta = ended
             gammas.append(alpha[t] * beta)
             codes.append(symbols[b[:n] + t])
-        for i in (0, 1):
-            out["start"][i] += gammas[-1][l == i].sum(axis=0)
+        out["move"] += move * (before[moved].T @ (seen[0] * beta / scale[0])[moved])
+        out["start"] += gammas[-1][~moved].sum(axis=0)
         codes, gammas = np.concatenate(codes), np.concatenate(gammas)
         for k in range(states):
             out["emit"][:, k] += np.bincount(codes, gammas[:, k], minlength=len(emit))
@@ -252,7 +311,7 @@ def improved(counts: dict[str, np.ndarray], vocabulary: Vocabulary) -> dict[str,
     grown = vocabulary.weight / np.maximum(vocabulary.seen, 1)
     emit = counts["emit"] * grown[:, None] + vocabulary.weight[:, None] / vocabulary.weight.sum()
     move, start = counts["move"] + 0.1, counts["start"] + 0.1
-    return {"emit": emit / emit.sum(axis=0), "move": move / move.sum(axis=1, keepdims=True), "start": start / start.sum(axis=1, keepdims=True)}
+    return {"emit": emit / emit.sum(axis=0), "move": move / move.sum(axis=1, keepdims=True), "start": start / start.sum()}
 
 
 def log_likelihoods(texts: list[np.ndarray], model: dict[str, np.ndarray]) -> np.ndarray:
@@ -262,43 +321,14 @@ def log_likelihoods(texts: list[np.ndarray], model: dict[str, np.ndarray]) -> np
     SCORE_RUN symbols are multiplied for all runs at once, scaled, and then
     taken in order by each text's state. Any length takes memory for its runs alone.
     """
-    emit, move, start = (model[c] for c in ("emit", "move", "start"))
-    states = len(move)
     symbols, begin, size, of = _runs(texts, SCORE_RUN)
     order = np.argsort(-size, kind="stable")
-    b, s = begin[order], size[order]
-    through = np.empty((len(b), states, states))
-    first = np.zeros(len(b), bool)
-    first[np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1])] = True
-    opening = first[order]
-    # a text's first symbol has no move before it
-    through[:] = np.where(opening[:, None, None], np.eye(states), move) * emit[symbols[b]][:, None, :]
-    logs = np.zeros(len(b))
-    for t in range(1, int(s[0])):
-        n = int(np.searchsorted(-s, -t, "left"))
-        step = through[:n].reshape(-1, states) @ move
-        through[:n] = step.reshape(n, states, states) * emit[symbols[b[:n] + t]][:, None, :]
-        if t % 8 == 0:
-            top = through[:n].max(axis=(1, 2))
-            through[:n] /= top[:, None, None]
-            logs[:n] += np.log10(top)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    begins = np.nonzero(first)[0]
-    runs = np.diff(np.append(begins, len(of)))
-    rank = np.argsort(-runs, kind="stable")
-    state = np.repeat(start[:1], len(texts), axis=0)
-    total = np.zeros(len(texts))
-    for j in range(int(runs.max())):
-        n = int(np.searchsorted(-runs[rank], -j, "left"))
-        at = back[begins[rank[:n]] + j]
-        own = np.matmul(state[:n, None, :], through[at])[:, 0, :]
-        c = own.sum(axis=1)
-        state[:n] = own / c[:, None]
-        total[:n] += np.log10(c) + logs[at]
-    out = np.empty(len(texts))
-    out[rank] = total
-    return out
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    through, logs = (np.empty((len(of), *shape)) for shape in ((len(model["move"]),) * 2, ()))
+    through[order], logs[order] = _products(symbols, begin[order], size[order], first[order], model)
+    into, _ = _messages(through, of, model["start"])
+    logs += np.log10(np.matmul(into[:, None, :], through)[:, 0, :].sum(axis=1))
+    return np.add.reduceat(logs, np.nonzero(first)[0])
 
 
 def _pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
@@ -340,23 +370,6 @@ def _texts(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, size: int
         yield part, [np.frombuffer(x, vocabulary.kind) for x in part.column("symbols").to_pylist()]
 
 
-def _guess(shared, rounds: int):
-    """A start for Baum-Welch: some rounds over the few texts that this task reads."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = _load(shared)
-        own = [texts for _, texts in _texts(batches, vocabulary)]
-        for _ in range(rounds if own else 0):
-            sums = None
-            for texts in own:
-                found = expected(texts, model)
-                sums = found if sums is None else {c: sums[c] + found[c] for c in found}
-            model = improved(sums, vocabulary)
-        yield pa.record_batch({"model": pa.array([_pack_arrays(model)], pa.binary())})
-
-    return run
-
-
 _CHUNKS = 8
 
 
@@ -365,21 +378,21 @@ def _expect(shared, salts: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model = _load(shared)
-        sums = {c: np.zeros_like(model[c]) for c in ("emit", "move", "start")}
+        sums = expected([], model)
         for _, texts in _texts(batches, vocabulary):
             for c, v in expected(texts, model).items():
                 sums[c] += v
-        flat = np.concatenate([sums[c].ravel() for c in ("emit", "move", "start")])
+        flat = np.concatenate([sums[c].ravel() for c in ("emit", "move", "start", "fit")])
         salt = TaskContext.get().partitionId() % salts
         for i, part in enumerate(np.array_split(flat, _CHUNKS)):
-            yield pa.record_batch({"chunk": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "sums": pa.array([part.astype(np.float32).tobytes()], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "sums": pa.array([part.tobytes()], pa.binary())})
 
     return tidy(run)
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.float32).astype(float) for x in table.column("sums").to_pylist()], axis=0)
-    return pa.table({"chunk": table.column("chunk")[:1], "salt": pa.array([0], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    total = np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0)
+    return pa.table({"chunk": table.column("chunk")[:1], "salt": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def _score(shared):
@@ -396,13 +409,15 @@ def _score(shared):
     return tidy(run)
 
 
-def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384, passes: int = 2, guess_docs: int = 1_500) -> DataFrame:
+def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384, gain: float = 0.001, rounds: int = 20) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
     `train` says of which rows (by doc_id) the counts and the model are learned.
-    All training texts are counted, and `passes` rounds of Baum-Welch run over
-    all of them; their start is a guess from about `guess_docs` of them, drawn
-    by hash. `symbols` words at most have states' probabilities of their own.
+    All training texts are counted, and rounds of Baum-Welch run over all of
+    them, whole, from a start that the counts give: until a round's log10
+    probability of the training symbols has grown by less than `gain` a symbol
+    over the round before, `rounds` at most. `symbols` words at most have states'
+    probabilities of their own.
 
     Null and empty texts are one end. Without training texts every count is 0,
     the states are alike, and the scores stay finite. Null ids and repeated rows
@@ -439,20 +454,18 @@ def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384
 
     coded = written(docs.select("doc_id", "text", "train").mapInArrow(_code(shared()), _CODED), "coded")
     if ends:
-        taught = coded.where("train").select("symbols", "doc_id")
-        drawn = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) < max(1, int(min(1, guess_docs / ends) * 1_000_000))
-        rows = taught.where(drawn).repartition(1).sortWithinPartitions("doc_id").mapInArrow(_guess(shared(), 10), "model binary").collect()
-        if rows:  # else none was drawn, and the first guess is the start
-            with np.load(io.BytesIO(rows[0].model)) as read:
-                model = {c: read[c] for c in read.files}
-        for _ in range(passes):
-            tasks = taught.rdd.getNumPartitions()
-            salts = max(1, math.isqrt(tasks))
+        taught = coded.where("train").select("symbols")
+        salts = max(1, math.isqrt(taught.rdd.getNumPartitions()))
+        cut, before = np.cumsum([model[c].size for c in ("emit", "move", "start")]), -math.inf
+        for _ in range(rounds):
             added = taught.mapInArrow(_expect(shared(), salts), "chunk int, salt int, sums binary")
             added = added.groupBy("chunk", "salt").applyInArrow(_add, added.schema).groupBy("chunk").applyInArrow(_add, added.schema)
-            flat = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(added.collect(), key=lambda r: r.chunk)]).astype(float)
-            cut = np.cumsum([model["emit"].size, model["move"].size])
-            model = improved({c: v.reshape(model[c].shape) for c, v in zip(("emit", "move", "start"), np.split(flat, cut), strict=True)}, vocabulary)
+            flat = np.concatenate([np.frombuffer(r.sums) for r in sorted(added.collect(), key=lambda r: r.chunk)])
+            *parts_of, (fit, seen) = np.split(flat, cut)
+            model = improved({c: v.reshape(model[c].shape) for c, v in zip(("emit", "move", "start"), parts_of, strict=True)}, vocabulary)
+            if fit / seen - before < gain:
+                break
+            before = fit / seen
     n, v = int(mass.sum()) + ends, int(types.sum()) + (ends > 0)
     scored = coded.select("doc_id", "print", "symbols").mapInArrow(_score(shared()), "doc_id long, print binary, symbols_score double").dropDuplicates(["doc_id", "print"])
     scored = scored.select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "symbols_score")
