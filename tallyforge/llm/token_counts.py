@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -15,26 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE, documents, held, slices, tidy
-from .tokens import SPECIAL, encoder
+from .tokens import SPECIAL, encoder, has_unassigned
 
 _special = next(iter(SPECIAL))
 #: Pre-tokens longer than this many bytes are encoded without being kept in the cache.
 KEPT_BYTES = 256
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> str:
-    """A regex class of the characters that have no category here: two Unicode versions may class only these apart (a test compares all others)."""
-    spans: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) == "Cn":
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
-
-
 @lru_cache(maxsize=2)
 def splitter(path: str | None) -> Callable[[str], list[str]]:
     """A function from a text without special strings to its pieces: pre-tokens as the vocabulary's pattern cuts them.
@@ -43,15 +28,14 @@ def splitter(path: str | None) -> Callable[[str], list[str]]:
     the white space before it, for the library to cut: no pre-token runs from
     anything else into white space, so nothing beside it depends on it.
     """
-    findall, odd = regex.compile(encoder(path).pattern).findall, regex.compile(unassigned())
-    word = regex.compile(r"\s*+\S+")
+    findall, word = regex.compile(encoder(path).pattern).findall, regex.compile(r"\s*+\S+")
 
     def split(text: str) -> list[str]:
-        if text.isascii() or odd.search(text) is None:
+        if not has_unassigned(text):
             return findall(text)
         pieces, at = [], 0
         for found in word.finditer(text):
-            if odd.search(text, *found.span()):
+            if has_unassigned(found.group()):
                 pieces += findall(text[at : found.start()])
                 pieces.append(found.group())
                 at = found.end()

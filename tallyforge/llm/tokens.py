@@ -20,6 +20,22 @@ SPECIAL = {"<|endoftext|>": 50256}
 _other = regex.compile(r"[^\x00-ɏ‐-‧‰-⁞]")
 
 
+class _Unassigned(dict):
+    """Whether a character has no Unicode category here; no more entries than there are characters."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = unicodedata.category(c) == "Cn"
+        return found
+
+
+_unassigned = _Unassigned()
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text has a character without category: two Unicode versions class only these apart (a test compares all others)."""
+    return not text.isascii() and any(map(_unassigned.__getitem__, set(text)))
+
+
 class Encoder:
     """encode(text) -> uint32 array; lengths only by length(text)."""
 
@@ -52,7 +68,7 @@ class Encoder:
 
     def piece_length(self, piece: str) -> int:
         """Tokens of one pre-token; a piece with a character that the pattern's library might class apart is left to the tokenizers library."""
-        if len(piece) > 1 and not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+        if has_unassigned(piece):
             return len(self.library.encode(piece, add_special_tokens=False).ids)
         return len(self.pieces.encode_ordinary(piece))
 
