@@ -17,8 +17,8 @@ from ..functions.ship import ship
 
 __all__ = ["new_dir", "shared_dir", "written"]  # beside what is defined here
 
-#: Rows that may be broadcast or held by the driver; larger sets take the shuffled way.
-BROADCAST_ROWS = 1_000_000
+#: Rows, of a few numbers or a digest each, that may be broadcast or held by the driver; larger sets take the shuffled way.
+BROADCAST_ROWS = 250_000
 #: Bytes of text that a Python worker handles at once, and entries of its largest cache.
 SLICE_BYTES, CACHE = 4 << 20, 100_000
 _state: dict = {}

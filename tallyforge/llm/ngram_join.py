@@ -33,7 +33,9 @@ SHORT = 64
 #: From this many sets a shingle can count as frequent.
 FREQUENT = 8
 #: Sets and bytes of sets in a block of a long list.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Shares into which a frequent token's rows are split where they meet its counts.
+SALTS = 16
 #: Largest boundary between small and large sets that is weighed.
 SMALLEST_LARGE = 24
 #: Position of a shingle that stands for several documents of its batch.
@@ -100,7 +102,7 @@ def _spread(width: int, parts: int, size: int):
             sets = [shingles(x, width) for x in part.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets], np.uint32)
             prints = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
-            ids = part.column("doc_id")
+            ids, marks = part.column("doc_id"), part.column("mark").to_numpy().astype(np.int64).tobytes()
             batch = xxhash.xxh3_64_intdigest(prints + repr(ids.to_pylist()).encode()) - (1 << 63)
             low = np.concatenate(sets).astype(np.uint32) if sets else np.zeros(0, np.uint32)
             at = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
@@ -111,7 +113,7 @@ def _spread(width: int, parts: int, size: int):
             low, at = np.concatenate([low[~again], seen[count > 1]]), np.concatenate([at[~again], np.full((count > 1).sum(), _MANY, np.uint16)])
             for p, own in _by_part(low, parts):
                 yield _packed(p, batch, 0, low[own].tobytes(), at[own].tobytes())
-            yield _packed(batch % parts, batch, 1, sizes.tobytes(), shared.tobytes(), prints, ids.to_pylist())
+            yield _packed(batch % parts, batch, 1, sizes.tobytes(), shared.tobytes(), prints + marks, ids.to_pylist())
 
     return tidy(run)
 
@@ -140,11 +142,11 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _decide(percent: int):
-    """A batch's documents: doc_id, n, print and whether enough of the shingles occur elsewhere."""
+    """A batch's documents: doc_id, mark, n, print and whether enough of the shingles occur elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = {"doc_id": [], "n": [], "print": [], "goes_on": []}
+        out = {"doc_id": [], "mark": [], "n": [], "print": [], "goes_on": []}
         for docs in (r for r in rows if r["kind"]):
             n = np.frombuffer(docs["a"], np.uint32).astype(np.int64)
             shared = np.frombuffer(docs["b"], np.uint32).astype(np.int64)
@@ -152,10 +154,11 @@ def _decide(percent: int):
                 if not r["kind"]:
                     np.add.at(shared, np.frombuffer(r["a"], np.uint16), np.frombuffer(r["b"], np.uint32))
             out["doc_id"] += docs["ids"]
+            out["mark"] += np.frombuffer(docs["c"], np.int64, len(n), 16 * len(n)).tolist()
             out["n"] += n.tolist()
             out["print"] += [docs["c"][16 * i : 16 * i + 16] for i in range(len(n))]
             out["goes_on"] += ((n > 0) & (100 * shared >= percent * n)).tolist()
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("goes_on", pa.bool_())]))
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("goes_on", pa.bool_())]))
 
     return run
 
@@ -241,7 +244,7 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
 
 
 def _postings(percent: int, small: int, frequent):
-    """token, node, n, at (place in the set's order), kind: 0 a list's, 1 a subset's, 2 a long list's."""
+    """token, node, n, at (place in the set's order), kind: 0 a list's, 1 a subset's of the smaller (or either) size that it stands for, 3 of the larger, 2 a long list's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = (np.frombuffer(x, t) for x, t in zip(frequent.value, (np.uint32, np.int64), strict=True))
@@ -267,14 +270,15 @@ def _postings(percent: int, small: int, frequent):
                     first = np.lexsort((own, count))[: prefix(n, percent)]
                     add(own[first].view(np.int64), node, n, np.arange(len(first), dtype=np.int32), np.where(count[first] > SHORT, 2, 0).astype(np.int32))
                 if n <= small:
-                    whole, keys = int(own.sum(dtype=np.uint64)), []
+                    whole, keys, kinds = int(own.sum(dtype=np.uint64)), [], []
                     for m in partners(n, percent):
                         tag = (min(n, m) << 8 | max(n, m)) * 0x9E3779B97F4A7C15
                         values = own.tolist()
                         for out in combinations(values, n - overlap(n, m, percent)):
                             keys.append((whole - sum(out) ^ tag) & (1 << 64) - 1)
+                        kinds += [1 if n <= m else 3] * (len(keys) - len(kinds))
                     keys = _mixed(np.array(keys, np.uint64)).view(np.int64)
-                    add(keys, node, n, np.zeros(len(keys), np.int32), np.ones(len(keys), np.int32))
+                    add(keys, node, n, np.zeros(len(keys), np.int32), np.array(kinds, np.int32))
             if rows[0]:
                 c = [np.concatenate(x) for x in rows]
                 yield pa.record_batch([pa.array(x) for x in c], names=["token", "node", "n", "at", "kind"])
@@ -282,16 +286,24 @@ def _postings(percent: int, small: int, frequent):
     return tidy(run)
 
 
+def _subset_pairs(postings: DataFrame) -> DataFrame:
+    """Candidate pairs (a < b) of the sets that meet by a subset.
+
+    A subset's sets share all that a link between its two sizes takes, and so
+    what one between two of the smaller takes: the first of the smaller ones,
+    which partial minima find, goes with each other set and joins them all. It
+    is a join that Spark can split where very many sets have one subset.
+    """
+    first = postings.where("kind = 1").groupBy("token").agg(F.min("node").alias("first")).withColumnRenamed("token", "_token")
+    met = postings.where("kind in (1, 3)").select("token", "node").join(first, F.col("token") == F.col("_token")).where("node <> first")
+    return met.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+
+
 def _pairs(percent: int, small: int):
-    """Reads postings ordered by token, kind, n: candidate pairs (a < b), or a token whose list is long (a null)."""
+    """Reads lists' postings ordered by token, n: candidate pairs (a < b), or a token whose list is long (a null)."""
 
-    def pairs_of(kind, nodes, n, at):
+    def pairs_of(nodes, n, at):
         nodes, n, at = np.array(nodes), np.array(n, np.int64), np.array(at, np.int64)
-        if kind == 1:  # each size's sets with the first set of the other size; they share all that a link takes
-            if n[0] == n[-1]:
-                return nodes[1:], np.full(len(nodes) - 1, nodes[0])
-            first, last = n == n[0], n == n[-1]
-            return np.concatenate([nodes[first], nodes[last]]), np.concatenate([np.full(first.sum(), nodes[last][0]), np.full(last.sum(), nodes[first][0])])
         i, j = np.triu_indices(len(nodes), 1)  # n[i] <= n[j]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         keep = (100 * n[i] >= percent * n[j]) & (n[j] > small)
@@ -299,15 +311,15 @@ def _pairs(percent: int, small: int):
         return nodes[i[keep]], nodes[j[keep]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, kind, held, out, made = None, None, ([], [], []), [], 0
+        token, held, out, made = None, ([], [], []), [], 0
 
         def close():
             nonlocal made
             if len(held[0]) > 1:
-                if kind == 0 and len(held[0]) > SHORT:
+                if len(held[0]) > SHORT:
                     out.append((np.array([-1]), np.array([token])))
                 else:
-                    out.append(pairs_of(kind, *held))
+                    out.append(pairs_of(*held))
                 made += len(out[-1][0])
             for x in held:
                 x.clear()
@@ -320,11 +332,11 @@ def _pairs(percent: int, small: int):
             return pa.record_batch({"a": pa.array(np.where(a < 0, a, np.minimum(a, b))), "b": pa.array(np.where(a < 0, b, np.maximum(a, b)))})
 
         for batch in batches:
-            for t, node, n, at, k in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "n", "at", "kind")), strict=True):
-                if t != token or k != kind:
+            for t, node, n, at in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "n", "at")), strict=True):
+                if t != token:
                     close()
-                    token, kind = t, k
-                if kind == 1 or len(held[0]) <= SHORT:  # a long list is only named here
+                    token = t
+                if len(held[0]) <= SHORT:  # a long list is only named here
                     for x, v in zip(held, (node, n, at), strict=True):
                         x.append(v)
             if made > 50_000:
@@ -395,6 +407,15 @@ def _on(name: str, other: str) -> Column:
     return F.col(name).eqNullSafe(F.col(other))
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (token, node ..) with their token's counts. Few counts are broadcast; else a token's rows are split into SALTS shares."""
+    counts = counts.withColumnRenamed("token", "_token")
+    if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counts), F.col("token") == F.col("_token")).drop("_token")
+    salted = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, (F.col("token") == F.col("_token")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("_salt"))).drop("_token", "_salt")
+
+
 def _long_links(long: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links that the long lists add, and `links`. long: token, node, n.
 
@@ -405,7 +426,7 @@ def _long_links(long: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     """
     stats = long.groupBy("token").agg(F.count("*").alias("size"), F.max("n").alias("top"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("size") * F.col("top") * 8 / BLOCK_BYTES))
-    placed = written(long.join(stats, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("token", "node"), F.col("blocks"))), "long")
+    placed = written(_with_counts(long, stats).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("token", "node"), F.col("blocks"))), "long")
     items = sets.select("node", "items")
     spot = "a long, b long"
     inner = placed.join(items, "node").select("token", "block", F.lit(0).alias("side"), "node", "items").groupBy("token", "block").applyInArrow(_block(percent), spot)
@@ -416,36 +437,42 @@ def _long_links(long: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     label = components(links).withColumnRenamed("node", "_n")
     several = several.join(label, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
     main = several.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    several = written(several.join(main, "token").select("token", "node", "n", "blocks", "block", (F.col("component") != F.col("main")).alias("rest")), "several")
+    several = written(_with_counts(several, main).select("token", "node", "n", "blocks", "block", (F.col("component") != F.col("main")).alias("rest")), "several")
     rest = several.where("rest")
     if not rest.head(1):
         return links
     chunks = rest.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("chunks"))
-    own = several.join(chunks, "token").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("token", "block", "chunk", F.lit(0).alias("side"), "node")
-    brought = rest.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", "block", "chunk", F.lit(1).alias("side"), "node")
+    own = _with_counts(several, chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("token", "block", "chunk", F.lit(0).alias("side"), "node")
+    brought = _with_counts(rest, chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", "block", "chunk", F.lit(1).alias("side"), "node")
     outer = own.union(brought).join(items, "node").groupBy("token", "block", "chunk").applyInArrow(_block(percent), spot)
     return links.union(outer)
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """A row for each document: doc_id, n_shingles and component_id.
+    """A row for each document: doc_id, n_shingles and component_id; see linked()."""
+    return linked(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row for each document: doc_id, mark (its text's 64-bit hash), n_shingles, component and component_id.
 
     Documents link when 100 * common >= percent * all of their distinct shingles
     of `width` words (A to Z in lower case; words are runs of anything but a
     space and the characters 9 to 13). component_id is the smallest doc_id that
-    links reach. Sets hold 64-bit hashes of shingles.
+    links reach; component is the same for all that are linked, and null for a
+    document that can have no link and no copy. Sets hold 64-bit hashes of shingles.
 
     Null and empty texts have no shingles and link with nothing; fewer words
     than width are one shingle. Rows with a null id take part and have the
     smallest id of the others, or null. Repeated rows are one set and each get
     their row. Empty tables give no rows; further columns are left out.
     """
-    docs = documents(docs)
+    docs = documents(docs).withColumn("mark", F.xxhash64("text"))
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     parts, unit = dealing(size / 6, GROUP)
     met = docs.mapInArrow(_spread(width, parts, unit), _PACKED).groupBy("p").applyInArrow(_meet, _PACKED)
-    decided = written(met.groupBy("batch").applyInArrow(_decide(percent), "doc_id long, n long, print binary, goes_on boolean"), "decided")
+    decided = written(met.groupBy("batch").applyInArrow(_decide(percent), "doc_id long, mark long, n long, print binary, goes_on boolean"), "decided")
     ids = decided.where("goes_on").select(F.col("doc_id").alias("_id")).distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     going = docs.join(F.broadcast(ids) if few else ids, _on("doc_id", "_id"), "left_semi")
@@ -454,7 +481,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sets = written(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
     total = sets.agg(F.sum("n"), F.count("*")).head()
     if not total[1]:
-        return decided.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return decided.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     parts, _ = dealing(total[0], GROUP)
     frequent = written(sets.select("node", "items").mapInArrow(_tally(parts), _PACKED).groupBy("p").applyInArrow(_frequent, "a binary, b binary, powers array<long>"), "frequent")
     powers = frequent.select(F.posexplode("powers").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c")).collect()
@@ -467,8 +494,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sizes = {r.n: r["count"] for r in sets.where(F.col("n") <= 2 * SMALLEST_LARGE).groupBy("n").count().collect()}
     small = boundary(sizes, percent)
     postings = written(sets.select("node", "items").mapInArrow(_postings(percent, small, table), "token long, node long, n int, at int, kind int"), "postings")
-    ordered = postings.where("kind < 2").repartition("token").sortWithinPartitions("token", "kind", "n", "node")
-    pairs = written(ordered.mapInArrow(_pairs(percent, small), "a long, b long").distinct(), "pairs")
+    ordered = postings.where("kind = 0").repartition("token").sortWithinPartitions("token", "n", "node")
+    pairs = written(ordered.mapInArrow(_pairs(percent, small), "a long, b long").union(_subset_pairs(postings)).distinct(), "pairs")
     one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     links = pairs.where("a >= 0").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
     named = pairs.where("a < 0").select(F.col("b").alias("token"))
@@ -477,30 +504,38 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     label = components(links).withColumnRenamed("node", "_n")
     grouped = sets.select("print", "least", "node").join(label, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(grouped.join(smallest, "component").select(F.col("print").alias("_p"), "component_id"), "named")
+    named = written(grouped.join(smallest, "component").select(F.col("print").alias("_p"), "component", "component_id"), "named")
     few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = decided.join(F.broadcast(named) if few else named, F.col("print") == F.col("_p"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay when one document of each linked group does: that of the smallest id.
+    """The rows of docs that stay when one row of each linked group does: that of the smallest id, nulls last, then of the smallest hash of the text.
 
-    Rows that share an id go or stay together, and go only if none of them has
-    its own id as component; of such rows with equal texts one stays.
+    Rows are told apart by id and text, so that rows which share an id, or have
+    none, are decided one by one; of rows equal in both, the first in the order
+    of their JSON stays. Rows without words are linked with nothing, and all stay.
     """
     docs = distinct_names(docs)
-    found = written(link(docs, width, percent), "linked")
-    by_id = written(found.groupBy("doc_id").agg(F.max(F.coalesce(F.col("component_id").eqNullSafe(F.col("doc_id")), F.lit(True))).alias("stays"), F.count("*").alias("rows")), "stays")
-    gone = by_id.where("not stays").select(F.col("doc_id").alias("_id"))
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = column(docs, "doc_id", "long")
-    kept = docs.join(F.broadcast(gone) if few else gone, own.eqNullSafe(F.col("_id")), "left_anti")
-    again = by_id.where("stays and rows > 1").select(F.col("doc_id").alias("_id"))
+    found = written(linked(docs, width, percent).where("component is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows")), "linked")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")).withColumnRenamed("component", "_c")
+    judged = found.join(first, F.col("component") == F.col("_c")).withColumn("stays", _on("doc_id", "first.doc_id") & (F.col("mark") == F.col("first.mark")))
+    judged = written(judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "stays", "rows"), "judged")
+    own, mark = column(docs, "doc_id", "long"), F.xxhash64(F.coalesce(column(docs, "text", "string"), F.lit("")))
+
+    def those(some: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        some = some.select("_id", "_mark")
+        return of.join(F.broadcast(some) if few else some, own.eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), how)
+
+    kept = those(judged.where("not stays"), "left_anti", docs)
+    again = judged.where("stays and rows > 1")
     if not again.head(1):
         return kept
-    several = kept.join(again, own.eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([c for c in ("doc_id", "text") if c in docs.columns])
-    return kept.join(again, own.eqNullSafe(F.col("_id")), "left_anti").unionByName(several)
+    rows = those(again, "left_semi", kept).select(own.alias("_id"), mark.alias("_mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = rows.groupBy("_id", "_mark").agg(F.min_by("row", F.to_json("row")).alias("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return those(again, "left_anti", kept).unionByName(single)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -193,6 +193,16 @@ def test_images():
 
 
 def brute_join(rows, width, percent):
+    sets, find = brute_groups(rows, width, percent)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, len(s), least.get(find(i))) for i, ((d, *_), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def brute_groups(rows, width, percent):
+    """Each row's shingles, and a function from a row's place to its group's."""
     sets = []
     for _, t, *_ in rows:
         w = words(t)
@@ -209,11 +219,7 @@ def brute_join(rows, width, percent):
             b = sets[j]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
-    least = {}
-    for i, (d, *_) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    return Counter((d, len(s), least.get(find(i))) for i, ((d, *_), s) in enumerate(zip(rows, sets, strict=True)))
+    return sets, find
 
 
 def near_rows():
@@ -255,12 +261,32 @@ def test_join_of_nothing(spark):
     assert Counter(map(tuple, ngram_join.link(frame(spark, alone)).collect())) == Counter({(1, 4, 1): 1, (2, 0, 2): 1, (3, 0, 3): 1})
 
 
-def test_one_of_each(spark):
+def kept_rows(rows, width, percent):
+    """How often each id stays: of a group's rows one, of the smallest id, nulls last; rows without words all."""
+    sets, find = brute_groups(rows, width, percent)
+    groups = defaultdict(list)
+    for i, (d, *_) in enumerate(rows):
+        groups[find(i) if sets[i] else -1 - i].append((d is None, d or 0))
+    return Counter(d if not none else None for none, d in map(min, groups.values()))
+
+
+def test_one_of_each(spark, monkeypatch):
     rows = near_rows() + awkward()
-    kept = Counter(r.doc_id for r in ngram_join.one_of_each(frame(spark, rows), 3, 90).collect())
-    want = {d for d, _, c in brute_join(rows, 3, 90) if d is not None and d == c}
-    assert {d for d in kept if d is not None} == want
-    assert all(n == 1 for d, n in kept.items() if d is not None)
+    rows += [(50, rows[0][1], None, None, None), (50, "quite another text of its own here", None, None, None), (None, rows[0][1] + " z0", None, None, None), (None, "no id but some words", "a", None, None), (None, "no id but some words", "b", None, None), (None, "", None, None, None)]
+    kept = ngram_join.one_of_each(frame(spark, rows).repartition(4), 3, 90)
+    assert kept.columns == distinct_names(frame(spark, rows)).columns
+    assert Counter(r.doc_id for r in kept.collect()) == kept_rows(rows, 3, 90)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)  # the shuffled ways
+    assert Counter(r.doc_id for r in ngram_join.one_of_each(frame(spark, rows), 3, 90).collect()) == kept_rows(rows, 3, 90)
+    assert Counter(map(tuple, ngram_join.link(frame(spark, rows)).collect())) == brute_join(rows, 3, 90)
+
+
+def test_sets_that_share_one_subset(spark):
+    """Very many small sets with one subset, of two sizes, meet in a join that Spark can split."""
+    base = [f"b{i}" for i in range(14)]
+    rows = [(i, " ".join([*base, f"x{i}"][: 14 + i % 2]), None, None, None) for i in range(200)] + [(1000 + i, " ".join([*base, f"y{i}", f"z{i}"]), None, None, None) for i in range(50)]
+    assert Counter(map(tuple, ngram_join.link(frame(spark, rows), 1, 90).collect())) == brute_join(rows, 1, 90)
+    assert Counter(map(tuple, ngram_join.link(frame(spark, rows[1::2]), 1, 90).collect())) == brute_join(rows[1::2], 1, 90)
 
 
 def test_components(spark):

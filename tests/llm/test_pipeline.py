@@ -10,7 +10,7 @@ from tallyforge.llm import queries, toxicity
 from tallyforge.llm.mixing import mix
 
 from .helpers import awkward, empty, words
-from .test_documents import brute_join, near_rows
+from .test_documents import kept_rows, near_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
     left = [tuple(r) for r in kept.collect()]
     single = corpus_pipeline.drop_copies(spark, kept, str(tmp_path))
     assert single.columns == docs.columns
-    assert {r.doc_id for r in single.collect() if r.doc_id is not None} == {d for d, _, c in brute_join(left, 5, 80) if d is not None and d == c}
+    assert Counter(r.doc_id for r in single.collect()) == kept_rows(left, 5, 80)
     mixed = corpus_pipeline.mix_sources(spark, single, str(tmp_path))
     assert mixed.columns == docs.columns
     budget = {(r.doc_id, r.source): r.whole * r.size + r.part for r in mix(single).collect()}
