@@ -88,6 +88,12 @@ def read_turns(formatted: Column) -> Column:
         unescape(F.regexp_replace(p, "^<turn [^>]*>\n", "")).alias("text")))
 
 
+def read_loss(formatted: Column) -> Column:
+    """The texts under the loss mask of a formatted conversation: what stands between an assistant's mark and its end. No text can hold a mark."""
+    found = F.regexp_extract_all(formatted, F.lit("<turn assistant>\n([^<]*)\n</turn>\n"), F.lit(1))
+    return F.transform(found, unescape)
+
+
 def conversations(table: DataFrame) -> DataFrame:
     """Messages of a table of turns: each turn answers the one before it (by turn, role, text; null first).
 
@@ -102,9 +108,8 @@ def conversations(table: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from the formatted text and its mask."""
-    turns = read_turns(F.col("formatted"))
-    lost = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, all read back from the formatted text."""
+    turns, lost = read_turns(F.col("formatted")), F.array_join(read_loss(F.col("formatted")), "")
     read = formatted.select("tree", "formatted", turns.alias("turns"), lost.alias("lost"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

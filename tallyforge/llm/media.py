@@ -166,7 +166,8 @@ def as_pgm(docs: DataFrame) -> DataFrame:
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    """All documents as stored images, read back and decoded; see as_pgm() and tiles()."""
+    """All documents as stored images, read back, decoded and written as NPY tiles with their hashes; see as_pgm() and tiles()."""
     stored = written(as_pgm(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     read = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    return tiles(read, payload=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("difference_hash").alias("feature"))
+    tiled = written(tiles(read, payload=True).drop("height", "width", "channels", "error"), "tiles")
+    return tiled.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("difference_hash").alias("feature"))

@@ -30,18 +30,38 @@ def targets(sources: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
     last. Shares are by weight, but none above `epochs` times its source's size;
     what is cut off is shared anew by weight. That ends where every source has
     min(epochs * size, level * weight) and all of them sum to all sizes; the
-    level is found by one pass over the sources in order of epochs * size / weight.
+    level is found by running sums over the sources in order of epochs * size /
+    weight, which are taken in ranges: sources can be as many as documents.
+    Empty tables give no rows.
     """
-    in_order = W.orderBy(F.col("source").asc_nulls_last())
-    cap = F.col("source_size") * F.lit(epochs)
-    ranked = sources.withColumn("weight", ((F.row_number().over(in_order) - 1) % weights + 1).cast("double")).withColumn("cap", cap.cast("double"))
-    by_ratio = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    full = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(full) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing))
-    found = ranked.withColumn("level", level)
-    found = found.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(full).getField("level"))
-    return found.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
+    cap = (F.col("source_size") * F.lit(epochs)).cast("double")
+    ranked = running(sources.withColumn("cap", cap).withColumn("one", F.lit(1)), [F.col("source").asc_nulls_first()], "one", "nth")
+    # null is the last source
+    nulls = ranked.where("source is null").count()
+    nth = F.when(F.col("source").isNull(), ranked.count() - 1).otherwise(F.col("nth") - nulls)
+    ranked = ranked.withColumn("weight", (nth % weights + 1).cast("double")).drop("one", "nth")
+    in_ratio = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    found = running(running(ranked, in_ratio, "cap", "caps"), in_ratio, "weight", "weights")
+    whole = ranked.agg(F.sum("source_size").alias("sizes"), F.sum("weight").alias("weights")).head()
+    level = (F.lit(whole.sizes) - F.col("caps")) / (F.lit(whole.weights) - F.col("weights"))
+    least = found.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct(F.col("cap") / F.col("weight"), "level"))["level"].alias("level")).head()
+    level = F.lit(None if least is None else least.level).cast("double")
+    return ranked.select("source", "source_size", "weight", F.coalesce(F.least("cap", level * F.col("weight")), F.lit(0.0)).alias("target"))
+
+
+def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with `name`, the sum of `value` over all rows before each in the order, which is total; ranges are summed apart, and the driver adds their totals."""
+    placed = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = {r._part: r.total for r in placed.groupBy("_part").agg(F.sum(value).alias("total")).collect()}  # a row for each range
+    before, sums = 0, {}
+    for part in sorted(totals):
+        sums[part] = before
+        before += totals[part]
+    kind = placed.schema[value].dataType.simpleString()
+    kind = "double" if kind == "double" else "long"
+    start = placed.sparkSession.createDataFrame([(p, (float if kind == "double" else int)(v)) for p, v in sums.items()], f"_p int, _start {kind}")
+    own = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast(kind))
+    return placed.join(F.broadcast(start), F.col("_part") == F.col("_p")).withColumn(name, own + F.col("_start")).drop("_part", "_p", "_start")
 
 
 def mix(docs: DataFrame, weights: int = 3, epochs: int = 3, bucket_rows: int = 8_192, seed: int = 11, with_rows: bool = True) -> DataFrame:
