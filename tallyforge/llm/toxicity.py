@@ -24,8 +24,8 @@ from .common import CACHE, column, crc32_mod, distinct_names, documents, held, p
 
 #: Tasks that read the examples, and parts of the examples for the calibration.
 TASKS, FOLDS = 8, 5
-#: Examples in a block of the index; blocks that are scored first, then twice as many each time.
-BLOCK, FIRST = 32, 4
+#: Examples in a block of the index; a term that one of so many examples has is common; texts that are scored together.
+BLOCK, COMMON, TOGETHER = 32, 16, 128
 #: Weight of the classes' share among the votes, and bins of the calibration.
 PRIOR, BINS = 0.2, 20
 #: Stripped from words' ends.
@@ -59,14 +59,27 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Examples as TF-IDF vectors of unit length. A term has an entry for each block of examples that has it: its largest weight there, and its postings."""
+    """Examples as TF-IDF vectors of unit length, in blocks.
+
+    A term has an entry for each block of examples that has it: its largest
+    weight there, and its postings. The lists of common terms are laid out as
+    rows of a matrix, so that those of many texts are summed by one product.
+    """
 
     FIELDS = ("vocabulary", "weight", "terms", "blocks", "most", "starts", "rows", "weights", "ids", "labels")
 
     def __init__(self, **arrays: np.ndarray):
         for name in self.FIELDS:
             setattr(self, name, arrays[name])
-        self.size = int(self.blocks.max()) + 1 if len(self.blocks) else 0
+        n = len(self.ids)
+        self.size = -(-n // BLOCK)
+        first, last = self.starts[self.terms[:-1]], self.starts[self.terms[1:]]
+        often = np.nonzero(last - first >= max(1, n / COMMON))[0]
+        self.common = np.full(len(self.vocabulary), -1)
+        self.common[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.size * BLOCK))
+        places, many = _spans(first[often], last[often])
+        self.dense[np.repeat(np.arange(len(often)), many), self.rows[places]] = self.weights[places]
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The vocabulary's numbers of the terms that it has, and their weights, of unit length."""
@@ -78,44 +91,53 @@ class Index:
         weights = (1 + np.log(times[hit])) * self.weight[own]
         return own, weights / np.sqrt((weights * weights).sum()) if len(own) else weights
 
-    def nearest(self, own: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with any term in common, ties to the smaller id. Exact.
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest of each vector with any term in common, ties to the smaller id. Exact.
 
-        A block's bound is the sum of the query's weights times the block's
-        largest ones. Blocks are scored by falling bounds; once a bound is below
-        the k-th cosine so far, no block left can hold a nearer example.
+        The common terms' sums are known for every example; the k-th largest of
+        them is a threshold that the k-th cosine can't be below. A block's bound
+        is its largest such sum, and the sum of the query's other weights times
+        the block's largest ones: blocks with bounds below the threshold hold
+        no nearer example, and the other terms' postings are read in the rest alone.
         """
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        if not len(own):
-            return rows, scores
-        entries, many = _spans(self.terms[own], self.terms[own + 1])
-        weights, blocks = np.repeat(weights, many), self.blocks[entries]
-        bounds = np.bincount(blocks, weights * self.most[entries], minlength=self.size)
-        order = np.argsort(-bounds, kind="stable")
-        order, done, more = order[: np.searchsorted(-bounds[order], 0)], 0, FIRST
-        while done < len(order):
-            take = order[done : done + more]
-            if len(scores) == k:
-                take = take[bounds[take] >= scores[-1] - 1e-9]
-                if not len(take):
-                    break
-            done, more = done + len(take), 2 * more
-            chosen = np.zeros(self.size, bool)
-            chosen[take] = True
-            mine = chosen[blocks]
-            at = entries[mine]
-            places, many = _spans(self.starts[at], self.starts[at + 1])
-            found = np.bincount(self.rows[places], np.repeat(weights[mine], many) * self.weights[places], minlength=len(self.ids))
-            new = np.nonzero(found)[0]
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found[new]])
-            keep = np.lexsort((self.ids[rows], -scores))[:k]
+        out = []
+        for lo in range(0, len(vectors), TOGETHER):
+            part = vectors[lo : lo + TOGETHER]
+            asked = np.zeros((len(part), len(self.dense)))
+            for i, (own, weights) in enumerate(part):
+                at = self.common[own]
+                asked[i, at[at >= 0]] = weights[at >= 0]
+            sums = asked @ self.dense
+            tops = sums.reshape(len(part), self.size, BLOCK).max(axis=2) if self.size else np.zeros((len(part), 0))
+            for (own, weights), found, bounds in zip(part, sums, tops, strict=True):
+                out.append(self._nearest(own, weights, found, bounds, k))
+        return out
+
+    def _nearest(self, own: np.ndarray, weights: np.ndarray, found: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(found, len(found) - k)[-k] if len(found) >= k else 0.0
+        rare = self.common[own] < 0
+        entries, many = _spans(self.terms[own[rare]], self.terms[own[rare] + 1])
+        weights, blocks = np.repeat(weights[rare], many), self.blocks[entries]
+        bounds = bounds + np.bincount(blocks, weights * self.most[entries], minlength=self.size)
+        chosen = bounds >= max(least - 1e-9, 1e-12)
+        mine = chosen[blocks]
+        at = entries[mine]
+        places, many = _spans(self.starts[at], self.starts[at + 1])
+        found = found + np.bincount(self.rows[places], np.repeat(weights[mine], many) * self.weights[places], minlength=len(found))
+        # products of matrices may differ in the last bits, which shall not order what ties
+        rows = np.nonzero(chosen)[0][:, None] * BLOCK + np.arange(BLOCK)
+        rows = rows.ravel()
+        scores = np.round(found[rows], 12)
+        if len(rows) > k:
+            keep = scores >= max(np.partition(scores, len(scores) - k)[-k], 1e-12)
             rows, scores = rows[keep], scores[keep]
-        return rows, scores
+        rows, scores = rows[scores > 0], scores[scores > 0]
+        keep = np.lexsort((self.ids[rows], -scores))[:k]
+        return rows[keep], scores[keep]
 
-    def vote(self, own: np.ndarray, weights: np.ndarray, k: int, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
-        """The neighbours' labels weighted by nearness, with a weight of PRIOR on the classes' share."""
-        rows, near = self.nearest(own, weights, k)
-        return float(((near * self.labels[rows]).sum() + PRIOR * prior) / (near.sum() + PRIOR)), rows, near
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, prior: float) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """For each vector its neighbours' labels weighted by nearness, with a weight of PRIOR on the classes' share (None: no neighbour), the neighbours and cosines."""
+        return [(float(((near * self.labels[rows]).sum() + PRIOR * prior) / (near.sum() + PRIOR)) if len(rows) else None, rows, near) for rows, near in self.nearest(vectors, k)]
 
 
 def term_weights(df: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -180,11 +202,9 @@ def fold(doc: int) -> int:
 def votes_apart(examples: list[tuple[int, int, np.ndarray, np.ndarray]], part: int, k: int, prior: float) -> list[tuple[int, float | None]]:
     """(label, vote) of a part's examples by an index of all others, in whose idf, relevance and vocabulary they had no part; None: no neighbour."""
     index = fit_index([e for e in examples if fold(e[0]) != part and len(e[2])])
-    found = []
-    for _, label, terms, times in (e for e in examples if fold(e[0]) == part):
-        own, weights = index.vector(terms, times)
-        found.append((label, index.vote(own, weights, k, prior)[0] if len(own) else None))
-    return found
+    own = [e for e in examples if fold(e[0]) == part]
+    found = index.votes([index.vector(*e[2:]) for e in own], k, prior)
+    return [(e[1], vote) for e, (vote, *_) in zip(own, found, strict=True)]
 
 
 class Model:
@@ -196,14 +216,10 @@ class Model:
         self.votes = np.concatenate([[0], (np.arange(BINS) + 0.5) / BINS, [1]])
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
-        scores, rows, near, ends = np.empty(len(texts)), [], [], [0]
-        for i, text in enumerate(texts):
-            own, weights = self.index.vector(*counted(text, self.known))
-            vote, r, s = self.index.vote(own, weights, self.k, self.prior)
-            scores[i] = np.interp(vote, self.votes, self.curve) if len(r) else self.nothing
-            rows.append(r)
-            near.append(s)
-            ends.append(ends[-1] + len(r))
+        found = self.index.votes([self.index.vector(*counted(t, self.known)) for t in texts], self.k, self.prior)
+        scores = np.array([self.nothing if vote is None else np.interp(vote, self.votes, self.curve) for vote, *_ in found])
+        rows, near = [x[1] for x in found], [x[2] for x in found]
+        ends = np.cumsum([0, *map(len, rows)])
         r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         near = np.concatenate(near) if near else np.zeros(0)
         found = pa.StructArray.from_arrays([pa.array(self.index.ids[r], pa.int64()), pa.array(near, pa.float64()), pa.array(self.index.labels[r], pa.int32())], fields=list(_EVIDENCE_ARROW.value_type))
@@ -289,7 +305,7 @@ def learned(docs: DataFrame, labels: DataFrame, examples: int, example_bytes: in
     return spark.sparkContext.broadcast((index[0] if index else packed({c: getattr(fit_index([]), c) for c in Index.FIELDS}), closing(votes, rates, prior)))
 
 
-def score(docs: DataFrame, labels: DataFrame, examples: int = 1_500, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, examples: int = 2_000, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the nearest examples) of every document.
 
     Learns from labels (doc_id, toxic) of rows whose crc32(doc_id) mod 5 isn't 0:
@@ -324,7 +340,7 @@ def _predicted(score: Column) -> Column:
     return (score >= 0.5).cast("int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = 1_500, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = 2_000, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
     """The rows of docs that score() doesn't predict toxic, with all their columns, in one pass.
 
     Each row goes or stays by its own text, whatever its id: rows that share an

@@ -187,9 +187,9 @@ def test_nearest_examples_are_exact():
     examples = [(1000 - i, int(i % 3 == 0), t) for i, t in enumerate(texts)]
     index = toxicity.fit_index([(d, label, *toxicity.counted(t, known)) for d, label, t in examples])
     weight, vectors = plain_vectors([(d, label, plain_terms(t)) for d, label, t in examples])
-    for _ in range(80):
-        text = " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 80)) % 420)
-        got, near = index.nearest(*index.vector(*toxicity.counted(text, known)), 7)
+    asked = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 80)) % 420) for _ in range(300)] + ["", "nowhere", texts[3]]
+    assert (index.common >= 0).any() and (index.common < 0).any()
+    for text, (got, near) in zip(asked, index.nearest([index.vector(*toxicity.counted(t, known)) for t in asked], 7), strict=True):
         want = plain_nearest_examples(plain_terms(text), weight, vectors, 7)
         assert np.allclose(near, [x[2] for x in want], atol=1e-12) and index.ids[got].tolist() == [x[0] for x in want]
 
