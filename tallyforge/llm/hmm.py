@@ -191,7 +191,7 @@ def first_guess(vocabulary: Vocabulary, states: int) -> dict[str, np.ndarray]:
     """Every state has the symbols' shares, each disturbed by a hash; states tend to stay."""
     noise = np.random.default_rng(7).uniform(0.5, 1.5, (vocabulary.size, states))
     share = vocabulary.weight[:, None] * noise
-    return {"emit": share / share.sum(axis=0), "move": np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), "start": np.full(states, 1 / states)}
+    return {"emit": share / share.sum(axis=0), "move": np.full((states, states), 0.01 / states) + 0.99 * np.eye(states), "start": np.full(states, 1 / states)}
 
 
 def _runs(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -409,7 +409,7 @@ def _score(shared):
     return tidy(run)
 
 
-def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384, gain: float = 0.001, rounds: int = 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, states: int = 6, symbols: int = 16_384, gain: float = 0.003, rounds: int = 20) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
     `train` says of which rows (by doc_id) the counts and the model are learned.

@@ -76,7 +76,7 @@ def plain_expected(texts, m):
     return emit, move, start, fit
 
 
-def plain_hmm(rows, held, states=6, symbols=40, gain=0.001):
+def plain_hmm(rows, held, states=6, symbols=40, gain=0.003):
     """The score of each row by counts in dictionaries, the textbook's Baum-Welch and the forward recursion."""
     texts = [words(t) for _, t, *_ in rows]
     count = Counter(hmm.key_of(w.encode()) for (d, *_), t in zip(rows, texts, strict=True) if not held(d) for w in t)
