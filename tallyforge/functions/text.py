@@ -40,7 +40,7 @@ def mapped(key: Column, values: dict[str, str]) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case, Latin marks dropped, white space collapsed. Built-in functions only; folded_fully() covers every script."""
-    low = F.replace(F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("œ"), F.lit("œ")), F.lit(" "), F.lit(" "))
+    low = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("\u00a0"), F.lit(" "))
     return F.trim(F.regexp_replace(F.translate(low, _MARKED, _PLAIN), r"\s+", " "))
 
 
@@ -100,10 +100,14 @@ def pair_key(refs: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(refs), "|"), 256)
 
 
+#: The entities that plain_html() reads, in its order.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def plain_html(html: Column) -> Column:
     """Text of simple markup: scripts, styles, comments and tags dropped, the common entities read, white space collapsed."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, c in ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(c))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import written
 from .percentile import percentile
-from .scoring import clamp, directed, saturation, shrunk, shrunk_ratio
+from .scoring import directed, saturation, shrunk, shrunk_ratio
 from .windows import recent_windows
 
 #: Exposure of the prior; the confidence's largest population; the cap where few inputs are known.
@@ -95,14 +95,6 @@ def points(goals_for: Column, goals_against: Column) -> Column:
     return F.when(goals_for > goals_against, 3).when(goals_for == goals_against, 1).when(goals_for < goals_against, 0)
 
 
-def team_values(rows: DataFrame) -> DataFrame:
-    """Each row's metrics; null where an input is, or a denominator isn't positive."""
-    share = F.when(F.col("passes_total") + F.col("opponent_passes_total") > 0, F.col("passes_total") / (F.col("passes_total") + F.col("opponent_passes_total")))
-    return rows.withColumns({
-        "goal_difference": F.col("goals_for") - F.col("goals_against"), "points": points(F.col("goals_for"), F.col("goals_against")),
-        "pass_accuracy": F.when(F.col("passes_total") > 0, F.col("passes_accurate") / F.col("passes_total")), "pass_share": share})
-
-
 def window_means(rows: DataFrame, entity: Sequence[str], metrics: Sequence[str], newest: Sequence[Column]) -> DataFrame:
     """entity, window_key, matches, and for each metric its weighted mean over the rows that have it, and observed_<metric>."""
     found = recent_windows(rows, entity, list(newest))
@@ -126,30 +118,6 @@ def team_confidence(matches: Column, coverage: Column, population: Column) -> Co
     return saturation(matches, 5.0) * (0.55 + 0.45 * coverage) * (0.75 + 0.25 * F.least(F.lit(1.0), population / 12))
 
 
-def process_signal(delta: Column, threshold: float = 12.0) -> Column:
-    return F.when(delta >= threshold, "results_above_process").when(delta <= -threshold, "results_below_process").when(delta.isNotNull(), "aligned")
-
-
-def issue_signals(chance: Column, finishing_score: Column, defense: Column, signal: Column) -> Column:
-    """Signals in a fixed order: finishing, creation, defense, then a process signal that isn't aligned."""
-    return F.array_compact(F.array(
-        F.when((chance >= 65) & (finishing_score <= 35), "finishing_problem"), F.when((chance <= 35) & (finishing_score >= 45), "creation_problem"),
-        F.when(defense <= 35, "defensive_process_weak"), F.when(signal != "aligned", signal)))
-
-
-def residual_class(delta: Column, threshold: float = 2.0) -> Column:
-    """Of actual less expected, where both are known: above, below or in line."""
-    return F.when(delta.isNull(), "insufficient_data").when(delta >= threshold, "above_process").when(delta <= -threshold, "below_process").otherwise("in_line")
-
-
 def evidence_confidence(appearances: Column, reference: Column, coverage: Column) -> Column:
     """min(n / 10, 1) * min(reference / 10, 1) * coverage, 5 decimals."""
     return F.round(F.least(appearances / 10, F.lit(1.0)) * F.least(reference / 10, F.lit(1.0)) * coverage, 5)
-
-
-def chance_quality_allowed(volume: Column, quality: Column) -> Column:
-    return F.when((volume >= 65) & (quality <= 35), "high_volume_low_quality").when((volume <= 35) & (quality >= 65), "few_but_high_quality")
-
-
-def bounded(score: Column) -> Column:
-    return clamp(score, 0.0, 100.0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.catalog import CRITICAL
+from ..functions.shared import written
 from ..functions.text import player_name, team_name, within_days
 
 #: Confidence of one source; of agreement, by further source, at most; of a conflict.
@@ -33,9 +35,21 @@ NOT_COMPARABLE = (
 )
 
 
-def policies(spark: SparkSession, first: str = "statsbomb-open", second: str = "wyscout-open") -> DataFrame:
-    """sources (sorted array), metric, granularity, comparable: 22 rows."""
-    rows = [(sorted([first, second]), m, g, fine) for fine, groups in ((True, EXACT), (False, NOT_COMPARABLE)) for g, metrics in groups for m in metrics]
+#: The versions that the policies were reviewed at.
+REVIEWED = {"statsbomb-open": "statsbomb-open-v0.4", "wyscout-open": "wyscout-open-v0.2"}
+#: Kinds of sources whose values count.
+OBJECTIVE = ("objective_structured", "objective_official", "objective_web")
+
+
+def policies(spark: SparkSession, first: str = "statsbomb-open", second: str = "wyscout-open", versions: Mapping[str, str] | None = None) -> DataFrame:
+    """sources (sorted array of source@version), metric, granularity, comparable: 22 rows.
+
+    A policy holds for the versions that it was reviewed at (of the two sources
+    named by default: REVIEWED), and for no other; a source without one is named alone.
+    """
+    versions = REVIEWED if versions is None else versions
+    pair = sorted(f"{s}@{versions[s]}" if s in versions else s for s in (first, second))
+    rows = [(pair, m, g, fine) for fine, groups in ((True, EXACT), (False, NOT_COMPARABLE)) for g, metrics in groups for m in metrics]
     return spark.createDataFrame(rows, "sources array<string>, metric string, granularity string, comparable boolean")
 
 
@@ -99,40 +113,76 @@ def comparable_value(kind: Column, number: Column, text: Column, flag: Column) -
     return F.when(kind == "bool", F.concat(F.lit("bool:"), flag.cast("string"))).when(kind.isin("int", "float"), F.concat(F.lit("num:"), number.cast("double").cast("string"))).otherwise(F.concat(F.lit("str:"), text))
 
 
+def usable(observations: DataFrame) -> Column:
+    """Whether an observation's value counts: it is known, and of an objective source where source_type is a column."""
+    fine = F.col("value").isNotNull()
+    return fine & F.coalesce(F.col("source_type").isin(*OBJECTIVE), F.lit(False)) if "source_type" in observations.columns else fine
+
+
 def latest_by_source(observations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each source's newest value of a fact: keys, source, value, observed_at. Ties go to the larger value."""
-    return observations.groupBy(*keys, "source").agg(F.max_by("value", F.struct("observed_at", "value")).alias("value"), F.max("observed_at").alias("observed_at"), *([F.min("version").alias("version"), F.max("version").alias("_version")] if "version" in observations.columns else []))
+    """Each source's newest usable value of a fact: keys, source, value (null: none), observed_at, and its versions. Ties go to the larger value."""
+    fine = usable(observations)
+    versions = [F.min(F.when(fine, F.col("version"))).alias("version"), F.max(F.when(fine, F.col("version"))).alias("_version")] if "version" in observations.columns else []
+    return observations.groupBy(*keys, "source").agg(F.max_by("value", F.when(fine, F.struct("observed_at", "value"))).alias("value"), F.max(F.when(fine, F.col("observed_at"))).alias("observed_at"), *versions)
 
 
-def reconcile(observations: DataFrame, keys: Sequence[str] = ("fact_key", "metric", "granularity")) -> DataFrame:
-    """keys, status, confidence, sources, value.
+def _resolved(observations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    fine = F.lit(True)
+    for k in keys:
+        fine = fine & F.col(k).isNotNull()
+    return observations.where(fine)
 
-    Newest value of each source first. One source: single_source. Equal values:
-    agreed, with more confidence by source. Else conflict: values are neither
-    averaged nor chosen, and value is null. A null key is unresolved.
+
+def resolution_report(observations: DataFrame, key: str = "fact_key", granularity: str = "granularity") -> DataFrame:
+    """resolved, unresolved and missing_granularity: how many observations have a fact's key, have none, or lack a granularity (and are counted there alone)."""
+    grain, known = F.col(granularity).isNotNull(), F.col(key).isNotNull()
+    return observations.agg(F.count_if(grain & known).alias("resolved"), F.count_if(grain & ~known).alias("unresolved"), F.count_if(~grain).alias("missing_granularity"))
+
+
+def reconcile(observations: DataFrame, keys: Sequence[str] = ("fact_key", "metric", "granularity"), priority: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """keys, status, confidence, sources, value, winner.
+
+    Newest usable value of each source first. No source: unresolved. One:
+    single_source. Equal values: agreed, with more confidence by source. Else
+    conflict: values are never averaged; `priority` (metric: sources, best
+    first) names the value to show, which doesn't settle it. Observations
+    without a key are in no fact; resolution_report() counts them.
     """
-    each = latest_by_source(observations, keys)
-    found = each.groupBy(*keys).agg(F.count("*").alias("sources"), F.count_distinct("value").alias("_values"), F.min("value").alias("_value"))
-    known = F.col(keys[0]).isNotNull()
-    status = F.when(~known, "unresolved").when(F.col("sources") == 1, "single_source").when(F.col("_values") == 1, "agreed").otherwise("conflict")
+    each = latest_by_source(_resolved(observations, keys), keys)
+    ranks = [(m, s, i) for m, own in (priority or {}).items() for i, s in enumerate(own)]
+    if ranks:
+        each = each.join(F.broadcast(each.sparkSession.createDataFrame(ranks, "metric string, source string, _rank int")), ["metric", "source"], "left")  # a caller's list
+    else:
+        each = each.withColumn("_rank", F.lit(None).cast("int"))
+    there = F.col("value").isNotNull()
+    found = each.groupBy(*keys).agg(
+        F.count("value").alias("sources"), F.count_distinct("value").alias("_values"), F.min_by("value", F.when(there, F.col("source"))).alias("_value"), F.min(F.when(there, F.col("source"))).alias("_source"),
+        F.min_by(F.struct("value", "source"), F.when(there, F.col("_rank"))).alias("_best"))
+    status = F.when(F.col("sources") == 0, "unresolved").when(F.col("sources") == 1, "single_source").when(F.col("_values") == 1, "agreed").otherwise("conflict")
     confidence = F.when(status == "single_source", SINGLE).when(status == "agreed", F.least(F.lit(MOST), AGREED + MORE * (F.col("sources") - 1))).when(status == "conflict", CONFLICT).otherwise(0.0)
-    return found.select(*keys, status.alias("status"), F.round(confidence, 6).alias("confidence"), "sources", F.when(status.isin("single_source", "agreed"), F.col("_value")).alias("value"))
+    value = F.when(status.isin("single_source", "agreed"), F.col("_value")).when(status == "conflict", F.col("_best.value"))
+    winner = F.when(status == "single_source", F.col("_source")).when(status == "conflict", F.col("_best.source"))
+    return found.select(*keys, status.alias("status"), F.round(confidence, 6).alias("confidence"), "sources", value.alias("value"), winner.alias("winner"))
 
 
 def reconcile_by_policy(observations: DataFrame, policy: DataFrame, keys: Sequence[str] = ("fact_key", "metric", "granularity")) -> DataFrame:
-    """As reconcile(), but two sources compare only where a policy says so.
+    """As reconcile(), but two sources compare only where a policy of their versions says so.
 
     Two sources without a policy, more than two, or a source whose version changes
     within the fact: methodology_pending. A policy that says no: not_comparable.
-    Both have no confidence and no value.
+    Both have no confidence and no value. Observations without a key or a
+    granularity are in no fact; resolution_report() counts them.
     """
-    each = latest_by_source(observations, keys)
-    own = [F.max(F.col("version") != F.col("_version")).alias("_mixed")] if "version" in observations.columns else [F.lit(False).alias("_mixed")]
-    found = each.groupBy(*keys).agg(F.count("*").alias("sources"), F.count_distinct("value").alias("_values"), F.min("value").alias("_value"), F.array_sort(F.collect_set("source")).alias("_pair"), *own)
+    each = latest_by_source(_resolved(observations, keys), keys)
+    versioned = "version" in observations.columns
+    there = F.col("value").isNotNull()
+    name = F.when(F.col("version").isNull(), F.col("source")).otherwise(F.concat_ws("@", "source", "version")) if versioned else F.col("source")
+    own = [F.coalesce(F.max(F.col("version") != F.col("_version")), F.lit(False)).alias("_mixed")] if versioned else [F.lit(False).alias("_mixed")]
+    found = each.groupBy(*keys).agg(F.count("value").alias("sources"), F.count_distinct("value").alias("_values"), F.min_by("value", F.when(there, F.col("source"))).alias("_value"), F.array_sort(F.collect_set(F.when(there, name))).alias("_pair"), *own)
     rules = policy.select(F.col("sources").alias("_sources"), F.col("metric").alias("_m"), F.col("granularity").alias("_g"), "comparable")
     joined = found.join(F.broadcast(rules), (F.col("_pair") == F.col("_sources")) & (F.col("metric") == F.col("_m")) & (F.col("granularity") == F.col("_g")), "left")  # 22 rows
-    agreed = F.col("_values") == 1
-    status = F.when(F.col(keys[0]).isNull(), "unresolved").when(F.col("sources") == 1, "single_source").when((F.col("sources") > 2) | F.col("_mixed") | F.col("comparable").isNull(), "methodology_pending").when(~F.col("comparable"), "not_comparable").when(agreed, "agreed").otherwise("conflict")
+    status = (F.when(F.col("sources") == 0, "unresolved").when(F.col("sources") == 1, "single_source").when((F.col("sources") > 2) | F.col("_mixed") | F.col("comparable").isNull(), "methodology_pending")
+              .when(~F.col("comparable"), "not_comparable").when(F.col("_values") == 1, "agreed").otherwise("conflict"))
     confidence = F.when(status == "single_source", SINGLE).when(status == "agreed", AGREED + MORE).when(status == "conflict", CONFLICT).otherwise(0.0)
     return joined.select(*keys, status.alias("status"), F.round(confidence, 6).alias("confidence"), "sources", F.when(status.isin("single_source", "agreed"), F.col("_value")).alias("value"))
 
@@ -153,8 +203,8 @@ def crosswalk(appearances: DataFrame) -> DataFrame:
     a = appearances.withColumn("_name", player_name(F.col("name"))).where("_name <> '' and match_key is not null and team_key is not null")
     slots = a.groupBy("match_key", "team_key", "_name", "source").agg(F.min("player").alias("p"), F.max("player").alias("q"))
     both = slots.groupBy("match_key", "team_key", "_name").agg(F.array_sort(F.collect_list(F.struct("source", "p", "q"))).alias("s")).where(F.size("s") == 2).where(F.forall("s", lambda x: x["p"] == x["q"]))
-    pairs = both.select("match_key", "team_key", "_name", F.col("s")[0]["source"].alias("s1"), F.col("s")[0]["p"].alias("p1"), F.col("s")[1]["source"].alias("s2"), F.col("s")[1]["p"].alias("p2"))
-    grouped = pairs.groupBy("s1", "p1", "s2", "p2").agg(F.count_distinct("_name").alias("names"), F.count_distinct("match_key").alias("matches"))
+    pairs = both.select("match_key", "team_key", "_name", F.get("s", F.lit(0))["source"].alias("s1"), F.get("s", F.lit(0))["p"].alias("p1"), F.get("s", F.lit(1))["source"].alias("s2"), F.get("s", F.lit(1))["p"].alias("p2"))
+    grouped = written(pairs.groupBy("s1", "p1", "s2", "p2").agg(F.count_distinct("_name").alias("names"), F.count_distinct("match_key").alias("matches")), "pairs")
     one = grouped.groupBy("s1", "p1", "s2").agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
     two = grouped.groupBy("s1", "s2", "p2").agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
     kept = grouped.where("names = 1").join(one, ["s1", "p1", "s2"], "left_semi").join(two, ["s1", "s2", "p2"], "left_semi")
@@ -162,10 +212,6 @@ def crosswalk(appearances: DataFrame) -> DataFrame:
     return kept.select(F.sha2(F.array_join(refs, "|"), 256).alias("canonical"), F.inline(F.array(F.struct(F.col("s1").alias("source"), F.col("p1").alias("player")), F.struct(F.col("s2").alias("source"), F.col("p2").alias("player")))), "matches")
 
 
-def crosswalk_confidence(matches: Column) -> Column:
-    return F.least(F.lit(0.85), 0.55 + 0.10 * (matches - 1))
-
-
 def overlap(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys and where: shared, first_only or second_only."""
     a, b = first.select(*keys).distinct().withColumn("_a", F.lit(True)), second.select(*keys).distinct().withColumn("_b", F.lit(True))
@@ -193,22 +239,58 @@ def mentions(texts: DataFrame, names: DataFrame, text: str = "text", name: str =
 
 # -- coverage -------------------------------------------------------------------------
 
-def coverage_state(supported: Column, token: Column, probe: Column, sample: Column, observed: Column, current: Column, least: float = 1.0) -> Column:
-    """unsupported, token_required, not_probed, missing, previous_season, historical_only, partial or current_available, in the rules' order.
+def coverage_state(reliability: Column, token: Column, probe: Column, role: Column, sample: Column, observed: Column, current: Column) -> Column:
+    """unsupported, token_required, not_probed, missing, previous_season, partial, historical_only or current_available, in the rules' order.
 
-    supported: whether the provider reports the metric. token: whether a needed
-    token is missing. probe: ok, not_attempted, skipped_token_required, error,
-    historical or null. observed of sample rows have the metric. current: whether
-    the probe is of this season.
+    reliability: full or partial, null where the provider doesn't report the
+    metric. token: whether a needed token is missing. probe: ok, not_attempted,
+    skipped_token_required, error or null. role: current or historical.
+    observed of sample rows have the metric. current: whether the probe is of
+    this season.
     """
-    share = F.try_divide(F.coalesce(observed, F.lit(0)), sample)
-    return (F.when(~F.coalesce(supported, F.lit(False)), "unsupported").when(F.coalesce(token, F.lit(False)) | (probe == "skipped_token_required"), "token_required")
-            .when(probe.isNull() | probe.isin("not_attempted", "error"), "not_probed").when(F.coalesce(observed, F.lit(0)) == 0, "missing").when(probe == "historical", "historical_only")
-            .when(~F.coalesce(current, F.lit(False)), "previous_season").when(share < least, "partial").otherwise("current_available"))
+    n, seen = F.coalesce(sample, F.lit(0)), F.coalesce(observed, F.lit(0))
+    return (F.when(reliability.isNull(), "unsupported").when(F.coalesce(token, F.lit(False)), "token_required").when(probe.isNull() | (probe == "not_attempted"), "not_probed").when(probe == "skipped_token_required", "token_required")
+            .when(probe == "error", "not_probed").when((n == 0) | (seen == 0), "missing").when((role == "current") & ~F.coalesce(current, F.lit(True)), "previous_season").when(seen < n, "partial")
+            .when(role == "historical", "historical_only").when(reliability == "full", "current_available").otherwise("partial"))
 
 
-def product_coverage(entries: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, satisfied and required: of the wanted grid, what any provider has now."""
-    have = entries.groupBy(*keys, "metric").agg(F.bool_or(F.col("state") == "current_available").alias("_has"))
-    joined = wanted.join(have, [*keys, "metric"], "left")
-    return joined.groupBy(*keys).agg(F.count_if(F.coalesce("_has", F.lit(False))).alias("satisfied"), F.count("*").alias("required"))
+#: The states that satisfy a requirement of a provider's role.
+SATISFYING = {"current": ("current_available",), "historical": ("historical_only",)}
+
+
+def requirements(entries: DataFrame, wanted: DataFrame, role: str = "current", states: Sequence[str] | None = None, keys: Sequence[str] = ("competition", "granularity", "metric")) -> DataFrame:
+    """wanted (keys) with satisfied, gap_key and critical: whether any provider of the role has each requirement in a state that counts.
+
+    critical marks gaps of the metrics that matter most, for the present only.
+    """
+    states = SATISFYING[role] if states is None else states
+    have = entries.where(F.col("role") == role).groupBy(*keys).agg(F.bool_or(F.col("state").isin(*states)).alias("_has"))
+    joined = wanted.select(*keys).distinct().join(have, list(keys), "left").withColumn("satisfied", F.coalesce("_has", F.lit(False))).drop("_has")
+    gap = F.when(~F.col("satisfied"), F.concat_ws(":", *keys))
+    return joined.withColumn("gap_key", gap).withColumn("critical", ~F.col("satisfied") & F.lit(role == "current") & F.col("metric").isin(*CRITICAL))
+
+
+def recent_requirements(entries: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("competition", "granularity", "metric")) -> DataFrame:
+    """requirements() that evidence of the last complete season alone satisfies; it never counts as present."""
+    return requirements(entries, wanted, "current", ("previous_season",), keys).withColumn("critical", F.lit(False))
+
+
+def coverage_fraction(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, numerator, denominator, gap_keys and critical_gap_keys (sorted) of requirements()."""
+    return rows.groupBy(*by).agg(F.count_if("satisfied").alias("numerator"), F.count("*").alias("denominator"), F.array_sort(F.collect_list("gap_key")).alias("gap_keys"), F.array_sort(F.collect_list(F.when(F.col("critical"), F.col("gap_key")))).alias("critical_gap_keys"))
+
+
+def probe_summary(observations: DataFrame) -> DataFrame:
+    """source, metric, granularity, observed and sample: each metric's rows, over what its grain can have.
+
+    observations: source, entity_type (match, team, player, goalkeeper),
+    entity_id, match_id, metric. Metrics of matches are over the source's
+    matches, those of teams over its distinct (team, match) slots, those of
+    players over the entities that the metric was seen of.
+    """
+    kind = F.col("entity_type")
+    totals = observations.groupBy("source").agg(F.count_distinct(F.when(kind == "match", F.col("entity_id"))).alias("_matches"), F.count_distinct(F.when((kind == "team") & F.col("match_id").isNotNull(), F.struct("entity_id", "match_id"))).alias("_slots"))
+    each = observations.groupBy("source", "entity_type", "metric").agg(F.count("*").alias("observed"), F.count_distinct("entity_id").alias("_entities"))
+    grain = F.when(kind == "match", "match").when(kind == "team", "team_match").when(kind == "goalkeeper", "goalkeeper_match").otherwise("player_match")
+    sample = F.when(kind == "match", F.col("_matches")).when(kind == "team", F.col("_slots")).otherwise(F.col("_entities"))
+    return each.join(totals, "source").select("source", "metric", grain.alias("granularity"), "observed", sample.alias("sample"))

@@ -79,9 +79,10 @@ def shrunk(value: Column, mean: Column, exposure: Column, prior: float) -> Colum
     return share * value + (1 - share) * mean
 
 
-def shrunk_ratio(top: Column, bottom: Column, mean: Column, prior: float) -> Column:
+def shrunk_ratio(top: Column, bottom: Column, mean: Column, prior: float | Column) -> Column:
     """(top + prior mean) / (bottom + prior)."""
-    return (top + F.lit(prior) * mean) / (bottom + F.lit(prior))
+    prior = prior if isinstance(prior, Column) else F.lit(prior)
+    return (top + prior * mean) / (bottom + prior)
 
 
 def saturation(x: Column, scale: float) -> Column:
@@ -90,4 +91,5 @@ def saturation(x: Column, scale: float) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x within the bounds; null stays null, which least() and greatest() pass over."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import elo, entity_scores, entity_v2, history, percentile, scoring
+from ..operators import elo, entity_scores, entity_v2, findings, meta, percentile, radar, ratings, scoring, tactics, validation
+from ..operators.profiles import FAMILY_WEIGHTS, PLAYER_DIMENSIONS, TEAM_DIMENSIONS, TEAM_WEIGHTS
 from ..operators.derived import derive
 from ..sources.tables import table
 from .registry import query
-from .relational import DOUBLED, doubled, matches
+from .relational import DOUBLED, SIDES, doubled, matches
 
 METRICS = ("returned", "open_lines", "discounted", "big", "taxed")
 WEIGHTS = {role: {"returned": -0.25, "open_lines": 0.20, "discounted": 0.25, "big": 0.20, "taxed": 0.10} for role in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
@@ -99,9 +100,9 @@ def entity_dimensions(spark, sf):
 p AS (SELECT entity, {", ".join(f"max(overall) FILTER (window_key = '{w}') AS o_{w}, max(confidence) FILTER (window_key = '{w}') AS c_{w}" for w in ("last_3", "last_5", "last_10", "season"))} FROM scores GROUP BY 1),
 q AS (SELECT entity, 0.6 * least(c_last_3, c_last_10) * (o_last_3 - o_last_10) + 0.4 * least(c_last_5, c_season) * (o_last_5 - o_season) AS top, 0.6 * least(c_last_3, c_last_10) + 0.4 * least(c_last_5, c_season) AS bottom FROM p)
 SELECT entity, round(top / bottom, 5) AS trend, round(bottom, 5) AS trend_confidence,
-  CASE WHEN round(bottom, 9) < 0.30 THEN 'insufficient_evidence' WHEN round(top / bottom, 9) >= 8 THEN 'rising' WHEN round(top / bottom, 9) <= -8 THEN 'falling' ELSE 'steady' END AS trend_signal FROM q""")
+  CASE WHEN bottom < 0.30 THEN 'insufficient_evidence' WHEN top / bottom >= 8 THEN 'rising' WHEN top / bottom <= -8 THEN 'falling' ELSE 'stable' END AS trend_signal FROM q""")
 def entity_trend(spark, sf):
-    found = history.trend(entity_scores_of(spark, sf), "entity")
+    found = meta.trend(entity_scores_of(spark, sf), "entity")
     return found.select("entity", F.round("trend", 5).alias("trend"), F.round("trend_confidence", 5).alias("trend_confidence"), "trend_signal")
 
 
@@ -118,75 +119,53 @@ s AS (SELECT entity, c_mktsegment AS role, period, 100.0 * (rank() OVER (PARTITI
   FROM y JOIN customer ON c_custkey = entity),
 h AS (SELECT *, CASE period WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.36 WHEN 3 THEN 0.216 END::DOUBLE AS ws, CASE period WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.36 END::DOUBLE AS we FROM s WHERE period <= 3),
 m AS (SELECT entity, sum(ws * c * o) / sum(ws * c) AS stable, sum(ws * c) / sum(ws) * least(1.0, 0.7 + 0.1 * count(ws)) AS stable_confidence, sum(we * c * o) / sum(we * c) AS expected,
-  coalesce(sum(we * c) / sum(we) * least(1.0, 0.7 + 0.1 * count(we)), 0) AS expected_confidence, max(o) FILTER (period = 0) AS current, max(c) FILTER (period = 0) AS cc FROM h GROUP BY 1 HAVING count(*) FILTER (period = 0) > 0)"""
+  sum(we * c) / sum(we) * least(1.0, 0.7 + 0.1 * count(we)) AS expected_confidence, count(we) AS seasons, max(o) FILTER (period = 0) AS current, max(c) FILTER (period = 0) AS cc FROM h GROUP BY 1 HAVING count(*) FILTER (period = 0) > 0)"""
 
 
-@query("entity_meta", f"""WITH {_META} SELECT entity, round(stable, 5) AS stable, round(stable_confidence, 5) AS stable_confidence, round(expected, 5) AS expected, round(current - expected, 5) AS surprise,
-  CASE WHEN expected IS NULL OR cc < 0.35 OR expected_confidence < 0.35 THEN 'insufficient_evidence' WHEN round(current - expected, 9) >= 12 THEN 'positive_surprise' WHEN round(current - expected, 9) <= -12 THEN 'negative_surprise' ELSE 'as_expected' END AS surprise_signal FROM m""")
-def entity_meta(spark, sf):
-    found = history.meta_levels(yearly(spark, sf), "entity")
-    return found.select("entity", *(F.round(c, 5).alias(c) for c in ("stable", "stable_confidence", "expected", "surprise")), "surprise_signal")
-
+_SIGNAL = """CASE WHEN seasons = 0 THEN 'insufficient_history' WHEN cc < 0.35 OR expected_confidence < 0.35 THEN 'insufficient_evidence' WHEN current - expected >= 12 THEN 'surprise' WHEN current - expected <= -12 THEN 'disappointment' ELSE 'aligned' END"""
 
-@query("entity_watchlist", f"""WITH {_META} SELECT entity, round(0.45 * stable + 0.35 * least(100, 4 * coalesce(greatest(0, current - expected), 0)), 5) AS watchlist FROM m ORDER BY watchlist DESC, entity LIMIT 30""")
-def entity_watchlist(spark, sf):
-    found = history.meta_levels(yearly(spark, sf), "entity")
-    return found.select("entity", F.round(history.watchlist_score(F.col("stable"), F.col("surprise"), F.lit(None).cast("double")), 5).alias("watchlist")).orderBy(F.desc("watchlist"), "entity").limit(30)
-
-
-# -- teams ---------------------------------------------------------------------------
-
-_TEAM = f"""{DOUBLED},
-tr AS (SELECT *, goals_for - goals_against AS goal_difference, CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END AS points, row_number() OVER (PARTITION BY season, team ORDER BY kickoff DESC, match_id DESC) AS rn FROM team_rows),
-tx AS (SELECT tr.*, window_key, CASE WHEN n IS NULL THEN 1 ELSE pow(0.5, (rn - 1) / 3.0) END AS w FROM tr JOIN {_W} ON n IS NULL OR rn <= n),
-tm AS (SELECT season, team, window_key, count(*) AS matches, sum(w * points) / sum(w) AS points, sum(w * goal_difference) / sum(w) AS goal_difference, sum(w * goals_for) / sum(w) AS goals_for, sum(w * goals_against) / sum(w) AS goals_against FROM tx GROUP BY 1, 2, 3)"""
 
+@query("entity_meta", f"""WITH {_META} SELECT entity, round(stable, 5) AS stable, round(stable_confidence, 5) AS stable_confidence, round(expected, 5) AS expected, round(expected_confidence, 5) AS expected_confidence, round(current - expected, 5) AS surprise, seasons, {_SIGNAL} AS surprise_signal FROM m""")
+def entity_meta(spark, sf):
+    found = meta.meta_levels(yearly(spark, sf), "entity")
+    return found.select("entity", *(F.round(c, 5).alias(c) for c in ("stable", "stable_confidence", "expected", "expected_confidence", "surprise")), "seasons", "surprise_signal")
 
-def team_windows(spark, sf):
-    rows = doubled(matches(spark, sf)).withColumn("goal_difference", F.col("goals_for") - F.col("goals_against")).withColumn("points", entity_scores.points(F.col("goals_for"), F.col("goals_against")))
-    return entity_scores.window_means(rows, ["season", "team"], ["points", "goal_difference", "goals_for", "goals_against"], newest("kickoff"))
 
+def snapshots(spark, sf):
+    """Season scores by year, and this year's other windows by the orders' own scores."""
+    season = yearly(spark, sf).withColumn("window_key", F.lit("season"))
+    others = entity_scores_of(spark, sf).where("window_key <> 'season'").select("entity", "role", F.lit(0).alias("period"), "window_key", "overall", "confidence")
+    return meta.meta_snapshots(season.unionByName(others, allowMissingColumns=True), "entity")
 
-@query("team_windows", f"WITH {_TEAM} SELECT season, team, window_key, matches, round(points, 6) AS points, round(goal_difference, 6) AS goal_difference, round(goals_for, 6) AS goals_for, round(goals_against, 6) AS goals_against FROM tm")
-def team_windows_query(spark, sf):
-    return team_windows(spark, sf).select("season", "team", "window_key", "matches", *(F.round(c, 6).alias(c) for c in ("points", "goal_difference", "goals_for", "goals_against")))
 
+_SNAPSHOTS = f"""{_SCORES}, {_META},
+ow AS (SELECT entity, max(overall) FILTER (window_key = 'last_3') AS o3, max(confidence) FILTER (window_key = 'last_3') AS c3, max(overall) FILTER (window_key = 'last_5') AS o5, max(confidence) FILTER (window_key = 'last_5') AS c5,
+  max(overall) FILTER (window_key = 'last_10') AS o10, max(confidence) FILTER (window_key = 'last_10') AS c10 FROM scores GROUP BY 1),
+tq AS (SELECT m.*, o5, 0.6 * least(c3, c10) * (o3 - o10) + 0.4 * least(c5, cc) * (o5 - current) AS top, 0.6 * least(c3, c10) + 0.4 * least(c5, cc) AS bottom, {_SIGNAL} AS surprise_signal FROM m JOIN ow USING (entity)),
+tz AS (SELECT *, top / bottom AS trend, CASE WHEN bottom < 0.30 THEN 'insufficient_evidence' WHEN top / bottom >= 8 THEN 'rising' WHEN top / bottom <= -8 THEN 'falling' ELSE 'stable' END AS trend_signal FROM tq),
+tu AS (SELECT *, CASE WHEN surprise_signal IN ('surprise', 'disappointment', 'aligned') THEN current - expected END AS up, CASE WHEN trend_signal IN ('rising', 'falling', 'stable') THEN trend END AS rise FROM tz),
+tw AS (SELECT *, least(100, 0.45 * stable + 0.35 * least(100, 4 * greatest(0, coalesce(up, 0))) + 0.20 * least(100, 5 * greatest(0, coalesce(rise, 0)))) AS watchlist FROM tu),
+ws AS (SELECT *, CASE WHEN coalesce(up, 0) >= 12 AND coalesce(rise, 0) >= 6 AND stable >= 55 THEN 'breakout' WHEN coalesce(up, 0) >= 12 AND stable >= 55 THEN 'outperforming' WHEN coalesce(rise, 0) >= 8 AND stable >= 55 THEN 'rising' WHEN watchlist >= 55 AND stable >= 55 THEN 'monitor' ELSE 'none' END AS watchlist_signal FROM tw)"""
 
-_TEAM_SCORES = f"""{_TEAM},
-tf AS (UNPIVOT (SELECT season, team, window_key, matches, round(points, 9) AS points, round(goal_difference, 9) AS goal_difference, round(goals_for, 9) AS goals_for, round(goals_against, 9) AS goals_against FROM tm) ON points, goal_difference, goals_for, goals_against INTO NAME metric VALUE value),
-tp AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY season, window_key, metric ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY season, window_key, metric, value)) / count(*) OVER (PARTITION BY season, window_key, metric) AS p, count(*) OVER (PARTITION BY season, window_key, metric) AS n FROM tf),
-ts AS (SELECT season, team, window_key, any_value(matches) AS matches, 0.6 * max(p) FILTER (metric = 'points') + 0.4 * max(p) FILTER (metric = 'goal_difference') AS results,
-  0.7 * max(p) FILTER (metric = 'goals_for') + 0.3 * (100 - max(p) FILTER (metric = 'goals_against')) AS process, 100 - max(p) FILTER (metric = 'goals_against') AS defense, max(n) AS n FROM tp GROUP BY 1, 2, 3)"""
 
+@query("entity_snapshots", f"WITH {_SNAPSHOTS} SELECT entity, round(stable, 5) AS stable, surprise_signal, round(o5, 5) AS form, round(trend, 5) AS trend, trend_signal, round(watchlist, 5) AS watchlist_score, watchlist_signal FROM ws")
+def entity_snapshots(spark, sf):
+    """All of meta_snapshots(): form, trend, watchlist and its signals read every window."""
+    return snapshots(spark, sf).select("entity", F.round("stable", 5).alias("stable"), "surprise_signal", F.round("form", 5).alias("form"), F.round("trend", 5).alias("trend"), "trend_signal", F.round("watchlist_score", 5).alias("watchlist_score"), "watchlist_signal")
 
-def team_scores(spark, sf):
-    rows = team_windows(spark, sf).unpivot(["season", "team", "window_key", "matches"], ["points", "goal_difference", "goals_for", "goals_against"], "metric", "value").withColumn("value", F.round("value", 9))
-    ranked = percentile.percentile(rows, ["season", "window_key", "metric"], "value")
-    weights = {"results": (("points", 0.6, 1, True), ("goal_difference", 0.4, 1, True)), "process": (("goals_for", 0.7, 1, True), ("goals_against", 0.3, -1, True)), "defense": (("goals_against", 1.0, -1, True),)}
-    parts = ranked.join(F.broadcast(scoring.profile_table(spark, weights)), "metric")  # five rows
-    scored = scoring.renormalized(parts, ["season", "team", "window_key", "matches", "reference_size", "dimension"])
-    return scored.groupBy("season", "team", "window_key", "matches", F.col("reference_size").alias("n")).agg(*(F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in weights))
 
+@query("entity_watchlist", f"""WITH {_SNAPSHOTS} SELECT entity, round(watchlist, 5) AS watchlist, watchlist_signal FROM ws ORDER BY round(watchlist, 5) DESC, entity LIMIT 30""")
+def entity_watchlist(spark, sf):
+    return snapshots(spark, sf).select("entity", F.round("watchlist_score", 5).alias("watchlist"), "watchlist_signal").orderBy(F.desc("watchlist"), "entity").limit(30)
 
-@query("team_scores", f"""WITH {_TEAM_SCORES} SELECT season, team, window_key, round(results, 5) AS results, round(process, 5) AS process, round((1 - exp(-matches / 5.0)) * (.75 + .25 * least(1.0, n / 12)), 5) AS confidence,
-  CASE WHEN round(results - process, 9) >= 12 THEN 'results_above_process' WHEN round(results - process, 9) <= -12 THEN 'results_below_process' ELSE 'aligned' END AS signal FROM ts""")
-def team_scores_query(spark, sf):
-    found = team_scores(spark, sf)
-    return found.select("season", "team", "window_key", F.round("results", 5).alias("results"), F.round("process", 5).alias("process"), F.round(entity_scores.team_confidence(F.col("matches"), F.lit(1.0), F.col("n")), 5).alias("confidence"),
-                        entity_scores.process_signal(F.round(F.col("results") - F.col("process"), 9)).alias("signal"))
 
+@query("aligned_periods", """SELECT o_orderkey, CASE year(o_orderdate) WHEN 2000 THEN 0 WHEN 1999 THEN 1 WHEN 1997 THEN 2 END AS period FROM orders WHERE year(o_orderdate) IN (2000, 1999, 1997)""")
+def aligned_periods(spark, sf):
+    rows = table(spark, sf, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.year("o_orderdate").cast("string").alias("scope_key"))
+    return meta.aligned_periods(rows, ["2000", "1999", "1997"]).select("o_orderkey", "period")
 
-@query("team_findings", f"""WITH {_TEAM_SCORES}, d AS (SELECT *, round(results - process, 9) AS delta, round(defense, 9) AS def FROM ts WHERE window_key = 'last_5')
-SELECT season, team, 'results_above_process' AS code, CASE WHEN delta >= 25 THEN 'high' ELSE 'medium' END AS severity FROM d WHERE delta >= 12
-UNION ALL SELECT season, team, 'results_below_process', CASE WHEN delta <= -25 THEN 'high' ELSE 'medium' END FROM d WHERE delta <= -12
-UNION ALL SELECT season, team, 'defensive_process_weak', CASE WHEN def <= 15 THEN 'high' ELSE 'medium' END FROM d WHERE def <= 35
-UNION ALL SELECT season, team, 'defensive_process_strong', CASE WHEN def >= 85 THEN 'high' ELSE 'medium' END FROM d WHERE def >= 65""")
-def team_findings(spark, sf):
-    none = F.lit(None).cast("double")
-    rows = team_scores(spark, sf).where("window_key = 'last_5'").select("season", "team", F.round(F.col("results") - F.col("process"), 9).alias("results_process_delta"), F.lit(0.9).alias("confidence"), F.round("defense", 9).alias("defense"),
-        *(none.alias(c) for c in ("chance_creation", "finishing", "possession", "creation", "volume_allowed", "quality_allowed")))
-    return history.team_findings(rows, ["season", "team"]).drop("confidence")
 
+# -- teams ---------------------------------------------------------------------------
 
 @query("finishing_shrinkage", f"""WITH {DOUBLED},
 q AS (SELECT l_orderkey AS match_id, l_suppkey AS team, count(*) AS attempts FROM lineitem GROUP BY 1, 2),
@@ -201,40 +180,57 @@ def finishing_shrinkage(spark, sf):
     return found.select("team", "window_key", F.round("ratio", 6).alias("ratio"), F.round("adjusted", 6).alias("adjusted"))
 
 
-@query("elo_history")
+#: Ratings by a recursive query: a season's matches one by one, with its ratings as a map.
+ELO = f"""{SIDES},
+eo AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY kickoff, match_id) AS i FROM matches WHERE home_team <> away_team),
+ef AS (
+  SELECT season, 0::BIGINT AS i, MAP {{0::BIGINT: 1500.0::DOUBLE}} AS ratings, NULL::DOUBLE AS hp, NULL::DOUBLE AS ap, NULL::DOUBLE AS e, NULL::DOUBLE AS s FROM (SELECT DISTINCT season FROM eo)
+  UNION ALL
+  SELECT season, i, map_concat(ratings, MAP {{home_team: hp + 20.0 * (s - e), away_team: ap - 20.0 * (s - e)}}), hp, ap, e, s FROM (
+    SELECT *, 1 / (1 + pow(10, (ap - (hp + 60)) / 400)) AS e FROM (
+      SELECT f.season, o.i, f.ratings, o.home_team, o.away_team, coalesce(f.ratings[o.home_team], 1500.0) AS hp, coalesce(f.ratings[o.away_team], 1500.0) AS ap,
+             CASE WHEN home_score = away_score THEN 0.5 WHEN home_score > away_score THEN 1.0 ELSE 0.0 END::DOUBLE AS s
+      FROM ef f JOIN eo o ON o.season = f.season AND o.i = f.i + 1))),
+elo AS (
+  SELECT o.season, o.match_id, o.kickoff, true AS is_home, home_team AS team, away_team AS opponent, round(e, 6) AS expected, s AS actual, round(hp, 4) AS pre, round(hp + 20.0 * (s - e), 4) AS post FROM ef JOIN eo o USING (season, i) WHERE ef.i > 0
+  UNION ALL SELECT o.season, o.match_id, o.kickoff, false, away_team, home_team, round(1 - e, 6), 1 - s, round(ap, 4), round(ap - 20.0 * (s - e), 4) FROM ef JOIN eo o USING (season, i) WHERE ef.i > 0)"""
+
+
+@query("elo_history", f"WITH RECURSIVE {ELO} SELECT season, match_id, is_home, team, opponent, expected, actual, pre, post FROM elo")
 def elo_history(spark, sf):
-    """Ratings by season; tests fold the same matches one by one."""
     return elo.elo_history(matches(spark, sf), ["season"]).select("season", "match_id", "is_home", "team", "opponent", "expected", "actual", "pre", "post")
 
 
-@query("elo_summary")
+@query("elo_summary", f"""WITH RECURSIVE {ELO}, er AS (SELECT *, row_number() OVER (PARTITION BY season, team ORDER BY kickoff DESC, match_id DESC) AS r FROM elo)
+SELECT season, team, arg_min(post, r) AS elo, round(arg_min(post, r) - arg_max(pre, r), 4) AS elo_change FROM er WHERE r <= 5 GROUP BY 1, 2""")
 def elo_summary(spark, sf):
     return elo.elo_summary(elo.elo_history(matches(spark, sf), ["season"]), ["season"])
 
 
-@query("elo_backtest")
+_BINS = """b AS (SELECT {g} least(floor(e * 5), 4) AS bin, count(*) AS n, sum(e) AS se, sum(a) AS sa, sum((e - a) * (e - a)) AS sb, sum((a - 0.5) * (a - 0.5)) AS s0 FROM p GROUP BY ALL),
+r AS (SELECT {g} sum(n)::BIGINT AS n, sum(sb) / sum(n) AS brier, sum(s0) / sum(n) AS baseline, sum(n * round(abs(se / n - sa / n), 4)) / sum(n) AS ece FROM b GROUP BY ALL)
+SELECT {g} n, CASE WHEN n < 50 THEN 'insufficient_data' WHEN 1 - brier / baseline > 0 THEN 'pass' ELSE 'warn' END AS status, CASE WHEN n >= 50 THEN round(brier, 6) END AS brier, CASE WHEN n >= 50 THEN round(baseline, 6) END AS baseline, CASE WHEN n >= 50 THEN round(ece, 6) END AS ece, CASE WHEN n >= 50 THEN round(1 - brier / baseline, 6) END AS skill FROM r"""
+
+
+@query("elo_backtest", f"WITH RECURSIVE {ELO}, p AS (SELECT season, expected AS e, actual AS a FROM elo WHERE is_home), {_BINS.format(g='season,')}")
 def elo_backtest(spark, sf):
     rows = elo.elo_history(matches(spark, sf), ["season"]).where("is_home")
-    return history.backtest(rows, ["season"]).select("season", "n", *(F.round(c, 6).alias(c) for c in ("brier", "baseline", "ece", "skill")))
+    return validation.backtest(rows, ["season"]).drop("mean_expected", "mean_actual")
 
 
-@query("calibration_backtest", """
-WITH p AS (SELECT least(value / 100.0, 1.0) AS e, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS a FROM events),
-b AS (SELECT least(floor(e * 5), 4) AS bin, count(*) AS n, sum(e) AS se, sum(a) AS sa, sum((e - a) * (e - a)) AS sb FROM p GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, round(sum(sb) / sum(n), 6) AS brier, 0.25::DOUBLE AS baseline, round(sum(abs(se - sa)) / sum(n), 6) AS ece, round(1 - sum(sb) / sum(n) / 0.25, 6) AS skill FROM b""")
+@query("calibration_backtest", f"WITH p AS (SELECT least(value / 100.0, 1.0) AS e, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS a FROM events), {_BINS.format(g='')}")
 def calibration_backtest(spark, sf):
     pairs = table(spark, sf, "events").select(F.least(F.col("value") / 100, F.lit(1.0)).alias("expected"), F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("actual"))
-    return history.backtest(pairs).select("n", *(F.round(c, 6).alias(c) for c in ("brier", "baseline", "ece", "skill")))
+    return validation.backtest(pairs).drop("mean_expected", "mean_actual")
 
 
 @query("stability_spearman", f"""WITH {_SCORES},
-sp AS (SELECT entity, role, max(round(overall, 9)) FILTER (window_key = 'season') AS a, max(round(overall, 9)) FILTER (window_key = 'last_10') AS b FROM scores GROUP BY 1, 2),
+sp AS (SELECT entity, role, max(round(overall, 9)) FILTER (window_key = 'season') AS a, max(round(overall, 9)) FILTER (window_key = 'last_10') AS b FROM scores GROUP BY 1, 2
+  HAVING max(confidence) FILTER (window_key = 'season') >= 0.5 AND max(confidence) FILTER (window_key = 'last_10') >= 0.5),
 rk AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY a) + (count(*) OVER (PARTITION BY role, a) - 1) / 2.0 AS x, rank() OVER (PARTITION BY role ORDER BY b) + (count(*) OVER (PARTITION BY role, b) - 1) / 2.0 AS y FROM sp)
-SELECT role, count(*) AS n, round(corr(x, y), 6) AS spearman FROM rk GROUP BY 1 HAVING count(*) >= 20""")
+SELECT role, count(*) AS n, CASE WHEN count(*) >= 20 THEN 'measured' ELSE 'insufficient_data' END AS status, CASE WHEN count(*) >= 20 THEN round(corr(x, y), 6) END AS spearman FROM rk GROUP BY 1""")
 def stability_spearman(spark, sf):
-    rows = entity_scores_of(spark, sf).groupBy("entity", "role").agg(*(F.max(F.when(F.col("window_key") == w, F.round("overall", 9))).alias(c) for w, c in (("season", "a"), ("last_10", "b"))))
-    ranked = percentile.average_rank(percentile.average_rank(rows, ["role"], "a", "x"), ["role"], "b", "y")
-    return ranked.groupBy("role").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("spearman")).where("n >= 20")
+    return validation.stability(entity_scores_of(spark, sf), "entity").withColumn("spearman", F.round("spearman", 6))
 
 
 @query("derived_metrics", """
@@ -264,53 +260,135 @@ def evidence_scores(spark, sf):
 
 
 @query("residual_class", """
-SELECT o_custkey AS entity, CASE WHEN max(o_totalprice) FILTER (o_orderstatus = 'P') IS NULL THEN 'insufficient_data' WHEN round(avg(o_totalprice) / 1000 - max(o_totalprice) FILTER (o_orderstatus = 'P') / 1000, 6) >= 2 THEN 'above_process' WHEN round(avg(o_totalprice) / 1000 - max(o_totalprice) FILTER (o_orderstatus = 'P') / 1000, 6) <= -2 THEN 'below_process' ELSE 'in_line' END AS class FROM orders GROUP BY 1""")
+WITH r AS (SELECT o_custkey AS entity, avg(o_totalprice) / 1000 AS actual, max(o_totalprice) FILTER (o_orderstatus = 'P') / 1000 AS expected, min(o_totalprice) FILTER (o_orderstatus = 'F') / 1000 AS np, avg(o_totalprice) FILTER (o_orderstatus = 'O') / 1000 AS npx FROM orders GROUP BY 1),
+d AS (SELECT entity, CASE WHEN np IS NOT NULL AND npx IS NOT NULL THEN np - npx ELSE actual - expected END AS delta FROM r)
+SELECT entity, CASE WHEN delta IS NULL THEN 'insufficient_data' WHEN delta >= 2 THEN 'results_above_process' WHEN delta <= -2 THEN 'results_below_process' ELSE 'aligned' END AS class FROM d""")
 def residual_class(spark, sf):
-    each = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.avg("o_totalprice").alias("actual"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("expected"))
-    return each.select("entity", entity_scores.residual_class(F.round(F.col("actual") / 1000 - F.col("expected") / 1000, 6)).alias("class"))
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    each = table(spark, sf, "orders", "o_custkey", "o_totalprice", "o_orderstatus").groupBy(F.col("o_custkey").alias("entity")).agg(
+        (F.avg(price) / 1000).alias("actual"), (F.max(F.when(status == "P", price)) / 1000).alias("expected"), (F.min(F.when(status == "F", price)) / 1000).alias("np"), (F.avg(F.when(status == "O", price)) / 1000).alias("npx"))
+    return each.select("entity", findings.residual_class(F.col("actual"), F.col("expected"), F.col("np"), F.col("npx")).alias("class"))
 
 
 @query("radar_scores", """
-WITH c AS (SELECT user_id, count(*) * 40 AS minutes, count(*) AS appearances, count(*) FILTER (event_type = 'purchase') AS goals, count(*) FILTER (event_type = 'signup') AS assists, count(*) FILTER (event_type = 'click') AS shots_on_target FROM events GROUP BY 1),
-m AS (SELECT user_id, minutes, appearances, round(90.0 * goals / minutes, 4) AS goals_per90, round(90.0 * assists / minutes, 4) AS assists_per90, round(90.0 * shots_on_target / minutes, 4) AS shots_on_target_per90 FROM c),
-u AS (UNPIVOT m ON goals_per90, assists_per90, shots_on_target_per90 INTO NAME metric VALUE value),
-p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY metric) <= 1 THEN 50 ELSE 100.0 * (rank() OVER (PARTITION BY metric ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY metric, value)) / count(*) OVER (PARTITION BY metric) END AS pc, CASE metric WHEN 'goals_per90' THEN 0.35 ELSE 0.20 END::DOUBLE AS w FROM u)
-SELECT user_id, round(sum(w * pc) / sum(w), 2) AS radar_score, round(0.5 * least(1.0, any_value(minutes) / 1200) + 0.3 * least(1.0, any_value(appearances) / 15) + 0.1, 6) AS confidence FROM p GROUP BY 1""")
+WITH c AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'midfielder' ELSE 'attacker' END AS profile, count(*) * 40 AS minutes, count(*) AS appearances, count(*) FILTER (event_type = 'purchase') AS goals, count(*) FILTER (event_type = 'signup') AS assists, count(*) FILTER (event_type = 'click') AS shots_on_target,
+  CASE WHEN user_id % 5 > 0 THEN count(*) FILTER (event_type = 'view') END AS key_passes FROM events GROUP BY 1),
+m AS (SELECT *, round(goals * (90.0::DOUBLE / minutes), 4) AS goals_per90, round(assists * (90.0::DOUBLE / minutes), 4) AS assists_per90, round(shots_on_target * (90.0::DOUBLE / minutes), 4) AS shots_on_target_per90, round(key_passes * (90.0::DOUBLE / minutes), 4) AS key_passes_per90 FROM c),
+u AS (UNPIVOT (SELECT user_id, profile, minutes, appearances, goals_per90, assists_per90, shots_on_target_per90, key_passes_per90 FROM m) ON goals_per90, assists_per90, shots_on_target_per90, key_passes_per90 INTO NAME metric VALUE value),
+w(profile, metric, w) AS (VALUES ('attacker', 'goals_per90', 0.35::DOUBLE), ('attacker', 'shots_on_target_per90', 0.20), ('attacker', 'assists_per90', 0.20), ('attacker', 'key_passes_per90', 0.15), ('midfielder', 'assists_per90', 0.30), ('midfielder', 'key_passes_per90', 0.25), ('midfielder', 'goals_per90', 0.20), ('midfielder', 'shots_on_target_per90', 0.10)),
+p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY metric) <= 1 THEN 50 ELSE 100.0 * (rank() OVER (PARTITION BY metric ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY metric, value)) / count(*) OVER (PARTITION BY metric) END AS pc FROM u)
+SELECT user_id, profile, round_even(sum(w * pc) / sum(w), 2) AS radar_score, round(0.5 * least(1.0, any_value(minutes) / 1200) + 0.3 * least(1.0, any_value(appearances) / 15) + CASE WHEN user_id % 2 = 0 THEN 0.2 ELSE 0.1 END, 6) AS confidence,
+  concat_ws(',', 'top_scorer_feed', CASE WHEN user_id % 2 = 0 THEN 'top_assist_feed' END, CASE WHEN max(pc) FILTER (metric = 'goals_per90') >= 85 THEN 'elite_goals_per90' END, CASE WHEN max(pc) FILTER (metric IN ('assists_per90', 'key_passes_per90')) >= 85 THEN 'elite_creation_per90' END) AS reasons
+FROM p JOIN w USING (profile, metric) GROUP BY user_id, profile""")
 def radar_scores(spark, sf):
-    kind = F.col("event_type")
-    c = table(spark, sf, "events").groupBy("user_id").agg((F.count("*") * 40).alias("minutes"), F.count("*").alias("appearances"), F.count_if(kind == "purchase").alias("goals"), F.count_if(kind == "signup").alias("assists"), F.count_if(kind == "click").alias("shots_on_target"))
-    found = history.radar(c.withColumn("position", F.lit("forward")).withColumn("source_lists", F.array(F.lit("topscorers"))), "user_id", ["goals", "assists", "shots_on_target"])
-    return found.select("user_id", "radar_score", F.round("confidence", 6).alias("confidence"))
-
-
-@query("perception", """
-WITH d AS (SELECT lang AS entity, source, CASE WHEN n_chars % 3 = 0 THEN 1.0 WHEN n_chars % 3 = 1 THEN -0.5 ELSE 0.0 END::DOUBLE AS score, CASE WHEN n_chars % 3 = 2 THEN 0.0 ELSE 0.65 END::DOUBLE AS confidence, (doc_id % 180) AS age FROM documents),
-w AS (SELECT *, pow(0.5, age / 45.0) AS recency FROM d),
-s AS (SELECT entity, source, sum(recency * confidence) AS w, sum(recency * confidence * score) AS wx, sum(recency * confidence * score * score) AS wxx, count(*) AS n, count(*) FILTER (confidence > 0) AS scored, sum(recency) AS rec FROM w GROUP BY 1, 2),
-g AS (SELECT entity, avg(wx / w) FILTER (w > 0) AS mean, avg(wxx / w) FILTER (w > 0) AS sq, count(*) FILTER (w > 0) AS sources, sum(scored) AS scored, sum(n) AS n, sum(rec) / sum(n) AS rec FROM s GROUP BY 1)
-SELECT entity, round(50 + 50 * mean, 5) AS score, round(100 * least(1.0, sqrt(greatest(0.0, sq - mean * mean))), 5) AS polarization, sources, round(0.35 * least(1.0, n / 8) + 0.30 * least(1.0, sources / 3) + 0.20 * scored / n + 0.15 * rec, 5) AS confidence FROM g""")
+    kind, user = F.col("event_type"), F.col("user_id")
+    c = table(spark, sf, "events", "user_id", "event_type").groupBy("user_id").agg((F.count("*") * 40).alias("minutes"), F.count("*").alias("appearances"), F.count_if(kind == "purchase").alias("goals"), F.count_if(kind == "signup").alias("assists"), F.count_if(kind == "click").alias("shots_on_target"), F.count_if(kind == "view").alias("key_passes"))
+    lists = F.when(user % 2 == 0, F.array(F.lit("topassists"), F.lit("topscorers"))).otherwise(F.array(F.lit("topscorers")))
+    c = c.withColumn("key_passes", F.when(user % 5 > 0, F.col("key_passes"))).withColumn("position", F.when(user % 3 == 0, "Left Midfield").otherwise("Forward")).withColumn("source_lists", lists)
+    found = radar.radar(c, "user_id", ["goals", "assists", "shots_on_target", "key_passes"])
+    return found.select("user_id", "profile", "radar_score", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("radar_merged_feeds", """
+WITH f AS (SELECT user_id, event_type AS list, event_id, CASE WHEN value < 50 THEN value END AS low, CASE WHEN value > 90 THEN value END AS high FROM events)
+SELECT user_id, arg_min(low, (event_id, list)) FILTER (low IS NOT NULL) AS low, arg_min(high, (event_id, list)) FILTER (high IS NOT NULL) AS high, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM f GROUP BY 1""")
+def radar_merged_feeds(spark, sf):
+    v = F.col("value")
+    rows = table(spark, sf, "events", "user_id", "event_type", "event_id", "value").select("user_id", F.col("event_type").alias("source_list"), "event_id", F.when(v < 50, v).alias("low"), F.when(v > 90, v).alias("high"))
+    return radar.merged_feeds(rows, "user_id", "event_id", ["low", "high"]).select("user_id", "low", "high", F.array_join("source_lists", ",").alias("lists"))
+
+
+#: What an order's priority says of its customer, and the stance's score, confidence and hits.
+_SAID = {"1-URGENT": "Customer %s earns praise. Others struggled; a superb day!", "2-HIGH": "Customer %s: costly error, booed and poor.", "3-MEDIUM": "Nothing of note", "4-NOT SPECIFIED": "An inspired display by customer %s? The rest was a flop", "5-LOW": "A world-class hero"}
+_STANCES = "(VALUES ('1-URGENT', 1.0::DOUBLE, 0.65::DOUBLE, 1), ('2-HIGH', -1.0, 0.95, 3), ('3-MEDIUM', 0.0, 0.0, 0), ('4-NOT SPECIFIED', 1.0, 0.65, 1), ('5-LOW', 1.0, 0.80, 2)) t(o_orderpriority, score, confidence, hits)"
+
+
+def evidence(spark, sf):
+    """An article for each order: by its clerk's priority, about its customer, of the day of the order."""
+    key = F.col("o_custkey").cast("string")
+    said = F.lit(None).cast("string")
+    for priority, text in _SAID.items():
+        said = F.when(F.col("o_orderpriority") == priority, F.replace(F.lit(text), F.lit("%s"), key)).otherwise(said)
+    rows = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").select("o_orderkey", F.col("o_custkey").alias("entity"), (F.col("o_orderkey") % 7).alias("source"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.lit(None).cast("timestamp").alias("discovered_at"), ratings.evidence_text(said, F.lit(" ")).alias("text"))
+    own = ratings.stance(ratings.focus(F.col("text"), F.concat(F.lit("CUSTOMER "), F.col("entity").cast("string"))))
+    return rows.withColumn("stance", own).select("o_orderkey", "entity", "source", "published_at", "discovered_at", F.col("stance.score").alias("score"), F.col("stance.confidence").alias("confidence"), F.col("stance.hits").alias("hits"))
+
+
+@query("rating_stances", f"SELECT o_orderkey, score, confidence, hits FROM orders JOIN {_STANCES} USING (o_orderpriority)")
+def rating_stances(spark, sf):
+    return evidence(spark, sf).select("o_orderkey", "score", F.round("confidence", 6).alias("confidence"), "hits")
+
+
+_PERCEIVED = f"""dv AS (SELECT o_custkey AS entity, o_orderkey % 7 AS source, score, confidence, greatest(0, epoch(TIMESTAMP '2001-08-02') - epoch(o_orderdate)) / 86400.0 AS age FROM orders JOIN {_STANCES} USING (o_orderpriority) WHERE o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 180 DAY),
+wv AS (SELECT *, pow(0.5, age / 45.0) AS recency FROM dv),
+sv AS (SELECT entity, source, sum(recency * confidence) AS w, sum(recency * confidence * score) AS wx, sum(recency * confidence * score * score) AS wxx, sum(recency * confidence * abs(score)) AS wa, sum(recency * confidence * recency) AS wr, count(*) AS n, count(*) FILTER (confidence > 0) AS scored FROM wv GROUP BY 1, 2),
+gv AS (SELECT entity, avg(wx / w) FILTER (w > 0) AS mean, avg(wxx / w) FILTER (w > 0) AS sq, avg(wa / w) FILTER (w > 0) AS size, avg(wr / w) FILTER (w > 0) AS rec, count(*) FILTER (w > 0) AS sources, sum(scored)::BIGINT AS scored, sum(n)::BIGINT AS n FROM sv GROUP BY 1),
+pv AS (SELECT *, least(1.0, sqrt(greatest(0.0, sq - mean * mean))) AS std FROM gv),
+pc AS (SELECT entity, mean, 50 + 50 * mean AS score, 100 * std AS polarization, 100 * size * (1 - std) AS consensus, sources, scored, n, CASE WHEN mean IS NULL THEN 0 ELSE 0.35 * least(1.0, n / 8) + 0.30 * least(1.0, sources / 3) + 0.20 * scored / n + 0.15 * rec END AS confidence,
+  CASE WHEN mean IS NULL THEN 'insufficient_evidence' WHEN 100 * std >= 40 THEN 'mixed' WHEN mean >= 0.20 THEN 'positive' WHEN mean <= -0.20 THEN 'negative' ELSE 'neutral' END AS signal FROM pv)"""
+
+
+def perceived(spark, sf):
+    own = ratings.recent(evidence(spark, sf), F.lit("2001-08-02"))
+    return ratings.perception(own, "entity")
+
+
+@query("perception", f"""WITH {_PERCEIVED} SELECT entity, round(score, 4) AS score, round(polarization, 3) AS polarization, round(consensus, 3) AS consensus, sources, scored, n AS evidence, round(confidence, 5) AS confidence, signal FROM pc""")
 def perception(spark, sf):
-    rest = F.col("n_chars") % 3
-    rows = table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars").select(F.col("lang").alias("entity"), "source", F.when(rest == 0, 1.0).when(rest == 1, -0.5).otherwise(0.0).alias("score"), F.when(rest == 2, 0.0).otherwise(0.65).alias("confidence"), (F.col("doc_id") % 180).alias("age_days"))
-    return history.perception(rows, "entity").select("entity", F.round("score", 5).alias("score"), F.round("polarization", 5).alias("polarization"), "sources", F.round("confidence", 5).alias("confidence"))
+    return perceived(spark, sf).select("entity", F.round("score", 4).alias("score"), F.round("polarization", 3).alias("polarization"), F.round("consensus", 3).alias("consensus"), "sources", "scored", "evidence", F.round("confidence", 5).alias("confidence"), F.col("perception_signal").alias("signal"))
 
 
-@query("formation_profile", """
-WITH f AS (SELECT o_custkey AS team, o_orderkey, o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN '4-3-3' WHEN '2-HIGH' THEN '4-4-2' WHEN '3-MEDIUM' THEN '3-5-2' WHEN '4-NOT SPECIFIED' THEN '4-4-3' END AS formation FROM orders),
+@query("rating_snapshots", f"""WITH {_META}, {_PERCEIVED},
+j AS (SELECT m.entity, stable, stable - score AS gap, polarization, coalesce(pc.confidence, 0) AS pconf, coalesce(n, 0) AS n, coalesce(scored, 0) AS scored, coalesce(sources, 0) AS sources, least(stable_confidence, coalesce(pc.confidence, 0)) * (1 - 0.5 * coalesce(polarization, 0) / 100) AS rated, coalesce(signal, 'insufficient_evidence') AS perception_signal FROM m LEFT JOIN pc USING (entity))
+SELECT entity, round(gap, 4) AS rating_gap, round(rated, 5) AS rating_confidence, perception_signal, CASE WHEN gap IS NULL OR n < 4 OR scored < 3 OR sources < 2 OR pconf < 0.55 THEN 'insufficient_evidence' WHEN coalesce(polarization, 0) >= 60 THEN 'polarized' WHEN rated < 0.5 THEN 'insufficient_evidence' WHEN gap >= 12 THEN 'underrated' WHEN gap <= -12 THEN 'overrated' ELSE 'aligned' END AS rating_signal FROM j""")
+def rating_snapshots(spark, sf):
+    performance = meta.meta_levels(yearly(spark, sf), "entity").select("entity", "stable", "stable_confidence")
+    found = ratings.rating_snapshots(performance, perceived(spark, sf), "entity")
+    return found.select("entity", F.round("rating_gap", 4).alias("rating_gap"), F.round("rating_confidence", 5).alias("rating_confidence"), "perception_signal", "rating_signal")
+
+
+_FORMATIONS = """f AS (SELECT o_custkey AS team, o_orderkey, o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN '4-3-3' WHEN '2-HIGH' THEN '4-4-2' WHEN '3-MEDIUM' THEN '3-5-2' WHEN '4-NOT SPECIFIED' THEN '4-4-3' END AS formation FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM f),
 e AS (SELECT team, formation, count(*) AS n, min(rn) AS seen FROM r WHERE formation IN ('4-3-3', '4-4-2', '3-5-2') GROUP BY 1, 2),
-b AS (SELECT *, sum(n) OVER (PARTITION BY team) AS valid, count(*) OVER (PARTITION BY team) AS kinds FROM e QUALIFY row_number() OVER (PARTITION BY team ORDER BY n DESC, seen, formation) = 1),
-a AS (SELECT team, count(*) AS played FROM f GROUP BY 1)
-SELECT a.team, formation AS primary, round(n / valid, 6) AS share, round(coalesce(valid, 0) / played, 6) AS coverage,
-  CASE WHEN coalesce(valid, 0) < 3 OR coalesce(valid, 0) / played < 0.30 THEN 'limited' WHEN n / valid >= 0.65 THEN 'stable' WHEN n / valid <= 0.50 AND kinds >= 2 THEN 'variable' ELSE 'mixed' END AS label FROM a LEFT JOIN b USING (team)""")
-def formation_profile(spark, sf):
+k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY n DESC, seen, formation) AS place, sum(n) OVER (PARTITION BY team) AS valid, count(*) OVER (PARTITION BY team) AS kinds FROM e),
+b AS (SELECT team, max(formation) FILTER (place = 1) AS "primary", max(n) FILTER (place = 1) AS n, max(valid) AS valid, max(kinds) AS kinds, string_agg(formation || ':' || n, ',' ORDER BY place) FILTER (place <= 4) AS alternatives FROM k GROUP BY 1),
+a AS (SELECT team, count(*) AS played FROM f GROUP BY 1),
+fp AS (SELECT a.team, "primary", coalesce(valid, 0)::BIGINT AS formation_matches, n / valid AS share, coalesce(valid, 0) / played AS coverage, alternatives,
+  CASE WHEN valid IS NULL THEN 'unavailable' WHEN valid < 3 OR valid / played < 0.30 THEN 'limited_evidence' WHEN n / valid >= 0.65 THEN 'stable' WHEN n / valid <= 0.50 AND kinds >= 2 THEN 'variable' ELSE 'mixed' END AS label, played FROM a LEFT JOIN b USING (team))"""
+
+
+def formations(spark, sf):
     names = {"1-URGENT": "4-3-3", "2-HIGH": "4-4-2", "3-MEDIUM": "3-5-2", "4-NOT SPECIFIED": "4-4-3"}
     name = F.lit(None).cast("string")
     for k, v in names.items():
         name = F.when(F.col("o_orderpriority") == k, v).otherwise(name)
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("team"), "o_orderkey", "o_orderdate", name.alias("formation"))
-    found = history.formation_profile(rows, "team", "formation", [F.desc("o_orderdate"), F.desc("o_orderkey")])
-    return found.select("team", "primary", F.round("share", 6).alias("share"), F.round("coverage", 6).alias("coverage"), "label")
+    return table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority").select(F.col("o_custkey").alias("team"), "o_orderkey", "o_orderdate", name.alias("formation"))
+
+
+@query("formation_profile", f"""WITH {_FORMATIONS} SELECT team, "primary", formation_matches, round(share, 6) AS share, round(coverage, 6) AS coverage, round(coalesce(coverage * (0.5 + 0.5 * share), 0), 6) AS confidence, label, coalesce(alternatives, '') AS alternatives FROM fp""")
+def formation_profile(spark, sf):
+    found = tactics.formation_profile(formations(spark, sf), "team", "formation", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    listed = F.array_join(F.transform("alternatives", lambda x: F.concat_ws(":", x["formation"], x["matches"].cast("string"))), ",")
+    return found.select("team", "primary", "formation_matches", *(F.round(c, 6).alias(c) for c in ("share", "coverage", "confidence")), "label", F.coalesce(listed, F.lit("")).alias("alternatives"))
+
+
+def _case(column: str, texts: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
+
+
+@query("tactical_snapshots", f"""WITH {_FORMATIONS},
+t AS (SELECT c_custkey AS team, (c_custkey * 37 % 101)::DOUBLE AS control, CASE WHEN c_custkey % 11 > 0 THEN (c_custkey * 53 % 101)::DOUBLE END AS volume, CASE WHEN c_custkey % 13 > 0 THEN (c_custkey * 71 % 101)::DOUBLE END AS defense, (c_custkey % 10) / 10.0::DOUBLE AS conf FROM customer),
+j AS (SELECT t.*, "primary", coalesce(formation_matches, 0) AS fm, coalesce(label, 'unavailable') AS formation_signal, played, coalesce(coverage * (0.5 + 0.5 * share), 0) AS fc,
+  CASE WHEN conf < 0.35 OR volume IS NULL THEN 'insufficient_evidence' WHEN control >= 65 AND volume >= 65 THEN 'control_and_volume' WHEN control >= 65 AND volume < 55 THEN 'possession_control' WHEN volume >= 65 AND control < 50 THEN 'volume_without_control' WHEN control <= 40 AND volume <= 40 THEN 'low_control_low_volume' ELSE 'balanced' END AS style_signal,
+  CASE WHEN conf < 0.35 OR defense IS NULL THEN 'insufficient_evidence' WHEN defense >= 65 THEN 'restrictive_shot_profile' WHEN defense <= 35 THEN 'permissive_shot_profile' ELSE 'balanced' END AS defensive_signal FROM t LEFT JOIN fp USING (team))
+SELECT team, style_signal, defensive_signal, formation_signal, round(conf * CASE WHEN fm > 0 THEN 0.85 + 0.15 * fc ELSE 0.85 END, 8) AS tactical_confidence,
+  {_case('style_signal', tactics.STYLE_TEXT)} || {_case('defensive_signal', tactics.DEFENCE_TEXT)} || CASE WHEN "primary" IS NULL THEN '{tactics.NO_FORMATION_TEXT}' ELSE printf('{tactics.FORMATION_TEXT}', "primary", fm, played) END AS summary FROM j""")
+def tactical_snapshots(spark, sf):
+    key, rows = F.col("c_custkey"), formations(spark, sf)
+    played = rows.groupBy("team").agg(F.count("*").alias("matches"))
+    teams = table(spark, sf, "customer", "c_custkey").select(key.alias("team"), (key * 37 % 101).cast("double").alias("control"), F.when(key % 11 > 0, (key * 53 % 101).cast("double")).alias("chance_generation"), F.when(key % 13 > 0, (key * 71 % 101).cast("double")).alias("defense"), ((key % 10) / F.lit(10.0)).alias("source_confidence"))
+    found = tactics.tactical_snapshots(teams.join(played, "team", "left"), rows, "team", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return found.select("team", "style_signal", "defensive_signal", "formation_signal", F.round("tactical_confidence", 8).alias("tactical_confidence"), "summary")
 
 
 # -- evidence-gated features and scores ------------------------------------------------
@@ -347,10 +425,52 @@ def player_features_v2(spark, sf):
     return found.select("player_id", "window_key", "metric", "raw_value", "adjusted", "percentile", "reference_size")
 
 
-@query("player_scores_v2")
+def _profiles(table: dict) -> str:
+    return ", ".join(f"('{d}', '{m}', {w}::DOUBLE, {s}, {str(c).lower()})" for d, own in table.items() for m, w, s, c in own)
+
+
+#: What each entity has of each dimension, and the dimensions' states.
+_EVIDENCE = """pd(dimension, metric, weight, direction, core) AS (VALUES {profiles}),
+pj AS (SELECT ek.*, pd.*, fx.pc FROM ek CROSS JOIN pd LEFT JOIN fx ON {on} AND fx.metric = pd.metric),
+pg AS (SELECT {keys}, dimension, sum(weight * CASE WHEN direction < 0 THEN 100 - pc ELSE pc END) / sum(weight) AS score, round(coalesce(sum(weight) FILTER (pc IS NOT NULL), 0) / sum(weight), 6) AS coverage, count(pc) AS n, count(*) AS wanted, count(*) FILTER (pc IS NULL AND core) AS no_core FROM pj GROUP BY ALL),
+ps AS (SELECT *, CASE WHEN n = 0 OR no_core > 0 OR coverage < 0.6 THEN 'insufficient_evidence' WHEN n < wanted THEN 'partial' ELSE 'ready' END AS state FROM pg)"""
+
+_FAMILY = {role: family for role, family in (("AUTOMOBILE", "forward"), ("BUILDING", "centre_back"), ("FURNITURE", "central_midfielder"), ("HOUSEHOLD", "winger"), ("MACHINERY", "goalkeeper"))}
+
+
+@query("player_scores_v2", f"""WITH {_V2},
+fx AS (SELECT r2.entity, r2.window_key, r2.metric, CASE WHEN n = 1 THEN 50 ELSE round(100.0 * (below + (same - 1) / 2.0) / (n - 1), 2) END AS pc FROM r2 JOIN p2 USING (entity, window_key, metric)),
+fr(role, family) AS (VALUES {", ".join(f"('{r}', '{f}')" for r, f in _FAMILY.items())}),
+gs AS (SELECT role, window_key, max(size) AS size FROM (SELECT role, window_key, metric, count(*) AS size FROM r2 WHERE fit GROUP BY ALL) GROUP BY ALL),
+gr AS (SELECT role, window_key, metric, count(*) AS size FROM r2 WHERE fit GROUP BY ALL),
+er AS (SELECT r2.entity, r2.window_key, max(gr.size) AS size FROM r2 JOIN gr USING (role, window_key, metric) JOIN p2 ON p2.entity = r2.entity AND p2.window_key = r2.window_key AND p2.metric = r2.metric GROUP BY ALL),
+ek AS (SELECT entity, role, window_key, appearances FROM w2),
+{_EVIDENCE.format(profiles=_profiles(PLAYER_DIMENSIONS), on="fx.entity = ek.entity AND fx.window_key = ek.window_key", keys="entity, role, window_key, appearances")},
+sh(family, dimension, share) AS (VALUES {", ".join(f"('{f}', '{d}', {w}::DOUBLE)" for f, own in FAMILY_WEIGHTS.items() for d, w in own.items())}),
+ov AS (SELECT entity, family, window_key, appearances, CASE WHEN bool_and(state = 'ready') THEN sum(share * score) END AS overall, round(sum(share * coverage), 6) AS coverage, CASE WHEN bool_and(state = 'ready') THEN 'ready' WHEN max(coverage) > 0 THEN 'partial' ELSE 'insufficient_evidence' END AS state FROM ps JOIN fr USING (role) JOIN sh USING (family, dimension) GROUP BY ALL)
+SELECT ov.entity AS player_id, family, ov.window_key, round(overall, 5) AS overall, coverage, state, round(least(appearances / 10, 1.0) * least(coalesce(er.size, 1) / 10, 1.0) * coverage, 5) AS confidence FROM ov LEFT JOIN er USING (entity, window_key)""")
 def player_scores_v2(spark, sf):
     """Scores by family; most stay null, because these tables lack most metrics."""
-    return entity_v2.player_scores(entity_v2.player_features(player_observations(spark, sf)))[1]
+    found = entity_v2.player_scores(entity_v2.player_features(player_observations(spark, sf)))[1]
+    return found.select("player_id", "family", "window_key", F.round("overall", 5).alias("overall"), "coverage", "state", "confidence")
+
+
+@query("player_role_confidence", f"""WITH {APPEARANCES},
+r AS (SELECT entity, exposure, CASE WHEN match_id % 4 = 0 THEN 'GK' ELSE 'ST' END AS position, row_number() OVER (PARTITION BY entity ORDER BY kick DESC, match_id DESC) AS rn FROM a),
+x AS (SELECT r.*, window_key FROM r JOIN {_W} ON n IS NULL OR rn <= n),
+f AS (SELECT entity, CASE WHEN sum(exposure) FILTER (position = 'GK') > coalesce(sum(exposure) FILTER (position = 'ST'), -1) OR (sum(exposure) FILTER (position = 'GK') = sum(exposure) FILTER (position = 'ST') AND min(rn) FILTER (position = 'GK') < min(rn) FILTER (position = 'ST')) THEN 'GK' ELSE 'ST' END AS main FROM r GROUP BY 1)
+SELECT entity AS player_id, window_key, CASE main WHEN 'GK' THEN 'goalkeeper' ELSE 'forward' END AS family, round(coalesce(sum(exposure) FILTER (position = main), 0) / sum(exposure), 5) AS role_confidence FROM x JOIN f USING (entity) GROUP BY ALL""")
+def player_role_confidence(spark, sf):
+    rows = appearances(spark, sf).select(F.col("entity").alias("player_id"), "match_id", F.col("at").alias("kickoff"), F.col("exposure").alias("minutes"), F.when(F.col("match_id") % 4 == 0, "GK").otherwise("ST").alias("position"))
+    return entity_v2.role_confidence(rows).withColumn("role_confidence", F.coalesce(F.round("role_confidence", 5), F.lit(0.0)))
+
+
+@query("primary_role", f"""WITH {APPEARANCES}, e AS (SELECT entity, CASE match_id % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'wing' END AS spot, exposure, kick FROM a),
+g AS (SELECT entity, spot, sum(exposure) AS m, max(kick) AS seen FROM e WHERE spot IS NOT NULL GROUP BY 1, 2)
+SELECT entity, arg_max(spot, (m, seen, spot)) AS spot, round(max(m) / sum(m), 6) AS role_confidence FROM g GROUP BY 1""")
+def primary_role(spark, sf):
+    rows = appearances(spark, sf).withColumn("spot", F.when(F.col("match_id") % 3 == 0, "back").when(F.col("match_id") % 3 == 1, "wing"))
+    return entity_scores.primary_role(rows, "entity", "spot").withColumn("role_confidence", F.round("role_confidence", 6))
 
 
 def team_observations(spark, sf):
@@ -368,27 +488,83 @@ def team_features_v2(spark, sf):
     return entity_v2.team_features(team_observations(spark, sf)).drop("basis")
 
 
-@query("team_scores_v2")
+_TEAM_V2 = f"""{DOUBLED},
+tr AS (SELECT season || ':' || team AS team_id, goals_for::DOUBLE AS goals_for, goals_against::DOUBLE AS goals_against, goals_for * 0.5 + goals_against * 0.25 AS xg, row_number() OVER (PARTITION BY season, team ORDER BY kickoff DESC, match_id DESC) AS rn FROM team_rows),
+tw AS (SELECT team_id, window_key, count(*) AS matches, sum(goals_for) AS goals_for, sum(goals_against) AS goals_against, sum(xg)::DOUBLE AS xg FROM tr JOIN {_W} ON n IS NULL OR rn <= n GROUP BY 1, 2),
+tv AS (SELECT team_id, window_key, metric, matches, round(raw / matches, 6) AS adjusted FROM (UNPIVOT tw ON goals_for, goals_against, xg INTO NAME metric VALUE raw)),
+fx AS (SELECT team_id, window_key, metric, CASE WHEN count(*) OVER g = 1 THEN 50 ELSE 100.0 * (rank() OVER (PARTITION BY window_key, metric ORDER BY adjusted) - 1 + (count(*) OVER (PARTITION BY window_key, metric, adjusted) - 1) / 2.0) / (count(*) OVER g - 1) END AS pc FROM tv WINDOW g AS (PARTITION BY window_key, metric))"""
+
+
+@query("team_scores_v2", f"""WITH {_TEAM_V2},
+ek AS (SELECT team_id, window_key, matches, goals_for, xg FROM tw),
+{_EVIDENCE.format(profiles=_profiles(TEAM_DIMENSIONS), on="fx.team_id = ek.team_id AND fx.window_key = ek.window_key", keys="team_id, window_key, matches, goals_for, xg")},
+sh(dimension, share) AS (VALUES {", ".join(f"('{d}', {w}::DOUBLE)" for d, w in TEAM_WEIGHTS.items())}),
+ov AS (SELECT team_id, window_key, matches, goals_for, xg, round(sum(share * coverage), 6) AS coverage, max(coverage) AS best FROM ps JOIN sh USING (dimension) GROUP BY ALL)
+SELECT team_id, window_key, NULL::DOUBLE AS overall, coverage, CASE WHEN best > 0 THEN 'partial' ELSE 'insufficient_evidence' END AS state, round(least(matches / 10, 1.0) * coverage, 5) AS confidence,
+  CASE WHEN xg <> 0 AND round(goals_for, 6) - round(xg, 6) >= 2 THEN 'results_above_process' WHEN xg <> 0 AND round(goals_for, 6) - round(xg, 6) <= -2 THEN 'results_below_process' ELSE '' END AS findings FROM ov""")
 def team_scores_v2(spark, sf):
     """Teams' evidence and findings; the score stays null, because one dimension is empty by design."""
-    return entity_v2.team_scores(entity_v2.team_features(team_observations(spark, sf)))[1]
+    found = entity_v2.team_scores(entity_v2.team_features(team_observations(spark, sf)))[1]
+    return found.withColumn("findings", F.array_join("findings", ","))
+
+
+_PLAYER_INPUTS = f"""{APPEARANCES},
+n3 AS (SELECT l_orderkey AS match_id, count(*) AS lines FROM lineitem GROUP BY 1),
+pi AS (SELECT entity, sum(returned)::DOUBLE AS goals, sum(lines) * 0.3::DOUBLE AS xg, CASE WHEN entity % 3 = 0 THEN sum(returned) - 1.0::DOUBLE END AS np, CASE WHEN entity % 2 = 0 THEN sum(big) * 0.5::DOUBLE END AS npxg, CASE WHEN entity % 7 > 0 THEN sum(exposure) END AS minutes, CASE WHEN entity % 5 > 0 THEN sum(lines) END AS shots,
+  (entity % 10) / 10.0::DOUBLE AS confidence, (entity * 37 % 101)::DOUBLE AS volume_pct, (entity * 53 % 101)::DOUBLE AS accuracy_pct, CASE entity % 4 WHEN 0 THEN 'breakout' WHEN 1 THEN 'monitor' END AS watch, (entity * 71 % 101)::DOUBLE AS watch_score, CASE entity % 6 WHEN 0 THEN 'underrated' WHEN 1 THEN 'overrated' WHEN 2 THEN 'aligned' END AS rated, CASE WHEN entity % 9 > 0 THEN (entity % 60 - 30)::DOUBLE END AS gap FROM a JOIN n3 USING (match_id) GROUP BY entity),
+px AS (SELECT *, CASE WHEN np IS NOT NULL AND npxg IS NOT NULL THEN np ELSE goals END AS actual, CASE WHEN np IS NOT NULL AND npxg IS NOT NULL THEN npxg ELSE xg END AS expected FROM pi),
+pq AS (SELECT *, actual - expected AS delta, least(confidence, expected / (expected + 5), minutes / (minutes + 450)) AS sure FROM px)"""
+
+
+def player_inputs(spark, sf):
+    lines = table(spark, sf, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.count("*").alias("lines"))
+    rows = appearances(spark, sf).join(lines, "match_id").groupBy("entity").agg(*(F.sum(c).alias(c) for c in ("returned", "lines", "big", "exposure")))
+    e = F.col("entity")
+    return rows.select(
+        "entity", F.col("returned").cast("double").alias("goals"), (F.col("lines") * 0.3).alias("xg"), F.when(e % 3 == 0, F.col("returned") - 1.0).alias("non_penalty_goals"), F.when(e % 2 == 0, F.col("big") * 0.5).alias("npxg"), F.when(e % 7 > 0, F.col("exposure")).alias("minutes"), F.when(e % 5 > 0, F.col("lines")).alias("shots"),
+        ((e % 10) / F.lit(10.0)).alias("confidence"), (e * 37 % 101).cast("double").alias("volume_pct"), (e * 53 % 101).cast("double").alias("accuracy_pct"), F.when(e % 4 == 0, "breakout").when(e % 4 == 1, "monitor").alias("watchlist_signal"), (e * 71 % 101).cast("double").alias("watchlist_score"),
+        F.when(e % 6 == 0, "underrated").when(e % 6 == 1, "overrated").when(e % 6 == 2, "aligned").alias("rating_signal"), F.when(e % 9 > 0, (e % 60 - 30).cast("double")).alias("rating_gap"))
+
+
+_ENOUGH = "expected >= 5 AND (minutes IS NULL OR minutes >= 450) AND (shots IS NULL OR shots >= 10)"
+
 
+def _severity(size: str, notable: float, high: float) -> str:
+    return f"CASE WHEN abs({size}) >= {high} THEN 'high' WHEN abs({size}) >= {notable} THEN 'notable' ELSE 'info' END"
 
-@query("player_findings", f"""WITH {_META}, w AS (SELECT entity, current - expected AS gap, stable FROM m)
-SELECT entity, 'underrated' AS code, CASE WHEN round(gap, 9) >= 25 THEN 'high' ELSE 'medium' END AS severity FROM w WHERE round(gap, 9) >= 12
-UNION ALL SELECT entity, 'overrated', CASE WHEN round(gap, 9) <= -25 THEN 'high' ELSE 'medium' END FROM w WHERE round(gap, 9) <= -12""")
+
+@query("player_findings", f"""WITH {_PLAYER_INPUTS}
+SELECT entity, 'finishing_underperformance' AS code, {_severity('delta', 2, 5)} AS severity, round(sure, 6) AS confidence FROM pq WHERE {_ENOUGH} AND delta <= -2
+UNION ALL SELECT entity, 'finishing_overperformance', {_severity('delta', 2, 5)}, round(sure, 6) FROM pq WHERE {_ENOUGH} AND delta >= 2
+UNION ALL SELECT entity, 'high_volume_low_quality_shooting', {_severity('(volume_pct - accuracy_pct)', 40, 60)}, confidence FROM pq WHERE volume_pct >= 65 AND accuracy_pct <= 35
+UNION ALL SELECT entity, 'breakout_signal', CASE WHEN watch_score >= 80 THEN 'high' ELSE 'notable' END, confidence FROM pq WHERE watch = 'breakout'
+UNION ALL SELECT entity, rated, {_severity('gap', 12, 25)}, confidence FROM pq WHERE rated IN ('underrated', 'overrated') AND gap IS NOT NULL""")
 def player_findings(spark, sf):
-    gap = F.round("surprise", 9)
-    none = {c: F.lit(None).cast("double") for c in ("expected", "actual", "minutes", "shots", "volume_pct", "accuracy_pct", "watchlist_score")}
-    rows = history.meta_levels(yearly(spark, sf), "entity").select("entity", F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("watchlist_signal"), F.when(gap >= 12, "underrated").when(gap <= -12, "overrated").alias("rating_signal"), gap.alias("rating_gap"), *(v.alias(k) for k, v in none.items()))
-    return history.player_findings(rows, ["entity"]).select("entity", "code", "severity")
+    return findings.player_findings(player_inputs(spark, sf), ["entity"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("audit_report", """SELECT 'exposure' AS rule, count(*) FILTER (o_totalprice <= 0) AS violations FROM orders UNION ALL SELECT 'status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P')) FROM orders""")
+@query("audit_report", f"""WITH {_META}, {_PERCEIVED},
+r AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'underrated' WHEN 1 THEN 'overrated' ELSE 'aligned' END AS signal, (o_orderkey % 100) / 100.0 AS rc, (o_orderkey % 90)::DOUBLE AS pol, o_orderkey % 6 AS evidence, o_orderkey % 5 AS scored, o_orderkey % 4 AS sources, (o_orderkey % 80) / 80.0 AS pconf FROM orders WHERE o_orderkey % 3 < 2)
+SELECT 'rating_confidence' AS rule, count(*) FILTER (rc < 0.5) AS violations FROM r UNION ALL SELECT 'polarization', count(*) FILTER (pol >= 60) FROM r UNION ALL SELECT 'evidence', count(*) FILTER (evidence < 4) FROM r UNION ALL SELECT 'scored', count(*) FILTER (scored < 3) FROM r
+UNION ALL SELECT 'sources', count(*) FILTER (sources < 2) FROM r UNION ALL SELECT 'perception_confidence', count(*) FILTER (pconf < 0.55) FROM r""")
 def audit_report(spark, sf):
-    from ..sources.sinks import violations
+    """The rules of strong ratings, over ratings some of which break them."""
+    from ..operators.audits import rating_violations
+
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders", "o_orderkey").select(
+        F.when(k % 3 == 0, "underrated").when(k % 3 == 1, "overrated").otherwise("aligned").alias("rating_signal"), ((k % 100) / F.lit(100.0)).alias("rating_confidence"), (k % 90).cast("double").alias("polarization"),
+        (k % 6).alias("evidence"), (k % 5).alias("scored"), (k % 4).alias("sources"), ((k % 80) / F.lit(80.0)).alias("perception_confidence"))
+    return rating_violations(rows)
+
+
+@query("tactical_audit", """
+SELECT 'formation_matches' AS rule, count(*) FILTER (c_custkey % 9 > c_custkey % 7) AS violations FROM customer UNION ALL SELECT 'style_signal', count(*) FILTER (c_custkey % 5 = 0) FROM customer UNION ALL SELECT 'defensive_signal', count(*) FILTER (c_custkey % 11 = 0) FROM customer""")
+def tactical_audit(spark, sf):
+    from ..operators.audits import tactical_violations
 
-    return violations(table(spark, sf, "orders", "o_totalprice", "o_orderstatus"), {"exposure": F.col("o_totalprice") > 0, "status": F.col("o_orderstatus").isin("F", "O", "P")})
+    k = F.col("c_custkey")
+    return tactical_violations(table(spark, sf, "customer", "c_custkey").select((k % 9).alias("formation_matches"), (k % 7).alias("matches"), F.when(k % 5 == 0, "counter_attack").otherwise("balanced").alias("style_signal"), F.when(k % 11 == 0, "low_block").otherwise("balanced").alias("defensive_signal")))
 
 
 @query("column_coverage", """SELECT 'large' AS "column", count(*) FILTER (c_acctbal > 5000) AS present, count(*) AS rows, round(100.0 * count(*) FILTER (c_acctbal > 5000) / count(*), 2) AS pct, 'partial' AS state FROM customer

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import elo
 from ..sources.tables import table
-from .domain import _SCORES, entity_scores_of
+from .domain import _SCORES, ELO, entity_scores_of
 from .registry import query
+from .relational import SIDES, matches
 
 
 @query("product_rankings", f"""WITH {_SCORES} SELECT s.entity, c_name AS name, o_orderpriority AS position, round(overall, 6) AS overall FROM scores s JOIN customer ON c_custkey = s.entity
@@ -51,10 +52,11 @@ def product_mesh_health(spark, sf):
     return table(spark, sf, "events", "event_type", "user_id", "value").groupBy("event_type").agg(F.count("*").alias("n"), F.array_join(heavy, ",").alias("heavy_users"))
 
 
-@query("product_elo_series", """SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(count(*)) OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m'))::BIGINT AS running FROM orders GROUP BY 1, 2""")
+@query("product_elo_series", f"""WITH RECURSIVE {ELO} SELECT season, team, strftime(kickoff, '%Y-%m') AS month, count(*) AS n, arg_max(post, (kickoff, match_id)) AS rating FROM elo GROUP BY 1, 2, 3""")
 def product_elo_series(spark, sf):
-    monthly = table(spark, sf, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-    return monthly.withColumn("running", F.sum("n").over(W.partitionBy("o_custkey").orderBy("month")))
+    """A team's rating at the end of each month."""
+    rows = elo.elo_history(matches(spark, sf), ["season"])
+    return rows.groupBy("season", "team", F.date_format("kickoff", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.max_by("post", F.struct("kickoff", "match_id")).alias("rating"))
 
 
 @query("check_constraints", """
@@ -69,9 +71,44 @@ def check_constraints(spark, sf):
     return own.unionByName(orphans)
 
 
-@query("check_key_conflicts", "SELECT o_custkey, o_orderdate::DATE::VARCHAR AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+@query("check_key_conflicts", """
+WITH r AS (SELECT c_custkey, 'n' || c_nationkey AS url, 'm' || (c_custkey % 400) AS external_id FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT 'n' || n_nationkey AS url, 'm' || (n_nationkey * 7) AS external_id, n_nationkey AS id FROM nation)
+SELECT c_custkey, count(DISTINCT s.id) AS matches FROM r JOIN s ON s.url = r.url OR s.external_id = r.external_id GROUP BY 1 HAVING count(DISTINCT s.id) > 1""")
 def check_key_conflicts(spark, sf):
-    return table(spark, sf, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).where("n > 1")
+    """Rows that two identifiers match to several stored ones."""
+    from ..sources.sinks import identity_conflicts
+
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    rows = table(spark, sf, "customer", "c_custkey", "c_nationkey").where(k % 3 == 0).select(k, F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("url"), F.concat(F.lit("m"), (k % 400).cast("string")).alias("external_id"))
+    stored = table(spark, sf, "nation", "n_nationkey").select(F.concat(F.lit("n"), n.cast("string")).alias("url"), F.concat(F.lit("m"), (n * 7).cast("string")).alias("external_id"), n.alias("id"))
+    return identity_conflicts(rows, stored, ["url", "external_id"], "id").select("c_custkey", "matches")
+
+
+@query("check_membership", f"WITH {SIDES} SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem LEFT JOIN matches ON match_id = l_orderkey WHERE match_id IS NULL OR l_suppkey NOT IN (home_team, away_team)")
+def check_membership(spark, sf):
+    """Lines whose supplier is neither side of the order's match, or whose order has none."""
+    from ..sources.sinks import not_members
+
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").withColumnRenamed("l_orderkey", "match_id")
+    return not_members(lines, matches(spark, sf), "match_id", "l_suppkey", ["home_team", "away_team"]).select(F.col("match_id").alias("l_orderkey"), "l_linenumber", "l_suppkey")
+
+
+@query("check_nulls_pass", """
+SELECT 'range' AS rule, count(*) FILTER (CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END > 25) AS violations FROM lineitem UNION ALL SELECT 'known', count(*) FILTER (l_linenumber % 2 = 1) FROM lineitem""")
+def check_nulls_pass(spark, sf):
+    """As a CHECK does, a rule lets null pass; that a value is known is a rule of its own."""
+    from ..sources.sinks import violations
+
+    rows = table(spark, sf, "lineitem", "l_linenumber", "l_quantity").select(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).alias("v"))
+    return violations(rows, {"range": F.col("v") <= 25, "known": F.col("v").isNotNull()})
+
+
+@query("check_content_address", """SELECT event_id, 'sha256/' || substr(sha256('{"k":' || json_extract_string(props, '$.k') || '}'), 1, 2) || '/' || sha256('{"k":' || json_extract_string(props, '$.k') || '}') || '.json.gz' AS address FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def check_content_address(spark, sf):
+    """An address is of the JSON's canonical text, whatever its white space."""
+    from ..sources.sinks import content_address
+
+    return table(spark, sf, "events", "event_id", "props").where(F.get_json_object("props", "$.k").isNotNull()).select("event_id", content_address(F.col("props")).alias("address"))
 
 
 @query("upsert_latest", """

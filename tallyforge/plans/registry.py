@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import domain, functions, mesh, product, relational, streams  # noqa: F401
+    from . import domain, functions, identity, mesh, product, relational, streams, teams, views  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.catalog import catalog
 from ..functions.text import distance
 
 #: Fixed values of feed A: outcomes and types.
@@ -17,6 +18,65 @@ TAGS = {"goal": 101, "assist": 301, "key_pass": 302, "head": 403, "won": 703, "t
 SHOTS_B = (("Shot", "Shot"), ("Free Kick", "Free kick shot"), ("Free Kick", "Penalty"))
 GROUND_DUELS = ("Ground attacking duel", "Ground defending duel", "Ground loose ball duel")
 
+#: The metrics that feed A, and feed B, may emit, by grain: 110 and 77.
+EMITTED_A: dict[str, tuple[str, ...]] = {
+    "match": (
+        "home_score", "away_score", "status", "kickoff_at", "round_name", "venue_name"
+    ),
+    "team_match": (
+        "home_away", "goals_for", "goals_against", "shots_total", "shots_on_target", "blocked_shots", "shots_allowed", "shots_on_target_allowed", "passes_total", "passes_accurate",
+        "pass_accuracy_pct", "corners", "offsides", "fouls", "yellow_cards", "red_cards", "pressures", "recoveries", "counter_attack_shots", "goalkeeper_saves", "formation", "xg", "xga", "npxg",
+        "npxga", "xg_per_shot", "xga_per_shot"
+    ),
+    "player_appearance": (
+        "started", "shirt_number", "listed_position"
+    ),
+    "player_season": (
+        "matches", "appearances", "starts", "sub_appearances"
+    ),
+    "player_match": (
+        "touches", "passes_total", "passes_accurate", "pass_completion_pct", "passes_received", "passes_under_pressure", "assists", "key_passes", "chances_created", "through_balls", "crosses",
+        "switches", "shots_total", "shots_on_target", "shots_off_target", "blocked_shots", "headed_shots", "shots_on_target_pct", "goals_per_shot", "goals_per_shot_on_target", "goals",
+        "non_penalty_goals", "goal_contributions", "penalty_goals", "penalties_attempted", "penalties_missed", "advanced.xg", "npxg", "xg_per_shot", "goals_minus_xg", "non_penalty_goals_minus_npxg",
+        "duels_total", "aerial_duels", "tackles", "ground_duels", "interceptions", "clearances", "blocks", "dribbles_attempted", "dribbles_successful", "dribble_success_pct", "take_ons_attempted",
+        "take_ons_successful", "take_on_success_pct", "fouls_committed", "fouls_drawn", "dispossessed", "miscontrols", "possession_losses", "turnovers", "recoveries", "pressures", "carries",
+        "carry_distance", "yellow_cards", "red_cards", "second_yellow_cards", "saves"
+    ),
+    "goalkeeper_match": (
+        "saves", "goals_conceded", "shots_on_target_faced", "save_pct", "clean_sheets", "claims", "crosses_stopped", "sweeper_actions", "passes", "distribution_accuracy_pct"
+    ),
+    "goalkeeper_season": (
+        "save_pct", "clean_sheets"
+    ),
+}
+EMITTED_B: dict[str, tuple[str, ...]] = {
+    "match": (
+        "home_score", "away_score", "status", "kickoff_at", "round_name", "venue_name"
+    ),
+    "team_match": (
+        "home_away", "goals_for", "goals_against", "shots_total", "shots_on_target", "blocked_shots", "shots_allowed", "shots_on_target_allowed", "passes_total", "passes_accurate",
+        "pass_accuracy_pct", "corners", "offsides", "fouls", "yellow_cards", "red_cards", "goalkeeper_saves", "counter_attack_shots"
+    ),
+    "player_appearance": (
+        "started",
+    ),
+    "player_season": (
+        "matches", "appearances", "starts", "sub_appearances"
+    ),
+    "player_match": (
+        "touches", "passes_total", "passes_accurate", "pass_completion_pct", "assists", "key_passes", "chances_created", "through_balls", "crosses", "shots_total", "shots_on_target",
+        "shots_off_target", "blocked_shots", "headed_shots", "shots_on_target_pct", "goals_per_shot", "goals_per_shot_on_target", "goals", "non_penalty_goals", "goal_contributions", "penalty_goals",
+        "penalties_attempted", "penalties_missed", "duels_total", "duels_won", "duel_win_pct", "aerial_duels", "aerial_duels_won", "aerial_duel_win_pct", "ground_duels", "ground_duels_won",
+        "interceptions", "clearances", "fouls_committed", "yellow_cards", "second_yellow_cards", "red_cards", "saves"
+    ),
+    "goalkeeper_match": (
+        "saves", "passes", "distribution_accuracy_pct", "launches", "shots_on_target_faced", "save_pct", "goals_conceded", "clean_sheets"
+    ),
+    "goalkeeper_season": (
+        "save_pct", "clean_sheets"
+    ),
+}
+
 _NAMED = "struct<id:bigint,name:string>"
 EVENTS_A = f"""match_id bigint, type {_NAMED}, team {_NAMED}, player {_NAMED}, play_pattern {_NAMED}, under_pressure boolean, location array<double>, tactics struct<formation:int>,
   shot struct<outcome:{_NAMED},body_part:{_NAMED},type:{_NAMED},statsbomb_xg:double>, pass struct<outcome:{_NAMED},recipient:{_NAMED},type:{_NAMED},shot_assist:boolean,goal_assist:boolean,through_ball:boolean,cross:boolean,switch:boolean>,
@@ -193,3 +253,53 @@ def season_totals(filled: DataFrame, keys: list[str], additive: list[str]) -> Da
 def outside_scope(matches: DataFrame, competition: str, season: str, want_competition: object, want_season: object) -> DataFrame:
     """Matches of another competition or season; a scope's read must fail if there are any."""
     return matches.where(~(F.col(competition).eqNullSafe(F.lit(want_competition)) & F.col(season).eqNullSafe(F.lit(want_season))))
+
+
+def identities(emitted: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """(metric, granularity) of a feed's list."""
+    return [(m, g) for g, metrics in emitted.items() for m in metrics]
+
+
+def registry(spark: SparkSession, emitted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """metric, granularity, unit, derived and safe: each entry of the catalog, and whether the feed may emit it."""
+    listed = spark.createDataFrame(identities(emitted), "metric string, granularity string").withColumn("_safe", F.lit(True))
+    return catalog(spark).join(F.broadcast(listed), ["metric", "granularity"], "left").select("metric", "granularity", "unit", "derived", F.coalesce("_safe", F.lit(False)).alias("safe"))  # fixed lists
+
+
+def long_facts(counts: DataFrame, keys: list[str], granularity: str) -> DataFrame:
+    """keys, metric, granularity, value: counts as facts; what is null isn't one."""
+    names = [c for c in counts.columns if c not in keys and dict(counts.dtypes)[c] in ("int", "bigint", "double", "boolean")]
+    rows = counts.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in names))).alias("x"))
+    return rows.select(*keys, "x.metric", F.lit(granularity).alias("granularity"), "x.value").where("value is not null")
+
+
+def match_a(events: DataFrame, lineups: DataFrame, match_id: int) -> dict[str, DataFrame]:
+    """players, goalkeepers and teams of one match of feed A: all that a match tells, and nothing of a season."""
+    own, roster = events.where(F.col("match_id") == match_id), roster_a(lineups.where(F.col("match_id") == match_id))
+    filled = zero_filled(roster, players_a(own))
+    return {"players": derived_a(filled), "goalkeepers": goalkeepers_a(filled), "teams": teams_a(own)}
+
+
+def season_a(matches: DataFrame, events: DataFrame, lineups: DataFrame, competition: int, season: int, complete: int | None = None) -> dict[str, DataFrame]:
+    """As match_a() of all matches (match_id, competition_id, season_id), with player_seasons where the scope is complete: has `complete` matches, or any number.
+
+    Matches of another scope are an error.
+    """
+    if outside_scope(matches, "competition_id", "season_id", competition, season).head(1):
+        raise ValueError("matches belong to another competition or season")
+    ids = matches.select("match_id").distinct()
+    own, roster = events.join(ids, "match_id", "left_semi"), roster_a(lineups.join(ids, "match_id", "left_semi"))
+    filled = zero_filled(roster, players_a(own))
+    out = {"players": derived_a(filled), "goalkeepers": goalkeepers_a(filled), "teams": teams_a(own)}
+    if complete is None or ids.count() == complete:
+        out["player_seasons"] = season_totals(filled, ["player_id"], ["goals", "assists", "shots_total"])
+    return out
+
+
+def season_b(matches: DataFrame, events: DataFrame, keepers: DataFrame, competition: int, season: int) -> dict[str, DataFrame]:
+    """players, goalkeepers, teams and player_seasons of feed B's season. Matches of another scope are an error."""
+    if outside_scope(matches, "competitionId", "seasonId", competition, season).head(1):
+        raise ValueError("matches belong to another competition or season")
+    own = events.join(matches.select(F.col("wyId").alias("matchId")), "matchId", "left_semi")
+    filled, teams = zero_filled(roster_b(matches), players_b(own)), teams_b(own)
+    return {"players": filled, "goalkeepers": goalkeepers_b(filled, keepers, teams), "teams": teams, "player_seasons": season_totals(filled, ["player_id"], ["goals", "assists", "shots_total"])}

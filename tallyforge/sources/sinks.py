@@ -43,14 +43,25 @@ def identity_conflicts(rows: DataFrame, stored: DataFrame, keys: Sequence[str],
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """rule and violations, for all rules in one pass; null counts as a violation."""
-    counts = df.agg(*(F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()))
+    """rule and violations, for all rules in one pass. A rule that is null passes, as a CHECK does; that a column has values is a rule of its own (isNotNull)."""
+    counts = df.agg(*(F.count_if(~F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()))
     return counts.unpivot([], list(rules), "rule", "violations")
 
 
+def not_members(rows: DataFrame, groups: DataFrame, key: str, member: str, members: Sequence[str]) -> DataFrame:
+    """rows whose `member` is none of the group's (`members` of the row of groups with the same key), or whose group doesn't exist: a team that is neither side of its match."""
+    own = groups.select(F.col(key).alias("_k"), F.array(*members).alias("_members"))
+    return rows.join(own, F.col(key) == F.col("_k"), "left").where(~F.coalesce(F.array_contains("_members", F.col(member)), F.lit(False))).drop("_k", "_members")
+
+
+def canonical_json(payload: Column) -> Column:
+    """A JSON text with the names of its objects in order and without white space between; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(payload)), payload)
+
+
 def content_address(payload: Column) -> Column:
     """sha256/ab/abcdef....json.gz of a payload's canonical JSON text."""
-    sha = F.sha2(payload, 256)
+    sha = F.sha2(canonical_json(payload), 256)
     return F.concat(F.lit("sha256/"), F.substring(sha, 1, 2), F.lit("/"), sha, F.lit(".json.gz"))
 
 
@@ -61,16 +72,40 @@ def request_fingerprint(endpoint: Column, parameters: Column) -> Column:
 
 
 def put_objects(rows: DataFrame, path: str) -> None:
-    """Append (address, payload) rows that aren't stored; an address has one content by its name."""
+    """Append (address, payload) rows that aren't stored, in canonical form. An address with another content, here or there, is an error."""
     spark = rows.sparkSession
-    fresh = rows.select(content_address(F.col("payload")).alias("address"), "payload").dropDuplicates(["address"])
+    fresh = rows.select(content_address(F.col("payload")).alias("address"), canonical_json(F.col("payload")).alias("payload")).distinct()
+    if fresh.groupBy("address").count().where("count > 1").head(1):
+        raise ValueError("two payloads have one address")
     try:
-        stored = spark.read.parquet(path).select("address")
+        stored = spark.read.parquet(path).select("address", F.col("payload").alias("_stored"))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = None
-    (fresh if stored is None else fresh.join(stored, "address", "left_anti")).write.mode("append").option("compression", "gzip").parquet(path)
+    if stored is not None:
+        if fresh.join(stored, "address").where(F.col("payload") != F.col("_stored")).head(1):
+            raise ValueError("a stored address has another payload")
+        fresh = fresh.join(stored, "address", "left_anti")
+    fresh.write.mode("append").option("compression", "gzip").parquet(path)
+
+
+def watchlist(entries: DataFrame) -> DataFrame:
+    """player_id, category, reason and created_at of a log of changes (player_id, action: add or remove, category, reason, at): of each player the last change counts, if it added.
+
+    violations() checks them by watchlist_rules().
+    """
+    last = entries.groupBy("player_id").agg(F.max_by(F.struct("action", "category", "reason", "at"), F.struct("at", "action")).alias("x"))
+    return last.where("x.action = 'add'").select("player_id", F.coalesce("x.category", F.lit("manual")).alias("category"), "x.reason", F.col("x.at").alias("created_at"))
+
+
+#: The categories of a watchlist and the longest reason.
+WATCHLIST_CATEGORIES, REASON = ("manual", "emerging", "regression_watch", "underperforming_process"), 500
+
+
+def watchlist_rules() -> dict[str, Column]:
+    """What violations() checks of a watchlist."""
+    return {"category": F.col("category").isin(*WATCHLIST_CATEGORIES), "reason": (F.trim("reason") != "") & (F.length("reason") <= REASON)}
 
 
 def log_run(spark: SparkSession, path: str, job: str, status: str, counts: dict[str, int], started: str, finished: str) -> None:

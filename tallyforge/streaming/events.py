@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.ship import ship
-from ..operators.elo import HOME, INITIAL, STEP, expectation
+from ..operators.elo import HOME, INITIAL, STEP, expectation, played
 from ..sources.sinks import upserted
 
 
@@ -36,41 +36,75 @@ def deduplicated(stream: DataFrame, time: str, late: str, keys: Sequence[str]) -
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column]):
-    """A writer that keeps a table's newest row of each key, as version folders of path.
+def keep_latest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column], buckets: int = 64, kept: int = 3):
+    """A writer that keeps a table's newest row of each key, in buckets of the keys' hash; latest_version() reads it.
 
-    A batch writes a version of its own number, so that a batch that runs again
-    writes the same version anew; readers take the highest (latest_version()).
+    A batch rewrites only the buckets that it touches, as folders
+    bucket=B/version=N, N its own number, so that a batch that runs again writes
+    the same folders anew. Of each bucket the last `kept` versions stay, for
+    readers that have begun.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = latest_version(spark, path, below=number)
-        rows = batch if before is None else upserted(before, batch, keys, newest)
-        rows = upserted(rows.limit(0), rows, keys, newest)
-        rows.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+        if not touched:
+            return
+        before = latest_version(spark, path, below=number, only=touched)
+        rows = rows if before is None else upserted(before.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), rows, keys, newest)
+        rows = upserted(rows.limit(0), rows, keys, newest).withColumn("version", F.lit(f"{number:012d}"))
+        folder = f"{path}/_batch-{number:012d}"
+        rows.write.mode("overwrite").partitionBy("bucket", "version").parquet(folder)
+        _moved(spark, folder, path, number, touched, kept)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The table's highest version that was written whole, or None."""
+def _moved(spark: SparkSession, folder: str, path: str, number: int, touched: Sequence[int], kept: int) -> None:
+    """Move a batch's buckets to their place; a bucket's version is there whole or not at all."""
     jvm = spark._jvm.org.apache.hadoop.fs
-    root = jvm.Path(path)
+    system = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in touched:
+        name = f"bucket={bucket}/version={number:012d}"
+        to = jvm.Path(f"{path}/{name}")
+        system.mkdirs(to.getParent())
+        system.delete(to, True)
+        if not system.rename(jvm.Path(f"{folder}/{name}"), to):
+            raise OSError(f"{to} can't be written")
+        for old in _versions(spark, f"{path}/bucket={bucket}", number)[: -max(1, kept) + 1 or None]:
+            system.delete(jvm.Path(old[1]), True)
+    system.delete(jvm.Path(folder), True)
+
+
+def _versions(spark: SparkSession, folder: str, below: int | None) -> list[tuple[int, str]]:
+    """(number, path) of a bucket's versions, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    found = [(int(s.getPath().getName()[8:]), s.getPath().toString()) for s in system.listStatus(root) if s.getPath().getName().startswith("version=")]
+    return sorted(x for x in found if below is None or x[0] < below)
+
+
+def latest_version(spark: SparkSession, path: str, below: int | None = None, only: Sequence[int] | None = None) -> DataFrame | None:
+    """The rows of each bucket's highest version (below a number; of some buckets only), or None."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(root):
         return None
-    found = [s.getPath() for s in system.listStatus(root) if s.getPath().getName().startswith("version=")]
-    whole = [(int(p.getName()[8:]), p.toString()) for p in found if system.exists(jvm.Path(p, "_SUCCESS"))]
-    whole = [x for x in whole if below is None or x[0] < below]
-    return spark.read.parquet(max(whole)[1]) if whole else None
+    buckets = [s.getPath() for s in system.listStatus(root) if s.getPath().getName().startswith("bucket=")]
+    buckets = [b for b in buckets if only is None or int(b.getName()[7:]) in set(only)]
+    last = [v[-1][1] for b in buckets if (v := _versions(spark, b.toString(), below))]
+    return spark.read.parquet(*last) if last else None
 
 
 def elo_stream(matches: DataFrame, context: str = "season") -> DataFrame:
     """Ratings that follow a stream of matches: context, match_id, team, is_home, pre, post.
 
     The state of a context is its teams' ratings. Within a batch matches go by
-    kickoff and match_id; batches must come in order of time.
+    kickoff and match_id; batches must come in order of time. As in the batch
+    fold, matches without both scores, or of a team against itself, don't count.
     """
     ship(matches.sparkSession)
 
@@ -88,4 +122,4 @@ def elo_stream(matches: DataFrame, context: str = "season") -> DataFrame:
         state.update((json.dumps(ratings),))
         yield pd.DataFrame(out, columns=["context", "match_id", "team", "is_home", "pre", "post"])
 
-    return matches.groupBy(context).applyInPandasWithState(follow, "context string, match_id long, team string, is_home boolean, pre double, post double", "ratings string", "append", GroupStateTimeout.NoTimeout)
+    return played(matches).groupBy(context).applyInPandasWithState(follow, "context string, match_id long, team string, is_home boolean, pre double, post double", "ratings string", "append", GroupStateTimeout.NoTimeout)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import catalog
 from tallyforge.operators import audits, entity_v2, profiles
+from tallyforge.operators import teams as team_operators
 from tallyforge.sources import edge
 
 
@@ -82,7 +83,7 @@ def test_team_features_and_scores(spark):
     w = {(r.team_id, r.window_key): r for r in whole.collect()}
     assert all(r.overall is None for r in w.values()) and "results_above_process" in w[3, "season"].findings and "results_above_process" in w[1, "season"].findings
     assert parts.where("dimension = 'defensive_transition' and state <> 'insufficient_evidence'").count() == 0
-    issues = entity_v2.issue_rows(whole.withColumnRenamed("findings", "signals"), ["team_id", "window_key"])
+    issues = team_operators.issue_rows(whole.withColumnRenamed("findings", "signals"), ["team_id", "window_key"])
     assert issues.count() == sum(len(r.findings) for r in w.values())
 
 
