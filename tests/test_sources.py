@@ -227,15 +227,97 @@ def test_streams(spark, tmp_path):
     assert {r.user: (r.ts, r.id) for r in streams.latest_version(spark, str(tmp_path / "table")).collect()} == last
 
 
+def test_versions_rewrite_what_they_touch(spark, tmp_path):
+    """Each batch writes the buckets of its own keys; a batch that runs again changes nothing, and old versions go."""
+    import os
+
+    schema = "user int, at int, v string"
+    table, place = str(tmp_path / "table"), str(tmp_path / "in")
+    batches = [[(u, 1, "a") for u in range(40)], [(3, 2, "b")], [(3, 1, "late"), (99, 1, "new")], [(3, 3, "c"), (3, 3, "c")], [(3, 4, "d")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(place)
+        read = streams.files(spark, place, schema)
+        streams.keep_latest(read, table, str(tmp_path / "ck"), ["user"], [F.desc("at")], buckets=8, kept=2).trigger(availableNow=True).start().awaitTermination()
+    found = {r.user: r.v for r in streams.latest_version(spark, table).collect()}
+    assert found == {u: "a" for u in range(40)} | {3: "d", 99: "new"}
+    counts = [len(os.listdir(f"{table}/{b}")) for b in os.listdir(table) if b.startswith("bucket=")]
+    assert max(counts) <= 2 and min(counts) == 1 and not [b for b in os.listdir(table) if b.startswith("_batch")]
+
+
 def test_elo_stream(spark, tmp_path):
     from .test_operators import plain_elo
 
     matches = [("x", i, i, f"T{i % 4}", f"T{(i + 1 + i % 3) % 4 if (i + 1 + i % 3) % 4 != i % 4 else (i + 1) % 4}", i % 3, (i * 7) % 4) for i in range(40)]
     schema = "season string, match_id long, kickoff int, home_team string, away_team string, home_score int, away_score int"
-    for k in range(4):
+    matches[5:5] = [("x", 500, 5, "T0", "T1", None, 2), ("x", 501, 5, "T2", "T2", 1, 0), ("x", 502, 5, "T0", "T3", None, None)]
+    for k in range(5):
         spark.createDataFrame(matches[10 * k : 10 * k + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     df = streams.elo_stream(streams.files(spark, str(tmp_path / "in"), schema, 1))
     q = df.writeStream.format("memory").queryName("ratings").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     found = {(r.match_id, r.is_home): r.post for r in spark.table("ratings").collect()}
     assert found == {(m, home): pytest.approx(post, abs=6e-5) for _, m, home, _, _, post, _ in plain_elo(matches)}
+
+
+def test_configuration(spark, tmp_path):
+    from tallyforge.sources import config
+
+    def file(value):
+        path = tmp_path / "c.json"
+        path.write_text(json.dumps(value))
+        return str(path)
+
+    one = {"code": "A_B", "name": "Liga", "country": "X"}
+    assert [tuple(r) for r in config.competitions(spark, file([one])).collect()] == [("A_B", "Liga", "X")]
+    for bad in ({"a": 1}, [one, one], [{**one, "more": 1}], [{**one, "name": " "}], [{"code": "A"}]):
+        with pytest.raises(ValueError):
+            config.competitions(spark, file(bad))
+    source = {"code": "a-b", "display_name": "A", "source_kind": "media", "feed_url": "https://x.example/rss"}
+    row = config.news_sources(spark, file([source])).head()
+    assert (row.code, row.homepage_url, row.is_active) == ("a-b", None, True)
+    for bad in ({"feed_url": "http://x.example"}, {"feed_url": "https://u:p@x.example"}, {"source_kind": "blog"}, {"code": "A B"}, {"homepage_url": "ftp://x"}, {"display_name": ""}):
+        with pytest.raises(ValueError):
+            config.news_sources(spark, file([{**source, **bad}]))
+    with pytest.raises(ValueError):
+        config.news_sources(spark, file([source, source]))
+
+
+def test_checks_and_objects(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "k int, v int")
+    assert {r.rule: r.violations for r in sinks.violations(rows, {"range": F.col("v") < 6, "known": F.col("v").isNotNull()}).collect()} == {"range": 1, "known": 1}
+    teams = spark.createDataFrame([(1, "a", "b")], "m int, home string, away string")
+    lines = spark.createDataFrame([(1, "a"), (1, "c"), (1, None), (2, "a")], "m int, team string")
+    assert sorted(map(repr, map(tuple, sinks.not_members(lines, teams, "m", "team", ["home", "away"]).collect()))) == ["(1, 'c')", "(1, None)", "(2, 'a')"]
+    path = str(tmp_path / "raw")
+    put = lambda *texts: sinks.put_objects(spark.createDataFrame([(t,) for t in texts], "payload string"), path)
+    put('{"b": 1, "a": [2, null]}', '{"a":[2,null],"b":1}')
+    put('{ "b":1,"a":[2,null] }', '{"c": 1}')
+    assert sorted(r.payload for r in spark.read.parquet(path).collect()) == ['{"a":[2,null],"b":1}', '{"c":1}']
+    spark.read.parquet(path).limit(1).selectExpr("address", "'{}' as payload").write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="another payload"):
+        sinks.put_objects(spark.createDataFrame([('{"a":[2,null],"b":1}',), ('{"c":1}',)], "payload string"), str(tmp_path / "bad"))
+    log = spark.createDataFrame([(1, "add", None, None, 1), (1, "remove", None, None, 2), (2, "remove", None, None, 1), (2, "add", "emerging", "x", 2), (3, "add", "odd", " ", 1)], "player_id int, action string, category string, reason string, at int")
+    listed = sinks.watchlist(log)
+    assert {(r.player_id, r.category) for r in listed.collect()} == {(2, "emerging"), (3, "odd")}
+    assert {r.rule: r.violations for r in sinks.violations(listed, sinks.watchlist_rules()).collect()} == {"category": 1, "reason": 1}
+
+
+def test_identities_of_feeds(spark):
+    from tallyforge.functions import catalog
+    from tallyforge.sources import event_feeds as E
+
+    known = {(m, g) for m, g, *_ in catalog.entries()}
+    for emitted, n in ((E.EMITTED_A, 110), (E.EMITTED_B, 77)):
+        own = E.identities(emitted)
+        assert len(own) == len(set(own)) == n and set(own) <= known
+        assert E.registry(spark, emitted).where("safe").count() == n
+    assert catalog.duplicates() == [] and catalog.duplicates([("a", "m", 1), ("a", "m", 2), ("a", "t", 1)]) == [("a", "m")]
+
+
+def test_views_by_name(spark):
+    from tallyforge.plans.views import shown
+
+    found = shown(spark, "/root/testdata/sf0.001")
+    assert len(found) == 10
+    for name, df in found.items():
+        assert spark.table(name).columns == df.columns
