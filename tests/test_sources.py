@@ -120,6 +120,15 @@ def test_feed_a(spark, tmp_path):
     assert [(x.player_id, x.shots_on_target_faced, x.save_pct) for x in k] == [(3, 2, 50.0)]
     s = {x.player_id: x for x in event_feeds.season_totals(filled, ["player_id"], ["goals"]).collect()}
     assert (s[1].goals, s[1].starts, s[5].sub_appearances) == (1, 1, 1)
+    sheets = event_feeds.read(spark, str(tmp_path / "l.json"), event_feeds.LINEUPS_A)
+    one_match = event_feeds.match_a(df, sheets, 5)
+    assert one_match["players"].count() == 3 and one_match["teams"].count() == 2 and one_match["goalkeepers"].count() == 1 and event_feeds.match_a(df, sheets, 6)["players"].count() == 0
+    games = spark.createDataFrame([(5, 2, 27)], "match_id long, competition_id int, season_id int")
+    assert event_feeds.season_a(games, df, sheets, 2, 27, complete=1)["player_seasons"].count() == 3 and "player_seasons" not in event_feeds.season_a(games, df, sheets, 2, 27, complete=380)
+    with pytest.raises(ValueError):
+        event_feeds.season_a(games, df, sheets, 2, 28)
+    facts = event_feeds.long_facts(one_match["players"].select("match_id", "player_id", "goals", "shots_on_target_pct"), ["match_id", "player_id"], "player_match")
+    assert {(r.player_id, r.metric, r.value) for r in facts.collect()} == {(1, "goals", 1.0), (1, "shots_on_target_pct", 50.0), (3, "goals", 0.0), (5, "goals", 0.0)}
 
 
 def test_feed_b(spark, tmp_path):
@@ -140,6 +149,10 @@ def test_feed_b(spark, tmp_path):
     filled = event_feeds.zero_filled(roster, event_feeds.players_b(df))
     k = event_feeds.goalkeepers_b(filled, spark.createDataFrame([(3,)], "player_id long"), event_feeds.teams_b(df)).collect()
     assert [(r.player_id, r.shots_on_target_faced, r.save_pct) for r in k] == [(3, 1, 100.0)]
+    season = event_feeds.season_b(m, df, spark.createDataFrame([(3,)], "player_id long"), 364, 1)
+    assert season["players"].count() == 3 and season["goalkeepers"].count() == 1 and season["player_seasons"].count() == 3
+    with pytest.raises(ValueError):
+        event_feeds.season_b(m, df, spark.createDataFrame([(3,)], "player_id long"), 364, 2)
     assert event_feeds.outside_scope(m, "competitionId", "seasonId", 364, 1).count() == 0 and event_feeds.outside_scope(m, "competitionId", "seasonId", 2, 1).count() == 1
 
 
