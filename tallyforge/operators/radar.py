@@ -31,7 +31,7 @@ def profile(position: Column) -> Column:
 
 
 def radar(candidates: DataFrame, key: str, counts: Sequence[str], pool: Sequence[str] = ()) -> DataFrame:
-    """key, profile, radar_score, confidence, reasons: percentiles of counts per 90 minutes among all candidates, weights of the profile shared over those that are there.
+    """key, profile, radar_score, raw_score (unrounded), confidence, reasons: percentiles of counts per 90 minutes among all candidates, weights of the profile shared over those that are there.
 
     candidates: key, position, minutes, appearances, source_lists and counts
     named as RADAR's metrics without _per90. No minutes, no row; no counts, a
@@ -54,4 +54,4 @@ def radar(candidates: DataFrame, key: str, counts: Sequence[str], pool: Sequence
     reasons = F.array_compact(F.array(
         F.when(F.array_contains("source_lists", "topscorers"), "top_scorer_feed"), F.when(F.array_contains("source_lists", "topassists"), "top_assist_feed"),
         F.when(F.col("g") >= ELITE, "elite_goals_per90"), F.when(F.greatest("a", "k") >= ELITE, "elite_creation_per90")))
-    return found.select(key, *pool, "profile", half_even(clamp(F.col("raw"), 0.0, 100.0), 2).alias("radar_score"), confidence.alias("confidence"), reasons.alias("reasons"))
+    return found.select(key, *pool, "profile", half_even(clamp(F.col("raw"), 0.0, 100.0), 2).alias("radar_score"), F.col("raw").alias("raw_score"), confidence.alias("confidence"), reasons.alias("reasons"))

@@ -277,7 +277,7 @@ m AS (SELECT *, round(goals * (90.0::DOUBLE / minutes), 4) AS goals_per90, round
 u AS (UNPIVOT (SELECT user_id, profile, minutes, appearances, goals_per90, assists_per90, shots_on_target_per90, key_passes_per90 FROM m) ON goals_per90, assists_per90, shots_on_target_per90, key_passes_per90 INTO NAME metric VALUE value),
 w(profile, metric, w) AS (VALUES ('attacker', 'goals_per90', 0.35::DOUBLE), ('attacker', 'shots_on_target_per90', 0.20), ('attacker', 'assists_per90', 0.20), ('attacker', 'key_passes_per90', 0.15), ('midfielder', 'assists_per90', 0.30), ('midfielder', 'key_passes_per90', 0.25), ('midfielder', 'goals_per90', 0.20), ('midfielder', 'shots_on_target_per90', 0.10)),
 p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY metric) <= 1 THEN 50 ELSE 100.0 * (rank() OVER (PARTITION BY metric ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY metric, value)) / count(*) OVER (PARTITION BY metric) END AS pc FROM u)
-SELECT user_id, profile, round_even(sum(w * pc) / sum(w), 2) AS radar_score, round(0.5 * least(1.0, any_value(minutes) / 1200) + 0.3 * least(1.0, any_value(appearances) / 15) + CASE WHEN user_id % 2 = 0 THEN 0.2 ELSE 0.1 END, 6) AS confidence,
+SELECT user_id, profile, round(sum(w * pc) / sum(w), 6) AS raw_score, round(0.5 * least(1.0, any_value(minutes) / 1200) + 0.3 * least(1.0, any_value(appearances) / 15) + CASE WHEN user_id % 2 = 0 THEN 0.2 ELSE 0.1 END, 6) AS confidence,
   concat_ws(',', 'top_scorer_feed', CASE WHEN user_id % 2 = 0 THEN 'top_assist_feed' END, CASE WHEN max(pc) FILTER (metric = 'goals_per90') >= 85 THEN 'elite_goals_per90' END, CASE WHEN max(pc) FILTER (metric IN ('assists_per90', 'key_passes_per90')) >= 85 THEN 'elite_creation_per90' END) AS reasons
 FROM p JOIN w USING (profile, metric) GROUP BY user_id, profile""")
 def radar_scores(spark, sf):
@@ -286,7 +286,7 @@ def radar_scores(spark, sf):
     lists = F.when(user % 2 == 0, F.array(F.lit("topassists"), F.lit("topscorers"))).otherwise(F.array(F.lit("topscorers")))
     c = c.withColumn("key_passes", F.when(user % 5 > 0, F.col("key_passes"))).withColumn("position", F.when(user % 3 == 0, "Left Midfield").otherwise("Forward")).withColumn("source_lists", lists)
     found = radar.radar(c, "user_id", ["goals", "assists", "shots_on_target", "key_passes"])
-    return found.select("user_id", "profile", "radar_score", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+    return found.select("user_id", "profile", F.round("raw_score", 6).alias("raw_score"), F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("radar_merged_feeds", """

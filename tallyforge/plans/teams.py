@@ -26,8 +26,8 @@ def rows(spark, sf):
 
 
 def _weighted(weights: dict[str, float], prefix: str = "") -> str:
-    top = " + ".join(f"coalesce({w} * {prefix}{m}, 0)" for m, w in weights.items())
-    bottom = " + ".join(f"CASE WHEN {prefix}{m} IS NULL THEN 0 ELSE {w} END" for m, w in weights.items())
+    top = " + ".join(f"coalesce({w}::DOUBLE * {prefix}{m}, 0::DOUBLE)" for m, w in weights.items())
+    bottom = " + ".join(f"CASE WHEN {prefix}{m} IS NULL THEN 0::DOUBLE ELSE {w}::DOUBLE END" for m, w in weights.items())
     return f"round(({top}) / nullif({bottom}, 0), 9)"
 
 
@@ -58,6 +58,18 @@ ss AS (SELECT *, CASE WHEN delta >= 12 THEN 'results_above_process' WHEN delta <
   CASE WHEN chance >= 65 AND finishing <= 35 THEN 'finishing_issue' WHEN chance <= 35 AND finishing >= 45 THEN 'creation_issue' END AS first_issue, CASE WHEN defense <= 35 THEN 'defensive_process_issue' END AS second_issue FROM s3)"""
 
 
+#: Added before rounding: scores are decimals of few digits, whose ties two engines round by the last bit of a double.
+_APART = 1.23457e-7
+
+
+def _sql(column: str, name: str) -> str:
+    return f"round({column} + {_APART}::DOUBLE, 6) AS {name}"
+
+
+def _shown(column, name: str):
+    return F.round(F.col(column) + F.lit(_APART), 6).alias(name)
+
+
 def features(spark, sf):
     return teams.team_features(teams.team_windows(rows(spark, sf), ["season"], newest("kickoff")), ["season"])
 
@@ -86,15 +98,15 @@ def team_features_v1(spark, sf):
 _SHOWN = {"chance_generation": "chance", "defense": "defense", "control": "control", "finishing_proxy": "finishing", "process": "process", "results": "results", "attack": "attack", "overall": "overall", "coverage": "coverage", "confidence": "confidence", "results_process_delta": "delta"}
 
 
-@query("team_scores", f"WITH {SCORES} SELECT season, team, window_key, matches, {', '.join(f'round({c}, 6) AS {n}' for n, c in _SHOWN.items())}, signal, concat_ws(',', first_issue, second_issue, nullif(signal, 'results_aligned')) AS signals FROM ss")
+@query("team_scores", f"WITH {SCORES} SELECT season, team, window_key, matches, {', '.join(_sql(c, n) for n, c in _SHOWN.items())}, signal, concat_ws(',', first_issue, second_issue, nullif(signal, 'results_aligned')) AS signals FROM ss")
 def team_scores(spark, sf):
-    return scores(spark, sf).select("season", "team", "window_key", "matches", *(F.round(c, 6).alias(c) for c in _SHOWN), "signal", F.array_join("signals", ",").alias("signals"))
+    return scores(spark, sf).select("season", "team", "window_key", "matches", *(_shown(c, c) for c in _SHOWN), "signal", F.array_join("signals", ",").alias("signals"))
 
 
-@query("team_issue_rows", f"""WITH {SCORES} SELECT season, team, window_key, unnest(list_filter([first_issue, second_issue, nullif(signal, 'results_aligned')], lambda x: x IS NOT NULL)) AS signal_code, round(delta, 6) AS delta, round(overall, 6) AS overall FROM ss""")
+@query("team_issue_rows", f"""WITH {SCORES} SELECT season, team, window_key, unnest(list_filter([first_issue, second_issue, nullif(signal, 'results_aligned')], lambda x: x IS NOT NULL)) AS signal_code, {_sql('delta', 'delta')}, {_sql('overall', 'overall')} FROM ss""")
 def team_issue_rows(spark, sf):
     found = teams.issue_rows(scores(spark, sf), ["season", "team", "window_key"])
-    return found.select("season", "team", "window_key", "signal_code", F.round("supporting.results_process_delta", 6).alias("delta"), F.round("supporting.overall", 6).alias("overall"))
+    return found.select("season", "team", "window_key", "signal_code", _shown("supporting.results_process_delta", "delta"), _shown("supporting.overall", "overall"))
 
 
 _ALLOWED = """CASE WHEN p_volume >= 65 AND quality <= 35 THEN 'few_but_high_quality_chances_allowed' WHEN p_volume <= 35 AND quality >= 65 THEN 'high_volume_low_quality_allowed' END"""
