@@ -69,7 +69,7 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
 def prepare(spark: SparkSession) -> None:
     """Ship the package, and lower the session's Arrow batches to what a worker holds with long texts; smaller ones stay."""
     ship(spark)
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(name).lower().removesuffix("b")
         if not now.isdigit() or int(now) == 0 or int(now) > most:
             spark.conf.set(name, str(most))

@@ -35,13 +35,13 @@ def targets(sources: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
     Empty tables give no rows.
     """
     cap = (F.col("source_size") * F.lit(epochs)).cast("double")
-    ranked = running(sources.withColumn("cap", cap).withColumn("one", F.lit(1)), [F.col("source").asc_nulls_first()], "one", "nth")
+    ranked = running(sources.withColumn("cap", cap).withColumn("one", F.lit(1.0)), [F.col("source").asc_nulls_first()], {"one": "nth"})
     # null is the last source
     nulls = ranked.where("source is null").count()
     nth = F.when(F.col("source").isNull(), ranked.count() - 1).otherwise(F.col("nth") - nulls)
     ranked = ranked.withColumn("weight", (nth % weights + 1).cast("double")).drop("one", "nth")
     in_ratio = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
-    found = running(running(ranked, in_ratio, "cap", "caps"), in_ratio, "weight", "weights")
+    found = running(ranked, in_ratio, {"cap": "caps", "weight": "weights"})
     whole = ranked.agg(F.sum("source_size").alias("sizes"), F.sum("weight").alias("weights")).head()
     level = (F.lit(whole.sizes) - F.col("caps")) / (F.lit(whole.weights) - F.col("weights"))
     least = found.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct(F.col("cap") / F.col("weight"), "level"))["level"].alias("level")).head()
@@ -49,19 +49,20 @@ def targets(sources: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
     return ranked.select("source", "source_size", "weight", F.coalesce(F.least("cap", level * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """rows with `name`, the sum of `value` over all rows before each in the order, which is total; ranges are summed apart, and the driver adds their totals."""
+def running(rows: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
+    """rows with sums (values: doubles' column and the sum's name) over all rows before each in the order, which is total; ranges are summed apart, and the driver adds their totals."""
     placed = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = {r._part: r.total for r in placed.groupBy("_part").agg(F.sum(value).alias("total")).collect()}  # a row for each range
-    before, sums = 0, {}
-    for part in sorted(totals):
-        sums[part] = before
-        before += totals[part]
-    kind = placed.schema[value].dataType.simpleString()
-    kind = "double" if kind == "double" else "long"
-    start = placed.sparkSession.createDataFrame([(p, (float if kind == "double" else int)(v)) for p, v in sums.items()], f"_p int, _start {kind}")
-    own = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast(kind))
-    return placed.join(F.broadcast(start), F.col("_part") == F.col("_p")).withColumn(name, own + F.col("_start")).drop("_part", "_p", "_start")
+    totals = sorted(map(tuple, placed.groupBy("_part").agg(*(F.sum(v) for v in values)).collect()))  # a row for each range
+    starts, sums = [], [0.0] * len(values)
+    for part, *own in totals:
+        starts.append((part, *sums))
+        sums = [a + b for a, b in zip(sums, own, strict=True)]
+    start = placed.sparkSession.createDataFrame(starts, "_p int, " + ", ".join(f"_start{i} double" for i in range(len(values))))
+    upto = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(start), F.col("_part") == F.col("_p"))
+    for i, (value, name) in enumerate(values.items()):
+        joined = joined.withColumn(name, F.coalesce(F.sum(value).over(upto), F.lit(0.0)) + F.col(f"_start{i}"))
+    return joined.drop("_part", "_p", *(f"_start{i}" for i in range(len(values))))
 
 
 def mix(docs: DataFrame, weights: int = 3, epochs: int = 3, bucket_rows: int = 8_192, seed: int = 11, with_rows: bool = True) -> DataFrame:

@@ -424,7 +424,10 @@ def _long_links(long: DataFrame, sets: DataFrame, links: DataFrame, percent: int
     component so far meet every block of it. Sets within one component need no
     further pairs, so a large group of near copies costs its size, not its square.
     """
-    stats = long.groupBy("token").agg(F.count("*").alias("size"), F.max("n").alias("top"))
+    long = written(long, "lists")
+    if not long.head(1):
+        return links
+    stats = written(long.groupBy("token").agg(F.count("*").alias("size"), F.max("n").alias("top")), "sizes")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("size") * F.col("top") * 8 / BLOCK_BYTES))
     placed = written(_with_counts(long, stats).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("token", "node"), F.col("blocks"))), "long")
     items = sets.select("node", "items")
@@ -436,12 +439,13 @@ def _long_links(long: DataFrame, sets: DataFrame, links: DataFrame, percent: int
         return links
     label = components(links).withColumnRenamed("node", "_n")
     several = several.join(label, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
-    main = several.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    several = written(several, "labelled")
+    main = written(several.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main")), "main")
     several = written(_with_counts(several, main).select("token", "node", "n", "blocks", "block", (F.col("component") != F.col("main")).alias("rest")), "several")
     rest = several.where("rest")
     if not rest.head(1):
         return links
-    chunks = rest.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("chunks"))
+    chunks = written(rest.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("chunks")), "chunks")
     own = _with_counts(several, chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("token", "block", "chunk", F.lit(0).alias("side"), "node")
     brought = _with_counts(rest, chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", "block", "chunk", F.lit(1).alias("side"), "node")
     outer = own.union(brought).join(items, "node").groupBy("token", "block", "chunk").applyInArrow(_block(percent), spot)
@@ -500,7 +504,7 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = pairs.where("a >= 0").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
     named = pairs.where("a < 0").select(F.col("b").alias("token"))
     long = postings.where("kind = 2").select("token", "node", "n").union(postings.where("kind = 0").join(named, "token", "left_semi").select("token", "node", "n"))
-    links = _long_links(long, sets, written(links, "links0"), percent) if long.head(1) else links
+    links = _long_links(long, sets, written(links, "links0"), percent)
     label = components(links).withColumnRenamed("node", "_n")
     grouped = sets.select("print", "least", "node").join(label, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

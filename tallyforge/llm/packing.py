@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, tidy
+from .common import documents, held, slices, tidy
 from .tokens import encoder
 
 #: Ends each document.
@@ -81,15 +81,15 @@ def cut_bin(lengths: list[int], capacity: int, slack: int) -> list[list[tuple[in
 
 def _pieces(path: str | None, capacity: int, wide: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for part in slices(batches, size=4 << 20):
+        coder = held("packing", path, lambda: encoder(path))  # what other operators held goes
+        for part in slices(batches, size=2 << 20):
             rows: list[tuple] = []
             for group, key, doc, text in zip(*(part.column(c).to_pylist() for c in ("group", "key", "doc_id", "text")), strict=True):
                 ids = np.append(coder.encode(text), np.uint32(END)).astype(wide)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     rows.append((group, key, doc, start, len(piece), len(ids), piece.tobytes()))
-                if len(rows) >= 4096:
+                if len(rows) >= 2048:
                     yield _batch(rows)
                     rows = []
             if rows:
@@ -106,20 +106,20 @@ def _fill(capacity: int, most: int, slack: int, wide: str):
     """Reads pieces ordered by group; holds at most `most` pieces shorter than a sequence."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, count, held, out = None, 0, [], []
+        group, count, short, out = None, 0, [], []
 
         def flush():
-            nonlocal count, held
-            for members in first_fit_decreasing([x[2] for x in held], capacity):
-                for row in cut_bin([held[m][2] for m in members], capacity, slack):
+            nonlocal count, short
+            for members in first_fit_decreasing([x[2] for x in short], capacity):
+                for row in cut_bin([short[m][2] for m in members], capacity, slack):
                     offset = 0
                     for i, at, take in row:
-                        doc, start, _, tokens, ids = held[members[i]]
+                        doc, start, _, tokens, ids = short[members[i]]
                         step = np.dtype(wide).itemsize
                         out.append((doc, start + at, take, ids[at * step : (at + take) * step], tokens, (group << 32) + count, offset))
                         offset += take
                     count += 1
-            held = []
+            short = []
 
         def ready() -> pa.RecordBatch:
             nonlocal out
@@ -138,16 +138,16 @@ def _fill(capacity: int, most: int, slack: int, wide: str):
                     out.append((doc, start, length, ids, tokens, (group << 32) + count, 0))
                     count += 1
                 else:
-                    held.append((doc, start, length, tokens, ids))
-                    if len(held) >= most:
+                    short.append((doc, start, length, tokens, ids))
+                    if len(short) >= most:
                         flush()
-                if len(out) >= 4096:
+                if len(out) >= 2048:
                     yield ready()
         flush()
         if out:
             yield ready()
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, group_docs: int = 4096, slack: int = 32) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -42,21 +42,33 @@ class Encoder:
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path = path or public_tokenizers.path("byte_bpe_50k.json")
         self.pattern = public_tokenizers.PATTERN
-        self.fast = self.pieces = None
+        self.fast = self.ranks = None
         ranked = path.removesuffix(".json") + ".tiktoken"
         if path.endswith("byte_bpe_50k.json") and os.path.exists(ranked):
             with open(ranked, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("bytes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
-            self.pieces = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+            self.fast, self.ranks = tiktoken.Encoding("bytes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=SPECIAL), ranks
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's own reader of the vocabulary; loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    @cached_property
+    def pieces(self):
+        """Encodes a pre-token as it is; None where the vocabulary has no ranks. Made for those alone that ask for it."""
+        import tiktoken
+
+        return tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}) if self.ranks else None
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and _other.search(text) is None:

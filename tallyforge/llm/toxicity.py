@@ -210,9 +210,9 @@ def votes_apart(examples: list[tuple[int, int, np.ndarray, np.ndarray]], part: i
 class Model:
     """score(texts) -> scores and evidence."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], k: int):
-        self.index, self.k, self.known = Index(**{c: arrays[c] for c in Index.FIELDS}), k, _Terms()
-        self.curve, self.nothing, self.prior = arrays["curve"], float(arrays["nothing"]), float(arrays["prior"])
+    def __init__(self, index: Index, curve: np.ndarray, nothing: float, prior: float, k: int):
+        self.index, self.k, self.known = index, k, _Terms()
+        self.curve, self.nothing, self.prior = curve, nothing, prior
         self.votes = np.concatenate([[0], (np.arange(BINS) + 0.5) / BINS, [1]])
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
@@ -226,29 +226,40 @@ class Model:
         return scores, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found).cast(_EVIDENCE_ARROW)
 
 
-def packed(arrays: dict[str, np.ndarray]) -> bytes:
+def packed(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> bytes:
+    """Examples as numbers of their vocabulary and times, compressed: a small part of the index, which each worker makes of them."""
+    sizes = np.array([len(e[2]) for e in examples], np.int64)
+    vocabulary, at = np.unique(np.concatenate([e[2] for e in examples] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    steps = np.diff(at, prepend=0)  # an example's numbers rise
+    first = (ends - sizes)[sizes > 0]
+    steps[first] = at[first]
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez_compressed(out, vocabulary=vocabulary, steps=steps.astype(np.int32), sizes=sizes, times=np.concatenate([e[3] for e in examples] or [np.zeros(0)]).astype(np.int32), ids=np.array([e[0] for e in examples], np.int64), labels=np.array([e[1] for e in examples], np.int64))
     return out.getvalue()
 
 
-def unpacked(value: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(value)) as arrays:
-        return {c: arrays[c] for c in arrays.files}
+def unpacked(value: bytes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    with np.load(io.BytesIO(value)) as a:
+        steps, ends, vocabulary, times = a["steps"], np.cumsum(a["sizes"]), a["vocabulary"], a["times"]
+        out = []
+        for doc, label, lo, hi in zip(a["ids"].tolist(), a["labels"].tolist(), (ends - a["sizes"]).tolist(), ends.tolist(), strict=True):
+            out.append((doc, label, vocabulary[np.cumsum(steps[lo:hi])], times[lo:hi]))
+    return out
 
 
-def closing(votes: list[tuple[int, float | None]], rates: tuple[float, float], prior: float) -> dict[str, np.ndarray]:
+def closing(votes: list[tuple[int, float | None]], rates: tuple[float, float], prior: float) -> dict:
     """What a model has besides its index: the curve from votes to shares, the share where there is no neighbour, the prior."""
     met = [v for v in votes if v[1] is not None]
     none = np.bincount([label for label, vote in votes if vote is None], minlength=2) * np.array(rates)
     curve = calibrated(np.array([v for _, v in met], float), np.array([label for label, _ in met], np.int64), rates)
-    return {"curve": curve, "nothing": np.array((none[1] + 0.5 * prior) / (none.sum() + 0.5)), "prior": np.array(prior)}
+    return {"curve": curve, "nothing": float((none[1] + 0.5 * prior) / (none.sum() + 0.5)), "prior": prior}
 
 
 def loaded(shared, k: int) -> Model:
-    """The model of a broadcast value, kept in the worker."""
+    """The model of a broadcast value, made and kept in the worker."""
     value = shared.value
-    return held("toxicity", value, lambda: Model(unpacked(value[0]) | value[1], k))
+    return held("toxicity", value, lambda: Model(fit_index([e for e in unpacked(value[0]) if len(e[2])]), k=k, **value[1]))
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +271,15 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(part: int, k: int, prior: float):
-    """The index of all examples (part -1), or a part's votes by the index of the others."""
+    """All examples, packed (part -1), or a part's votes by the index of the others."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = [(doc, label, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32)) for batch in batches for doc, label, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "a", "b")), strict=True)]
         if part < 0:
-            index = fit_index([e for e in examples if len(e[2])])
-            rows = [(None, None, packed({c: getattr(index, c) for c in Index.FIELDS}))]
+            rows = [(None, None, packed(examples))]
         else:
             rows = [(label, vote, None) for label, vote in votes_apart(examples, part, k, prior)]
-        yield pa.record_batch({"toxic": pa.array([r[0] for r in rows], pa.int32()), "vote": pa.array([r[1] for r in rows], pa.float64()), "index": pa.array([r[2] for r in rows], pa.binary())})
+        yield pa.record_batch({"toxic": pa.array([r[0] for r in rows], pa.int32()), "vote": pa.array([r[1] for r in rows], pa.float64()), "packed": pa.array([r[2] for r in rows], pa.binary())})
 
     return tidy(run)
 
@@ -298,11 +308,11 @@ def learned(docs: DataFrame, labels: DataFrame, examples: int, example_bytes: in
     own = F.broadcast(spark.createDataFrame([(d,) for x in taken.values() for d in x], "doc_id long"))
     arrays = chosen.join(own, "doc_id").select("doc_id", "toxic", "text").repartition(TASKS).mapInArrow(tidy(_counted), "doc_id long, toxic int, a binary, b binary")
     whole = written(arrays, "terms").repartition(1).sortWithinPartitions("doc_id", "toxic")
-    # each part's votes, and the index of all, are tasks of their own
-    made = reduce(DataFrame.union, (whole.mapInArrow(_fit(part, k, prior), "toxic int, vote double, index binary") for part in range(-1, FOLDS))).collect()
-    index = [bytes(r["index"]) for r in made if r["index"] is not None]
-    votes = [(r.toxic, r.vote) for r in made if r["index"] is None]
-    return spark.sparkContext.broadcast((index[0] if index else packed({c: getattr(fit_index([]), c) for c in Index.FIELDS}), closing(votes, rates, prior)))
+    # each part's votes, and the examples together, are tasks of their own
+    made = reduce(DataFrame.union, (whole.mapInArrow(_fit(part, k, prior), "toxic int, vote double, packed binary") for part in range(-1, FOLDS))).collect()
+    together = [bytes(r.packed) for r in made if r.packed is not None]
+    votes = [(r.toxic, r.vote) for r in made if r.packed is None]
+    return spark.sparkContext.broadcast((together[0] if together else packed([]), closing(votes, rates, prior)))
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = 2_000, example_bytes: int = 32 << 20, k: int = 15) -> DataFrame:
@@ -351,16 +361,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = 2_000, exa
     docs = distinct_names(docs)
     model = learned(documents(docs).select("doc_id", "text"), labels, examples, example_bytes, k)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # the rows stay in the JVM: only their texts go out, and scores come back
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = loaded(model, k)
-        for part in slices(batches):
-            scores, _ = own.score(part.column("text").to_pylist())
-            yield pa.record_batch({"row": part.column("row").filter(pa.array(scores < 0.5))})
+        for batch in texts:
+            parts = [own.score(p.column("text").to_pylist())[0] for p in slices([pa.record_batch({"text": batch})])]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"))
-    kept = rows.mapInArrow(tidy(run), rows.select("row").schema)
-    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return docs.where(scored(F.coalesce(column(docs, "text", "string"), F.lit(""))) < 0.5)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
