@@ -1,6 +1,8 @@
 """Packing, mixing, media, token counts and the n-gram join over awkward rows, against plain versions."""
 
 import hashlib
+import io
+import math
 import random
 import unicodedata
 import zlib
@@ -146,6 +148,30 @@ def test_token_counts_of_another_vocabulary(spark):
     assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((d, len(other.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in awkward())
 
 
+def plain_means(rows, height, width):
+    """Means of the areas that height by width cells cover of a grey image, overlap by overlap."""
+    def cuts(n, m):
+        return [[(k, min(k + 1, (i + 1) * n / m) - max(k, i * n / m)) for k in range(int(i * n / m), min(n, math.ceil((i + 1) * n / m)))] for i in range(m)]
+
+    down, across = cuts(len(rows), height), cuts(len(rows[0]), width)
+    return [[sum(a * b * rows[y][x] for y, a in d for x, b in c) / sum(a * b for _, a in d for _, b in c) for c in across] for d in down]
+
+
+def test_features_equal_plain_ones(spark):
+    """Bits and samples may differ only where the plain mean lies on the edge."""
+    rows = [r for r in awkward() if r[0] is not None and len((r[1] or "").encode()) < 3_000]
+    found = {r.doc_id: r for r in media.tiles(media.as_pgm(frame(spark, rows)), 4, 5).collect()}
+    for d, t, *_ in rows:
+        data = (t or "").encode()
+        data += b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+        image = [list(data[y : y + 64]) for y in range(0, len(data), 64)]
+        steps = np.diff(np.array(plain_means(image, 8, 9)), axis=1).ravel()
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(found[d].difference_hash), np.uint8)).astype(bool)
+        assert (bits == (steps > 1e-9))[np.abs(steps) > 1e-8].all() and not bits[steps < -1e-8].any()
+        small, means = np.load(io.BytesIO(bytes(found[d].tile)))[:, :, 0].astype(float), np.array(plain_means(image, 4, 5))
+        assert (np.abs(small - means) <= 0.5 + 1e-6).all()
+
+
 def test_media_round_trip(spark):
     rows = media.tiles(media.as_pgm(frame(spark)), payload=True).collect()
     want = Counter()
