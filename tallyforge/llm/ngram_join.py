@@ -403,6 +403,11 @@ def _block(percent: int):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table as a broadcast side where it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _on(name: str, other: str) -> Column:
     return F.col(name).eqNullSafe(F.col(other))
 
@@ -507,8 +512,10 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = _long_links(long, sets, written(links, "links0"), percent)
     label = components(links).withColumnRenamed("node", "_n")
     grouped = sets.select("print", "least", "node").join(label, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(grouped.join(smallest, "component").select(F.col("print").alias("_p"), "component", "component_id"), "named")
+    smallest = written(grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_sets")).where("_sets > 1").drop("_sets").withColumnRenamed("component", "_c"), "smallest")
+    # a set that is alone has its own smallest id; the others' components are few, or dealt by their key
+    found = grouped.join(_few(smallest), F.col("component") == F.col("_c"), "left")
+    named = written(found.select(F.col("print").alias("_p"), "component", F.when(F.col("_c").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "named")
     few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = decided.join(F.broadcast(named) if few else named, F.col("print") == F.col("_p"), "left")
     return found.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -523,8 +530,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     docs = distinct_names(docs)
     found = written(linked(docs, width, percent).where("component is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows")), "linked")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")).withColumnRenamed("component", "_c")
-    judged = found.join(first, F.col("component") == F.col("_c")).withColumn("stays", _on("doc_id", "first.doc_id") & (F.col("mark") == F.col("first.mark")))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.count("*").alias("_own")).where("_own > 1").drop("_own")
+    first = written(first.withColumnRenamed("component", "_c"), "first")
+    stays = F.col("_c").isNull() | _on("doc_id", "first.doc_id") & (F.col("mark") == F.col("first.mark"))  # what is alone stays
+    judged = found.join(_few(first), F.col("component") == F.col("_c"), "left").withColumn("stays", stays)
     judged = written(judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "stays", "rows"), "judged")
     own, mark = column(docs, "doc_id", "long"), F.xxhash64(F.coalesce(column(docs, "text", "string"), F.lit("")))
 
