@@ -41,15 +41,20 @@ def tidy(run: Callable) -> Callable:
 
     def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another libc
-            return
+        trim()
 
     return tidied
 
 
+def trim() -> None:
+    """Give unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        return
+
+
 def distinct_names(df: DataFrame) -> DataFrame:
     """df, in which of columns whose names differ in case alone, or not at all, the lower-case one, else the first, keeps its name; others get a number."""
     names, first = list(df.columns), {}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, column, crc32_mod, distinct_names, documents, held, prepare, slices, tidy, written
+from .common import CACHE, column, crc32_mod, distinct_names, documents, held, prepare, slices, tidy, trim, written
 
 #: Tasks that read the examples, and parts of the examples for the calibration.
 TASKS, FOLDS = 8, 5
@@ -147,31 +147,33 @@ def term_weights(df: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def fit_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
-    """The index of examples (id, label, terms, times). Neighbouring rows share their heaviest common term, so that blocks are alike."""
-    n = np.bincount([e[1] for e in examples], minlength=2).astype(float)
+    """The index of examples (id, label, terms, times)."""
     vocabulary, at = np.unique(np.concatenate([e[2] for e in examples] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    sizes = np.array([len(e[2]) for e in examples], np.int64)
-    labels = np.array([e[1] for e in examples], np.int64)
+    times = np.concatenate([e[3] for e in examples] or [np.zeros(0, np.int64)])
+    return index_of(vocabulary, at.astype(np.int32), np.array([len(e[2]) for e in examples], np.int64), times, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64))
+
+
+def index_of(vocabulary: np.ndarray, at: np.ndarray, sizes: np.ndarray, times: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Index:
+    """The index of examples by their terms' numbers. Neighbouring rows share their heaviest common term, so that blocks are alike."""
+    n = np.bincount(labels, minlength=2).astype(float)
     df = np.bincount(at, minlength=len(vocabulary)).astype(float)
     weight = term_weights(df, np.bincount(at[np.repeat(labels, sizes) == 1], minlength=len(vocabulary)), n)
-    times = np.concatenate([e[3] for e in examples] or [np.zeros(0, np.int64)])
-    row, w = np.repeat(np.arange(len(examples)), sizes), (1 + np.log(times)) * weight[at]
-    w = w / np.sqrt(np.bincount(row, w * w, minlength=len(examples)))[row]
-    ids = np.array([e[0] for e in examples], np.int64)
-    common = np.full(len(examples), -1)
+    row, w = np.repeat(np.arange(len(ids), dtype=np.int32), sizes), (1 + np.log(times)) * weight[at]
+    w /= np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]
+    common = np.full(len(ids), -1)
     often = np.nonzero(df[at] >= max(2, 0.02 * n.sum()))[0]
     often = often[np.lexsort((at[often], w[often], row[often]))]
     common[row[often]] = at[often]  # the last of a row's is its heaviest
-    place = np.empty(len(examples), np.int64)
-    place[np.lexsort((ids, common))] = np.arange(len(examples))
+    place = np.empty(len(ids), np.int32)
+    place[np.lexsort((ids, common))] = np.arange(len(ids), dtype=np.int32)
     row, by = place[row], np.argsort(place)
     order = np.lexsort((row, at))
     row, w, at = row[order], w[order], at[order]
     block = row // BLOCK
     first = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])]))[0] if len(at) else np.zeros(0, np.int64)
     return Index(
-        vocabulary=vocabulary, weight=weight, terms=np.searchsorted(at[first], np.arange(len(vocabulary) + 1)), blocks=block[first].astype(np.int32), starts=np.append(first, len(at)).astype(np.int32),
-        most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0), rows=row.astype(np.int32), weights=w, ids=ids[by], labels=labels[by])
+        vocabulary=vocabulary, weight=weight, terms=np.searchsorted(at[first], np.arange(len(vocabulary) + 1)), blocks=block[first], starts=np.append(first, len(at)).astype(np.int32),
+        most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0), rows=row, weights=w, ids=ids[by], labels=labels[by])
 
 
 def calibrated(votes: np.ndarray, labels: np.ndarray, rates: tuple[float, float]) -> np.ndarray:
@@ -239,13 +241,18 @@ def packed(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> bytes:
     return out.getvalue()
 
 
-def unpacked(value: bytes) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def unpacked(value: bytes) -> Index:
+    """The index of the packed examples that have any term."""
     with np.load(io.BytesIO(value)) as a:
-        steps, ends, vocabulary, times = a["steps"], np.cumsum(a["sizes"]), a["vocabulary"], a["times"]
-        out = []
-        for doc, label, lo, hi in zip(a["ids"].tolist(), a["labels"].tolist(), (ends - a["sizes"]).tolist(), ends.tolist(), strict=True):
-            out.append((doc, label, vocabulary[np.cumsum(steps[lo:hi])], times[lo:hi]))
-    return out
+        sizes, at = a["sizes"], a["steps"]
+        ends = np.cumsum(sizes)
+        if len(at):
+            at = np.cumsum(at, dtype=np.int64)
+            first = (ends - sizes)[sizes > 0]
+            before = np.concatenate([[0], at[first[1:] - 1]])  # an example's numbers begin anew
+            at = (at - np.repeat(before, sizes[sizes > 0])).astype(np.int32)
+        has = sizes > 0
+        return index_of(a["vocabulary"], at, sizes[has], a["times"], a["ids"][has], a["labels"][has])
 
 
 def closing(votes: list[tuple[int, float | None]], rates: tuple[float, float], prior: float) -> dict:
@@ -259,7 +266,13 @@ def closing(votes: list[tuple[int, float | None]], rates: tuple[float, float], p
 def loaded(shared, k: int) -> Model:
     """The model of a broadcast value, made and kept in the worker."""
     value = shared.value
-    return held("toxicity", value, lambda: Model(fit_index([e for e in unpacked(value[0]) if len(e[2])]), k=k, **value[1]))
+
+    def make() -> Model:
+        model = Model(unpacked(value[0]), k=k, **value[1])
+        trim()  # what making it took
+        return model
+
+    return held("toxicity", value, make)
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,6 +381,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = 2_000, exa
         for batch in texts:
             parts = [own.score(p.column("text").to_pylist())[0] for p in slices([pa.record_batch({"text": batch})])]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        trim()
 
     return docs.where(scored(F.coalesce(column(docs, "text", "string"), F.lit(""))) < 0.5)
 
