@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import folded, once
 from .scoring import clamp
 
 #: Phrases and what they say.
@@ -35,9 +35,12 @@ def sentences(text: Column) -> Column:
 
 def focus(text: Column, name: Column) -> Column:
     """The sentences that mention the name, accents and case aside, or the whole text; white space collapsed."""
-    wanted = plain(name)
-    own = F.filter(sentences(text), lambda s: F.contains(plain(s), wanted))
-    return F.trim(F.regexp_replace(F.when(F.size(own) > 0, F.array_join(own, " ")).otherwise(text), r"\s+", " "))
+
+    def own(x: Column) -> Column:
+        found = F.filter(sentences(x["text"]), lambda s: F.contains(plain(s), x["name"]))
+        return once(found, lambda f: F.when(F.size(f) > 0, F.array_join(f, " ")).otherwise(x["text"]))
+
+    return F.trim(F.regexp_replace(once(F.struct(text.alias("text"), plain(name).alias("name")), own), r"\s+", " "))
 
 
 def evidence_text(title: Column, excerpt: Column) -> Column:
@@ -46,15 +49,18 @@ def evidence_text(title: Column, excerpt: Column) -> Column:
 
 def stance(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     """struct(score, confidence, hits, terms): sum of the phrases said over the sum of their sizes; .5 + .15 a hit, at most 1; 0 and 0 without a hit."""
-    own = plain(text)
-    said = [F.when(own.rlike(rf"(?<!\w){phrase}(?!\w)"), F.struct(F.lit(phrase).alias("term"), F.lit(w).alias("w"))) for phrase, w in (lexicon or POSITIVE | NEGATIVE).items()]
-    hits = F.array_compact(F.array(*said))
-    total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["w"])
-    size = F.aggregate(hits, F.lit(0.0), lambda a, x: a + F.abs(x["w"]))
-    n = F.size(hits)
-    return F.struct(
-        clamp(F.coalesce(F.try_divide(total, size), F.lit(0.0)), -1.0, 1.0).alias("score"), F.when(n > 0, F.least(F.lit(1.0), 0.5 + 0.15 * n)).otherwise(0.0).alias("confidence"),
-        n.alias("hits"), F.transform(hits, lambda h: h["term"]).alias("terms"))
+    def said(own: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(own.rlike(rf"(?<!\w){phrase}(?!\w)"), F.struct(F.lit(phrase).alias("term"), F.lit(w).alias("w"))) for phrase, w in (lexicon or POSITIVE | NEGATIVE).items())))
+
+    def summed(hits: Column) -> Column:
+        total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["w"])
+        size = F.aggregate(hits, F.lit(0.0), lambda a, x: a + F.abs(x["w"]))
+        n = F.size(hits)
+        return F.struct(
+            clamp(F.coalesce(F.try_divide(total, size), F.lit(0.0)), -1.0, 1.0).alias("score"), F.when(n > 0, F.least(F.lit(1.0), 0.5 + 0.15 * n)).otherwise(0.0).alias("confidence"),
+            n.alias("hits"), F.transform(hits, lambda h: h["term"]).alias("terms"))
+
+    return once(once(plain(text), said), summed)
 
 
 def recent(evidence: DataFrame, now: Column, days: int = EVIDENCE_DAYS) -> DataFrame:

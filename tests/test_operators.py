@@ -142,6 +142,14 @@ def test_stance(spark):
     assert (row.a, row.b, row.c) == ("José-Bob fell!", "Nobody here.", "a")
 
 
+def test_stance_is_found_once_a_row(spark):
+    texts = frame(spark, [(1, "a", "Ann was good.", 0), (1, "b", None, 3)], "e long, source string, t string, age_days int")
+    said = texts.withColumn("s", ratings.stance(ratings.focus(F.col("t"), F.lit("ann")), {"good": 1.0})).select("e", "source", "age_days", "s.score", "s.confidence")
+    found = ratings.perception(said, "e")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("good(?!") == 1
+    assert [(r.score, r.scored, r.evidence) for r in found.collect()] == [(100.0, 1, 2)]
+
+
 def test_sources_are_balanced(spark):
     rows = [("p", "loud", 1.0, 1.0, 0)] * 50 + [("p", "calm", -1.0, 1.0, 45), ("q", "a", 0.0, 0.0, 0), ("r", "a", 1.0, 0.8, 45), ("r", "a", 1.0, 0.8, 0), ("r", "b", 0.5, 0.65, 0)]
     found = {r.e: r for r in ratings.perception(frame(spark, rows, "e string, source string, score double, confidence double, age_days int"), "e").collect()}
