@@ -165,3 +165,10 @@ def test_jdbc_options(spark):
 
     with pytest.raises(Exception, match="(?i)driver"):
         jdbc(spark, "jdbc:none://x", "(select 1) q", "id", 0, 10, 2).count()
+
+
+def test_ratings_read_each_text_once(spark):
+    from tallyforge.plans import registry
+
+    found = registry.queries()["rating_snapshots"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("masterclass(?!") == 1
