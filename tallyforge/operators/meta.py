@@ -36,28 +36,29 @@ def meta_levels(scores: DataFrame, entity: str, role: str = "role", strict: bool
     """entity, role, current, current_confidence, stable, stable_confidence, expected, expected_confidence, surprise, surprise_signal, seasons.
 
     scores: entity, role, period (0: now), overall, confidence, of season
-    windows. Past periods, 1 to 3, count only in the role that the entity has
-    now. A level is weighted by recency and confidence. A level whose
-    confidences are all nought is an error, or null if not strict.
+    windows, one a period. Past periods, 1 to 3, count only in the role that the
+    entity has now. A level is weighted by recency and confidence. A level whose
+    confidences are all nought is an error, or null if not strict. The scores
+    are read once.
     """
-    now = scores.where("period = 0").select(entity, role, F.col("overall").alias("current"), F.col("confidence").alias("current_confidence"))
-    same = scores.where(F.col("period").between(0, len(STABLE) - 1)).join(now.select(entity, role), [entity, role])
-    c = F.col("confidence")
+    same = scores.where(F.col("period").between(0, len(STABLE) - 1) & F.col(entity).isNotNull() & F.col(role).isNotNull())
+    c, now = F.col("confidence"), F.col("period") == 0
 
     def level(w: Column) -> Column:
         total = F.sum(w * c)
         fault = F.raise_error(F.lit("a level's confidences are all nought")) if strict else F.lit(None)
-        return F.when(total > 0, F.sum(w * c * F.col("overall")) / total).when(F.count(w) > 0, fault.cast("double"))
+        return F.when(total > 0, F.sum(w * c * F.col("overall")) / total).when((F.count(w) > 0) & (F.count_if(now) > 0), fault.cast("double"))
 
     def sure(w: Column) -> Column:
         return clamp(F.sum(w * c) / F.sum(w) * F.least(F.lit(1.0), 0.7 + 0.1 * F.count(w)), 0.0, 1.0)
 
     s, e = _period_weight(STABLE, 0), _period_weight(EXPECTED, 1)
-    found = same.groupBy(entity, role).agg(level(s).alias("stable"), sure(s).alias("stable_confidence"), level(e).alias("expected"), sure(e).alias("expected_confidence"), F.count(e).alias("seasons"))
+    current = (F.max(F.when(now, F.col(x))).alias(y) for x, y in (("overall", "current"), ("confidence", "current_confidence")))
+    found = same.groupBy(entity, role).agg(*current, level(s).alias("stable"), sure(s).alias("stable_confidence"), level(e).alias("expected"), sure(e).alias("expected_confidence"), F.count(e).alias("seasons"), F.count_if(now).alias("_now"))
     surprise = F.col("current") - F.col("expected")
     low = (F.col("current_confidence") < SURPRISE_CONFIDENCE) | (F.col("expected_confidence") < SURPRISE_CONFIDENCE)
     signal = F.when(F.col("seasons") == 0, "insufficient_history").when(surprise.isNull() | low, "insufficient_evidence").when(surprise >= SURPRISE, "surprise").when(surprise <= -SURPRISE, "disappointment").otherwise("aligned")
-    return now.join(found, [entity, role]).withColumn("surprise", surprise).withColumn("surprise_signal", signal)
+    return found.where("_now > 0").drop("_now").withColumn("surprise", surprise).withColumn("surprise_signal", signal)
 
 
 def trend(windows: DataFrame, entity: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,13 @@ def evidence_text(title: Column, excerpt: Column) -> Column:
 
 def stance(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     """struct(score, confidence, hits, terms): sum of the phrases said over the sum of their sizes; .5 + .15 a hit, at most 1; 0 and 0 without a hit."""
+    def there(own: Column, phrase: str) -> Column:
+        """A phrase as whole words; one of letters and spaces is first looked for as it is, without a pattern: most texts have few."""
+        whole = own.rlike(rf"(?<!\w){phrase}(?!\w)")
+        return F.contains(own, F.lit(phrase)) & whole if re.fullmatch(r"[\w ]+", phrase) else whole
+
     def said(own: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(own.rlike(rf"(?<!\w){phrase}(?!\w)"), F.struct(F.lit(phrase).alias("term"), F.lit(w).alias("w"))) for phrase, w in (lexicon or POSITIVE | NEGATIVE).items())))
+        return F.array_compact(F.array(*(F.when(there(own, phrase), F.struct(F.lit(phrase).alias("term"), F.lit(w).alias("w"))) for phrase, w in (lexicon or POSITIVE | NEGATIVE).items())))
 
     def summed(hits: Column) -> Column:
         total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["w"])

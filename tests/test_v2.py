@@ -215,3 +215,28 @@ def test_hints_are_made_once_a_match(spark):
     lines = plans.observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     exploding = [i for i, x in enumerate(lines) if "Generate inline" in x]
     assert exploding and not any("smith" in x for x in lines[: exploding[0]]) and any("smith" in x for x in lines[exploding[0]:])
+
+
+def test_levels_read_the_scores_once(spark):
+    """Present scores aren't joined to the past ones: what ranks them would run again for each reader."""
+    from tallyforge.operators import meta
+    from tallyforge.plans import registry
+
+    plan = registry.queries()["rating_snapshots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Join ") == 2
+    rows = [(1, "a", 0, 80.0, 0.5), (1, "b", 1, 10.0, 0.0), (2, "a", 1, 10.0, 0.9), (3, None, 0, 10.0, 0.9), (4, "a", 0, None, 0.5), (4, "a", 4, 10.0, 0.9)]
+    found = {r.e: r for r in meta.meta_levels(spark.createDataFrame(rows, "e int, role string, period int, overall double, confidence double"), "e").collect()}
+    assert {e: (r.role, r.current, r.stable, r.seasons) for e, r in found.items()} == {1: ("a", 80.0, 80.0, 0), 4: ("a", None, None, 0)}
+
+
+def test_phrases_are_looked_for_plainly_first(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import ratings
+
+    texts = spark.createDataFrame([("a heroic flop",), ("hero? a superb, key player",), (None,), ("U.S.A wins",)], "t string")
+    own = texts.select("t", ratings.stance(F.col("t")).alias("s"))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") == plan.count("RLIKE(") > 20
+    assert [r.s.terms if r.s else None for r in own.collect()] == [["flop"], ["superb", "hero", "key player"], [], []]
+    assert [r.n for r in texts.select(ratings.stance(F.col("t"), {r"u\.s\.a": 1.0})["hits"].alias("n")).collect()] == [0, 0, 0, 1]
