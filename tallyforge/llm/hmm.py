@@ -209,19 +209,20 @@ def _runs(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray,
 
 def _products(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each run (longest first) the product of its steps' matrices, scaled, and the scale's log10. A text's first symbol (`opening`) has no move before it."""
-    emit, move = model["emit"], model["move"]
-    states = len(move)
-    through = np.where(opening[:, None, None], np.eye(states), move) * emit[symbols[begin]][:, None, :]
+    move, states = model["move"], len(model["move"])
+    emit, turned = np.ascontiguousarray(model["emit"].T), np.ascontiguousarray(move.T)
+    # runs lie along the last axis, where numpy is fast
+    through = np.where(opening, np.eye(states)[:, :, None], move[:, :, None]) * emit.take(symbols[begin], axis=1)
     logs = np.zeros(len(begin))
     for t in range(1, int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -t, "left"))
-        step = through[:n].reshape(-1, states) @ move
-        through[:n] = step.reshape(n, states, states) * emit[symbols[begin[:n] + t]][:, None, :]
+        step = np.matmul(turned, through[:, :, :n])
+        np.multiply(step, emit.take(symbols[begin[:n] + t], axis=1), out=through[:, :, :n])
         if t % 8 == 0:
-            top = through[:n].max(axis=(1, 2))
-            through[:n] /= top[:, None, None]
+            top = through[:, :, :n].max(axis=(0, 1))
+            through[:, :, :n] /= top
             logs[:n] += np.log10(top)
-    return through, logs
+    return through.transpose(2, 0, 1), logs
 
 
 def _messages(through: np.ndarray, of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,41 +269,39 @@ def expected(texts: list[np.ndarray], model: dict[str, np.ndarray], at_once: int
         through = np.empty((len(own), states, states))
         through[order] = _products(symbols, begin[own][order], size[own][order], ~later[own][order], model)[0]
         into[own], after[own] = _messages(through, of[own], start)
-    order = np.argsort(-size, kind="stable")
+    order, turned, emits = np.argsort(-size, kind="stable"), np.ascontiguousarray(move.T), np.ascontiguousarray(emit.T)
     for lo in range(0, len(order), at_once):
         own = order[lo : lo + at_once]
-        b, s, moved, before = begin[own], size[own], later[own], into[own]
-        steps = int(s[0])
-        active = [int(np.searchsorted(-s, -t, "left")) for t in range(steps)]  # runs longer than t come first
-        alpha, scale, seen = [], [], []
-        for t in range(steps):
-            n = active[t]
-            seen.append(emit[symbols[b[:n] + t]])
-            a = (np.where(moved[:, None], before @ move, before) if t == 0 else alpha[-1][:n] @ move) * seen[-1]
-            c = a.sum(axis=1, keepdims=True)
-            alpha.append(a / c)
-            scale.append(c)
-        out["fit"][0] += sum(float(np.log10(c).sum()) for c in scale)
+        b, s, moved, before = begin[own], size[own], later[own], into[own].T
+        active = np.searchsorted(-s, -np.arange(s[0]), "left")  # runs longer than t come first
+        ends = np.cumsum(active)
+        # all symbols, those of a step side by side; states along the first axis, as numpy is fast along the last
+        codes = np.concatenate([symbols[b[:n] + t] for t, n in enumerate(active.tolist())]).astype(np.intp)
+        seen = emits.take(codes, axis=1)
+        alpha, scale = np.empty_like(seen), np.empty(len(codes))
+        steps = [slice(hi - n, hi) for hi, n in zip(ends.tolist(), active.tolist(), strict=True)]
+        last = np.where(moved, turned @ before, before)
+        for at in steps:
+            n = at.stop - at.start
+            a = (last if at.start == 0 else turned @ last[:, :n]) * seen[:, at]
+            c = a.sum(axis=0, out=scale[at])
+            last = np.divide(a, c, out=alpha[:, at])
+        out["fit"][0] += float(np.log10(scale).sum())
+        seen /= scale
         # what comes after a run, where all of a run's symbols are past; scaled so that alpha * beta sums to one
-        beyond = after[own]
-        beta = np.empty((0, states))
-        codes, gammas = [], []
-        for t in range(steps - 1, -1, -1):
-            n, k = active[t], len(beta)
-            ended = beyond[k:n] / (alpha[t][k:n] * beyond[k:n]).sum(axis=1, keepdims=True)
-            if k:
-                follows = seen[t + 1] * beta / scale[t + 1]
-                out["move"] += move * (alpha[t][:k].T @ follows)
-                beta = np.concatenate([follows @ move.T, ended])
-            else:
-                beta = ended
-            gammas.append(alpha[t] * beta)
-            codes.append(symbols[b[:n] + t])
-        out["move"] += move * (before[moved].T @ (seen[0] * beta / scale[0])[moved])
-        out["start"] += gammas[-1][~moved].sum(axis=0)
-        codes, gammas = np.concatenate(codes), np.concatenate(gammas)
+        beyond, final = after[own].T, alpha[:, ends[s - 1] - active[s - 1] + np.arange(len(own))]
+        beta, moves = beyond / (final * beyond).sum(axis=0), np.zeros((states, states))
+        for at, following in zip(steps[::-1], [None, *steps[:0:-1]], strict=True):
+            if following is not None:
+                k = following.stop - following.start
+                follows = seen[:, following] * beta[:, :k]
+                moves += alpha[:, at.start : at.start + k] @ follows.T
+                np.matmul(move, follows, out=beta[:, :k])
+            alpha[:, at] *= beta[:, : at.stop - at.start]
+        out["move"] += move * (moves + before[:, moved] @ (seen[:, steps[0]] * beta)[:, moved].T)
+        out["start"] += alpha[:, steps[0]][:, ~moved].sum(axis=1)
         for k in range(states):
-            out["emit"][:, k] += np.bincount(codes, gammas[:, k], minlength=len(emit))
+            out["emit"][:, k] += np.bincount(codes, alpha[k], minlength=len(emit))
     return out
 
 

@@ -1,6 +1,7 @@
 """Hidden Markov scores, toxicity and nearest neighbours, against plain versions."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -52,6 +53,18 @@ def test_expected_counts_are_baum_welch(monkeypatch, run):
     assert np.allclose(found["fit"], [fit, sum(map(len, texts))]) and np.isclose(found["move"].sum(), sum(len(t) - 1 for t in texts))
 
 
+def test_expected_counts_keep_two_arrays_of_the_symbols():
+    """What is known of each symbol by state is kept twice at most, and never copied whole."""
+    m = random_model(5000, 6)
+    texts = list(np.random.default_rng(3).integers(0, 5000, (1000, 200)).astype(np.int32))
+    states, symbols = len(m["move"]), 200_000
+    tracemalloc.start()
+    hmm.expected(texts, m)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * symbols * (3 * states + 3)
+
+
 def plain_expected(texts, m):
     """Counts of one text after another, by the textbook's recursions."""
     emit, move, start = (np.zeros_like(m[c]) for c in ("emit", "move", "start"))
